@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_classifier, quality_rules
+from . import language, packing, quality_classifier, quality_rules, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
+        "op9_packing": packing.op9_packing,
+        "op10_language": language.op10_language,
     }
 
 

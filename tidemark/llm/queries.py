@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality_classifier, quality_rules, toxicity
+from . import language, packing, quality_classifier, quality_rules, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_secret_scans": secrets.op2_secret_scans,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op9_packing": packing.op9_packing,

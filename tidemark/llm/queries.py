@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality_classifier, quality_rules, secrets, toxicity
+from . import language, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_secret_scans": secrets.op2_secret_scans,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op9_packing": packing.op9_packing,
         "op10_language": language.op10_language,

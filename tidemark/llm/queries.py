@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
+from . import chat_format, language, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_secret_scans": secrets.op2_secret_scans,
+        "op3_chat_format": chat_format.op3_chat_format,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_chat_format": chat_format.OP3_SQL}

@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import documents, store
+from .common import NO_ID, documents, keyed, store
 
 WIDTH, GRAM = 20, 6
 BUCKET_BYTES = 12 << 20  # text bytes whose windows one bucket holds
 LEAST_BUCKETS = 64
 MOST_RUNS = 4
-NO_ID = -(2**63)
 PRINT_BASE = X.U(0xC2B2AE3D27D4EB4F)
 PRINT_INVERSE = X.U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 ENTRIES = "bucket int, keys binary, ids binary, tags binary, starts binary, sizes binary, prints binary, local binary"
@@ -255,12 +254,6 @@ class FingerprintIndex:
         self.runs = [store(self.history().groupBy("bucket").applyInArrow(reduce, RUN), "substring-run")]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(id, tag, text): the tag tells rows apart that share an id but not their text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
-
-
 def bucket_count(docs: DataFrame) -> int:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return max(LEAST_BUCKETS, total // BUCKET_BYTES)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
+from . import chat_format, decontamination, language, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_chat_format": chat_format.op3_chat_format,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_substring_dedup": substring_dedup.op5_substring_dedup,
+        "op6_near_dedup": near_dedup.op6_near_dedup,
         "op7_quality_classifier": quality_classifier.op7_quality_classifier,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_packing": packing.op9_packing,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("scalar_queries", "series_queries")
 
 
 def _modules():

@@ -31,6 +31,11 @@ TIERS = (256, 512, 1024, 2048, 4096)
 END_ID = 2
 STEP_TOKENS = 32 * LONGEST
 HELD_WORDS = 1_500_000
+ROW_WORDS = 512  # new words in one call of the tokenizer
+_MARK, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_MARK[list(b".,;:!?")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LOWER[65:91] += 32
 SCHEMA = "doc_id long, start long, length long, input_ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -51,14 +56,31 @@ class WordEncoder:
         self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        size = np.array([len(x) for x in got], np.int64)
-        return size, np.array([i for x in got for i in x], np.uint32)
+        """Size and ids of each word; words are encoded in rows of text, and offsets tell whose an id is."""
+        size, ids = [], []
+        for at in range(0, len(words), ROW_WORDS):
+            part = words[at : at + ROW_WORDS]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            length = np.fromiter(map(len, part), np.int64, len(part))
+            begin = np.cumsum(length + 1) - length - 1
+            whose = np.searchsorted(begin, np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets)), "right") - 1
+            size.append(np.bincount(whose, minlength=len(part)))
+            ids.append(np.array(got.ids, np.uint32))
+        return np.concatenate(size), np.concatenate(ids)
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, and the n + 1 bounds of documents in them; each document ends with END_ID."""
+        """All ids, and the n + 1 bounds of documents in them; each document ends with END_ID.
+
+        A mark at the end of a word, behind an ASCII letter, is a word of its own, and case doesn't count: the tokenizer
+        cuts there and lowers case itself, and so more words are known already.
+        """
         w = X.split(column)
-        h, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        tail = (w.end - w.start > 1) & _MARK[w.data[w.end - 1]] & _LETTER[w.data[np.maximum(w.end - 2, 0)]] if len(w.end) else np.zeros(0, bool)
+        place = np.concatenate([[0], np.cumsum(1 + tail)])
+        start, end = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64)
+        start[place[:-1]], end[place[:-1]] = w.start, w.end - tail
+        start[place[1:][tail] - 1], end[place[1:][tail] - 1] = w.end[tail] - 1, w.end[tail]
+        h, one, which = np.unique(X.spans_hash(X.BYTE[_LOWER[w.data]], start, end), return_index=True, return_inverse=True)
         if len(self.keys) > HELD_WORDS:
             self.keys, self.first, self.size, self.ids = self.keys[:0], self.first[:0], self.size[:0], self.ids[:0]
         at = np.searchsorted(self.keys, h)
@@ -67,7 +89,8 @@ class WordEncoder:
             known = self.keys[np.minimum(at, len(self.keys) - 1)] == h
         new = np.flatnonzero(~known)
         if len(new):
-            size, ids = self._learn([w.word(i).decode() for i in one[new]])
+            data = w.data.tobytes()
+            size, ids = self._learn([data[a:b].decode() for a, b in zip(start[one[new]].tolist(), end[one[new]].tolist(), strict=True)])
             first = len(self.ids) + np.cumsum(size) - size
             keys = np.concatenate([self.keys, h[new]])
             order = np.argsort(keys, kind="stable")
@@ -79,10 +102,20 @@ class WordEncoder:
         out_end = np.cumsum(size)
         total = int(out_end[-1]) if len(size) else 0
         ids = self.ids[np.repeat(first - (out_end - size), size) + np.arange(total)] if total else np.zeros(0, np.uint32)
-        bounds = np.concatenate([[0], out_end])[w.first]
+        bounds = np.concatenate([[0], out_end])[place[w.first]]
         return np.insert(ids, bounds[1:], np.uint32(END_ID)), bounds + np.arange(len(bounds))
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process, so that the words of one task are known in the next."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class Tiers:
     """Pieces that wait for a window, by tier; each is (length, document, start)."""
 
@@ -140,7 +173,7 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tiers = WordEncoder(path), Tiers()
+        encoder, tiers = encoder_of(path), Tiers()
         task = TaskContext.get().partitionId() << 36
         number, in_tier = 0, dict.fromkeys(range(LONGEST + 1), 0)
         texts: dict[int, tuple] = {}  # documents of which a piece waits

@@ -33,6 +33,7 @@ from .common import NO_ID, documents, keyed, store
 WIDTH, GRAM = 20, 6
 BUCKET_BYTES = 12 << 20  # text bytes whose windows one bucket holds
 LEAST_BUCKETS = 64
+SLICE_BYTES = 2 << 20  # text bytes that a task holds in arrays at a time
 MOST_RUNS = 4
 PRINT_BASE = X.U(0xC2B2AE3D27D4EB4F)
 PRINT_INVERSE = X.U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
@@ -124,7 +125,7 @@ def entries(docs: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in ENTRIES.split(", ")]
-        for part in X.slices(batches):
+        for part in X.slices(batches, size=SLICE_BYTES):
             got, local = cut(X.split(part.column("text")), part.column("id").to_numpy(), part.column("tag").to_numpy().astype(np.uint32))
             bucket = ((got.keys >> X.U(32)) * X.U(buckets) >> X.U(32)).astype(np.int64)
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -280,7 +281,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.slices(batches, size=SLICE_BYTES):
             ids, texts, spans = (batch.column(c) for c in ("id", "text", "spans"))
             cols: list[list] = [[] for _ in range(5)]
             for doc, text, own in zip(ids.to_pylist(), texts, spans.to_pylist(), strict=True):

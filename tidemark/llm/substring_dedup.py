@@ -264,8 +264,9 @@ def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
     """The documents in batches of rising doc_id, each merged with the runs of those before it."""
     rows = keyed(docs)
     index = FingerprintIndex(docs.sparkSession, bucket_count(docs))
-    limits = rows.where(F.col("id") != NO_ID).approxQuantile("id", [k / batches for k in range(1, batches)], 0.01)
-    edges = [None, *sorted({int(x) for x in limits}), None]
+    cuts = [k / batches for k in range(1, batches)]
+    limits = rows.where(F.col("id") != NO_ID).agg(F.percentile_approx("id", cuts)).first()[0] if cuts else None
+    edges = [None, *sorted({int(x) for x in limits or []}), None]
     out = None
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = rows if lo is None else rows.where(F.col("id") > lo)

@@ -233,7 +233,7 @@ class FingerprintIndex:
             n, extra = len(found), int(add and len(batch.keys) > 0)
             row = run_row(new.column("bucket")[0].as_py(), batch.keys, batch.sizes, batch.prints) if extra else None
             blank = lambda kind: pa.nulls(n, kind)
-            cols = [pa.array([False] * n + [True] * extra), *(pa.concat_arrays([blank(k), pa.array([row[i]] if extra else [], k)]) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary())))]
+            cols = [pa.array([False] * n + [True] * extra, pa.bool_()), *(pa.concat_arrays([blank(k), pa.array([row[i]] if extra else [], k)]) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary())))]
             cols += [pa.concat_arrays([pa.array(found[:, i].astype(t), k), pa.nulls(extra, k)]) for i, (t, k) in enumerate(((np.int64, pa.int64()), (np.int64, pa.int64()), (np.int32, pa.int32()), (np.int32, pa.int32())))]
             return pa.table(cols, names=[f.split()[0] for f in MERGED.split(", ")])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scalar_queries", "series_queries", "grid_queries")
+MODULES = ("scalar_queries", "series_queries", "grid_queries", "projection_queries")
 
 
 def _modules():

@@ -6,7 +6,6 @@ from tidemark.operators import grids as O
 
 
 def test_components_match_a_flood_fill(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     rng = np.random.default_rng(5)
     wet = {(int(y), int(x)) for y, x in zip(*np.nonzero(rng.random((30, 30)) < 0.55))} | {(40, x) for x in range(60)}
     want, left = {}, set(wet)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpoints
+
 
 def components(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key, y, x, component, size) of the 4-neighbour components; a component is named by its least y * 2^32 + x.
@@ -15,6 +17,7 @@ def components(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
     label's own label, until none falls: few rounds even for winding components, each of equal-key joins. The lineage is
     cut by a checkpoint each round.
     """
+    checkpoints(cells.sparkSession)
     key = key or []
     node = (F.col("y") * F.lit(2**32) + F.col("x")).alias("node")
     base = cells.select(*key, node).distinct()

@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the checkpoint folder where none is set: ``spark.checkpoint.dir``, else the warehouse, which is shared as well."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, station_id, t, stage, user_id): t in microseconds UTC."""
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")

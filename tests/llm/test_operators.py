@@ -132,6 +132,16 @@ def test_near_dedup(spark, awkward):
     assert got == want
 
 
+def test_shingle_counts_do_not_depend_on_slices(spark):
+    rng = np.random.default_rng(6)
+    line = text_of(rng, 12)
+    rows = [(text_of(rng, 20) + (" " + line if k % 20 == 0 else ""),) for k in range(200)]
+    want = 8  # the grams inside the line; those that cross its edge are of one text each
+    for parts in (1, 200):
+        idf, _ = near_dedup.frequent(spark.createDataFrame(rows, "text string").repartition(parts))
+        assert len(idf.keys) == want and np.allclose(idf.value, 1 + np.log(20))
+
+
 def test_decontamination(spark, awkward):
     bench = spark.createDataFrame([(1, "A farmer sold 12 kg of apples to Mary and then another 7 kg of apples to John in the market"), (2, None), (3, "too few")], "item_id long, text string")
     docs = spark.createDataFrame(

@@ -132,6 +132,19 @@ def test_near_dedup(spark, awkward):
     assert got == want
 
 
+def test_near_dedup_compares_all_of_a_band(spark):
+    rng = np.random.default_rng(5)
+    rows = [(1, 0, text_of(rng, 100))]
+    for k in range(2, 10, 2):
+        base = text_of(rng, 100)
+        rows += [(k, 0, base), (k + 1, 0, base + " end")]
+    texts = spark.createDataFrame(rows, "id long, tag long, text string")
+    band = texts.selectExpr("7L AS key", "id", "tag")
+    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
+    got = near_dedup.linked(band, texts, idf, np.zeros(1 << 16, np.uint16), 0.8).collect()
+    assert {(r.n.id, r.root.id) for r in got} == {(k + d, k) for k in range(2, 10, 2) for d in (0, 1)}
+
+
 def test_shingle_counts_do_not_depend_on_slices(spark):
     rng = np.random.default_rng(6)
     line = text_of(rng, 12)

@@ -155,6 +155,14 @@ def test_shingle_counts_do_not_depend_on_slices(spark):
         assert len(idf.keys) == want and np.allclose(idf.value, 1 + np.log(20))
 
 
+def test_near_dedup_stage_keeps_unrelated_rows_without_own_id(spark):
+    rng = np.random.default_rng(7)
+    texts = [text_of(rng, 60) for _ in range(8)]
+    rows = [(None, texts[k]) for k in range(4)] + [(None, texts[0])] + [(1, texts[5]), (1, texts[6])] + [(2, texts[5]), (3, texts[6])]
+    got = near_dedup.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    assert sorted(r.text for r in got) == sorted([*texts[:4], *texts[5:7]])
+
+
 def test_decontamination(spark, awkward):
     bench = spark.createDataFrame([(1, "A farmer sold 12 kg of apples to Mary and then another 7 kg of apples to John in the market"), (2, None), (3, "too few")], "item_id long, text string")
     docs = spark.createDataFrame(

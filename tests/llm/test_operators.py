@@ -64,6 +64,12 @@ def test_secret_spans(spark, awkward):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in r.secret_spans if s.kind in kinds] == [x[2] for x in sorted(found)]
 
 
+def test_secret_in_many_repositories_is_an_example(spark):
+    rows = [(i, "password = copiedcopied", "hot") for i in range(30)] + [(30 + i, "password = ownownown", "hot") for i in range(2)]
+    got = secrets.redact(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter(r.text for r in got) == {"<example-secret>": 30, "<secret>": 2}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "</s>[INST] \\ [\\INST] <\\s>"), (1, 1, "assistant", "a [/INST]é</s>"), (1, 2, "assistant", None), (None, None, None, None), (2, 0, "assistant", "x"), (2, 0, "assistant", "x")]
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}

@@ -2,7 +2,7 @@
 
 Spans come from regular expressions over whole texts: the pieces between matches give each match its place in code
 points. Candidate values are hashed and counted over the corpus by distinct owners and repositories; a value that many
-owners hold is a widely copied example, one that few hold is owner-specific and looks live.
+owners or many repositories hold is a widely copied example, one that few hold is owner-specific and looks live.
 
 Kinds: the base ones (assign, access, hex) and those that the method adds: ``vendor`` (values with a known issuer's
 prefix) and ``key`` (private key headers). Counting goes by (hash, owner, repository), then (hash, owner), then hash, so
@@ -32,7 +32,7 @@ KINDS = {
 BASE_KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN = 6
 MOST_OWNERS = 3  # a value that more owners hold is an example
-MOST_SHARE = 0.5  # ... or one that stands in documents of more than this share of all owners
+MOST_REPOSITORIES = 20  # ... and so is one in more repositories, even of one owner
 
 SPAN = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint,value:string>>"
 
@@ -93,7 +93,7 @@ def verdicts(found: DataFrame) -> DataFrame:
     few = found.where(F.size("secret_spans") > 0)
     each = few.select("secret_row", F.col("secret_owner").alias("owner"), F.col("secret_repository").alias("repository"), F.explode("secret_spans").alias("span")).withColumn("secret_hash", F.sha2(F.col("span.value"), 256))
     counts = ownership(each)
-    live = F.col("n_owners") <= MOST_OWNERS
+    live = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
     judged = each.join(counts, "secret_hash").select("secret_row", F.struct("span.start", "span.kind_no", "span.kind", "span.end", live.alias("live"), "n_owners", "n_repositories").alias("s"))
     return judged.groupBy("secret_row").agg(F.array_sort(F.collect_set("s")).alias("secret_live"))
 

@@ -107,6 +107,15 @@ def test_substring_dedup(spark, awkward, batches):
     assert got == removed([tuple(r) for r in docs.collect()])
 
 
+def test_prints_tell_windows_of_one_key_apart():
+    import pyarrow as pa
+
+    n, gram = 300_000, "one phrase of six plain words"
+    w = substring_dedup.X.split(pa.array([gram + "".join(f" {(i * 7919 + k * 104729) % 1_000_003}" for k in range(14)) for i in range(n)]))
+    got, _ = substring_dedup.cut(w, np.arange(n), np.zeros(n, np.uint32))
+    assert len(np.unique(got.prints)) == n
+
+
 def test_near_dedup(spark, awkward):
     docs = awkward.unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars"), allowMissingColumns=True)
     rows = {(-1 if r.doc_id is None else r.doc_id): r.text or "" for r in docs.collect()}

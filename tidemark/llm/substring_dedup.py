@@ -2,7 +2,7 @@
 
 A window is ``WIDTH`` consecutive words of one document. Windows are keyed by the least hash of their ``GRAM``-word grams,
 so equal windows share a key and neighbours mostly do too: a run of consecutive windows with one key travels as one
-entry of (key, document, start, window prints). A key of 64 bits and an independent print of 32 bits verify a window.
+entry of (key, document, start, window prints). A key of 64 bits and an independent print of 64 bits verify a window.
 
 The index is a list of immutable runs. A run is a Parquet folder with, for each bucket of keys, sorted keys and their
 distinct window prints. A new batch is cut into entries (sorted by key inside each slice of a task, where entries of
@@ -79,7 +79,7 @@ class Entries:
 def cut(w: X.Words, ids: np.ndarray, tags: np.ndarray) -> tuple[Entries, list[tuple[int, int, int, int]]]:
     """Entries of a slice, first of equal words only, and the windows of the others as (id, tag, start, windows)."""
     n = len(w.start)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint32)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint64)
     if n < WIDTH:
         return Entries(*none), []
     at = np.flatnonzero(w.doc[: n - WIDTH + 1] == w.doc[WIDTH - 1 :])
@@ -93,7 +93,7 @@ def cut(w: X.Words, ids: np.ndarray, tags: np.ndarray) -> tuple[Entries, list[tu
         low = np.minimum(low[: len(low) - step], low[step:])
         span += step
     key = X.mix(low[at] ^ X.U(0xA5A5A5A5))
-    prints = (X.spans_hash(w.hash, at, at + WIDTH, PRINT_BASE, PRINT_INVERSE) >> X.U(32)).astype(np.uint32)
+    prints = X.spans_hash(w.hash, at, at + WIDTH, PRINT_BASE, PRINT_INVERSE)
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (w.doc[at[1:]] != w.doc[at[:-1]])
     head = np.flatnonzero(new)
@@ -150,7 +150,7 @@ def joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
 
 
 def window_keys(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    return X.mix(np.repeat(keys, sizes) ^ X.mix(prints.astype(np.uint64) + X.U(0x51ED27)))
+    return X.mix(np.repeat(keys, sizes) ^ X.mix(prints + X.U(0x51ED27)))
 
 
 def run_row(bucket: int, keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
@@ -227,9 +227,9 @@ class FingerprintIndex:
         """(id, tag, start, length) of the repeated windows of (id, tag, text) rows; ``add``: the batch becomes a run."""
 
         def reduce(new: pa.Table, old: pa.Table) -> pa.Table:
-            batch = Entries(*(joined(new, c, k) for c, k in (("keys", np.uint64), ("ids", np.int64), ("tags", np.uint32), ("starts", np.uint32), ("sizes", np.uint8), ("prints", np.uint32))))
+            batch = Entries(*(joined(new, c, k) for c, k in (("keys", np.uint64), ("ids", np.int64), ("tags", np.uint32), ("starts", np.uint32), ("sizes", np.uint8), ("prints", np.uint64))))
             local = [unpacked(x, np.int64).reshape(4, -1).T for x in new.column("local").to_pylist() if x]
-            found = np.concatenate([repeats(batch, tuple(joined(old, c, k) for c, k in (("keys", np.uint64), ("sizes", np.uint32), ("prints", np.uint32)))), *local])
+            found = np.concatenate([repeats(batch, tuple(joined(old, c, k) for c, k in (("keys", np.uint64), ("sizes", np.uint32), ("prints", np.uint64)))), *local])
             n, extra = len(found), int(add and len(batch.keys) > 0)
             row = run_row(new.column("bucket")[0].as_py(), batch.keys, batch.sizes, batch.prints) if extra else None
             blank = lambda kind: pa.nulls(n, kind)
@@ -249,7 +249,7 @@ class FingerprintIndex:
         """All runs become one: distinct fingerprints by bucket."""
 
         def reduce(old: pa.Table) -> pa.Table:
-            row = run_row(old.column("bucket")[0].as_py(), *(joined(old, c, k) for c, k in (("keys", np.uint64), ("sizes", np.uint32), ("prints", np.uint32))))
+            row = run_row(old.column("bucket")[0].as_py(), *(joined(old, c, k) for c, k in (("keys", np.uint64), ("sizes", np.uint32), ("prints", np.uint64))))
             return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in RUN.split(", ")])
 
         self.runs = [store(self.history().groupBy("bucket").applyInArrow(reduce, RUN), "substring-run")]

@@ -107,13 +107,31 @@ def test_substring_dedup(spark, awkward, batches):
     assert got == removed([tuple(r) for r in docs.collect()])
 
 
-def test_prints_tell_windows_of_one_key_apart():
-    import pyarrow as pa
-
-    n, gram = 300_000, "one phrase of six plain words"
-    w = substring_dedup.X.split(pa.array([gram + "".join(f" {(i * 7919 + k * 104729) % 1_000_003}" for k in range(14)) for i in range(n)]))
-    got, _ = substring_dedup.cut(w, np.arange(n), np.zeros(n, np.uint32))
-    assert len(np.unique(got.prints)) == n
+@pytest.mark.parametrize("bits", [0, 3])
+def test_substring_dedup_with_clashing_keys(spark, awkward, monkeypatch, bits):
+    own = substring_dedup.stretch_keys
+    monkeypatch.setattr(substring_dedup, "stretch_keys", lambda w, at: own(w, at) & np.uint64(2**bits - 1))
+    docs = awkward.select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100", "text").where("length(text) < 4000").limit(40))
+    rows = [tuple(r) for r in docs.collect()]
+    got = substring_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(rows)
+
+
+def test_fingerprint_index_is_opened_again(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    shared = text_of(rng, 40)
+    rows = [(k, text_of(rng, 30) + " " + shared + " " + text_of(rng, 30)) for k in range(6)]
+    docs = substring_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string"))
+    none = np.zeros(0, np.int64)
+    index = substring_dedup.FingerprintIndex(spark, none)
+    index.merge(docs.where("id < 2")), index.merge(docs.where("id = 2"))
+    assert len(index.runs) == 1
+    index.save(f"{tmp_path}/index")
+    again = substring_dedup.FingerprintIndex.open(spark, f"{tmp_path}/index", none)
+    found = again.merge(docs.where("id > 2"))
+    every = found.where("is_repeat").select("id", "tag", "start", "size").unionByName(substring_dedup.closer(docs, found).where("batch = 2").drop("batch"))
+    gone = {r.doc_id: r.n_removed for r in substring_dedup.remove(docs.selectExpr("id AS doc_id", "text"), every).collect()}
+    assert gone == {0: 0, 1: 0, 2: 0, 3: 40, 4: 40, 5: 40}
 
 
 def test_near_dedup(spark, awkward):

@@ -1,14 +1,22 @@
 """Operator 5, substring deduplication with a log-structured fingerprint index.
 
-A window is ``WIDTH`` consecutive words of one document. Windows are keyed by the least hash of their ``GRAM``-word grams,
-so equal windows share a key and neighbours mostly do too: a run of consecutive windows with one key travels as one
-entry of (key, document, start, window prints). A key of 64 bits and an independent print of 64 bits verify a window.
+A window is ``WIDTH`` consecutive words of one document. A window's key is the least hash of its ``GRAM``-word grams, so
+equal windows share a key and neighbours mostly do too: consecutive windows of one key are a stretch, and a stretch is one
+row (key, digest of its words, document, first word, windows).
 
-The index is a list of immutable runs. A run is a Parquet folder with, for each bucket of keys, sorted keys and their
-distinct window prints. A new batch is cut into entries (sorted by key inside each slice of a task, where entries of
-equal words are collapsed first, so a passage that many rows hold is summed before it moves), shuffled by bucket, and
-merged with the runs of its bucket: a window in any run is old, as runs hold earlier batches; inside the batch the least
-(doc_id, start) is kept. The batch's own distinct windows become the next run; ``compact`` merges runs bucket by bucket.
+The index is a list of immutable runs: Parquet rows of the distinct stretches of earlier batches, sorted by key. A new
+batch is cut into stretches, dealt by key and merged with the runs in key order:
+
+* a stretch whose digest (128 bits of BLAKE2b over the words themselves) stands earlier is a repeat, all its windows;
+* a stretch that is the first of its digest is looked at closer where its key has other digests, or where it holds one
+  window twice: the digests of its single windows are taken from the text and compared in the same way.
+
+So keys only propose, and words decide through their digests; a clash of keys costs work, never a result. The batch's first
+stretches become the next run; above ``MOST_RUNS`` runs are compacted into one.
+
+Hot groups: a slice of text reports a stretch or window once and marks the others of it as repeats where it stands, so a
+passage that many rows hold is summed before it moves; keys with many different stretches (found on ``SAMPLE_DOCS`` rows;
+this sets the layout only) are dealt over ``PARTS`` parts, and all their stretches are looked at closer.
 
 Defined results: a null or empty text has no words; windows are judged on the input; a null doc_id comes before all
 others; equal (doc_id, start) is not earlier, so a repeated row doesn't remove itself; a row in gives a row out; an empty
@@ -20,39 +28,25 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import NO_ID, documents, keyed, store
+from .common import NO_ID, bounded, documents, keyed, store
 
 WIDTH, GRAM = 20, 6
-BUCKET_BYTES = 12 << 20  # text bytes whose windows one bucket holds
-LEAST_BUCKETS = 64
 SLICE_BYTES = 2 << 20  # text bytes that a task holds in arrays at a time
-MOST_RUNS = 4
-PRINT_BASE = X.U(0xC2B2AE3D27D4EB4F)
-PRINT_INVERSE = X.U(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
-ENTRIES = "bucket int, keys binary, ids binary, tags binary, starts binary, sizes binary, prints binary, local binary"
-MERGED = "is_run boolean, bucket int, keys binary, sizes binary, prints binary, id long, tag long, start int, length int"
-RUN = "bucket int, keys binary, sizes binary, prints binary"
-
-
-def packed(x: np.ndarray) -> bytes:
-    """Bytes by plane, compressed: the high bytes of numbers that are near each other vanish."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()) if len(x) else b""
-
-
-def unpacked(data: bytes, kind: type) -> np.ndarray:
-    if not data:
-        return np.zeros(0, kind)
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+MOST_RUNS = 1
+BATCHES = 3
+PARTS = 1024
+SAMPLE_DOCS, HOT_SHARE, HOT_LEAST, MOST_HOT = 10_000, 0.005, 50, 1 << 16
+STRETCH = "key long, deal long, w1 long, w2 long, id long, tag long, start int, size int, again boolean, known boolean"
+RUN = ["key", "deal", "w1", "w2", "id", "tag", "start", "size", "again", "batch"]
+PLACE = ("batch", "id", "start")  # the order in which windows stand
 
 
 def expand(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,238 +55,202 @@ def expand(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(start, size) + np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size), entry
 
 
-@dataclass
-class Entries:
-    keys: np.ndarray
-    ids: np.ndarray
-    tags: np.ndarray
-    starts: np.ndarray  # first word of the first window, in its document
-    sizes: np.ndarray  # windows
-    prints: np.ndarray  # of all windows, in order
-
-    def chosen(self, rows: np.ndarray) -> Entries:
-        first = np.cumsum(self.sizes.astype(np.int64)) - self.sizes
-        at, _ = expand(first[rows], self.sizes[rows].astype(np.int64))
-        return Entries(*(x[rows] for x in (self.keys, self.ids, self.tags, self.starts, self.sizes)), self.prints[at])
-
-
-def cut(w: X.Words, ids: np.ndarray, tags: np.ndarray) -> tuple[Entries, list[tuple[int, int, int, int]]]:
-    """Entries of a slice, first of equal words only, and the windows of the others as (id, tag, start, windows)."""
-    n = len(w.start)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, np.uint8), np.zeros(0, np.uint64)
-    if n < WIDTH:
-        return Entries(*none), []
-    at = np.flatnonzero(w.doc[: n - WIDTH + 1] == w.doc[WIDTH - 1 :])
-    if not len(at):
-        return Entries(*none), []
-    every = np.arange(n - GRAM + 1)
+def digests(w: X.Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each span of ``count`` words from ``first``: BLAKE2b of the words, joined by one space."""
+    length = w.end - w.start
+    begin = np.cumsum(length + 1) - length - 1
+    out = np.full(int(length.sum()) + len(length), 32, np.uint8)
+    out[expand(begin, length)[0]] = w.data[expand(w.start, length)[0]]
+    view, last = memoryview(out.tobytes()), first + count - 1
+    hashes = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin[first].tolist(), (begin + length)[last].tolist(), strict=True)]
+    return np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+
+
+def later(digest: np.ndarray, ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows have an equal digest at an earlier (id, start) among these rows."""
+    order = np.lexsort((start, ids, digest[:, 1], digest[:, 0]))
+    d = digest[order]
+    same = np.zeros(len(order), bool)
+    same[1:] = (d[1:] == d[:-1]).all(1)
+    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    out = np.zeros(len(order), bool)
+    out[order] = same & ((ids[order] != ids[order[lead]]) | (start[order] != start[order[lead]]))
+    return out
+
+
+def stretch_keys(w: X.Words, at: np.ndarray) -> np.ndarray:
+    """The key of the window at each word of ``at``: the least gram hash."""
+    every = np.arange(len(w.start) - GRAM + 1)
     low = X.spans_hash(w.hash, every, every + GRAM)
     span, reach = 1, WIDTH - GRAM + 1
     while span < reach:  # the least of each run of ``reach`` grams, by doubling
         step = min(span, reach - span)
         low = np.minimum(low[: len(low) - step], low[step:])
         span += step
-    key = X.mix(low[at] ^ X.U(0xA5A5A5A5))
-    prints = X.spans_hash(w.hash, at, at + WIDTH, PRINT_BASE, PRINT_INVERSE)
+    return X.mix(low[at] ^ X.U(0xA5A5A5A5))
+
+
+def stretches(w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first word and windows of each stretch, and whether it may hold one window twice."""
+    n = len(w.start)
+    at = np.flatnonzero(w.doc[: n - WIDTH + 1] == w.doc[WIDTH - 1 :]) if n >= WIDTH else np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at, np.zeros(0, bool)
+    key = stretch_keys(w, at)
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1) | (w.doc[at[1:]] != w.doc[at[:-1]])
-    head = np.flatnonzero(new)
+    head, entry = np.flatnonzero(new), np.cumsum(new) - 1
     size = np.diff(np.append(head, len(at)))
-    while len(size) and size.max() > 255:  # longer runs of one key are cut
-        long = size > 255
-        head = np.sort(np.concatenate([head, head[long] + 255]))
-        size = np.diff(np.append(head, len(at)))
-    first, doc = at[head], w.doc[at[head]]
-    whole = X.spans_hash(w.hash, first, first + size + WIDTH - 1, PRINT_BASE, PRINT_INVERSE)
-    start = first - w.first[doc]
-    order = np.lexsort((start, ids[doc], whole))
-    same = np.zeros(len(order), bool)
-    same[1:] = whole[order][1:] == whole[order][:-1]
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    later = same & ((ids[doc[order]] != ids[doc[order[lead]]]) | (start[order] != start[order[lead]]))
-    gone = order[later]
-    local = [ids[doc[gone]], tags[doc[gone]].astype(np.int64), start[gone], size[gone]]
-    keep = np.ones(len(head), bool)
-    keep[gone] = False
-    rows = np.flatnonzero(keep)
-    rows = rows[np.argsort(key[head[rows]], kind="stable")]
-    got = Entries(key[head], ids[doc], tags[doc], start.astype(np.uint32), size.astype(np.uint8), prints)
-    return got.chosen(rows), list(zip(*(x.tolist() for x in local), strict=True))
+    again = size > WIDTH - GRAM + 1
+    prints = X.spans_hash(w.hash, at, at + WIDTH)
+    for lag in range(1, WIDTH - GRAM + 1):
+        hit = np.flatnonzero(prints[lag:] == prints[:-lag])
+        again[entry[hit][entry[hit] == entry[hit + lag]]] = True
+    return key[head], at[head], size, again
 
 
-def entries(docs: DataFrame, buckets: int) -> DataFrame:
-    """ENTRIES of (id, tag, text) rows; ``local`` is of windows that are known to repeat inside their slice."""
+def stretch_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+    """STRETCH of (id, tag, text) rows. ``known``: an equal stretch stands earlier in the same slice of text."""
+    hot = np.sort(hot.astype(np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in ENTRIES.split(", ")]
         for part in X.slices(batches, size=SLICE_BYTES):
-            got, local = cut(X.split(part.column("text")), part.column("id").to_numpy(), part.column("tag").to_numpy().astype(np.uint32))
-            bucket = ((got.keys >> X.U(32)) * X.U(buckets) >> X.U(32)).astype(np.int64)
-            edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            ends = np.concatenate([[0], np.cumsum(got.sizes.astype(np.int64))])
-            loose = np.array(local, np.int64).reshape(-1, 4)
-            rows: list[list] = [[] for _ in names]
-            for b in range(buckets):
-                lo, hi = edge[b], edge[b + 1]
-                mine = loose[b::buckets]
-                if lo == hi and not len(mine):
-                    continue
-                cells = [b, packed(got.keys[lo:hi]), packed(got.ids[lo:hi]), packed(got.tags[lo:hi]), packed(got.starts[lo:hi]), packed(got.sizes[lo:hi]), packed(got.prints[ends[lo] : ends[hi]]), packed(np.ascontiguousarray(mine.T).reshape(-1))]
-                for r, c in zip(rows, cells, strict=True):
-                    r.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(r, pa.binary()) for r in rows[1:])], names=names)
-
-    return docs.mapInArrow(run, ENTRIES)
-
-
-def joined(table: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(unpacked(x, kind) for x in table.column(column).to_pylist())])
-
-
-def window_keys(keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    return X.mix(np.repeat(keys, sizes) ^ X.mix(prints + X.U(0x51ED27)))
-
-
-def run_row(bucket: int, keys: np.ndarray, sizes: np.ndarray, prints: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
-    """Sorted distinct keys with the sorted distinct prints of each."""
-    each = np.repeat(keys, sizes)
-    order = np.lexsort((prints, each))
-    each, prints = each[order], prints[order]
-    keep = np.ones(len(each), bool)
-    keep[1:] = (each[1:] != each[:-1]) | (prints[1:] != prints[:-1])
-    each, prints = each[keep], prints[keep]
-    head = np.flatnonzero(np.concatenate([[True], each[1:] != each[:-1]])) if len(each) else np.zeros(0, int)
-    return bucket, packed(each[head]), packed(np.diff(np.append(head, len(each))).astype(np.uint32)), packed(prints)
-
-
-def periodic(new: Entries) -> np.ndarray:
-    """Entries that hold one window twice: of more windows than a key's grams reach, or with equal prints."""
-    reach = WIDTH - GRAM + 1
-    out, ends = new.sizes > reach, np.cumsum(new.sizes.astype(np.int64))
-    for lag in range(1, reach):
-        at = np.flatnonzero(new.prints[lag:] == new.prints[:-lag])
-        entry = np.searchsorted(ends, at, "right")
-        out[entry[entry == np.searchsorted(ends, at + lag, "right")]] = True
-    return out
+            w = X.split(part.column("text"))
+            key, first, size, again = stretches(w)
+            if not len(key):
+                continue
+            doc, key = w.doc[first], key.astype(np.int64)
+            ids, start, digest = part.column("id").to_numpy()[doc], first - w.first[doc], digests(w, first, size + WIDTH - 1)
+            known = later(digest, ids, start)
+            spread = X.mix(digest[:, 0].astype(np.uint64) ^ X.mix(ids.astype(np.uint64) + start.astype(np.uint64)))
+            deal = np.where(known, -1 - (spread >> X.U(1)).astype(np.int64), np.where(np.isin(key, hot), 1 + (digest[:, 0].astype(np.uint64) % X.U(PARTS)).astype(np.int64), 0))
+            cols = [key, deal, digest[:, 0], digest[:, 1], ids, part.column("tag").to_numpy()[doc], start.astype(np.int32), size.astype(np.int32), again, known]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in STRETCH.split(", ")])
 
+    return docs.select("id", "tag", "text").mapInArrow(run, STRETCH)
 
-def repeats(new: Entries, old: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
-    """Rows (id, tag, start, windows) of a bucket whose windows are in a run or stand earlier in the batch."""
-    keys, sizes, prints = old
-    order = np.argsort(new.keys, kind="stable")
-    k = new.keys[order]
-    many = np.zeros(len(k), bool)
-    many[1:] = k[1:] == k[:-1]
-    many[:-1] |= many[1:]
-    back = np.zeros(len(k), bool)
-    back[order] = many
-    known = np.isin(keys, new.keys)
-    rows = np.flatnonzero(back | np.isin(new.keys, keys[known]) | periodic(new))
-    some = new.chosen(rows)
-    start, entry = expand(some.starts.astype(np.int64), some.sizes.astype(np.int64))
-    whole = window_keys(some.keys, some.sizes, some.prints)
-    order = np.lexsort((start, some.ids[entry], whole))
-    same = np.zeros(len(order), bool)
-    same[1:] = whole[order][1:] == whole[order][:-1]
-    lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-    hit = np.zeros(len(order), bool)
-    hit[order] = same & ((some.ids[entry[order]] != some.ids[entry[order[lead]]]) | (start[order] != start[order[lead]]))
-    if known.any():
-        _, at = expand(np.zeros(len(keys), np.int64), sizes.astype(np.int64))
-        hit |= np.isin(whole, window_keys(keys[known], sizes[known], prints[known[at]]))
-    flag = np.flatnonzero(hit)
-    if not len(flag):
-        return np.zeros((0, 4), np.int64)
-    head = np.ones(len(flag), bool)
-    head[1:] = (flag[1:] != flag[:-1] + 1) | (entry[flag[1:]] != entry[flag[:-1]])
-    at = np.flatnonzero(head)
-    return np.stack([some.ids[entry[flag[at]]], some.tags[entry[flag[at]]].astype(np.int64), start[flag[at]], np.diff(np.append(at, len(flag)))], 1)
+
+def hot_keys(rows: DataFrame) -> np.ndarray:
+    """Keys of many different stretches, by a sample; at most ``MOST_HOT``. They set how rows are dealt, not what is found."""
+    some = bounded(rows, SAMPLE_DOCS, F.struct("id", "tag"))
+    least = max(HOT_LEAST, HOT_SHARE * some.count())
+    count = stretch_rows(some, np.zeros(0, np.int64)).where("NOT known").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return np.array([r["key"] for r in count.orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()], np.int64)
 
 
 @dataclass
 class FingerprintIndex:
-    """Immutable runs of window fingerprints; ``buckets`` is fixed for the life of an index."""
+    """Immutable sorted runs of the distinct stretches of all batches so far."""
 
     spark: SparkSession
-    buckets: int
+    hot: np.ndarray
     runs: list[DataFrame] = field(default_factory=list)
+    batches: int = 0
 
-    def history(self) -> DataFrame:
-        out = self.spark.createDataFrame([], RUN)
-        for run in self.runs:
-            out = out.unionByName(run)
-        return out
+    def history(self) -> DataFrame | None:
+        return reduce(DataFrame.unionByName, self.runs) if self.runs else None
 
     def merge(self, docs: DataFrame, add: bool = True) -> DataFrame:
-        """(id, tag, start, length) of the repeated windows of (id, tag, text) rows; ``add``: the batch becomes a run."""
-
-        def reduce(new: pa.Table, old: pa.Table) -> pa.Table:
-            batch = Entries(*(joined(new, c, k) for c, k in (("keys", np.uint64), ("ids", np.int64), ("tags", np.uint32), ("starts", np.uint32), ("sizes", np.uint8), ("prints", np.uint64))))
-            local = [unpacked(x, np.int64).reshape(4, -1).T for x in new.column("local").to_pylist() if x]
-            found = np.concatenate([repeats(batch, tuple(joined(old, c, k) for c, k in (("keys", np.uint64), ("sizes", np.uint32), ("prints", np.uint64)))), *local])
-            n, extra = len(found), int(add and len(batch.keys) > 0)
-            row = run_row(new.column("bucket")[0].as_py(), batch.keys, batch.sizes, batch.prints) if extra else None
-            blank = lambda kind: pa.nulls(n, kind)
-            cols = [pa.array([False] * n + [True] * extra, pa.bool_()), *(pa.concat_arrays([blank(k), pa.array([row[i]] if extra else [], k)]) for i, k in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary())))]
-            cols += [pa.concat_arrays([pa.array(found[:, i].astype(t), k), pa.nulls(extra, k)]) for i, (t, k) in enumerate(((np.int64, pa.int64()), (np.int64, pa.int64()), (np.int32, pa.int32()), (np.int32, pa.int32())))]
-            return pa.table(cols, names=[f.split()[0] for f in MERGED.split(", ")])
-
-        new = entries(docs, self.buckets)
-        merged = store(new.groupBy("bucket").cogroup(self.history().groupBy("bucket")).applyInArrow(reduce, MERGED), "substring-merge")
+        """(batch, id, tag, start, size, is_repeat): stretches of the batch of (id, tag, text) rows that repeat, and those
+        of any batch that ``closer`` has to look at. ``add``: the batch's first stretches become a run."""
+        rows = stretch_rows(docs, self.hot).withColumn("batch", F.lit(self.batches))
+        if (old := self.history()) is not None:
+            rows = rows.unionByName(old.withColumn("known", F.lit(False)))
+        # one shuffle by key, sorted once: stretches of one digest, and all of one key, stand together
+        digest, key = Window.partitionBy("key", "deal", "w1", "w2"), Window.partitionBy("key", "deal")
+        rows = rows.repartition("key", "deal").withColumn("first", F.min(F.struct(*PLACE)).over(digest))
+        several = (F.min("w1").over(key) != F.max("w1").over(key)) | (F.min("w2").over(key) != F.max("w2").over(key))
+        rows = rows.withColumns({"several": several, "newest": F.max("batch").over(key)})
+        repeat = F.col("known") | (F.col("first") < F.struct(*PLACE))
+        closer = ~repeat & (F.col("newest") == self.batches) & (F.col("again") | F.col("several") | (F.col("deal") > 0))
+        own = F.col("batch") == self.batches
+        kept = rows.select(*RUN, repeat.alias("is_repeat"), closer.alias("closer")).where("is_repeat OR closer" if not add else (own | F.col("closer")))
+        merged = store(kept, "substring-merge")
         if add:
-            self.runs.append(merged.where("is_run").select("bucket", "keys", "sizes", "prints"))
+            self.runs.append(merged.where(own & ~F.col("is_repeat")).select(*RUN))
             if len(self.runs) > MOST_RUNS:
                 self.compact()
-        return merged.where(~F.col("is_run")).select("id", "tag", "start", "length")
+        self.batches += 1
+        return merged.where("is_repeat OR closer").select("batch", "id", "tag", "start", "size", "is_repeat")
 
-    def compact(self) -> None:
-        """All runs become one: distinct fingerprints by bucket."""
+    def _sorted(self) -> DataFrame:
+        return self.history().repartitionByRange("key").sortWithinPartitions("key", "deal", "w1", "w2")
 
-        def reduce(old: pa.Table) -> pa.Table:
-            row = run_row(old.column("bucket")[0].as_py(), *(joined(old, c, k) for c, k in (("keys", np.uint64), ("sizes", np.uint32), ("prints", np.uint64))))
-            return pa.table([pa.array([x], k) for x, k in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in RUN.split(", ")])
+    def compact(self) -> None:
+        """All runs become one; their stretches are distinct, as a run has only what no earlier one has."""
+        self.runs = [store(self._sorted(), "substring-run")]
 
-        self.runs = [store(self.history().groupBy("bucket").applyInArrow(reduce, RUN), "substring-run")]
+    def save(self, path: str) -> None:
+        """The whole index as one run in a folder, to be opened by a later job."""
+        self._sorted().withColumn("batches", F.lit(self.batches)).write.parquet(path)
 
+    @staticmethod
+    def open(spark: SparkSession, path: str, hot: np.ndarray) -> FingerprintIndex:
+        held = spark.read.parquet(path)
+        return FingerprintIndex(spark, hot, [held.select(*RUN)], held.agg(F.max("batches")).first()[0] or 0)
 
-def bucket_count(docs: DataFrame) -> int:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(LEAST_BUCKETS, total // BUCKET_BYTES)
 
+def closer(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(batch, id, tag, start, size) of the single windows in ``found`` stretches whose words stand earlier; ``docs`` has the
+    texts of all batches."""
+    spots = found.where("NOT is_repeat").select("batch", "id", "tag", "start", "size").distinct()
+    spots = spots.groupBy("id", "tag").agg(F.min("batch").alias("batch"), F.collect_list(F.struct("start", "size")).alias("spots"))
+    schema = "w1 long, w2 long, deal long, batch int, id long, tag long, start int, known boolean"
 
-def repeated_windows(docs: DataFrame, batches: int = 2) -> DataFrame:
-    """The documents in batches of rising doc_id, each merged with the runs of those before it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batches, size=SLICE_BYTES):
+            w = X.split(part.column("text"))
+            spots = part.column("spots")
+            flat, doc = spots.flatten(), np.repeat(np.arange(part.num_rows), spots.value_lengths().to_numpy())
+            at, entry = expand(w.first[doc] + flat.field("start").to_numpy(), flat.field("size").to_numpy().astype(np.int64))
+            at = np.unique(at)
+            if not len(at):
+                continue
+            doc = w.doc[at]
+            ids, start, digest = part.column("id").to_numpy()[doc], at - w.first[doc], digests(w, at, np.full(len(at), WIDTH))
+            known = later(digest, ids, start)
+            deal = np.where(known, 1 + (X.mix(ids.astype(np.uint64) + start.astype(np.uint64)) >> X.U(2)).astype(np.int64), 0)
+            cols = [digest[:, 0], digest[:, 1], deal, part.column("batch").to_numpy()[doc], ids, part.column("tag").to_numpy()[doc], start.astype(np.int32), known]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
+
+    windows = docs.join(spots, ["id", "tag"]).select("id", "tag", "text", "batch", "spots").mapInArrow(run, schema)
+    first = F.min(F.struct(*PLACE)).over(Window.partitionBy("w1", "w2", "deal"))
+    return windows.withColumn("first", first).where(F.col("known") | (F.col("first") < F.struct(*PLACE))).select("batch", "id", "tag", "start", F.lit(1).alias("size"))
+
+
+def repeated_windows(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """(id, tag, start, size) of the repeated windows: the documents in batches of rising doc_id, each merged with the runs
+    of those before it."""
     rows = keyed(docs)
-    index = FingerprintIndex(docs.sparkSession, bucket_count(docs))
+    index = FingerprintIndex(docs.sparkSession, hot_keys(rows))
     cuts = [k / batches for k in range(1, batches)]
     limits = rows.where(F.col("id") != NO_ID).agg(F.percentile_approx("id", cuts)).first()[0] if cuts else None
     edges = [None, *sorted({int(x) for x in limits or []}), None]
-    out = None
+    found = []
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         part = rows if lo is None else rows.where(F.col("id") > lo)
         part = part if hi is None else part.where(F.col("id") <= hi)
-        found = index.merge(part, add=hi is not None)
-        out = found if out is None else out.unionByName(found)
-    return out
+        found.append(index.merge(part, add=hi is not None))
+    every = reduce(DataFrame.unionByName, found)
+    return every.where("is_repeat").select("id", "tag", "start", "size").unionByName(closer(rows, every).drop("batch"))
 
 
 def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): the words that no repeated window covers, by one space."""
-    spans = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+    spans = found.groupBy("id", "tag").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, size=SLICE_BYTES):
             ids, texts, spans = (batch.column(c) for c in ("id", "text", "spans"))
             cols: list[list] = [[] for _ in range(5)]
-            for doc, text, own in zip(ids.to_pylist(), texts, spans.to_pylist(), strict=True):
+            for doc, text, own in zip(ids.to_pylist(), texts, spans, strict=True):
                 words = text.as_buffer().to_pybytes().split()
                 n = len(words)
-                if own:
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, [s["start"] for s in own], 1)
-                    np.add.at(edge, [s["start"] + s["length"] + WIDTH - 1 for s in own], -1)
-                    words = [x for x, gone in zip(words, np.cumsum(edge[:-1]) > 0, strict=True) if not gone]
+                if own.is_valid:
+                    start, size = own.values.field("start").to_numpy(), own.values.field("size").to_numpy()
+                    edge = np.bincount(start, minlength=n + 1) - np.bincount(start + size + WIDTH - 1, minlength=n + 1)
+                    words = [x for x, gone in zip(words, (np.cumsum(edge[:-1]) > 0).tolist(), strict=True) if not gone]
                 kept = b" ".join(words)
                 for c, v in zip(cols, (None if doc == NO_ID else doc, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=True):
                     c.append(v)
@@ -302,7 +260,7 @@ def remove(docs: DataFrame, found: DataFrame) -> DataFrame:
     return keyed(docs).join(spans, ["id", "tag"], "left").select("id", "text", "spans").mapInArrow(run, schema)
 
 
-def substring_dedup(docs: DataFrame, batches: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Each row of ``docs`` with what is left of its text."""
     return remove(docs, repeated_windows(docs, batches))
 

@@ -178,6 +178,49 @@ def test_near_dedup_compares_all_of_a_band(spark):
     assert {(r.n.id, r.root.id) for r in got} == {(k + d, k) for k in range(2, 10, 2) for d in (0, 1)}
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_near_dedup_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", block)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(8):
+        base = text_of(rng, 90).split() * (1 + k % 2)
+        for d in range(5):
+            words = base.copy()
+            for at in rng.integers(0, len(words), d):
+                words[at] = f"x{k}{d}"
+            rows.append((10 * k + d, 0, " ".join(words)))
+    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
+    texts = spark.createDataFrame(rows, "id long, tag long, text string")
+    many = texts.selectExpr("1L AS h", "id", "tag", "struct(id, tag) AS root", f"{len(rows)}L AS size")
+    root = {r[0]: r[0] for r in rows}
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    want = dict(root)
+    for a, _, x in rows:
+        for b, _, y in rows:
+            if a < b and near_dedup.similarity(near_dedup.pa.array([x]), near_dedup.pa.array([y]), idf)[0] >= 0.8:
+                root[find(b)] = find(a)
+    want = {i: find(i) for i in root}
+    root = {r[0]: r[0] for r in rows}
+    got = near_dedup.in_blocks(many, texts, idf, 0.8).collect()
+    assert len(got) < len(rows) * -(-len(rows) // block + 1)
+    for r in got:
+        lo, hi = sorted((find(r.a_id), find(r.b_id)))
+        root[hi] = lo
+    same = lambda of: sorted(sorted(i for i in of if of[i] == v) for v in set(of.values()))
+    assert same({i: find(i) for i in root}) == same(want)
+
+
+def test_hot_keys_are_joined_where_they_are(spark):
+    rows = spark.createDataFrame([(k % 7 if k < 30 else 99, k) for k in range(3000)], "k long, v long")
+    ones = rows.groupBy("k").count()
+    got = {(r.k, r.v, r["count"]) for r in near_dedup.split_join(rows, ones, "k", "count", 4).collect()}
+    assert len(got) == 3000 and {c for k, _, c in got if k == 99} == {2970}
+
+
 def test_shingle_counts_do_not_depend_on_slices(spark):
     rng = np.random.default_rng(6)
     line = text_of(rng, 12)

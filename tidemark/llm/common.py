@@ -59,3 +59,28 @@ def keyed(docs: DataFrame) -> DataFrame:
     """(id, tag, text): the tag tells rows apart that share an id but not their text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, whatever these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def split_join(rows: DataFrame, ones: DataFrame, on: str, n: str, parts: int = 1024) -> DataFrame:
+    """``rows`` joined with ``ones``, which has one row for each key and how many of ``rows`` it has (``n``).
+
+    Keys with more than 1 / ``parts`` of all rows are fewer than ``parts``: these go to all tasks, and their rows stay where
+    they are, so no task takes a hot key's rows. The others are joined by a shuffle.
+    """
+    limit = (ones.agg(F.sum(n)).first()[0] or 0) // parts
+    hot, cold = ones.where(F.col(n) > limit), ones.where(F.col(n) <= limit)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))

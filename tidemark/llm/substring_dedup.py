@@ -42,7 +42,7 @@ WIDTH, GRAM = 20, 6
 SLICE_BYTES = 2 << 20  # text bytes that a task holds in arrays at a time
 MOST_RUNS = 1
 BATCHES = 3
-PARTS = 1024
+PARTS, SPREAD = 1024, 1 << 20  # shares of a hot key; of rows that are known to repeat
 SAMPLE_DOCS, HOT_SHARE, HOT_LEAST, MOST_HOT = 10_000, 0.005, 50, 1 << 16
 STRETCH = "key long, deal long, w1 long, w2 long, id long, tag long, start int, size int, again boolean, known boolean"
 RUN = ["key", "deal", "w1", "w2", "id", "tag", "start", "size", "again", "batch"]
@@ -123,7 +123,8 @@ def stretch_rows(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             ids, start, digest = part.column("id").to_numpy()[doc], first - w.first[doc], digests(w, first, size + WIDTH - 1)
             known = later(digest, ids, start)
             spread = X.mix(digest[:, 0].astype(np.uint64) ^ X.mix(ids.astype(np.uint64) + start.astype(np.uint64)))
-            deal = np.where(known, -1 - (spread >> X.U(1)).astype(np.int64), np.where(np.isin(key, hot), 1 + (digest[:, 0].astype(np.uint64) % X.U(PARTS)).astype(np.int64), 0))
+            deal = np.where(known, -1 - (spread % X.U(SPREAD)).astype(np.int64), np.where(np.isin(key, hot), 1 + (digest[:, 0].astype(np.uint64) % X.U(PARTS)).astype(np.int64), 0))
+            digest, key = np.where(known[:, None], 0, digest), np.where(known, 0, key)  # known rows are judged, so they travel light
             cols = [key, deal, digest[:, 0], digest[:, 1], ids, part.column("tag").to_numpy()[doc], start.astype(np.int32), size.astype(np.int32), again, known]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in STRETCH.split(", ")])
 
@@ -209,7 +210,8 @@ def closer(docs: DataFrame, found: DataFrame) -> DataFrame:
             doc = w.doc[at]
             ids, start, digest = part.column("id").to_numpy()[doc], at - w.first[doc], digests(w, at, np.full(len(at), WIDTH))
             known = later(digest, ids, start)
-            deal = np.where(known, 1 + (X.mix(ids.astype(np.uint64) + start.astype(np.uint64)) >> X.U(2)).astype(np.int64), 0)
+            deal = np.where(known, 1 + (X.mix(ids.astype(np.uint64) + start.astype(np.uint64)) % X.U(SPREAD)).astype(np.int64), 0)
+            digest = np.where(known[:, None], 0, digest)
             cols = [digest[:, 0], digest[:, 1], deal, part.column("batch").to_numpy()[doc], ids, part.column("tag").to_numpy()[doc], start.astype(np.int32), known]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=[f.split()[0] for f in schema.split(", ")])
 

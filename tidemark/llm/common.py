@@ -74,13 +74,14 @@ def named(columns: list[str]) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
 
 
-def split_join(rows: DataFrame, ones: DataFrame, on: str, n: str, parts: int = 1024) -> DataFrame:
-    """``rows`` joined with ``ones``, which has one row for each key and how many of ``rows`` it has (``n``).
+def split_join(rows: DataFrame, ones: DataFrame, on: str, n: str, parts: int = 1024, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``ones``, which has one row for each key and how many of ``rows`` it has (``n``).
 
     Keys with more than 1 / ``parts`` of all rows are fewer than ``parts``: these go to all tasks, and their rows stay where
-    they are, so no task takes a hot key's rows. The others are joined by a shuffle.
+    they are, so no task takes a hot key's rows. The others are joined by a shuffle. ``ones`` is stored once.
     """
+    ones = store(ones, "keys")
     limit = (ones.agg(F.sum(n)).first()[0] or 0) // parts
     hot, cold = ones.where(F.col(n) > limit), ones.where(F.col(n) <= limit)
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
-    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))

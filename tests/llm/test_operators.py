@@ -174,10 +174,24 @@ def test_near_dedup_compares_all_of_a_band(spark):
     texts = spark.createDataFrame(rows, "id long, tag long, text string")
     band = texts.selectExpr("7L AS key", "id", "tag")
     idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
-    got = near_dedup.linked(band, texts, idf, np.zeros(1 << 16, np.uint16), 0.8).collect()
+    got = near_dedup.linked(band, texts, idf, 0.8).collect()
     assert {(r.n.id, r.root.id) for r in got} == {(k + d, k) for k in range(2, 10, 2) for d in (0, 1)}
 
 
+def test_near_dedup_recall(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) < 20000")
+    idf = near_dedup.frequent(near_dedup.keyed(docs))
+    group = {r.id: r.root for r in near_dedup.near_duplicates(docs).collect()}
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect())
+    links = found = 0
+    for i, x in rows:
+        if i % 50 == 0 and x:
+            alike = near_dedup.similarity(near_dedup.pa.array([x] * len(rows)), near_dedup.pa.array([t for _, t in rows]), idf) >= 0.8
+            mates = [j for (j, _), a in zip(rows, alike, strict=True) if a and j != i]
+            links, found = links + len(mates), found + sum(group[j] == group[i] for j in mates)
+    assert links and found >= 0.98 * links
+
+
 @pytest.mark.parametrize("block", [3, 512])
 def test_near_dedup_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", block)
@@ -214,7 +228,8 @@ def test_near_dedup_in_blocks(spark, monkeypatch, block):
     assert same({i: find(i) for i in root}) == same(want)
 
 
-def test_hot_keys_are_joined_where_they_are(spark):
+def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.common.NEVER_HOT", 0)
     rows = spark.createDataFrame([(k % 7 if k < 30 else 99, k) for k in range(3000)], "k long, v long")
     ones = rows.groupBy("k").count()
     got = {(r.k, r.v, r["count"]) for r in near_dedup.split_join(rows, ones, "k", "count", 4).collect()}
@@ -227,7 +242,7 @@ def test_shingle_counts_do_not_depend_on_slices(spark):
     rows = [(text_of(rng, 20) + (" " + line if k % 20 == 0 else ""),) for k in range(200)]
     want = 8  # the grams inside the line; those that cross its edge are of one text each
     for parts in (1, 200):
-        idf, _ = near_dedup.frequent(spark.createDataFrame(rows, "text string").repartition(parts))
+        idf = near_dedup.frequent(spark.createDataFrame(rows, "text string").repartition(parts))
         assert len(idf.keys) == want and np.allclose(idf.value, 1 + np.log(20))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 
 NO_ID = -(2**63)  # stands for a null doc_id in keys
+NEVER_HOT = 500  # rows of one key that any task may take
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,10 +79,14 @@ def split_join(rows: DataFrame, ones: DataFrame, on: str, n: str, parts: int = 1
     """``rows`` joined (inner or left) with ``ones``, which has one row for each key and how many of ``rows`` it has (``n``).
 
     Keys with more than 1 / ``parts`` of all rows are fewer than ``parts``: these go to all tasks, and their rows stay where
-    they are, so no task takes a hot key's rows. The others are joined by a shuffle. ``ones`` is stored once.
+    they are, so no task takes a hot key's rows. The others are joined by a shuffle. ``ones`` is stored once. Where no key has
+    more than ``NEVER_HOT`` rows, nothing needs to be told apart.
     """
     ones = store(ones, "keys")
-    limit = (ones.agg(F.sum(n)).first()[0] or 0) // parts
+    total, most = ones.agg(F.sum(n), F.max(n)).first()
+    if (most or 0) <= NEVER_HOT:
+        return rows.join(ones, on, how)
+    limit = total // parts
     hot, cold = ones.where(F.col(n) > limit), ones.where(F.col(n) <= limit)
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on, how))

@@ -69,21 +69,23 @@ def rasterised(shapes: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def kept_points(xy: np.ndarray, tolerance: float) -> np.ndarray:
-    """Mask of a line's points: within each open stretch the farthest point stays if it is above ``tolerance`` off."""
+    """Mask of a line's points: between two kept ones the point that is farthest from the piece of line between these (its
+    ends included) stays as well, if it is more than ``tolerance`` away."""
     keep = np.zeros(len(xy), bool)
     keep[[0, -1]] = True
-    todo = [(0, len(xy) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
+    spans = [(0, len(xy) - 1)]
+    while spans:
+        lo, hi = spans.pop()
+        if hi - lo < 2:
             continue
-        line, inner = xy[b] - xy[a], xy[a + 1 : b] - xy[a]
-        length = np.hypot(*line)
-        far = np.abs(line[0] * inner[:, 1] - line[1] * inner[:, 0]) / length if length else np.hypot(inner[:, 0], inner[:, 1])
-        best = int(np.argmax(far))
-        if far[best] > tolerance:
-            keep[a + 1 + best] = True
-            todo += [(a, a + 1 + best), (a + 1 + best, b)]
+        along, own = xy[hi] - xy[lo], xy[lo + 1 : hi] - xy[lo]
+        squared = along @ along
+        share = np.minimum(np.maximum(own @ along / squared, 0), 1) if squared else np.zeros(len(own))
+        away = np.hypot(*(own - share[:, None] * along).T)
+        at = lo + 1 + int(np.argmax(away))
+        if away[at - lo - 1] > tolerance:
+            keep[at] = True
+            spans.extend([(lo, at), (at, hi)])
     return keep
 
 
@@ -105,6 +107,80 @@ def simplified(lines: DataFrame, tolerance: float = 0.1) -> DataFrame:
     return lines.mapInPandas(batches, lines.schema)
 
 
+def densified_points(lines: DataFrame, key: str, points: Column, step_m: float = 5.0) -> DataFrame:
+    """(key, i, x, y) of the points of lines with no step above ``step_m``; x is the longitude, y the latitude. Pieces become
+    rows before their points do, so a length is worked out once."""
+    pts = lines.select(key, points.alias("p"))
+    start = pts.where(F.size("p") > 0).select(key, F.lit(0).alias("i"), F.get("p", F.lit(0))["x"].alias("x"), F.get("p", F.lit(0))["y"].alias("y"))
+    each = pts.where(F.size("p") > 1).select(key, F.posexplode(F.arrays_zip(F.slice("p", F.lit(1), F.size("p") - 1).alias("a"), F.slice("p", F.lit(2), F.size("p") - 1).alias("b"))).alias("piece", "s"))
+    each = each.select(key, "piece", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("b_y"))
+    length = F.sqrt(F.pow((F.col("bx") - F.col("ax")) * F.cos(F.radians((F.col("ay") + F.col("b_y")) / 2)), F.lit(2)) + F.pow(F.col("b_y") - F.col("ay"), F.lit(2))) * 111320.0
+    each = each.withColumn("steps", F.greatest(F.lit(1), F.ceil(length / step_m)).cast("int"))
+    before = F.coalesce(F.sum("steps").over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("before", before).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps"))))
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * (F.col("step") / F.col("steps"))
+    return start.unionByName(each.select(key, (F.col("before") + F.col("step")).cast("int").alias("i"), at("ax", "bx").alias("x"), at("ay", "b_y").alias("y")))
+
+
+def filling_order(cells: DataFrame, by: str) -> DataFrame:
+    """(by, cell, place): the order in which the candidates of a frame fill. ``cells`` has by, y, x, lower_wet, candidate and
+    shallow; a frame is a raster of fixed size, which a task takes whole.
+
+    Shallow 4-neighbour components that touch water come first: the shortest path from water to their farthest cell, of
+    the largest component first, then their other cells from water inwards, then all other candidates from water outwards.
+    """
+
+    def order(pdf: pd.DataFrame) -> pd.DataFrame:
+        height, width = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+        flag = {}
+        for name in ("lower_wet", "candidate", "shallow"):
+            flag[name] = np.zeros((height + 2, width + 2), bool)
+            flag[name][pdf["y"].to_numpy() + 1, pdf["x"].to_numpy() + 1] = pdf[name].to_numpy(bool)
+        wide = width + 2
+        candidate, shallow = flag["candidate"].reshape(-1), (flag["candidate"] & flag["shallow"]).reshape(-1)
+        water = flag["lower_wet"]
+        touches = (np.roll(water, 1, 0) | np.roll(water, -1, 0) | np.roll(water, 1, 1) | np.roll(water, -1, 1)).reshape(-1)
+        around = (-1, 1, -wide, wide)
+
+        def spread(seeds: list[int], open_: np.ndarray) -> tuple[list[int], dict[int, int]]:
+            """Cells reached from the seeds in breadth-first order, and where each came from; ``open_`` is used up."""
+            came = dict.fromkeys(seeds, -1)
+            open_[seeds] = False
+            reached = list(seeds)
+            for cell in reached:
+                for d in around:
+                    if open_[cell + d]:
+                        open_[cell + d] = False
+                        came[cell + d] = cell
+                        reached.append(cell + d)
+            return reached, came
+
+        left, found = shallow.copy(), []
+        for first in np.flatnonzero(shallow):
+            if left[first]:
+                members, _ = spread([int(first)], left)
+                seeds = [c for c in members if touches[c]]
+                if seeds:
+                    inside = np.zeros(len(left), bool)
+                    inside[members] = True
+                    reached, came = spread(seeds, inside)
+                    depth = {}
+                    for c in reached:
+                        depth[c] = depth[came[c]] + 1 if came[c] >= 0 else 1
+                    path, at = [], min(reached, key=lambda c: (-depth[c], c))
+                    while at >= 0:
+                        path.append(at)
+                        at = came[at]
+                    found.append((-len(members), int(first), path[::-1], reached))
+        found.sort(key=lambda f: f[:2])
+        outer, _ = spread([int(c) for c in np.flatnonzero(candidate & touches)], candidate.copy())
+        cells_ = list(dict.fromkeys([c for f in found for c in f[2]] + [c for f in found for c in f[3]] + outer))
+        own = np.array(cells_, np.int64)
+        return pd.DataFrame({by: pdf[by].iloc[0], "y": own // wide - 1, "x": own % wide - 1, "place": np.arange(len(own))})
+
+    return cells.groupBy(by).applyInPandas(order, f"{by} long, y long, x long, place long")
+
+
 def wet_runs(steps: DataFrame, by: str, seq: str, wet: Column) -> DataFrame:
     """(by, first, last, steps) of each unbroken run of wet steps of a line."""
     w = Window.partitionBy(by).orderBy(seq)

@@ -25,32 +25,39 @@ def blocked(rows: DataFrame, margin: int, block: int = BLOCK, t: str = "t") -> D
     return rows.withColumn("block", F.explode(span)).withColumn("own", F.col("block") == at)
 
 
-def quarter_hours(rows: DataFrame, max_gap: int = 75 * MINUTE, slot: int = QUARTER) -> DataFrame:
-    """(station_id, slot, stage, kind) on the quarter-hour grid of each gauge, from its first to its last reading.
+def quarter_hours(rows: DataFrame, max_gap: int = 75 * MINUTE, slot: int = QUARTER, ends: DataFrame | None = None, exact_only: bool = False) -> DataFrame:
+    """(station_id, slot, stage, kind, before_t, after_t) on the quarter-hour grid of each gauge, from its first to its last
+    reading, or from slot number ``lo`` to ``hi`` of ``ends`` (station_id, lo, hi).
 
-    exact: the reading nearest to the slot, within half a slot, first on ties; interpolated: between the readings around it
-    if they are no more than ``max_gap`` apart; missing: null. Never beyond the ends.
+    exact: the reading nearest to the slot, within half a slot, first on ties (``exact_only``: at the slot itself);
+    interpolated: between the readings around it if they are no more than ``max_gap`` apart; missing: null. Never beyond the
+    first and last reading.
     """
-    ends = rows.groupBy("station_id").agg((F.ceil(F.min("t") / slot)).alias("lo"), (F.floor(F.max("t") / slot)).alias("hi"))
-    grid = ends.select("station_id", F.explode(F.sequence("lo", "hi")).alias("n")).select("station_id", (F.col("n") * slot).alias("t"))
+    ends = rows.groupBy("station_id").agg((F.ceil(F.min("t") / slot)).alias("lo"), (F.floor(F.max("t") / slot)).alias("hi")) if ends is None else ends
+    grid = ends.where("lo <= hi").select("station_id", F.explode(F.sequence("lo", "hi")).alias("n")).select("station_id", (F.col("n") * slot).alias("t"))
     near = F.floor(F.col("t") / slot + 0.5).cast("long")
     off = F.abs(F.col("t") - F.col("n") * slot)
-    exact = rows.withColumn("n", near).groupBy("station_id", "n").agg(F.min(F.struct(off.alias("off"), "t", "seq", "stage")).alias("e")).select("station_id", (F.col("n") * slot).alias("t"), F.col("e.stage").alias("exact"))
+    exact = rows.withColumn("n", near).where(off == 0 if exact_only else F.lit(True))
+    exact = exact.groupBy("station_id", "n").agg(F.min(F.struct(off.alias("off"), "t", "seq", "stage")).alias("e")).select("station_id", (F.col("n") * slot).alias("t"), F.col("e.stage").alias("exact"))
     mixed = grid.join(exact, ["station_id", "t"], "left").select("station_id", "t", F.lit(1).alias("is_slot"), "exact", F.lit(None).cast("double").alias("stage"), F.lit(None).cast("long").alias("seq"))
     mixed = mixed.unionByName(rows.select("station_id", "t", F.lit(0).alias("is_slot"), F.lit(None).cast("double").alias("exact"), "stage", "seq"))
     placed = blocked(mixed, max_gap)
-    w = Window.partitionBy("station_id", "block").orderBy("t", "is_slot", "seq")
+    w = Window.partitionBy("station_id", "block").rowsBetween(Window.unboundedPreceding, -1)
     reading = F.when(F.col("is_slot") == 0, F.struct("t", "stage"))
-    back = F.last(reading, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.first(reading, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # the reading ahead is the last one of the opposite order, so both frames only grow
+    back = F.last(reading, True).over(w.orderBy("t", "is_slot", "seq"))
+    ahead = F.last(reading, True).over(w.orderBy(F.desc("t"), F.desc("is_slot"), F.desc("seq")))
     lerp = F.col("b.stage") + (F.col("a.stage") - F.col("b.stage")) * ((F.col("t") - F.col("b.t")) / (F.col("a.t") - F.col("b.t")))
     out = placed.withColumns({"b": back, "a": ahead}).where("own AND is_slot = 1")
-    inside = (F.col("a.t") - F.col("b.t")) <= max_gap
+    told, inside = F.col("exact").isNotNull(), F.coalesce((F.col("a.t") - F.col("b.t")) <= max_gap, F.lit(False))
+    between = ~told & inside
     return out.select(
         "station_id",
         F.col("t").alias("slot"),
-        F.when(F.col("exact").isNotNull(), F.col("exact")).when(inside, F.round(lerp, 4)).alias("stage"),
-        F.when(F.col("exact").isNotNull(), "exact").when(inside, "interpolated").otherwise("missing").alias("kind"),
+        F.when(told, F.col("exact")).when(inside, F.round(lerp, 4)).alias("stage"),
+        F.when(told, "exact").when(inside, "interpolated").otherwise("missing").alias("kind"),
+        F.when(between, F.col("b.t")).alias("before_t"),
+        F.when(between, F.col("a.t")).alias("after_t"),
     )
 
 
@@ -61,23 +68,91 @@ def daily_maximum(rows: DataFrame, day: Column, by: str = "station_id") -> DataF
     return kept.groupBy(by, "day").agg(peak, F.count(F.lit(1)).alias("n")).select(by, "day", (-F.col("p.neg")).alias("stage"), F.col("p.t").alias("t"), F.col("p.seq").alias("seq"), "n")
 
 
-def outages(grid: DataFrame, hours: float = 0.25) -> DataFrame:
-    """Longest run of missing slots of each gauge and day of slots, in hours."""
-    day = F.floor(F.col("slot") / DAY)
-    w = Window.partitionBy("station_id", "day").orderBy("slot")
-    missing = F.col("stage").isNull()
-    runs = grid.withColumn("day", day).withColumn("island", F.sum(F.when(missing, 0).otherwise(1)).over(w)).where(missing)
-    lengths = runs.groupBy("station_id", "day", "island").agg((F.count(F.lit(1)) * hours).alias("h"))
-    return lengths.groupBy("station_id", "day").agg(F.round(F.max("h"), 2).alias("hours"))
-
+def missing_runs(rows: DataFrame, missing: Column, hours: Column, by: str = "station_id", t: str = "slot", block: int = BLOCK) -> DataFrame:
+    """(by, first, last, hours) of the unbroken runs of missing rows, ``hours`` summed over their rows.
+
+    Runs are found inside blocks of time and then joined where the row before a block's first is missing as well."""
+    w = Window.partitionBy(by, "block").orderBy("t")
+    flagged = rows.select(by, F.col(t).alias("t"), missing.alias("missing"), hours.alias("hours"), F.floor(F.col(t) / block).alias("block"))
+    inside = flagged.withColumn("island", F.sum(F.when(F.col("missing"), 0).otherwise(1)).over(w))
+    edges = flagged.groupBy(by, "block").agg(F.min("t").alias("block_first"), F.max("t").alias("block_last"))
+    runs = inside.where("missing").groupBy(by, "block", "island").agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum("hours").alias("hours")).join(edges, [by, "block"])
+    # blocks that follow each other with rows: a run that ends one goes on in a run that begins the next
+    order = edges.withColumn("number", F.row_number().over(Window.partitionBy(by).orderBy("block"))).select(by, "block", "number")
+    runs, up = runs.join(order, [by, "block"]), Window.partitionBy(by).orderBy("first")
+    goes_on = (F.col("first") == F.col("block_first")) & (F.lag("last").over(up) == F.lag("block_last").over(up)) & (F.lag("number").over(up) == F.col("number") - 1)
+    chain = F.sum(F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1)).over(up)
+    return runs.withColumn("run", chain).groupBy(by, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.round(F.sum("hours"), 2).alias("hours")).drop("run")
+
+
+def frame_hours(minutes: Column, interval: Column, default: float = 1.0) -> Column:
+    """Hours that a row stands for: its own minutes, else its interval's, else ``default``."""
+    return F.when(minutes > 0, minutes / 60.0).when(interval == "15min", 0.25).when(interval == "daily", 24.0).otherwise(F.lit(default))
+
+
+def outages(rows: DataFrame, missing: Column | None = None, hours: Column | None = None, by: str = "station_id", t: str = "slot", trailing: bool = True) -> DataFrame:
+    """(by, hours) of each series' longest run of missing rows, 0 where none is; ``trailing``: whether one that ends it counts."""
+    missing = F.col("stage").isNull() | F.isnan("stage") if missing is None else missing
+    runs = missing_runs(rows, missing, F.lit(0.25) if hours is None else hours, by, t)
+    ends = rows.groupBy(by).agg(F.max(t).alias("end"))
+    if not trailing:
+        runs = runs.join(ends, by).where(F.col("last") < F.col("end"))
+    return ends.select(by).join(runs.groupBy(by).agg(F.max("hours").alias("hours")), by, "left").select(by, F.coalesce("hours", F.lit(0.0)).alias("hours"))
+
+
+def segments(rows: DataFrame, gap: int = 5400 * 1_000_000, by: str = "station_id") -> DataFrame:
+    """``rows`` with segment: the start of the contiguous stretch (no gap above ``gap``) that they stand in. Gaps are found
+    inside blocks and at their edges; the starts, which are few, are then looked up by time."""
+    w = Window.partitionBy(by, "block").orderBy("t", "seq")
+    placed = rows.withColumn("block", F.floor(F.col("t") / BLOCK)).withColumn("before", F.lag("t").over(w))
+    ends = placed.groupBy(by, "block").agg(F.max("t").alias("end"))
+    ends = ends.select(by, "block", F.lag("end").over(Window.partitionBy(by).orderBy("block")).alias("end"))
+    known = placed.join(ends, [by, "block"]).withColumn("before", F.coalesce("before", "end"))
+    start = F.when(F.col("before").isNull() | (F.col("t") - F.col("before") > gap), F.col("t"))
+    inside = F.last(start, True).over(w)
+    opened = known.withColumn("start", inside)
+    last = opened.groupBy(by, "block").agg(F.max("start").alias("last"))
+    carried = last.select(by, "block", F.last("last", True).over(Window.partitionBy(by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    return opened.join(carried, [by, "block"]).withColumn("segment", F.coalesce("start", "carried")).select(*rows.columns, "segment")
+
+
+def local_maxima(s: np.ndarray, distance: int, prominence: float) -> np.ndarray:
+    """Places of the maxima of ``s`` (a plateau's middle one), of which any two are ``distance`` apart (higher ones first) and
+    each stands ``prominence`` above the higher of the two lowest points between it and a higher one or the end."""
+    n = len(s)
+    if n < 3:
+        return np.zeros(0, np.int64)
+    change = np.flatnonzero(np.diff(s) != 0)
+    first, last = np.concatenate([[0], change + 1]), np.concatenate([change, [n - 1]])
+    level = s[first]
+    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
+    peaks = (first[top] + last[top]) // 2
+    keep = np.ones(len(peaks), bool)
+    for i in np.argsort(s[peaks], kind="stable")[::-1]:
+        if keep[i]:
+            near = np.abs(peaks - peaks[i]) < distance
+            near[i] = False
+            keep[near] = False
+    peaks = peaks[keep]
+    out = []
+    for p in peaks:
+        left, right = np.flatnonzero(s[:p] > s[p]), np.flatnonzero(s[p + 1 :] > s[p])
+        lo = s[(left[-1] + 1 if len(left) else 0) : p + 1].min()
+        hi = s[p : (p + 1 + right[0] if len(right) else n)].min()
+        if s[p] - max(lo, hi) >= prominence:
+            out.append(p)
+    return np.array(out, np.int64)
+
+
+def segment_peaks(rows: DataFrame, gap: int = 5400 * 1_000_000, distance: int = 6, prominence: float = 0.2) -> DataFrame:
+    """(station_id, segment, seq, t, stage) of the maxima of each contiguous stretch; a task holds one stretch."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
+        return pdf.loc[local_maxima(pdf["stage"].to_numpy(float), distance, prominence), ["station_id", "segment", "seq", "t", "stage"]]
 
-def segments(rows: DataFrame, gap: int = 5400 * 1_000_000) -> DataFrame:
-    """Contiguous stretches (no gap above ``gap``) of each gauge and civil month of UTC: start, end, readings."""
-    month = F.date_trunc("month", F.timestamp_micros("t"))
-    w = Window.partitionBy("station_id", "month").orderBy("t", "seq")
-    cut = F.when(F.col("t") - F.lag("t").over(w) > gap, 1).otherwise(0)
-    part = rows.withColumn("month", month).withColumn("cut", cut).withColumn("segment", F.sum("cut").over(w))
-    return part.groupBy("station_id", F.date_format("month", "yyyy-MM").alias("month"), "segment").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"))
+    kept = rows.where(F.col("stage").isNotNull() & ~F.isnan("stage")).select("station_id", "seq", "t", "stage")
+    return segments(kept, gap).groupBy("station_id", "segment").applyInPandas(find, "station_id string, segment long, seq long, t long, stage double")
 
 
 def deltas_phase(before: Column, after: Column, eps: float = 0.025) -> Column:
@@ -96,33 +171,48 @@ def deltas_phase(before: Column, after: Column, eps: float = 0.025) -> Column:
     )
 
 
-def crest_before(t: np.ndarray, s: np.ndarray, i: int, reach: int = 8 * HOUR, drop: float = 0.4) -> int:
-    """The crest that row i falls from: back until ``reach`` or a drop of ``drop`` below the running crest."""
-    best = i
-    for j in range(i - 1, -1, -1):
-        if t[i] - t[j] > reach:
-            break
-        if np.isnan(s[j]):
-            continue
-        if np.isnan(s[best]) or s[j] > s[best] + 1e-9:
-            best = j
-        elif s[j] < s[best] - drop:
-            break
+def crests_before(t: np.ndarray, s: np.ndarray, reach: int = 8 * HOUR, drop: float = 0.4) -> np.ndarray:
+    """For each row the crest that it falls from: all rows step back together, one row at a time, until ``reach`` or a drop of
+    ``drop`` below their running crest."""
+    best, top = np.arange(len(t)), s.copy()
+    walking = np.arange(len(t))
+    step = 0
+    while len(walking):
+        step += 1
+        walking = walking[walking >= step]
+        walking = walking[t[walking] - t[walking - step] <= reach]
+        level = s[walking - step]
+        higher = ~np.isnan(level) & (np.isnan(top[walking]) | (level > top[walking] + 1e-9))
+        risen = walking[higher]
+        best[risen], top[risen] = risen - step, level[higher]
+        walking = walking[higher | ~(level < top[walking] - drop)]
     return best
 
 
+def neighbours(rows: DataFrame, value: Column, by: str = "station_id", block: int = BLOCK) -> DataFrame:
+    """``rows`` with before and after: ``value`` of the row before and after in the series, however far away these are."""
+    w = Window.partitionBy(by, "near_").orderBy("t", "seq")
+    own = F.struct(value.alias("v"))
+    placed = rows.withColumn("near_", F.floor(F.col("t") / block)).withColumns({"back_": F.lag(own).over(w), "next_": F.lead(own).over(w)})
+    at = F.struct("t", "seq", value.alias("v"))
+    ends = placed.groupBy(by, "near_").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    order = Window.partitionBy(by).orderBy("near_")
+    ends = ends.select(by, "near_", F.struct(F.lag("last.v").over(order).alias("v")).alias("early_"), F.struct(F.lead("first.v").over(order).alias("v")).alias("late_"))
+    both = placed.join(ends, [by, "near_"])
+    return both.withColumns({"before": F.coalesce("back_", "early_")["v"], "after": F.coalesce("next_", "late_")["v"]}).drop("near_", "back_", "next_", "early_", "late_")
+
+
 def phases(rows: DataFrame, minor: float, moderate: float, major: float) -> DataFrame:
     """(station_id, seq, t, stage, phase, crest_t, crest_stage, elapsed_min) of every reading."""
-    placed = blocked(rows, 8 * HOUR + HOUR)
-    w = Window.partitionBy("station_id", "block").orderBy("t", "seq")
     stage = F.when(~F.isnan("stage"), F.col("stage"))
-    told = placed.withColumns({"before": stage - F.lag(stage).over(w), "after": F.lead(stage).over(w) - stage})
-    told = told.withColumn("phase", F.when(stage.isNull(), "slack").otherwise(deltas_phase(F.col("before"), F.col("after"))))
+    told = neighbours(rows.select("station_id", "seq", "t", "stage"), stage)
+    told = told.withColumn("phase", F.when(stage.isNull(), "slack").otherwise(deltas_phase(stage - F.col("before"), F.col("after") - stage)))
+    told = blocked(told, 8 * HOUR, 2 * DAY)
 
     def crests(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
         t, s = pdf["t"].to_numpy(), pdf["stage"].to_numpy(float)
-        at = np.array([crest_before(t, s, i) for i in range(len(pdf))], int)
+        at = crests_before(t, s)
         minutes = np.maximum(0, (t - t[at]) / MINUTE)
         crest = s[at]
         release = np.where((crest < minor) | (crest >= major), "draining", np.where(crest >= moderate, np.where(minutes <= 15, "draining-release-15", "draining"), np.where(minutes <= 15, "draining-release-15", np.where(minutes <= 30, "draining-release-30", "draining"))))
@@ -134,49 +224,68 @@ def phases(rows: DataFrame, minor: float, moderate: float, major: float) -> Data
 
 
 def nearest(left: DataFrame, right: DataFrame, by: str, reach: int, later_wins: bool = False) -> DataFrame:
-    """For each (by, seq, t) of ``left`` the nearest row of ``right`` within ``reach``: both sides go to buckets of time."""
-    bucket = F.floor(F.col("t") / reach)
-    many = right.select(by, F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"), F.col("t").alias("t2"), F.col("seq").alias("seq2"), F.col("stage").alias("stage2"))
-    off = F.abs(F.col("t") - F.col("t2"))
-    pairs = left.withColumn("bucket", bucket).join(many, [by, "bucket"]).where(off <= reach)
-    side = -F.col("t2") if later_wins else F.col("t2")
-    best = pairs.groupBy("seq").agg(F.min(F.struct(off.alias("off"), side.alias("side"), F.col("seq2").alias("match"), F.col("stage2").alias("match_stage"))).alias("m"))
-    return best.select("seq", F.col("m.match").alias("match"), F.col("m.match_stage").alias("match_stage"), F.col("m.off").alias("off"))
-
-
-def hourly_slots(rows: DataFrame, tolerance: int = 31 * MINUTE) -> DataFrame:
-    """UTC hour slots of each gauge and day: the nearest unused reading within ``tolerance``, slots in order."""
+    """For each (by, seq, t) of ``left`` the nearest row of ``right`` within ``reach``: the last one before and the first one
+    after it, from two windows over both sides; of rows at one instant the least seq."""
+    some = F.struct("t", "seq", "stage")
+    both = left.select(by, "seq", "t", F.lit(None).cast("double").alias("stage"), F.lit(1).alias("asks")).unionByName(right.select(by, "seq", "t", "stage", F.lit(0).alias("asks")))
+    placed = blocked(both, reach, 2 * DAY).where("own OR asks = 0")
+    w = Window.partitionBy(by, "block").rowsBetween(Window.unboundedPreceding, -1)
+    back = F.last(F.when(F.col("asks") == 0, some), True).over(w.orderBy("t", "asks", F.desc("seq")))
+    ahead = F.last(F.when(F.col("asks") == 0, some), True).over(w.orderBy(F.desc("t"), F.desc("asks"), F.desc("seq")))
+    told = placed.withColumns({"b": back, "a": ahead}).where("asks = 1")
+    before, after = F.col("t") - F.col("b.t"), F.col("a.t") - F.col("t")
+    first = (before < after) if later_wins else (before <= after)
+    use = F.when(F.col("a").isNull() | first, F.col("b")).otherwise(F.col("a"))
+    use = F.when(F.col("b").isNull(), F.col("a")).otherwise(use)
+    off = F.abs(F.col("m.t") - F.col("t"))
+    return told.withColumn("m", use).where(off <= reach).select("seq", F.col("m.seq").alias("match"), F.col("m.stage").alias("match_stage"), off.alias("off"))
+
+
+def hourly_slots(rows: DataFrame, tolerance: int = 31 * MINUTE, bounds: tuple[int, int] | None = None) -> DataFrame:
+    """UTC hour slots of each gauge from its first to its last reading (or of ``bounds``): the nearest unused reading within ``tolerance``, slots
+    in order, first on ties. A reading may serve two slots only where it lies between ``HOUR - tolerance`` and ``tolerance``
+    of both, so slots with a nearer one are settled by themselves; stretches of the others are gone through in order."""
+    inner = HOUR - tolerance
+    ends = rows.groupBy("station_id").agg(F.ceil(F.min("t") / HOUR).alias("lo"), F.floor(F.max("t") / HOUR).alias("hi"))
+    if bounds:
+        ends = ends.select("station_id", F.lit(-(-bounds[0] // HOUR)).alias("lo"), F.lit(bounds[1] // HOUR).alias("hi"))
+    hour = F.floor(F.col("t") / HOUR)
+    tries = rows.select("station_id", "seq", "t", F.explode(F.array(hour, hour + 1)).alias("n")).withColumn("off", F.abs(F.col("t") - F.col("n") * HOUR)).where(F.col("off") <= tolerance)
+    tries = tries.join(ends, "station_id").where(F.col("n").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
+    best = tries.groupBy("station_id", "n").agg(F.min(F.struct("off", "t", "seq")).alias("m"))
+    settled = best.where(F.col("m.off") < inner).select("station_id", (F.col("n") * HOUR).alias("slot"), F.col("m.seq").alias("seq"), F.col("m.t").alias("t"))
+    loose = best.where(F.col("m.off") >= inner).select("station_id", "n")
+    island = loose.withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy("station_id").orderBy("n")))
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
-        t, day = pdf["t"].to_numpy(), int(pdf["day"].iloc[0])
-        used, out = np.zeros(len(t), bool), []
-        for slot in range(day * DAY, (day + 1) * DAY, HOUR):
-            lo, hi = np.searchsorted(t, [slot - tolerance, slot + tolerance + 1])
-            free = np.arange(lo, hi)[~used[lo:hi]]
+        used, out = set(), []
+        for n, own in pdf.sort_values(["n", "off", "t", "seq"]).groupby("n"):
+            free = own[~own["seq"].isin(used)]
             if len(free):
-                best = free[np.argmin(np.abs(t[free] - slot))]
-                used[best] = True
-                out.append((pdf["station_id"].iloc[0], slot, int(pdf["seq"].iloc[best]), int(t[best])))
+                used.add(free["seq"].iloc[0])
+                out.append((free["station_id"].iloc[0], int(n) * HOUR, int(free["seq"].iloc[0]), int(free["t"].iloc[0])))
         return pd.DataFrame(out, columns=["station_id", "slot", "seq", "t"])
 
-    return rows.withColumn("day", F.floor(F.col("t") / DAY)).groupBy("station_id", "day").applyInPandas(assign, "station_id string, slot long, seq long, t long")
+    rest = tries.join(island, ["station_id", "n"]).groupBy("station_id", "island").applyInPandas(assign, "station_id string, slot long, seq long, t long")
+    return settled.unionByName(rest)
 
 
 def declustered(events: DataFrame, k: int, window: int) -> DataFrame:
     """Greedy top k by peak: an event within ``window`` of a chosen one is passed over. A round keeps each event that is
-    the highest within ``window`` of itself, and drops what those rule out, so no task holds the whole series."""
-    left, kept = events.select("seq", "t", "peak"), None
+    the highest within ``window`` of itself, and drops what those rule out, so no task holds the whole series. Only the highest
+    of a span of ``window`` can be kept, so spans are cut to one candidate before they meet their neighbours' events."""
+    order = F.struct((-F.col("peak")).alias("neg"), "t", "seq")
+    span = F.floor(F.col("t") / window)
+    left, kept = events.select("seq", "t", "peak", span.alias("span"), order.alias("me")), None
     while True:
-        near = left.select(F.explode(F.array(*(F.floor(F.col("t") / window) + d for d in (-1, 0, 1)))).alias("b"), F.struct((-F.col("peak")).alias("neg"), "t", "seq").alias("o"))
-        own = left.withColumn("b", F.floor(F.col("t") / window)).withColumn("me", F.struct((-F.col("peak")).alias("neg"), "t", "seq"))
-        beaten = own.join(near, "b").where((F.abs(F.col("o.t") - F.col("t")) < window) & (F.col("o") < F.col("me"))).select("seq").distinct()
-        best = left.join(beaten, "seq", "left_anti")
-        kept = best if kept is None else kept.unionByName(best)
-        marks = best.select(F.explode(F.array(*(F.floor(F.col("t") / window) + d for d in (-1, 0, 1)))).alias("b"), F.col("t").alias("t0"))
-        ruled = own.join(marks, "b").where(F.abs(F.col("t0") - F.col("t")) < window).select("seq").distinct()
+        top = left.groupBy("span").agg(F.min("me").alias("top"))
+        around = top.select(F.explode(F.array(F.col("span") - 1, F.col("span") + 1)).alias("span"), "top")
+        beaten = left.join(around, "span").where((F.abs(F.col("top.t") - F.col("t")) < window) & (F.col("me") < F.col("top"))).select(F.col("top.seq").alias("seq")).distinct()
+        best = top.select(F.col("top.seq").alias("seq"), F.col("top.t").alias("t"), (-F.col("top.neg")).alias("peak"), "span").join(beaten, "seq", "left_anti")
+        kept = (best.drop("span") if kept is None else kept.unionByName(best.drop("span"))).checkpoint()
+        marks = best.select(F.explode(F.array(*(F.col("span") + d for d in (-1, 0, 1)))).alias("span"), F.col("t").alias("t0"))
+        ruled = left.join(marks, "span").where(F.abs(F.col("t0") - F.col("t")) < window).select("seq").distinct()
         left = left.join(ruled, "seq", "left_anti").checkpoint()
-        kept = kept.checkpoint()
         if left.isEmpty():
             return kept.orderBy(F.desc("peak"), "t", "seq").limit(k)
 
@@ -190,6 +299,26 @@ def raised_cosine(rows: DataFrame, crests: DataFrame, half: int = 6 * HOUR) -> D
     return rows.join(peak.join(crests, "station_id"), "station_id").select("seq", "station_id", "t", moved.alias("stage"))
 
 
+def upper_median(rows: DataFrame, by: list[str], value: str, name: str = "median") -> DataFrame:
+    """The element at n / 2 (rounded down, from 0) of each group's sorted values: by rank, so no group is held as an array."""
+    ranked = rows.where(F.col(value).isNotNull()).withColumn("rank_", F.row_number().over(Window.partitionBy(*by).orderBy(value)))
+    sizes = ranked.groupBy(*by).agg(F.floor(F.count(F.lit(1)) / 2 + 1).alias("middle_"))
+    return ranked.join(sizes, by).where("rank_ = middle_").select(*by, F.col(value).alias(name))
+
+
+def resolution(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, minutes): the upper median of the positive gaps between readings."""
+    gap = (F.col("t") - F.lag("t").over(Window.partitionBy(*by).orderBy("t"))) / MINUTE
+    return upper_median(rows.withColumn("gap", gap).where("gap > 0"), by, "gap", "minutes")
+
+
+def synthetic_storm(targets: DataFrame, key: str, target: str, rise: float = 6.0, hours: float = 12.0, step_minutes: int = 15) -> DataFrame:
+    """(key, q, offset_hours, stage) of an illustrative storm: half a cosine of ``rise`` feet around each target."""
+    n = int(hours * 60 // step_minutes)
+    offset = F.col("q") * (step_minutes / 60)
+    return targets.select(key, target, F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("q")).select(key, "q", offset.alias("offset_hours"), F.round(F.col(target) - rise * (1 - F.cos(F.lit(np.pi) * offset / hours)) / 2, 6).alias("stage"))
+
+
 def precedence(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first by ``order``."""
     w = Window.partitionBy(*key).orderBy(*order)

@@ -205,8 +205,7 @@ def _road():
 
 
 def m10(spark, sf):
-    pts = rings(spark, sf).select("k", G.densified(_road()).alias("p")).select("k", F.posexplode("p").alias("i", "p"))
-    return pts.select("k", "i", F.round("p.x", 8).alias("x"), F.round("p.y", 8).alias("y"))
+    return O.densified_points(rings(spark, sf), "k", _road()).select("k", "i", F.round("x", 8).alias("x"), F.round("y", 8).alias("y"))
 
 
 def _piece_sql(a, b, i):

@@ -72,11 +72,9 @@ _BREAKS = [0.0, 10.0, 20.0, 40.0, 60.0, 90.0, 120.0, 160.0, 200.0, 300.0]
 
 _ENTRIES = {
     "B1_stage_number": (lambda spark, sf: table(spark, sf, "events").select("event_id", S.stage_number(F.get_json_object("props", "$.k")).alias("out")), "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS out FROM events"),
-    "B2_stage_columns": (_r(lambda: F.coalesce(F.when(F.col("user_id") % 3 == 0, F.col("stage")), F.when(F.col("user_id") % 3 == 1, F.col("stage") * 2), F.lit(-1.0))), _sql("coalesce(CASE WHEN user_id % 3 = 0 THEN stage END, CASE WHEN user_id % 3 = 1 THEN stage * 2 END, -1.0)")),
     "B3_datum": (_r(lambda: _r4(F.col("stage") + TH.datum_offset)), _sql("round(stage + 2.13::DOUBLE, 4)")),
     "B5_severity": (_r(lambda: S.severity(F.col("stage"), TH)), _sql(_SEV)),
     "B6_severity_display_datum": (_r(lambda: S.severity(F.col("stage") + TH.datum_offset, TH)), _sql(_SEV.replace("stage", "(stage + 2.13::DOUBLE)"))),
-    "B7_clamp": (_r(lambda: F.greatest(F.lit(0.0), F.least(F.lit(20.0), F.col("stage")))), _sql("greatest(0.0, least(20.0, stage))")),
     "B8_catalog_floor": (_r(lambda: S.catalog_floor(F.col("stage"))), _sql("round(floor((stage + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2)")),
     "B9_catalog_stage": (_r(lambda: S.catalog_stage(F.col("stage"))), _sql("round(floor((greatest(0.0, least(20.0, stage)) + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2)")),
     "B10_stage_code": (_r(lambda: S.stage_code(S.catalog_stage(F.col("stage")))), _sql("'p' || lpad(CAST(CAST(round(round(floor((greatest(0.0, least(20.0, stage)) + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2) * 10) AS INT) AS VARCHAR), 3, '0')")),
@@ -91,13 +89,6 @@ _ENTRIES = {
     "B17_step_fraction": (_r(lambda: _r4(S.step_fraction(F.col("stage"), S.catalog_floor(F.col("stage"))))), _sql("round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, (stage - round(floor((stage + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2)) / 0.1::DOUBLE)), 4)")),
     "B18_transition_blend": (_r(lambda: _r4(S.transition_blend(F.col("user_id") / 150))), "WITH " + _R + ", p AS (SELECT seq, least(1.0::DOUBLE, greatest(0.0::DOUBLE, user_id / 150.0::DOUBLE) * 2) AS x FROM r) SELECT seq, round(x * x * (3 - 2 * x), 4) AS out FROM p"),
     "B20_nice_maximum": (_r(lambda: S.nice_maximum(F.col("stage"))), "WITH " + _R + ", p AS (SELECT seq, greatest(1.0, stage) AS n FROM r), q AS (SELECT *, pow(10.0::DOUBLE, floor(log10(n))) AS m FROM p) SELECT seq, m * CASE WHEN n / m <= 1 THEN 1 WHEN n / m <= 2 THEN 2 WHEN n / m <= 5 THEN 5 ELSE 10 END AS out FROM q"),
-    "B22_stage_note": (_r(lambda: F.concat_ws("; ", F.when(F.col("stage") > 20, "clamped"), F.when(F.abs(F.col("stage") - S.catalog_stage(F.col("stage"))) > 0.05, "differs"))), _sql("concat_ws('; ', CASE WHEN stage > 20 THEN 'clamped' END, CASE WHEN abs(stage - round(floor((greatest(0.0, least(20.0, stage)) + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2)) > 0.05::DOUBLE THEN 'differs' END)")),
-    "B25_structure_severity": (_r(lambda: F.when(F.col("stage") - F.col("user_id") > 0.1, "above").when(F.col("stage") - F.col("user_id") >= -0.5, "near").otherwise("below")), _sql("CASE WHEN stage - user_id > 0.1::DOUBLE THEN 'above' WHEN stage - user_id >= -0.5 THEN 'near' ELSE 'below' END")),
-    "B26_first_floor": (
-        lambda spark, sf: table(spark, sf, "customer").select("c_custkey", F.round(F.coalesce(F.when(F.col("c_custkey") % 4 != 0, F.col("c_nationkey") + F.greatest(F.lit(0.0), F.col("c_acctbal") / 1000)), F.col("c_nationkey") * 1.5), 6).alias("floor")),
-        "SELECT c_custkey, round(coalesce(CASE WHEN c_custkey % 4 <> 0 THEN c_nationkey + greatest(0.0::DOUBLE, c_acctbal / 1000) END, c_nationkey * 1.5::DOUBLE), 6) AS floor FROM customer",
-    ),
-    "B29_frame_hours": (_r(lambda: F.coalesce(F.when(F.col("user_id") % 4 == 0, F.col("user_id") / 60.0), F.when(F.col("user_id") % 4 == 1, F.lit(0.25)), F.when(F.col("user_id") % 4 == 2, F.lit(24.0)), F.lit(1.0)).cast("double")), _sql("CASE user_id % 4 WHEN 0 THEN user_id / 60.0::DOUBLE WHEN 1 THEN 0.25 WHEN 2 THEN 24.0 ELSE 1.0 END")),
     "C1_civil_parts": (
         lambda spark, sf: readings(spark, sf).withColumn("l", S.civil(F.col("t"))).select("seq", F.year("l").alias("y"), F.month("l").alias("m"), F.dayofmonth("l").alias("d"), F.hour("l").alias("h"), F.minute("l").alias("mi")),
         f"WITH {_R}, l AS (SELECT seq, {_LOCAL} AS l FROM r) SELECT seq, year(l) AS y, month(l) AS m, day(l) AS d, hour(l) AS h, minute(l) AS mi FROM l",
@@ -107,31 +98,11 @@ _ENTRIES = {
         lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", S.instants(F.to_timestamp(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 0"), (F.col("o_orderkey") % 4).cast("string"), F.lit(":30:00")))).alias("c")).select("o_orderkey", F.size("c").alias("n"), F.get("c", F.lit(0)).alias("first")),
         "WITH o AS (SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y-%m-%d') || ' 0' || (o_orderkey % 4) || ':30:00' AS TIMESTAMP) AS l FROM orders), c AS (SELECT o_orderkey, l, unnest([4, 5]) AS h FROM o), k AS (SELECT *, timezone('America/New_York', timezone('UTC', l + to_hours(h))) = l AS good FROM c) SELECT o_orderkey, CAST(count(*) FILTER (good) AS INT) AS n, min(epoch_us(l + to_hours(h))) FILTER (good) AS first FROM k GROUP BY 1",
     ),
-    "C7_day_arithmetic": (lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", F.date_format(F.date_add(F.to_date("o_orderdate"), F.lit(-3)), "yyyy-MM-dd").alias("out")), "SELECT o_orderkey, strftime(CAST(o_orderdate AS DATE) - 3, '%Y-%m-%d') AS out FROM orders"),
-    "C10_month_key": (lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("out")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS out FROM orders"),
     "C11_civil_day": (_r(lambda: F.date_format(S.civil_day(F.col("t")), "yyyy-MM-dd")), _sql(f"strftime({_LOCAL}, '%Y-%m-%d')")),
-    "C12_typed_date": (
-        lambda spark, sf: table(spark, sf, "orders").select("o_orderkey", F.date_format(S.typed_date(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "MM/dd/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.lit("2001-02-30"))), "yyyy-MM-dd").alias("out")),
-        "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS out FROM orders",
-    ),
-    "C16_clock_minutes": (_r(lambda: F.hour(S.civil(F.col("t"))) * 60 + F.minute(S.civil(F.col("t")))), _sql(f"hour({_LOCAL}) * 60 + minute({_LOCAL})")),
-    "C18_storm_day": (_r(lambda: F.floor((F.col("user_id") - 75 + 12) / 24)), _sql("CAST(floor((user_id - 75 + 12) / 24.0) AS BIGINT)")),
     "Q1_address_text": (_c(lambda: _a()), _csql(_A)),
-    "Q3_house_number": (_c(lambda: S.house_number(_addr())), _csql(f"lower(regexp_extract(trim({_addr_sql}), '^(\\d+[a-zA-Z]?(?:-\\d+[a-zA-Z]?)?)(?:\\s|,|$)', 1))")),
-    "Q4_street_part": (_c(lambda: S.address_text(F.regexp_replace(F.split_part(_addr(), F.lit(","), F.lit(1)), r"(?i)\s+(?:apt|unit|suite|ste)\.?\s+.*$|\s*#.*$", ""))), _csql(_address_sql(rf"regexp_replace(split_part({_addr_sql}, ',', 1), '\s+(?:apt|unit|suite|ste)\.?\s+.*$|\s*#.*$', '', 'i')"))),
     "Q5_levenshtein": (_c(lambda: F.levenshtein(_a(), _other())), _csql(f"levenshtein({_A}, {_OTHER})")),
     "Q6_similarity": (_c(lambda: _r4(S.similar(_a(), _other()))), _csql(f"round(1 - levenshtein({_A}, {_OTHER}) / greatest(length({_A}), length({_OTHER}), 1)::DOUBLE, 4)")),
-    "Q7_candidate_score": (
-        _c(lambda: _r4(F.col("c_nationkey") / 100 + F.when(F.contains(_a(), F.lit("customer")), 0.4).otherwise(0.0) + 0.45 * F.greatest(F.lit(0.0), S.similar(_other(), _a())) + F.when((S.house_number(_other()) != "") & _a().startswith(S.house_number(_other())), 0.15).otherwise(0.0))),
-        _csql(f"round(c_nationkey / 100.0::DOUBLE + CASE WHEN contains({_A}, 'customer') THEN 0.4 ELSE 0.0 END::DOUBLE + 0.45::DOUBLE * greatest(0.0::DOUBLE, 1 - levenshtein({_OTHER}, {_A}) / greatest(length({_OTHER}), length({_A}), 1)::DOUBLE) + CASE WHEN starts_with({_A}, (c_custkey % 89)::VARCHAR) THEN 0.15 ELSE 0.0 END::DOUBLE, 4)"),
-    ),
     "Q12_road_name": (_c(lambda: S.road_name(F.concat(F.lit("North "), "c_name", F.when(F.col("c_custkey") % 2 == 0, " Street").otherwise(" Parkway")))), _csql("'N ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ' St' ELSE ' Pkwy' END")),
-    "Q13_event_filter": (lambda spark, sf: table(spark, sf, "part").where(F.col("p_type").rlike("(?i)(eco|pro)")).select("p_partkey", "p_type"), "SELECT p_partkey, p_type FROM part WHERE regexp_matches(p_type, '(eco|pro)', 'i')"),
-    "Q14_html_escape": (_c(lambda: F.replace(F.replace(F.concat(F.lit("<b>"), "c_name", F.lit("&</b>")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))), _csql("replace(replace('<b>' || c_name || '&</b>', '&', '&amp;'), '<', '&lt;')")),
-    "Q15_dynamic_keys": (
-        lambda spark, sf: table(spark, sf, "events").select("event_id", F.explode(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k.rlike("^k$"))).alias("key", "value")),
-        "SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
-    ),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import series as Q
-from ..sources.tables import DAY, HOUR, MINUTE, daily_peaks, forecast, readings, table
+from ..streaming.upserts import LastReadings
+from ..sources.tables import DAY, HOUR, MINUTE, checkpoints, daily_peaks, forecast, readings, scratch, table
 
 TH = S.Thresholds()
 _R = "r AS (SELECT event_id AS seq, event_type AS station_id, epoch_us(ts) AS t, value AS stage, user_id FROM events)"
@@ -38,7 +39,7 @@ def _top_days(spark, sf):
 
 
 def _grid(spark, sf):
-    return Q.quarter_hours(readings(spark, sf))
+    return Q.quarter_hours(readings(spark, sf)).select("station_id", "slot", "stage", "kind")
 
 
 def h3(spark, sf):
@@ -80,52 +81,68 @@ def p4(spark, sf):
 
 
 def o2(spark, sf):
-    """Late and corrected readings in three files of a stream: the last for a gauge and hour wins, in foreachBatch."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/tidemark-stream-{uuid.uuid4().hex}"
+    """Late and corrected readings in three files of a stream: the last for a gauge and hour wins."""
+    path = scratch(spark, "stream")
     r = readings(spark, sf).withColumn("hour", F.floor(F.col("t") / HOUR)).withColumn("part", F.col("seq") % 3)
     for part in range(3):
         r.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{path}/in")
-    state: dict[int, str] = {}
-
-    def upsert(batch, batch_id):
-        new = Q.precedence(batch, ["station_id", "hour"], [F.desc("t"), F.desc("seq")])
-        if state:
-            old = spark.read.parquet(state[max(state)])
-            new = Q.precedence(old.unionByName(new), ["station_id", "hour"], [F.desc("t"), F.desc("seq")])
-        new.write.mode("overwrite").parquet(f"{path}/state-{batch_id}")
-        state[batch_id] = f"{path}/state-{batch_id}"
-
     stream = spark.readStream.schema(r.drop("part").schema).option("maxFilesPerTrigger", 8).parquet(f"{path}/in")
-    stream.writeStream.foreachBatch(upsert).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(state[max(state)]).select("station_id", "hour", "seq", "t", "stage")
+    held = LastReadings(spark, path, ["station_id", "hour"], ["t", "seq"], F.floor(F.col("hour") / 24))
+    return held.take(stream).select("station_id", "hour", "seq", "t", "stage")
 
 
 def h1(spark, sf):
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+    checkpoints(spark)
     r = readings(spark, sf).select("seq", "t", F.col("stage").alias("peak"))
     return Q.declustered(r, 20, 12 * HOUR)
 
 
+def e3(spark, sf):
+    """Outages of each gauge and UTC day: a gap that ends the latest day is not one yet."""
+    g = _grid(spark, sf).withColumn("day", F.floor(F.col("slot") / DAY)).withColumn("series", F.concat_ws("|", "station_id", "day"))
+    latest = g.groupBy("station_id").agg(F.max("day").alias("latest"))
+    of = g.select("series", "station_id", "day").distinct().join(latest, "station_id")
+    every, open_ = Q.outages(g, by="series"), Q.outages(g, by="series", trailing=False).withColumnRenamed("hours", "before_end")
+    return of.join(every, "series").join(open_, "series").select("station_id", "day", F.when(F.col("day") == F.col("latest"), F.col("before_end")).otherwise(F.col("hours")).alias("hours"))
+
+
+_E3 = f"""{_GRID}, m AS (SELECT station_id, slot // 86400000000 AS day, slot, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER w AS island, max(slot) OVER (PARTITION BY station_id, slot // 86400000000) AS e, max(slot // 86400000000) OVER (PARTITION BY station_id) AS latest FROM o WINDOW w AS (PARTITION BY station_id, slot // 86400000000 ORDER BY slot)),
+l AS (SELECT station_id, day, island, count(*) * 0.25 AS h, max(slot) = max(e) AND day = max(latest) AS skipped FROM m WHERE stage IS NULL GROUP BY station_id, day, island)
+SELECT d.station_id, d.day, CAST(coalesce(max(h), 0) AS DOUBLE) AS hours FROM (SELECT DISTINCT station_id, day FROM m) d LEFT JOIN l ON d.station_id = l.station_id AND d.day = l.day AND NOT skipped GROUP BY 1, 2"""
+_E7 = f"""WITH {_R}, h AS (SELECT a.seq, list({{'s': b.stage, 't': b.t, 'stop': false}} ORDER BY b.t DESC, b.seq DESC) AS back FROM r a JOIN r b ON a.station_id = b.station_id AND b.t BETWEEN a.t - 28800000000 AND a.t AND (b.t < a.t OR b.seq <= a.seq) GROUP BY 1),
+c AS (SELECT seq, list_reduce(back, lambda a, x: CASE WHEN a.stop THEN a WHEN x.s > a.s + 1e-9::DOUBLE THEN x WHEN x.s < a.s - 0.4::DOUBLE THEN {{'s': a.s, 't': a.t, 'stop': true}} ELSE a END) AS c FROM h),
+d AS (SELECT *, stage - lag(stage) OVER w AS b, lead(stage) OVER w - stage AS n FROM r WINDOW w AS (PARTITION BY station_id ORDER BY t, seq)),
+e AS (SELECT d.seq, d.t, b, n, c.s AS crest_stage, c.t AS crest_t, (d.t - c.t) / 60000000.0::DOUBLE AS m, CASE WHEN n IS NOT NULL AND (b IS NULL OR abs(n) >= abs(b)) THEN n ELSE b END AS move FROM d JOIN c USING (seq)),
+z AS (SELECT *, CASE WHEN b > 0.025 AND n <= 0.025 THEN 'slack' WHEN b >= 0 AND n < -0.025 THEN 'slack' WHEN b < -0.025 AND n >= -0.025 THEN 'draining' WHEN b <= 0.025 AND n > 0.025 THEN CASE WHEN b < 0 THEN 'draining' ELSE 'slack' END
+WHEN b < -0.025 OR (n < -0.025 AND b < 0) THEN CASE WHEN crest_stage < 50 OR crest_stage >= 224 THEN 'draining' WHEN crest_stage >= 113 THEN CASE WHEN m <= 15 THEN 'draining-release-15' ELSE 'draining' END WHEN m <= 15 THEN 'draining-release-15' WHEN m <= 30 THEN 'draining-release-30' ELSE 'draining' END
+WHEN move > 0.025 THEN 'filling' WHEN move < -0.025 THEN 'draining' ELSE 'slack' END AS phase FROM e)"""
+_H1 = f"""WITH RECURSIVE {_R}, g(i, ts, pick) AS (SELECT 0, CAST([] AS BIGINT[]), CAST(NULL AS STRUCT(neg DOUBLE, t BIGINT, seq BIGINT))
+UNION ALL SELECT i + 1, list_append(ts, n.t), n FROM (SELECT i, ts, (SELECT min({{'neg': -stage, 't': t, 'seq': seq}}) FROM r WHERE len(list_filter(ts, lambda x: abs(x - r.t) < 43200000000)) = 0) AS n FROM g WHERE i < 20) WHERE n IS NOT NULL)
+SELECT pick.seq AS seq, pick.t AS t, -pick.neg AS peak FROM g WHERE i > 0"""
+_I3 = f"""WITH RECURSIVE {_R}, x AS (SELECT station_id, n * 3600000000 AS slot, abs(t - n * 3600000000) AS off, t, seq FROM (SELECT *, t // 3600000000 AS n FROM r UNION ALL SELECT *, t // 3600000000 + 1 FROM r) WHERE abs(t - n * 3600000000) <= 1860000000),
+e AS (SELECT station_id, CAST(ceil(min(t) / 3600000000.0::DOUBLE) AS BIGINT) * 3600000000 AS lo, max(t) AS hi FROM r GROUP BY 1),
+g(station_id, slot, hi, pick) AS (SELECT station_id, lo - 3600000000, hi, CAST(NULL AS STRUCT(off BIGINT, t BIGINT, seq BIGINT)) FROM e
+UNION ALL SELECT g.station_id, g.slot + 3600000000, any_value(g.hi), min(CASE WHEN x.seq IS NOT NULL THEN {{'off': x.off, 't': x.t, 'seq': x.seq}} END) FROM g LEFT JOIN x ON x.station_id = g.station_id AND x.slot = g.slot + 3600000000 AND x.seq <> coalesce(g.pick.seq, -1) WHERE g.slot + 3600000000 <= g.hi GROUP BY g.station_id, g.slot)
+SELECT station_id, slot, pick.seq AS seq, pick.t AS t FROM g WHERE pick IS NOT NULL"""
+
 _ENTRIES = {
     "F1_daily_maximum": (f1, f"WITH {_R} SELECT station_id, day, stage, t, seq, {_SEV} AS severity FROM (SELECT *, {_DAYS} AS day FROM r) QUALIFY row_number() OVER (PARTITION BY station_id, day ORDER BY stage DESC, t, seq) = 1"),
     "D1_quarter_hours": (_grid, f"{_GRID} SELECT * FROM o"),
     "D7_hourly_cadence": (lambda s, p: _grid(s, p).where(F.col("slot") % HOUR == 0).select("station_id", "slot", "stage"), f"{_GRID} SELECT station_id, slot, stage FROM o WHERE slot % 3600000000 = 0"),
     "D9_resolution": (
-        lambda s, p: readings(s, p).withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("station_id", F.floor(F.col("t") / DAY)).orderBy("t"))).where("gap > 0").groupBy("station_id", F.floor(F.col("t") / DAY).alias("day")).agg(F.sort_array(F.collect_list("gap")).alias("g")).select("station_id", "day", F.floor(F.get("g", F.floor(F.size("g") / 2).cast("int")) / MINUTE).alias("minutes")),
-        f"WITH {_R}, g AS (SELECT station_id, t // 86400000000 AS day, t - lag(t) OVER (PARTITION BY station_id, t // 86400000000 ORDER BY t) AS gap FROM r), k AS (SELECT station_id, day, list_sort(list(gap)) AS g FROM g WHERE gap > 0 GROUP BY 1, 2) SELECT station_id, day, g[len(g) // 2 + 1] // 60000000 AS minutes FROM k",
+        lambda s, p: Q.resolution(readings(s, p).withColumn("day", F.floor(F.col("t") / DAY)), ["station_id", "day"]).select("station_id", "day", F.round("minutes", 6).alias("minutes")),
+        f"WITH {_R}, g AS (SELECT station_id, t // 86400000000 AS day, t - lag(t) OVER (PARTITION BY station_id, t // 86400000000 ORDER BY t) AS gap FROM r), k AS (SELECT station_id, day, list_sort(list(gap)) AS g FROM g WHERE gap > 0 GROUP BY 1, 2) SELECT station_id, day, round(g[len(g) // 2 + 1] / 60000000.0::DOUBLE, 6) AS minutes FROM k",
     ),
     "D11_synthetic_storm": (
-        lambda s, p: table(s, p, "part").where("p_partkey % 50 = 0").select("p_partkey", F.explode(F.sequence(F.lit(-48), F.lit(48))).alias("q"), "p_size").select("p_partkey", "q", F.round(F.col("p_size") - 3 * (1 - F.cos(F.lit(3.141592653589793) * F.col("q") / 4 / 12)), 6).alias("stage")),
-        "SELECT p_partkey, q, round(p_size - 3 * (1 - cos(3.141592653589793::DOUBLE * q / 4.0::DOUBLE / 12)), 6) AS stage FROM (SELECT p_partkey, p_size, unnest(generate_series(-48, 48)) AS q FROM part WHERE p_partkey % 50 = 0)",
+        lambda s, p: Q.synthetic_storm(table(s, p, "part"), "p_partkey", "p_size"),
+        "SELECT p_partkey, CAST(q AS INT) AS q, q / 4.0::DOUBLE AS offset_hours, round(p_size - 6 * (1 - cos(3.141592653589793::DOUBLE * q / 4.0::DOUBLE / 12)) / 2, 6) AS stage FROM (SELECT p_partkey, p_size, unnest(generate_series(-48, 48)) AS q FROM part)",
     ),
-    "E1_outages": (lambda s, p: Q.outages(_grid(s, p)), f"{_GRID}, m AS (SELECT station_id, slot // 86400000000 AS day, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station_id, slot // 86400000000 ORDER BY slot) AS island FROM o), l AS (SELECT station_id, day, island, count(*) * 0.25 AS h FROM m WHERE stage IS NULL GROUP BY ALL) SELECT station_id, day, CAST(max(h) AS DOUBLE) AS hours FROM l GROUP BY 1, 2"),
-    "E2_long_outage": (lambda s, p: Q.outages(_grid(s, p)).where("hours > 1").select("station_id", "day"), f"{_GRID}, m AS (SELECT station_id, slot // 86400000000 AS day, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station_id, slot // 86400000000 ORDER BY slot) AS island FROM o), l AS (SELECT station_id, day, island, count(*) * 0.25 AS h FROM m WHERE stage IS NULL GROUP BY ALL) SELECT station_id, day FROM l GROUP BY 1, 2 HAVING max(h) > 1"),
-    "E7_phases": (lambda s, p: Q.phases(readings(s, p), TH.minor, TH.moderate, TH.major), None),
-    "E10_segments": (lambda s, p: Q.segments(readings(s, p)), f"WITH {_R}, c AS (SELECT *, strftime(make_timestamp(t), '%Y-%m') AS month FROM r), k AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY station_id, month ORDER BY t, seq) > 5400000000 THEN 1 ELSE 0 END AS cut FROM c), z AS (SELECT *, sum(cut) OVER (PARTITION BY station_id, month ORDER BY t, seq) AS segment FROM k) SELECT station_id, month, CAST(segment AS BIGINT) AS segment, min(t) AS start, max(t) AS \"end\", count(*) AS n FROM z GROUP BY 1, 2, 3"),
+    "E1_outages": (lambda s, p: Q.outages(_grid(s, p)), f"{_GRID}, m AS (SELECT station_id, slot, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station_id ORDER BY slot) AS island, 0 AS day, max(slot) OVER (PARTITION BY station_id) AS e FROM o), l AS (SELECT station_id, day, island, count(*) * 0.25 AS h, max(slot) = max(e) AS trails FROM m WHERE stage IS NULL GROUP BY ALL) SELECT o.station_id, CAST(coalesce(max(h), 0) AS DOUBLE) AS hours FROM (SELECT DISTINCT station_id FROM o) o LEFT JOIN l USING (station_id) GROUP BY 1"),
+    "E2_long_outage": (lambda s, p: Q.outages(_grid(s, p)).withColumn("long_outage", F.col("hours") > 12).select("station_id", "long_outage"), f"{_GRID}, m AS (SELECT station_id, slot, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station_id ORDER BY slot) AS island, 0 AS day, max(slot) OVER (PARTITION BY station_id) AS e FROM o), l AS (SELECT station_id, day, island, count(*) * 0.25 AS h, max(slot) = max(e) AS trails FROM m WHERE stage IS NULL GROUP BY ALL) SELECT o.station_id, coalesce(max(h), 0) > 12 AS long_outage FROM (SELECT DISTINCT station_id FROM o) o LEFT JOIN l USING (station_id) GROUP BY 1"),
+    "E3_displayed_outage": (e3, _E3),
+    "E7_phases": (lambda s, p: Q.phases(readings(s, p), TH.minor, TH.moderate, TH.major).select("seq", "phase", "crest_t", "crest_stage", F.round("elapsed_min", 4).alias("elapsed_min")), f"{_E7} SELECT seq, phase, crest_t, crest_stage, round((t - crest_t) / 60000000.0::DOUBLE, 4) AS elapsed_min FROM z"),
+    "E10_segments": (lambda s, p: Q.segments(readings(s, p)).groupBy("station_id", F.col("segment").alias("start")).agg(F.max("t").alias("end"), F.count(F.lit(1)).alias("n")), f"WITH {_R}, k AS (SELECT *, CASE WHEN t - lag(t) OVER w > 5400000000 THEN 1 ELSE 0 END AS cut FROM r WINDOW w AS (PARTITION BY station_id ORDER BY t, seq)), z AS (SELECT *, sum(cut) OVER (PARTITION BY station_id ORDER BY t, seq) AS segment FROM k) SELECT station_id, min(t) AS start, max(t) AS \"end\", count(*) AS n FROM z GROUP BY station_id, segment"),
+    "E10_segment_peaks": (lambda s, p: Q.segment_peaks(readings(s, p)), None),
     "E12_monthly_trend": (
         lambda s, p: daily_peaks(s, p).groupBy("source", "day").agg(F.avg("peak").alias("m")).groupBy("source", F.year("day").alias("y"), F.month("day").alias("mo")).agg(F.avg("m").alias("m")).withColumn("x", F.col("y") + (F.col("mo") - 0.5) / 12).groupBy("source").agg(F.count(F.lit(1)).alias("months"), F.round(F.regr_slope("m", "x"), 3).alias("slope")).where("months >= 24"),
         f"WITH {_D}, a AS (SELECT source, day, avg(peak) AS m FROM d GROUP BY 1, 2), b AS (SELECT source, year(day) AS y, month(day) AS mo, avg(m) AS m FROM a GROUP BY 1, 2, 3) SELECT source, count(*) AS months, round(regr_slope(m, y + (mo - 0.5::DOUBLE) / 12), 3) AS slope FROM b GROUP BY 1 HAVING count(*) >= 24",
@@ -143,15 +160,15 @@ _ENTRIES = {
         lambda s, p: s.range(0, 50).withColumn("elevation", F.col("id") * 10).join(F.broadcast(readings(s, p).groupBy(F.least(F.ceil((F.col("stage") - 0.1) / 10), F.lit(50)).alias("above")).agg(F.count(F.lit(1)).alias("c"))), F.col("above") > F.col("id"), "left").groupBy("elevation").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")),
         f"WITH {_R}, e AS (SELECT unnest(generate_series(0, 490, 10)) AS elevation) SELECT elevation, count(stage) AS n FROM e LEFT JOIN r ON stage > elevation + 0.1::DOUBLE GROUP BY 1",
     ),
-    "F23_upper_median": (lambda s, p: table(s, p, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_acctbal")).alias("g")).select("c_nationkey", F.get("g", F.floor(F.size("g") / 2).cast("int")).alias("median")), "SELECT c_nationkey, list_sort(list(c_acctbal))[count(*) // 2 + 1] AS median FROM customer GROUP BY 1"),
+    "F23_upper_median": (lambda s, p: Q.upper_median(table(s, p, "customer"), ["c_nationkey"], "c_acctbal"), "SELECT c_nationkey, list_sort(list(c_acctbal))[count(*) // 2 + 1] AS median FROM customer GROUP BY 1"),
     "G2_bandwidth": (lambda s, p: readings(s, p).groupBy("station_id").agg(F.round(F.greatest(F.lit(0.02), 1.06 * F.stddev_samp("stage") * F.pow(F.count(F.lit(1)), F.lit(-0.2))), 4).alias("bandwidth")), f"WITH {_R} SELECT station_id, round(greatest(0.02::DOUBLE, 1.06::DOUBLE * stddev_samp(stage) * pow(count(*), -0.2::DOUBLE)), 4) AS bandwidth FROM r GROUP BY 1"),
-    "H1_declustered": (h1, None),
+    "H1_declustered": (h1, _H1),
     "H3_top_events": (h3, f"WITH {_D}, o AS (SELECT * FROM d WHERE day NOT IN (DATE '1995-03-15', DATE '1996-08-23') QUALIFY row_number() OVER (PARTITION BY day ORDER BY source DESC, peak DESC, seq) = 1) SELECT row_number() OVER (ORDER BY peak DESC, day) AS rank, strftime(day, '%Y-%m-%d') AS day, peak, source FROM o ORDER BY peak DESC, o.day LIMIT 10"),
     "H4_best_crest": (lambda s, p: Q.precedence(daily_peaks(s, p), ["day"], [F.desc("source"), F.desc("peak"), F.col("seq")]).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "peak", "seq"), f"WITH {_D} SELECT strftime(day, '%Y-%m-%d') AS day, peak, seq FROM d QUALIFY row_number() OVER (PARTITION BY d.day ORDER BY source DESC, peak DESC, seq) = 1"),
     "H6_first_hours": (lambda s, p: forecast(s, p).join(F.broadcast(forecast(s, p).groupBy("station_id").agg(F.min("t").alias("lo"))), "station_id").where(F.col("t") <= F.col("lo") + 84 * HOUR).select("seq"), f"WITH {_F} SELECT seq FROM f QUALIFY t <= min(t) OVER (PARTITION BY station_id) + 84 * 3600000000"),
     "I1_nearest": (lambda s, p: Q.nearest(readings(s, p), forecast(s, p), "station_id", 2 * HOUR).select("seq", "match"), f"WITH {_R}, {_F} SELECT r.seq, f.seq AS match FROM r JOIN f ON r.station_id = f.station_id AND f.t BETWEEN r.t - 7200000000 AND r.t + 7200000000 QUALIFY row_number() OVER (PARTITION BY r.seq ORDER BY abs(r.t - f.t), f.t, f.seq) = 1"),
     "I2_nearest_later": (lambda s, p: Q.nearest(readings(s, p), forecast(s, p), "station_id", HOUR, True).select("seq", "match"), f"WITH {_R}, {_F} SELECT r.seq, f.seq AS match FROM r JOIN f ON r.station_id = f.station_id AND f.t BETWEEN r.t - 3600000000 AND r.t + 3600000000 QUALIFY row_number() OVER (PARTITION BY r.seq ORDER BY abs(r.t - f.t), f.t DESC, f.seq) = 1"),
-    "I3_hour_slots": (lambda s, p: Q.hourly_slots(readings(s, p)), None),
+    "I3_hour_slots": (lambda s, p: Q.hourly_slots(readings(s, p)), _I3),
     "I4_lookup_join": (lambda s, p: readings(s, p).withColumn("h", F.floor(F.col("t") / HOUR)).groupBy("station_id", "h").agg(F.avg("stage").alias("mean")).join(forecast(s, p).withColumn("h", F.floor(F.col("t") / HOUR)).groupBy("station_id", "h").agg(F.min("stage").alias("low")), ["station_id", "h"], "left").select("station_id", "h", F.round("mean", 4).alias("mean"), F.round("low", 4).alias("low")), f"WITH {_R}, {_F}, a AS (SELECT station_id, t // 3600000000 AS h, avg(stage) AS mean FROM r GROUP BY 1, 2), b AS (SELECT station_id, t // 3600000000 AS h, min(stage) AS low FROM f GROUP BY 1, 2) SELECT a.station_id, a.h, round(mean, 4) AS mean, round(low, 4) AS low FROM a LEFT JOIN b USING (station_id, h)"),
     "I9_without_crest_days": (lambda s, p: daily_peaks(s, p).where("source = 0").join(daily_peaks(s, p).where("source = 2").select("day"), "day", "left_anti").select("seq"), f"WITH {_D} SELECT seq FROM d WHERE source = 0 AND day NOT IN (SELECT day FROM d WHERE source = 2)"),
     "I11_window_range": (lambda s, p: forecast(s, p).join(F.broadcast(readings(s, p).groupBy("station_id").agg((F.min("t") - 2 * HOUR).alias("lo"), (F.max("t") + 2 * HOUR).alias("hi"))), "station_id").where(F.col("t").between(F.col("lo"), F.col("hi"))).groupBy("station_id").agg(F.count(F.lit(1)).alias("n")), f"WITH {_R}, {_F}, b AS (SELECT station_id, min(t) - 7200000000 AS lo, max(t) + 7200000000 AS hi FROM r GROUP BY 1) SELECT station_id, count(*) AS n FROM f JOIN b USING (station_id) WHERE t BETWEEN lo AND hi GROUP BY 1"),

@@ -6,10 +6,11 @@ owners or many repositories hold is a widely copied example, one that few hold i
 
 Kinds: the base ones (assign, access, hex) and those that the method adds: ``vendor`` (values with a known issuer's
 prefix) and ``key`` (private key headers). Counting goes by (hash, owner, repository), then (hash, owner), then hash, so
-a value that a third of all rows holds is summed where it stands before it moves.
+a value that a third of all rows holds is summed where it stands before it moves; joined back, it stays where it is.
 
 Defined results: a null text counts as empty and has no spans; a row in gives a row out, also for repeated rows and null
-ids; a null owner or repository is an owner of its own; added columns begin with ``secret_`` and clash with none.
+ids; a null owner or repository is an owner of its own; redacting adds no column and
+clashes with none.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, store
+from .common import documents, fresh, named, split_join, store
 
 # Patterns by kind, in order; the number is of the group that holds the value.
 KINDS = {
@@ -82,39 +83,44 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.groupBy("secret_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_uses"))
 
 
+def row_key(text: str, owner: str, repository: str) -> Column:
+    """Names a row by its content, so that copies of a row have one key."""
+    return F.sha2(F.to_json(F.struct(F.col(repository).alias("r"), F.col(owner).alias("o"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("t"))), 256)
+
+
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """``keep`` columns with secret_row (of the row's content), secret_spans, secret_owner and secret_repository."""
-    row = F.sha2(F.to_json(F.struct(F.col(repository).alias("r"), F.col(owner).alias("o"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("t"))), 256)
-    return docs.select(*keep, row.alias("secret_row"), spans(F.col(text)).alias("secret_spans"), F.col(owner).cast("string").alias("secret_owner"), F.col(repository).cast("string").alias("secret_repository"))
+    return docs.select(*named(list(keep)), row_key(text, owner, repository).alias("secret_row"), spans(F.col(text)).alias("secret_spans"), F.col(owner).cast("string").alias("secret_owner"), F.col(repository).cast("string").alias("secret_repository"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """secret_row and secret_live (spans with whether each looks live), for rows that have spans."""
-    few = found.where(F.size("secret_spans") > 0)
-    each = few.select("secret_row", F.col("secret_owner").alias("owner"), F.col("secret_repository").alias("repository"), F.explode("secret_spans").alias("span")).withColumn("secret_hash", F.sha2(F.col("span.value"), 256))
+    """secret_row, copies and secret_live (spans with whether each looks live), for rows that have spans.
+
+    Copies of a row are one row from the start, and a value that a large share of all rows holds is judged where it stands."""
+    few = found.where(F.size("secret_spans") > 0).groupBy("secret_row").agg(F.first("secret_spans").alias("spans"), F.first("secret_owner").alias("owner"), F.first("secret_repository").alias("repository"), F.count(F.lit(1)).alias("copies"))
+    each = store(few.select("secret_row", "copies", "owner", "repository", F.explode("spans").alias("span")).withColumn("secret_hash", F.sha2(F.col("span.value"), 256)), "secret-values")
     counts = ownership(each)
     live = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
-    judged = each.join(counts, "secret_hash").select("secret_row", F.struct("span.start", "span.kind_no", "span.kind", "span.end", live.alias("live"), "n_owners", "n_repositories").alias("s"))
-    return judged.groupBy("secret_row").agg(F.array_sort(F.collect_set("s")).alias("secret_live"))
+    judged = split_join(each, counts, "secret_hash", "n_uses").select("secret_row", "copies", F.struct("span.start", "span.kind_no", "span.kind", "span.end", live.alias("live"), "n_owners", "n_repositories").alias("s"))
+    return judged.groupBy("secret_row").agg(F.array_sort(F.collect_set("s")).alias("secret_live"), F.max("copies").alias("copies"))
 
 
 def scan_with_verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **columns: str) -> DataFrame:
     """scan(), stored once without the text, with secret_live (empty where there is no span)."""
     found = store(scan(docs, keep, **columns), "secrets")
     none = found.where(F.size("secret_spans") == 0)
-    some = found.where(F.size("secret_spans") > 0).join(verdicts(found), "secret_row", "left")
+    some = split_join(found.where(F.size("secret_spans") > 0), verdicts(found), "secret_row", "copies").drop("copies")
     return some.unionByName(none.withColumn("secret_live", F.lit(None).cast(some.schema["secret_live"].dataType)))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """Texts with each span replaced by <secret> (looks live) or <example-secret> (widely copied), other columns as they
     are. Overlapping spans count as one, live if any of them is."""
-    found = docs.select("doc_id", "text", "source")
-    held = store(scan(found), "secrets")
-    row = F.sha2(F.to_json(F.struct(F.col("doc_id").alias("r"), F.col("source").alias("o"), F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("t"))), 256)
-    names = docs.columns
-    live = verdicts(held)
-    return docs.withColumn("secret_row", row).join(live, "secret_row", "left").withColumn("text", _masked(F.col("text"), F.col("secret_live"))).select(*names)
+    row = fresh(docs, "secret_row")
+    live, copies = fresh(docs, "secret_live"), fresh(docs, "copies")
+    judged = verdicts(store(scan(docs.select("doc_id", "text", "source")), "secrets")).select(F.col("secret_row").alias(row), F.col("secret_live").alias(live), F.col("copies").alias(copies))
+    both = split_join(docs.withColumn(row, row_key("text", "source", "doc_id")), judged, row, copies, how="left")
+    return both.withColumn("text", _masked(F.col("text"), F.col(live))).select(*named(docs.columns))
 
 
 def _masked(text: Column, live: Column) -> Column:

@@ -48,11 +48,11 @@ class LabelModel:
         return dict(zip(self.names, (right / np.maximum(right + wrong, 1e-12)).tolist(), strict=True))
 
 
-def patterns(df: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct vote patterns and their counts, summed before the shuffle."""
+def patterns(df: DataFrame, names: list[str], n: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct vote patterns and their counts (of rows, or of ``n``), summed before the shuffle."""
     if len(names) > MOST_VOTERS:
         raise ValueError(f"at most {MOST_VOTERS} voters, so that patterns stay few")
-    got = df.groupBy(*[F.col(n).cast("int").alias(n) for n in names]).agg(F.count(F.lit(1)).alias("_n")).collect()
+    got = df.groupBy(*[F.col(n).cast("int").alias(n) for n in names]).agg((F.sum(n) if n else F.count(F.lit(1))).alias("_n")).collect()
     got = sorted(got)
     return np.array([[r[n] or 0 for n in names] for r in got], int).reshape(len(got), len(names)), np.array([r["_n"] for r in got], float)
 

@@ -1,8 +1,10 @@
 """Operator 4, toxicity by weak supervision.
 
 Voters are a fixed lexicon, lexicons mined from labelled rows (whole words and word beginnings), patterns, and, in
-training rows, the label itself. A generative model estimates their accuracies and correlations from the vote patterns
-of all documents; a linear classifier over hashed words is trained on its posterior labels and gives the score.
+training rows, the label itself, whose accuracy is estimated like that of any other. A generative model estimates accuracies
+and correlations from the vote patterns of all documents. A linear classifier over hashed words is trained on the posterior
+labels of a bounded sample: labelled rows of each class and rows of any kind, at most about ``CLASS_ROWS`` of each, all of
+them outside fold 0. Its probability is the score.
 
 Defined results: a null text counts as empty and is scored (no features: the intercept); a row in gives a row out;
 labels that are null or not 0/1 are ignored; without usable labels the fixed lexicon alone sets the weights.
@@ -21,17 +23,20 @@ from pyspark.sql import types as T
 
 from . import docstats as S
 from . import textops as X
-from .common import bounded, documents, fold, table
+from .common import bounded, documents, fold, named, store, table
 from .label_model import LabelModel, fit, patterns
 from .quality_classifier import labelled
 
-CLASS_ROWS = 4_000  # labelled rows of each class that the classifier is fitted on, at most about
+CLASS_ROWS = 4_000  # labelled rows of each class, and rows of any kind, that the classifier is fitted on, at most about
 FOLDS = 5
 FEATURES_KEPT = 4_000
+MOST_LEXICON = 5_000  # mined words and word beginnings
+LEAST_ROWS = 3  # that a feature is found in
 PREFIXES = (4, 5, 6)
 # Insults.
 LEXICON = "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown imbecile dumb idiota estúpido imbécil basura idiote stupide débile ordure connard dumm idiotin abschaum trottel".split()
 VOTERS = ["v_lexicon", "v_words", "v_prefix4", "v_prefix5", "v_prefix6", "v_several", "v_shouting", "v_nothing"]
+LABEL = "v_label"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -123,115 +128,136 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, column: str, rows: int) -> list[tuple[int, bytes]]:
-    """(label, distinct hashes) of at most about ``rows`` labelled documents of each class outside fold 0."""
-    known = labelled(labels, column).where(fold(F.col("doc_id"), FOLDS) != 0)
+def signature(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The two least mixed hashes of each document as one number: near copies of a text mostly share it."""
+    mixed = X.mix(h.astype(np.uint64))
+    order = np.lexsort((mixed, doc))
+    first = np.searchsorted(doc[order], np.arange(n))
+    padded = np.append(mixed[order], np.zeros(2, np.uint64))
+    return X.mix(padded[first] + X.mix(padded[np.minimum(first + 1, len(padded) - 1)])).astype(np.int64)
+
+
+def labelled_rows(docs: DataFrame, known: DataFrame, rows: int) -> DataFrame:
+    """(_label, h) of at most about ``rows`` labelled documents of each class, near copies of one text once. An id may stand for
+    many rows, so these are bounded again."""
     chosen = bounded(known.where("_label = 1"), rows, F.col("doc_id")).unionByName(bounded(known.where("_label = 0"), rows, F.col("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             doc, h = doc_features(X.split(part.column("text")))
-            cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array([h[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["_label", "h"])
+            cut = np.searchsorted(doc, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(h.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column("_label"), pa.array(signature(doc, h, part.num_rows)), lists], names=["_label", "sig", "h"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "_label int, h binary").collect()
-    return sorted((r["_label"], bytes(r["h"])) for r in got)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(run, "_label int, sig long, h array<int>")
+    return bounded(store(found.dropDuplicates(["_label", "sig"]), "toxic-rows"), 2 * rows, F.col("sig"))
 
 
-def mine(rows: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, row bounds, and hashes found in three rows or more. Near copies of one text count once, so that their
-    other words don't look telling: rows whose two least hashes agree are taken for copies."""
-    seen, kept = set(), []
-    for label, blob in rows:
-        h = np.frombuffer(blob, np.uint32)
-        key = (label, *np.sort(X.mix(h.astype(np.uint64)))[:2].tolist())
-        if key not in seen:
-            seen.add(key)
-            kept.append((label, h))
-    y = np.array([k[0] for k in kept], float)
-    h = np.concatenate([k[1] for k in kept]) if kept else np.zeros(0, np.uint32)
-    bounds = np.concatenate([[0], np.cumsum([len(k[1]) for k in kept])]).astype(np.int64)
-    return y, bounds, h, np.repeat(np.arange(len(kept)), np.diff(bounds))
+def telling(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that speak for the toxic class, and those that tell the classes apart best, by their log odds."""
+    many, others = rows.agg(F.sum("_label"), F.sum(1 - F.col("_label"))).first()
+    counts = rows.select("_label", F.explode("h").alias("h")).groupBy("h").agg(F.sum("_label").alias("pos"), F.sum(1 - F.col("_label")).alias("neg"))
+    odds = F.log((F.col("pos") + 0.5) / ((many or 0) + 1.0)) - F.log((F.col("neg") + 0.5) / ((others or 0) + 1.0))
+    counts = store(counts.where(F.col("pos") + F.col("neg") >= LEAST_ROWS).withColumn("odds", odds), "toxic-hashes")
+    lexicon = counts.where((F.col("odds") > 3) & (F.col("pos") >= max(5, 0.004 * (many or 0)))).orderBy(F.desc("pos"), "h").limit(MOST_LEXICON)
+    features = counts.orderBy(F.desc(F.sqrt(F.col("pos") + F.col("neg")) * F.abs("odds")), "h").limit(FEATURES_KEPT)
+    back = lambda df: np.sort(np.array([r["h"] for r in df.select("h").collect()], np.int32).view(np.uint32))
+    return back(lexicon), back(features)
 
 
 def fixed_hashes() -> np.ndarray:
     return hashed(X.split(pa.array(LEXICON)))[0]
 
 
-def build_voters(y: np.ndarray, h: np.ndarray, row: np.ndarray) -> tuple[Voters, np.ndarray, np.ndarray]:
-    """The voters; all hashes with their log odds of the toxic class, for the choice of features."""
-    keys, where = np.unique(h, return_inverse=True)
-    pos = np.bincount(where, y[row], len(keys)) if len(keys) else np.zeros(0)
-    neg = np.bincount(where, 1 - y[row], len(keys)) if len(keys) else np.zeros(0)
-    many, others = y.sum(), (1 - y).sum()
-    odds = np.log((pos + 0.5) / (many + 1)) - np.log((neg + 0.5) / (others + 1))
-    lexicon = keys[(odds > 3) & (pos >= max(5, 0.004 * many))] if len(keys) else keys
+def build_voters(lexicon: np.ndarray) -> Voters:
     fixed = fixed_hashes()
-    both = np.isin(fixed, lexicon)
-    lexicon = lexicon[~np.isin(lexicon, fixed)]
+    both, lexicon = np.isin(fixed, lexicon), lexicon[~np.isin(lexicon, fixed)]
     kind = np.concatenate([np.where(both, 2, 0), np.full(len(lexicon), 1)])
-    return Voters(Finder(np.concatenate([fixed, lexicon]).astype(np.uint32), kind)), keys, np.sqrt(pos + neg) * np.abs(odds)
+    return Voters(Finder(np.concatenate([fixed, lexicon]).astype(np.uint32), kind))
 
 
 def vote(docs: DataFrame, voters: Voters) -> DataFrame:
+    """doc_id and VOTERS of every document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             v = voters.votes(X.split(part.column("text")))
-            yield pa.RecordBatch.from_arrays([pa.array(v[:, k].astype(np.int32)) for k in range(len(VOTERS))], names=VOTERS)
-
-    return docs.select("text").mapInArrow(run, ", ".join(f"{v} int" for v in VOTERS))
-
-
-def row_votes(voters: Voters, bounds: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Votes of the sampled rows from their hashes alone (whether a hash is of a word or a beginning isn't kept)."""
-    n = len(bounds) - 1
-    out = np.zeros((n, len(VOTERS)), int)
-    at, kind = voters.finder(h)
-    doc = np.searchsorted(bounds, at, "right") - 1
-    out[doc[kind != 1], 0] = 1
-    out[doc[kind != 0], 1] = 1
-    found = np.bincount(doc, minlength=n)
-    out[:, 5] = found >= 4
-    out[:, 7] = -(found == 0).astype(int)
-    return out
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v[:, k].astype(np.int32)) for k in range(len(VOTERS)))], names=["doc_id", *VOTERS])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{v} int" for v in VOTERS))
+
+
+def with_label(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with the label's vote: 1, -1, or 0 where there is none."""
+    return rows.join(known, "doc_id", "left").withColumn(LABEL, F.coalesce(F.col("_label") * 2 - 1, F.lit(0))).drop("_label")
 
 
-def fit_linear(y: np.ndarray, weight: np.ndarray, bounds: np.ndarray, h: np.ndarray, chosen: np.ndarray, rounds: int = 200, ridge: float = 1.0) -> Linear:
-    """Logistic regression on soft labels by scaled gradient steps over presence of the chosen hashes."""
-    at = np.minimum(np.searchsorted(chosen, h), max(len(chosen) - 1, 0))
-    ok = chosen[at] == h if len(chosen) else np.zeros(len(h), bool)
-    row = np.repeat(np.arange(len(y)), np.diff(bounds))[ok]
-    col = at[ok]
-    prior = np.clip((weight @ y + 0.5) / (weight.sum() + 1), 1e-4, 1 - 1e-4)
-    bias, w = float(np.log(prior / (1 - prior))), np.zeros(len(chosen))
-    scale, bias_scale = np.full(len(chosen), 1e-3), 1e-3
+def label_model(docs: DataFrame, known: DataFrame, voters: Voters) -> LabelModel:
+    """Fitted on the vote patterns of all documents; a document's own pattern is counted before labels are looked up."""
+    counted = vote(docs, voters).groupBy("doc_id", *VOTERS).agg(F.count(F.lit(1)).alias("n"))
+    votes, counts = patterns(with_label(counted, known), [*VOTERS, LABEL], "n")
+    if not len(votes):
+        return fit(votes, counts, [*VOTERS, LABEL])
+    hits, label = (votes[:, :6] > 0).sum(1), votes[:, -1]
+    start = np.where(label != 0, np.where(label > 0, 0.98, 0.02), 1 / (1 + np.exp(2.0 - 1.5 * hits)))
+    return fit(votes, counts, [*VOTERS, LABEL], start=start, with_correlations=True)
+
+
+def posterior_rows(docs: DataFrame, known: DataFrame, voters: Voters, features: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Votes of the training sample with the label's, and the places of its features: row bounds and columns."""
+    of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(fold(F.col("doc_id"), FOLDS) != 0)
+    chosen = bounded(known.where("_label = 1"), rows, F.col("doc_id")).unionByName(bounded(known.where("_label = 0"), rows, F.col("doc_id")))
+    sample = of.join(F.broadcast(chosen.select("doc_id")), "doc_id").unionByName(bounded(of, rows, F.xxhash64("doc_id", "text")))
+    schema = "doc_id long, sig long, at binary, " + ", ".join(f"{v} int" for v in VOTERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batches):
+            w = X.split(part.column("text"))
+            doc, h = doc_features(w)
+            sig, v = signature(doc, h, w.n), voters.votes(w)
+            at = np.minimum(np.searchsorted(features, h), max(len(features) - 1, 0))
+            keep = features[at] == h if len(features) else np.zeros(len(h), bool)
+            cut, at = np.searchsorted(doc[keep], np.arange(w.n + 1)), at[keep].astype(np.int32)
+            blobs = pa.array([at[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sig), blobs, *(pa.array(v[:, k].astype(np.int32)) for k in range(len(VOTERS)))], names=[f.split()[0] for f in schema.split(", ")])
+
+    found = with_label(store(sample.mapInArrow(run, schema).dropDuplicates(["doc_id", "sig"]), "toxic-sample"), known)
+    one = found.groupBy("sig", LABEL).agg(F.min(F.struct("at", *VOTERS)).alias("r")).select("r.*", LABEL, "sig")
+    got = sorted(bounded(store(one, "toxic-training"), 3 * rows, F.col("sig")).drop("sig").collect())
+    columns = [np.frombuffer(bytes(r["at"]), np.int32) for r in got]
+    votes = np.array([[r[v] for v in (*VOTERS, LABEL)] for r in got], int).reshape(len(got), len(VOTERS) + 1)
+    return votes, np.concatenate([[0], np.cumsum([len(c) for c in columns])]).astype(int), np.concatenate([np.zeros(0, np.int32), *columns])
+
+
+def fit_linear(y: np.ndarray, bounds: np.ndarray, col: np.ndarray, features: np.ndarray, rounds: int = 200, ridge: float = 0.01) -> Linear:
+    """Logistic regression on soft labels by scaled gradient steps over presence of the features."""
+    row = np.repeat(np.arange(len(y)), np.diff(bounds))
+    prior = np.clip((y.sum() + 0.5) / (len(y) + 1), 1e-4, 1 - 1e-4)
+    bias, w = float(np.log(prior / (1 - prior))), np.zeros(len(features))
+    scale, bias_scale = np.full(len(features), 1e-3), 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(bias + np.bincount(row, w[col], len(y)), -50, 50)))
-        r = weight * (p - y)
-        g = np.bincount(col, r[row], len(chosen)) + ridge * w * 0.01
+        r = p - y
+        g = np.bincount(col, r[row], len(features)) + ridge * w
         scale += g * g
         bias_scale += r.sum() ** 2
         w -= 0.5 * g / np.sqrt(scale)
         bias -= 0.5 * r.sum() / np.sqrt(bias_scale)
-    return Linear(float(bias), Finder(chosen, w))
+    return Linear(float(bias), Finder(features, w))
 
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = CLASS_ROWS) -> tuple[Linear, LabelModel]:
-    y, bounds, h, row = mine(sample(docs, labels, column, rows))
-    voters, keys, telling = build_voters(y, h, row)
-    votes, counts = patterns(vote(docs, voters), VOTERS)
-    hits = (votes[:, :6] > 0).sum(1) if len(votes) else None
-    model = fit(votes, counts, VOTERS, start=None if hits is None else 1 / (1 + np.exp(2.0 - 1.5 * hits)), with_correlations=True)
-    if not len(y):
+    known = labelled(labels, column).select(F.col("doc_id").cast("long").alias("doc_id"), "_label").where(fold(F.col("doc_id"), FOLDS) != 0)
+    some = labelled_rows(docs, known, rows)
+    if some.isEmpty():
         fixed = fixed_hashes()
         order = np.argsort(fixed)
-        return Linear(-2.0, Finder(fixed[order], np.full(len(fixed), 3.0))), model
-    # the label is one more voter, of an accuracy that is given; its vote adds to the log odds of the others
-    q = model.posterior_array(row_votes(voters, bounds, h))
-    odds = np.log(np.clip(q, 1e-6, 1 - 1e-6) / (1 - np.clip(q, 1e-6, 1 - 1e-6)))
-    soft = 1 / (1 + np.exp(-(np.clip(odds, -3, 3) + np.where(y > 0, 1, -1) * np.log(0.99 / 0.01))))
-    chosen = np.sort(keys[np.argsort(-telling, kind="stable")[:FEATURES_KEPT]])
-    return fit_linear(soft, np.ones(len(y)), bounds, h, chosen), model
+        return Linear(-2.0, Finder(fixed[order], np.full(len(fixed), 3.0))), label_model(docs, known, build_voters(fixed[:0]))
+    lexicon, features = telling(some)
+    voters = build_voters(lexicon)
+    model = label_model(docs, known, voters)
+    votes, bounds, col = posterior_rows(docs, known, voters, features, rows)
+    return fit_linear(model.posterior_array(votes), bounds, col, features), model
 
 
 def score(docs: DataFrame, model: Linear, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -243,7 +269,7 @@ def score(docs: DataFrame, model: Linear, keep: tuple[str, ...] = ("doc_id",), n
         for part in X.slices(batches):
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(model.score(X.split(part.column("text"))))], names=[*keep, name])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.select(*named(list(dict.fromkeys([*keep, "text"])))).mapInArrow(run, schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 Pieces are those of a fixed public vocabulary. Each language has its own piece probabilities, estimated by
 expectation-maximisation; a text's likelihood sums over all segmentations. As pieces don't cross white space, that sum
 is a product over words, so the forward algorithm runs once for each distinct word of a batch, for all languages at once.
+Words up to ``SHORT`` bytes run side by side by length; a longer one (text without spaces, addresses) runs by itself with
+a sum that is rescaled on its way, so it may be of any length and is never cut.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no training rows every text is
 ``und``; ties go to the language that comes first by name; a row in gives a row out.
@@ -26,7 +28,9 @@ from .common import bounded, documents, fold
 FOLDS, HELD = 3, 1
 TRAIN_ROWS = 12_000  # documents that the probabilities are estimated on, at most about
 ROUNDS = 2
-CHUNK = 40  # bytes; longer words are scored in consecutive chunks
+SHORT = 40  # bytes
+MOST_LANGS = 256  # languages with the most documents are learnt, so that a table of pieces by languages is bounded
+RESCALE = 16  # positions; no piece is less likely than LEAST, so sums stay above LEAST ** RESCALE between two rescalings
 LEAST = 1e-7
 _LETTER = regex.compile(r"\p{L}")
 _ALPHA = np.zeros(256, bool)
@@ -69,17 +73,6 @@ class Pieces:
         return len(self.keys)
 
 
-def chunks(w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word or chunk of a long word, and its word."""
-    size = w.end - w.start
-    if not len(size) or size.max() <= CHUNK:
-        return w.start, w.end, np.arange(len(size))
-    n = -(-size // CHUNK)
-    word = np.repeat(np.arange(len(size)), n)
-    start = w.start[word] + CHUNK * (np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n))
-    return start, np.minimum(start + CHUNK, w.end[word]), word
-
-
 def lattice(data: np.ndarray, start: np.ndarray, size: int, pieces: Pieces) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, rows, piece) for the words of one length that have a piece there."""
     out = []
@@ -108,7 +101,9 @@ def forward(arcs: list, n: int, size: int, p: np.ndarray) -> np.ndarray:
 
 
 def by_size(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of each size up to SHORT."""
     order = np.argsort(sizes, kind="stable")
+    order = order[: np.searchsorted(sizes[order], SHORT, "right")]
     cut = np.flatnonzero(np.diff(sizes[order])) + 1
     for rows in np.split(order, cut):
         if len(rows):
@@ -116,6 +111,59 @@ def by_size(sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
                 yield int(sizes[rows[0]]), rows[at : at + 20_000]
 
 
+def long_arcs(data: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """For each end of a word's prefix and each length, the piece that ends there, or -1."""
+    n, values = len(data), X.BYTE[data]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(values * X.powers(X.BASE, n)[:n], out=sums[1:])
+    out = np.full((n + 1, pieces.longest), -1, np.int32)
+    for size in range(1, min(pieces.longest, n) + 1):
+        h = X.mix((sums[size:] - sums[:-size]) * X.powers(X.INVERSE, n)[: n - size + 1] + X.U(size * 0xD6E8FEB86659FD93 % 2**64))
+        h[0] ^= _FIRST
+        i = np.minimum(np.searchsorted(pieces.keys, h), len(pieces) - 1)
+        out[size:, size - 1] = np.where(pieces.keys[i] == h, i, -1)
+    return out
+
+
+def rolling(arcs: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all segmentations before each position, by language, as numbers and the logs of their scales."""
+    n, reach, none = len(arcs) - 1, arcs.shape[1], np.concatenate([p, np.zeros((1, p.shape[1]))])
+    total, scale, log = np.zeros((n + 1 + reach, p.shape[1])), np.zeros((n + 1 + reach, p.shape[1])), np.zeros(p.shape[1])
+    total[reach] = 1
+    for to in range(1, n + 1):
+        at = to + reach
+        total[at] = (none[arcs[to]] * total[at - reach : at][::-1]).sum(0)
+        scale[at] = log
+        if to % RESCALE == 0:
+            most = total[at - reach + 1 : at + 1].max(0)
+            total[at - reach + 1 : at + 1] /= most
+            scale[at - reach + 1 : at + 1] += np.log(most)
+            log = log + np.log(most)
+    return total[reach:], scale[reach:]
+
+
+def long_word(data: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
+    """Log likelihood of one word by language."""
+    total, scale = rolling(long_arcs(data, pieces), p)
+    return np.log(total[-1]) + scale[-1]
+
+
+def long_counts(data: np.ndarray, pieces: Pieces, p: np.ndarray, times: np.ndarray, out: np.ndarray) -> None:
+    """Adds the expected uses of pieces over all segmentations of a word that stands ``times`` in each language."""
+    arcs = long_arcs(data, pieces)
+    n = len(arcs) - 1
+    back = np.full_like(arcs, -1)
+    for size in range(1, min(arcs.shape[1], n) + 1):
+        back[size:, size - 1] = arcs[size:, size - 1][::-1]
+    (before, before_log), (after, after_log) = rolling(arcs, p), rolling(back, p)
+    whole = np.log(before[-1]) + before_log[-1]
+    for size in range(1, min(arcs.shape[1], n) + 1):
+        to = np.flatnonzero(arcs[:, size - 1] >= 0)
+        piece, frm = arcs[to, size - 1], to - size
+        share = before[frm] * after[n - to] * p[piece] * np.exp(before_log[frm] + after_log[n - to] - whole)
+        np.add.at(out, piece, times * share)
+
+
 @dataclass
 class Scorer:
     """Log likelihoods of words under one model; words already met are kept, up to ``held`` of them."""
@@ -137,6 +185,8 @@ class Scorer:
         for n, rows in by_size(size[new]):
             at = new[rows]
             logs[at] = np.log(forward(lattice(w.data, start[at], n, self.pieces), len(at), n, self.p)[n])
+        for i in new[size[new] > SHORT].tolist():
+            logs[i] = long_word(w.data[start[i] : start[i] + size[i]], self.pieces, self.p)
         if self.keys is None or len(self.keys) + len(new) > self.held:
             self.keys, self.logs = h, logs
         else:
@@ -147,27 +197,22 @@ class Scorer:
 
     def documents(self, w: X.Words) -> np.ndarray:
         """Documents x languages: log likelihood of the whole text."""
-        start, end, word = chunks(w)
-        if not len(start):
+        if not len(w.start):
             return np.zeros((w.n, self.p.shape[1]))
-        h = w.hash if start is w.start else X.spans_hash(X.BYTE[w.data], start, end)
-        h, one, which = np.unique(h, return_index=True, return_inverse=True)
-        logs = self.words(w, h, start[one], (end - start)[one])
-        first = np.searchsorted(word, w.first)
-        return np.stack([np.diff(np.concatenate([[0.0], np.cumsum(logs[which, k])])[first]) for k in range(self.p.shape[1])], 1)
+        h, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        logs = self.words(w, h, w.start[one], (w.end - w.start)[one])
+        return np.stack([np.diff(np.concatenate([[0.0], np.cumsum(logs[which, k])])[w.first]) for k in range(self.p.shape[1])], 1)
 
 
 def expected_counts(w: X.Words, lang: np.ndarray, pieces: Pieces, p: np.ndarray) -> np.ndarray:
     """Pieces x languages: expected uses over all segmentations of documents of known language."""
-    start, end, word = chunks(w)
     out = np.zeros((len(pieces), p.shape[1]))
-    if not len(start):
+    if not len(w.start):
         return out
-    h = X.spans_hash(X.BYTE[w.data], start, end)
-    _, one, which = np.unique(h, return_index=True, return_inverse=True)
+    _, one, which = np.unique(w.hash, return_index=True, return_inverse=True)
     times = np.zeros((len(one), p.shape[1]))
-    np.add.at(times, (which, lang[w.doc[word]]), 1.0)
-    s, sizes = start[one], (end - start)[one]
+    np.add.at(times, (which, lang[w.doc]), 1.0)
+    s, sizes = w.start[one], (w.end - w.start)[one]
     for size, rows in by_size(sizes):
         arcs = lattice(w.data, s[rows], size, pieces)
         alpha = forward(arcs, len(rows), size, p)
@@ -177,6 +222,8 @@ def expected_counts(w: X.Words, lang: np.ndarray, pieces: Pieces, p: np.ndarray)
             use = p[piece] * beta[to, at]
             beta[frm, at] += use
             np.add.at(out, piece, alpha[frm, at] * use)
+    for i in np.flatnonzero(sizes > SHORT).tolist():
+        long_counts(w.data[s[i] : s[i] + sizes[i]], pieces, p, times[i], out)
     return out
 
 
@@ -195,7 +242,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, path: s
     """Counts of pieces from training folds: each round is one Spark pass, summed by language and piece."""
     path = path or vocabulary_path()
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
+    known = known.where(F.col("lang").isin(list(counts)))
     langs = sorted(counts)
     n, total = len(Pieces.load(path)), sum(counts.values())
     prior = np.array([counts[x] for x in langs], float) / max(total, 1)

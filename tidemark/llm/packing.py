@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import documents
+from .common import documents, store
 
 LONGEST = 4096
 TIERS = (256, 512, 1024, 2048, 4096)
@@ -36,7 +36,8 @@ _MARK, _LETTER, _LOWER = np.zeros(256, bool), np.zeros(256, bool), np.arange(256
 _MARK[list(b".,;:!?")] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _LOWER[65:91] += 32
-SCHEMA = "doc_id long, start long, length long, input_ids binary, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+SCHEMA = "doc_id long, start long, length long, input_ids binary, doc_tokens long, sequence_id long, offset long, tier int, task long, in_tier long"
+MOST_TASKS = 100_000  # rows of (task, tier) counts that may go to all tasks
 
 
 def tokenizer_path() -> str:
@@ -169,30 +170,29 @@ def pack(tiers: Tiers, final: bool) -> Iterator[tuple[int, list[tuple[int, int,
 
 
 def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Pieces of all documents: SCHEMA, with input_ids as little-endian unsigned 32-bit ids."""
+    """Pieces of all documents: SCHEMA with step_group for task and in_tier; input_ids are little-endian unsigned 32-bit ids."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tiers = encoder_of(path), Tiers()
-        task = TaskContext.get().partitionId() << 36
+        task = TaskContext.get().partitionId()
         number, in_tier = 0, dict.fromkeys(range(LONGEST + 1), 0)
         texts: dict[int, tuple] = {}  # documents of which a piece waits
         serial = 0
 
         def emit(final: bool) -> pa.RecordBatch:
             nonlocal number
-            cols: list[list] = [[] for _ in range(9)]
+            cols: list[list] = [[] for _ in range(10)]
             for tier, pieces in pack(tiers, final):
-                step = (tier << 20) + in_tier[tier] * tier // STEP_TOKENS
-                in_tier[tier] += 1
                 offset = 0
                 for length, doc, start in pieces:
                     doc_id, ids = texts[doc]
-                    for c, v in zip(cols, (doc_id, start, length, ids[start : start + length].tobytes(), len(ids), task + number, offset, tier, task + step), strict=True):
+                    for c, v in zip(cols, (doc_id, start, length, ids[start : start + length].tobytes(), len(ids), (task << 36) + number, offset, tier, task, in_tier[tier]), strict=True):
                         c.append(v)
                     offset += length
                 number += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                in_tier[tier] += 1
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for part in X.slices(batches):
@@ -207,7 +207,18 @@ def pack_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield emit(False)
         yield emit(True)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return balanced(store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA), "packed"))
+
+
+def balanced(packed: DataFrame) -> DataFrame:
+    """``packed`` with its step groups: the windows of a tier are numbered through all tasks, and so many make a group as hold
+    ``STEP_TOKENS`` tokens. The counts by task and tier are few; beyond ``MOST_TASKS`` they are joined by a shuffle."""
+    counts = store(packed.groupBy("tier", "task").agg((F.max("in_tier") + 1).alias("n")), "packed-counts")
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = counts.select("tier", "task", before.alias("before"))
+    before = F.broadcast(before) if counts.count() <= MOST_TASKS else before
+    group = F.shiftleft(F.col("tier").cast("long"), 40) + F.floor((F.col("before") + F.col("in_tier")) * F.col("tier") / STEP_TOKENS)
+    return packed.join(before, ["tier", "task"]).select("doc_id", "start", "length", "input_ids", "doc_tokens", "sequence_id", "offset", "tier", group.alias("step_group"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from . import docstats as S
 from . import textops as X
-from .common import bounded, documents, fold, table
+from .common import bounded, documents, fold, fresh, named, store, table
 
 TRAIN_ROWS = 20_000
 FOLDS = 5
@@ -106,7 +106,9 @@ def labelled(labels: DataFrame, column: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Trees of at most about ``rows`` labelled rows outside fold 0; the chosen labels are few, so they are broadcast."""
     chosen = bounded(labelled(labels, column).where(fold(F.col("doc_id"), FOLDS) != 0), rows, F.col("doc_id"))
-    got = S.with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), ["doc_id", "_label"]).drop("doc_id").toPandas()
+    rows_of = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows_of = store(S.with_stats(rows_of, ["doc_id", "_label"]).drop("doc_id").distinct(), "quality-rows")  # an id may stand for many rows
+    got = bounded(rows_of, 2 * rows, F.struct(*rows_of.columns)).toPandas()
     got = got.sort_values(list(got.columns))  # the order of arrival has no say
     x = features({f: got[f].to_numpy(float) for f in S.FEATURES})
     return fit_trees(x, got["_label"].to_numpy(float))
@@ -117,14 +119,16 @@ def score(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",), na
     clash = name in keep
     if clash:
         raise ValueError(f"{name} is among the kept columns")
-    schema = T.StructType([docs.schema[k] for k in keep] + [T.StructField(name, T.DoubleType())])
+    own = [f"c{i}" for i in range(len(keep))]  # whatever the kept columns are called
+    schema = T.StructType([T.StructField(c, docs.schema[k].dataType) for c, k in zip(own, keep, strict=True)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             got = trees.score(features(S.stats(X.split(part.column("text")))))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(got)], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(got)], names=[*own, "score"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    rows = docs.select(*(c.alias(n) for c, n in zip(named(list(keep)), own, strict=True)), "text")
+    return rows.mapInArrow(run, schema).toDF(*keep, name)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +139,5 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose score reaches the threshold stay, with their own columns only."""
-    trees = train(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    out = score(docs, trees, tuple(names), "_quality_score")
-    return out.where(F.col("_quality_score") >= THRESHOLD).select(*names)
+    trees, name = train(docs, table(spark, sf_dir, "labels")), fresh(docs, "quality_score")
+    return score(docs, trees, tuple(docs.columns), name).where(F.col(name) >= THRESHOLD).select(*named(docs.columns))

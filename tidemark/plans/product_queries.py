@@ -20,19 +20,19 @@ _LEADS = S.LEADS
 def issued(spark, sf):
     k = F.col("seq")
     names = F.array(*(F.lit(x) for x in ("mean", "lowEnd", "highEnd", "other")))
-    return readings(spark, sf).select(F.col("station_id").alias("zone"), F.element_at(names, (F.col("user_id") % 4 + 1).cast("int")).alias("scenario"), k.alias("i"), "t", F.when(k % 3 == 0, F.col("t") + HOUR).alias("source_t"), F.when(k % 97 == 0, 9999.0).otherwise(F.col("stage") / 10).alias("value"), F.when(k % 5 == 0, 2.0).otherwise(1.0).alias("scale"), F.when(k % 4 == 0, "NAVD88").when(k % 4 == 3, "other").otherwise("mllw").alias("datum"))
+    return readings(spark, sf).select(F.col("station_id").alias("zone"), F.element_at(names, (F.col("user_id") % 4 + 1).cast("int")).alias("scenario"), k.alias("i"), "t", F.when(k % 3 == 0, F.col("t") + HOUR).alias("source_t"), F.when(k % 97 == 0, 9999.0).otherwise(F.col("stage") / 10 + 0.0003).alias("value"), F.when(k % 5 == 0, 2.0).otherwise(1.0).alias("scale"), F.when(k % 4 == 0, "NAVD88").when(k % 4 == 3, "other").otherwise("mllw").alias("datum"))
 
 
-_IS = "s AS (SELECT station_id AS zone, ['mean', 'lowEnd', 'highEnd', 'other'][user_id % 4 + 1] AS scenario, seq AS i, t, CASE WHEN seq % 3 = 0 THEN t + 3600000000 END AS source_t, CASE WHEN seq % 97 = 0 THEN 9999.0 ELSE stage / 10 END AS value, CASE WHEN seq % 5 = 0 THEN 2.0 ELSE 1.0 END AS scale, CASE WHEN seq % 4 = 0 THEN 'NAVD88' WHEN seq % 4 = 3 THEN 'other' ELSE 'mllw' END AS datum FROM r)"
+_IS = "s AS (SELECT station_id AS zone, ['mean', 'lowEnd', 'highEnd', 'other'][user_id % 4 + 1] AS scenario, seq AS i, t, CASE WHEN seq % 3 = 0 THEN t + 3600000000 END AS source_t, CASE WHEN seq % 97 = 0 THEN 9999.0 ELSE stage / 10 + 0.0003::DOUBLE END AS value, CASE WHEN seq % 5 = 0 THEN 2.0 ELSE 1.0 END AS scale, CASE WHEN seq % 4 = 0 THEN 'NAVD88' WHEN seq % 4 = 3 THEN 'other' ELSE 'mllw' END AS datum FROM r)"
 _LV = "v AS (SELECT *, abs(value * scale) < 9999 AND datum <> 'other' AS good, CASE WHEN datum = 'mllw' THEN value * scale - 2.13::DOUBLE ELSE value * scale END AS navd, CASE WHEN datum = 'mllw' THEN value * scale ELSE value * scale + 2.13::DOUBLE END AS mllw FROM s WHERE scenario <> 'other')"
 
 
 def r1(spark, sf):
     out = P.selected_products(issued(spark, sf), -2.13, 0.0, 20.0, 0.5)
-    return out.select("zone", "scenario", "product", "i", "t", F.round("navd", 1).alias("navd"), F.round("mllw", 1).alias("mllw"), "clamped")
+    return out.select("zone", "scenario", "product", "i", "t", F.round(F.col("navd") + 1e-6, 1).alias("navd"), F.round(F.col("mllw") + 1e-6, 1).alias("mllw"), "clamped")
 
 
-_R1 = f"WITH {_R}, {_IS}, {_LV} SELECT zone, scenario, CASE scenario WHEN 'mean' THEN 'TWL' WHEN 'lowEnd' THEN 'TWL90p' ELSE 'TWL10p' END AS product, i, coalesce(source_t, t) AS t, CASE WHEN good THEN round(round(navd, 2), 1) + 0.0::DOUBLE END AS navd, CASE WHEN good THEN round(round(mllw, 2), 1) + 0.0::DOUBLE END AS mllw, CASE WHEN good THEN round(navd, 2) < 0 OR round(navd, 2) > 20 END AS clamped FROM v"
+_R1 = f"WITH {_R}, {_IS}, {_LV} SELECT zone, scenario, CASE scenario WHEN 'mean' THEN 'TWL' WHEN 'lowEnd' THEN 'TWL90p' ELSE 'TWL10p' END AS product, i, coalesce(source_t, t) AS t, CASE WHEN good THEN round(round(navd, 2) + 1e-6, 1) + 0.0::DOUBLE END AS navd, CASE WHEN good THEN round(round(mllw, 2) + 1e-6, 1) + 0.0::DOUBLE END AS mllw, CASE WHEN good THEN round(navd, 2) < 0 OR round(navd, 2) > 20 END AS clamped FROM v"
 
 
 def _curve(lead, i):
@@ -120,7 +120,7 @@ def r2(spark, sf):
 
 
 _ENTRIES = {
-    "B4_issued_levels": (lambda s, p: issued(s, p).select("i", S.issued_level(F.col("value"), F.col("scale"), F.col("datum"), -2.13, 0.0, 20.0, 0.5).alias("l")).select("i", F.round("l.navd", 1).alias("navd"), F.col("l.clamped").alias("clamped")), f"WITH {_R}, {_IS}, {_LV.replace(' WHERE scenario <> ' + chr(39) + 'other' + chr(39), '')} SELECT i, CASE WHEN good THEN round(round(navd, 2), 1) + 0.0::DOUBLE END AS navd, CASE WHEN good THEN round(navd, 2) < 0 OR round(navd, 2) > 20 END AS clamped FROM v"),
+    "B4_issued_levels": (lambda s, p: issued(s, p).select("i", S.issued_level(F.col("value"), F.col("scale"), F.col("datum"), -2.13, 0.0, 20.0, 0.5).alias("l")).select("i", F.round(F.col("l.navd") + 1e-6, 1).alias("navd"), F.col("l.clamped").alias("clamped")), f"WITH {_R}, {_IS}, {_LV.replace(' WHERE scenario <> ' + chr(39) + 'other' + chr(39), '')} SELECT i, CASE WHEN good THEN round(round(navd, 2) + 1e-6, 1) + 0.0::DOUBLE END AS navd, CASE WHEN good THEN round(navd, 2) < 0 OR round(navd, 2) > 20 END AS clamped FROM v"),
     "B14_water_surface": (lambda s, p: readings(s, p).select("seq", F.round(S.water_surface(F.col("stage"), F.lit("slack"), S.Thresholds()), 4).alias("out")), f"WITH {_R} SELECT seq, round(stage - CASE WHEN stage < 50 OR stage >= 224 THEN 0.0 ELSE greatest(0.0::DOUBLE, (stage - 113) * (stage - 224) * (0.75::DOUBLE / ((50 - 113) * (50 - 224))) + (stage - 50) * (stage - 224) * (0.25::DOUBLE / ((113 - 50) * (113 - 224)))) END, 4) AS out FROM r"),
     "B23_lead_coefficients": (lambda s, p: readings(s, p).select("seq", S.lead_coefficients(_lead()).alias("c")).select("seq", *(F.round(f"c.{n}", 6).alias(n) for n in ("gain", "offset", "q25"))), f"WITH {_R} SELECT seq, round({_curve(_LEAD, 1)}, 6) AS gain, round({_curve(_LEAD, 2)}, 6) AS \"offset\", round({_curve(_LEAD, 3)}, 6) AS q25 FROM r"),
     "B24_guidance": (lambda s, p: readings(s, p).select("seq", S.guidance(_lead(), F.col("stage") / 10, F.col("user_id") / 20, F.when(F.col("user_id") % 3 != 0, F.col("stage") / 11)).alias("g")).select("seq", *(F.round(F.col(f"g.{c}") + 1e-6, 2).alias(c) for c in ("central", "shifted", "quartile"))), f"WITH {_R}, c AS (SELECT *, user_id / 20.0::DOUBLE + ({_curve(_LEAD, 1)}) * (stage / 10 - user_id / 20.0::DOUBLE) + ({_curve(_LEAD, 2)}) AS c, {_curve(_LEAD, 3)} AS q, CASE WHEN user_id % 3 <> 0 AND stage / 11 <= stage / 10 + 0.05::DOUBLE THEN stage / 11 END AS low FROM r) SELECT seq, round(round(c, 3) + 1e-6, 2) AS central, round(round(c + (low - stage / 10), 3) + 1e-6, 2) AS shifted, round(round(c + q + 0.1::DOUBLE * (low - stage / 10), 3) + 1e-6, 2) AS quartile FROM c"),

@@ -1,5 +1,7 @@
 """Raster and line operators against plain loops."""
 
+import math
+
 import numpy as np
 
 from tidemark.operators import grids as O
@@ -24,14 +26,71 @@ def test_components_match_a_flood_fill(spark):
     assert O.components(spark.createDataFrame([], "y long, x long")).count() == 0
 
 
+def to_piece(p, a, b):
+    """Distance of a point to a piece of line: to its ends where the foot lies beyond them."""
+    length = math.dist(a, b)
+    if not length:
+        return math.dist(p, a)
+    along = sum((q - o) * (e - o) for q, o, e in zip(p, a, b)) / length
+    return math.dist(p, a) if along < 0 else math.dist(p, b) if along > length else math.sqrt(max(math.dist(p, a) ** 2 - along**2, 0))
+
+
 def slow(xy, tolerance):
     if len(xy) < 3:
         return list(map(tuple, xy))
-    a, b = xy[0], xy[-1]
-    d, n = b - a, np.hypot(*(b - a))
-    far = [abs(d[0] * (p[1] - a[1]) - d[1] * (p[0] - a[0])) / n if n else np.hypot(*(p - a)) for p in xy[1:-1]]
+    far = [to_piece(p, xy[0], xy[-1]) for p in xy[1:-1]]
     i = int(np.argmax(far)) + 1
-    return slow(xy[: i + 1], tolerance)[:-1] + slow(xy[i:], tolerance) if far[i - 1] > tolerance else [tuple(a), tuple(b)]
+    return slow(xy[: i + 1], tolerance)[:-1] + slow(xy[i:], tolerance) if far[i - 1] > tolerance else [tuple(xy[0]), tuple(xy[-1])]
+
+
+def test_points_beyond_the_ends_stay():
+    assert O.kept_points(np.array([[0.0, 0], [-5, 0.05], [1, 0]]), 0.1).all()
+
+
+def plain_filling(frame):
+    """Breadth-first filling, cell by cell."""
+    cells = {(r["y"], r["x"]): r for r in frame}
+    around = lambda c: [(c[0], c[1] - 1), (c[0], c[1] + 1), (c[0] - 1, c[1]), (c[0] + 1, c[1])]
+    wet = lambda c: any(cells[n]["lower_wet"] for n in around(c) if n in cells)
+    candidate = {c for c, r in cells.items() if r["candidate"]}
+    shallow = {c for c in candidate if cells[c]["shallow"]}
+
+    def spread(seeds, open_):
+        came, reached = dict.fromkeys(seeds), list(seeds)
+        for c in reached:
+            for n in around(c):
+                if n in open_ and n not in came:
+                    came[n] = c
+                    reached.append(n)
+        return reached, came
+
+    parts, done = [], set()
+    for c in sorted(shallow):
+        if c not in done:
+            members, _ = spread([c], shallow)
+            done |= set(members)
+            seeds = [m for m in members if wet(m)]
+            if seeds:
+                reached, came = spread(seeds, set(members))
+                depth = {}
+                for m in reached:
+                    depth[m] = depth[came[m]] + 1 if came[m] else 1
+                end, path = min(reached, key=lambda m: (-depth[m], m)), []
+                while end:
+                    path.insert(0, end)
+                    end = came[end]
+                parts.append((-len(members), c, path, reached))
+    parts.sort(key=lambda p: p[:2])
+    outer, _ = spread([c for c in sorted(candidate) if wet(c)], candidate)
+    return list(dict.fromkeys([c for p in parts for c in p[2]] + [c for p in parts for c in p[3]] + outer))
+
+
+def test_filling_order(spark):
+    rng = np.random.default_rng(12)
+    rows = [{"frame": f, "y": y, "x": x, "lower_wet": bool(a < 0.12), "candidate": bool(a > 0.3), "shallow": bool(b < 0.6)} for f in (1, 2) for y in range(14) for x in range(17) for a, b in [rng.random(2)]]
+    got = O.filling_order(spark.createDataFrame(rows), "frame").toPandas()
+    for f, g in got.groupby("frame"):
+        assert [tuple(c) for c in g.sort_values("place")[["y", "x"]].to_numpy().tolist()] == plain_filling([r for r in rows if r["frame"] == f])
 
 
 def test_simplified_lines(spark):

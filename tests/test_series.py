@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 
 from tidemark.operators import series as Q
-from tidemark.sources.tables import DAY, HOUR, MINUTE, readings
+from tidemark.sources.tables import DAY, HOUR, MINUTE
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,10 +15,20 @@ def frame(spark, n=400, seed=1):
     return pdf, spark.createDataFrame(pdf)
 
 
-def test_hour_slots_use_each_reading_once(spark):
-    _, df = frame(spark)
-    got = Q.hourly_slots(df).toPandas()
-    assert got.seq.is_unique and (abs(got.t - got.slot) <= 31 * MINUTE).all() and len(got)
+def test_hour_slots_go_through_the_whole_range(spark):
+    pdf, df = frame(spark, 900)
+    edge = pd.DataFrame({"seq": [1000, 1001, 1002], "station_id": "c", "t": [DAY - 30 * MINUTE, 3 * DAY - 15 * MINUTE, 3 * DAY + 40 * MINUTE], "stage": 1.0, "user_id": 0})
+    pdf = pd.concat([pdf, edge], ignore_index=True)
+    want = set()
+    for name, g in pdf.groupby("station_id"):
+        g, used = g.sort_values(["t", "seq"]), set()
+        for slot in range(-(-g.t.min() // HOUR) * HOUR, g.t.max() + 1, HOUR):
+            free = [(abs(r.t - slot), r.t, r.seq) for r in g.itertuples() if abs(r.t - slot) <= 31 * MINUTE and r.seq not in used]
+            if free:
+                used.add(min(free)[2])
+                want.add((name, slot, min(free)[2]))
+    got = {(r.station_id, r.slot, r.seq) for r in Q.hourly_slots(spark.createDataFrame(pdf)).collect()}
+    assert got == want and ("c", 3 * DAY, 1001) in got
 
 
 def test_declustered_is_greedy(spark):
@@ -32,15 +42,84 @@ def test_declustered_is_greedy(spark):
     assert got.seq.tolist() == [c.seq for c in chosen[:10]]
 
 
-def test_crest_looks_back_eight_hours_at_most(spark):
-    got = Q.phases(readings(spark, SF), 50, 113, 224).toPandas()
-    assert len(got) == readings(spark, SF).count()
-    assert (got.t - got.crest_t).between(0, 8 * HOUR).all()
-    for _, g in got.groupby("station_id"):
-        g = g.sort_values(["t", "seq"])
-        t, s = g.t.to_numpy(), g.stage.to_numpy()
-        for i in range(0, len(g), 7):
-            assert t[Q.crest_before(t, s, i)] == g.crest_t.iloc[i]
+def plain_crest(t, s, i):
+    best = i
+    for j in range(i - 1, -1, -1):
+        if t[i] - t[j] > 8 * HOUR:
+            return best
+        if np.isnan(s[j]):
+            continue
+        if np.isnan(s[best]) or s[j] > s[best] + 1e-9:
+            best = j
+        elif s[j] < s[best] - 0.4:
+            return best
+    return best
+
+
+def test_crests_step_back_row_by_row():
+    rng = np.random.default_rng(8)
+    t = np.sort(rng.integers(0, 10 * DAY, 600))
+    s = np.round(np.cumsum(rng.normal(0, 0.3, 600)), 2)
+    s[rng.random(600) < 0.1] = np.nan
+    assert Q.crests_before(t, s).tolist() == [plain_crest(t, s, i) for i in range(600)]
+    assert Q.crests_before(t[:0], s[:0]).tolist() == []
+
+
+def test_runs_and_segments_do_not_end_with_blocks(spark):
+    rows = [("a", k * HOUR, None if 200 <= k < 560 or k in (3, 4) else 1.0) for k in range(600)] + [("b", 5 * HOUR, 1.0)]
+    grid = spark.createDataFrame(rows, "station_id string, slot long, stage double")
+    runs = {(r["first"] // HOUR, r["last"] // HOUR, r.hours) for r in Q.missing_runs(grid, Q.F.col("stage").isNull(), Q.F.lit(1.0)).collect()}
+    assert runs == {(200, 559, 360.0), (3, 4, 2.0)}
+    assert {(r.station_id, r.hours) for r in Q.outages(grid, hours=Q.F.lit(1.0)).collect()} == {("a", 360.0), ("b", 0.0)}
+    tail = grid.where("slot < 400 * 3600000000L OR station_id = 'b'")
+    assert {(r.station_id, r.hours) for r in Q.outages(tail, hours=Q.F.lit(1.0), trailing=False).collect()} == {("a", 2.0), ("b", 0.0)}
+    readings_ = spark.createDataFrame([(k, "a", k * HOUR, 1.0) for k in range(900) if k not in (300, 301)], "seq long, station_id string, t long, stage double")
+    starts = Q.segments(readings_).groupBy("segment").count().collect()
+    assert {(r.segment // HOUR, r["count"]) for r in starts} == {(0, 300), (302, 598)}
+
+
+def plain_maxima(s, distance, prominence):
+    tops = []
+    i = 1
+    while i < len(s) - 1:
+        j = i
+        while j + 1 < len(s) and s[j + 1] == s[i]:
+            j += 1
+        if s[i - 1] < s[i] and j + 1 < len(s) and s[j + 1] < s[i]:
+            tops.append((i + j) // 2)
+        i = j + 1
+    kept = []
+    for p in sorted(tops, key=lambda p: (s[p], p), reverse=True):
+        if all(abs(p - q) >= distance for q in kept):
+            kept.append(p)
+    out = []
+    for p in sorted(kept):
+        lo, left = p, s[p]
+        while lo >= 0 and s[lo] <= s[p]:
+            left, lo = min(left, s[lo]), lo - 1
+        hi, right = p, s[p]
+        while hi < len(s) and s[hi] <= s[p]:
+            right, hi = min(right, s[hi]), hi + 1
+        if s[p] - max(left, right) >= prominence:
+            out.append(p)
+    return out
+
+
+def test_local_maxima():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 5, 300):
+        s = np.round(np.cumsum(rng.normal(0, 0.2, n)), 1)
+        assert Q.local_maxima(s, 6, 0.2).tolist() == plain_maxima(s, 6, 0.2)
+
+
+def test_last_readings_win_whenever_they_arrive(spark, tmp_path):
+    from tidemark.streaming.upserts import LastReadings
+
+    for n, rows in enumerate([[("a", 1, 10, 1.0), ("a", 30, 5, 2.0)], [("a", 1, 12, 3.0), ("b", 1, 1, 4.0)], [("a", 1, 11, 9.0), ("a", 30, 6, 5.0)]]):
+        spark.createDataFrame(rows, "station_id string, hour long, t long, stage double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("station_id string, hour long, t long, stage double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = LastReadings(spark, str(tmp_path), ["station_id", "hour"], ["t"], Q.F.floor(Q.F.col("hour") / 24)).take(stream).collect()
+    assert {(r.station_id, r.hour, r.stage) for r in got} == {("a", 1, 3.0), ("a", 30, 5.0), ("b", 1, 4.0)}
 
 
 def test_grid_never_bridges_a_long_gap(spark):

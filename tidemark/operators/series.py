@@ -306,6 +306,19 @@ def upper_median(rows: DataFrame, by: list[str], value: str, name: str = "median
     return ranked.join(sizes, by).where("rank_ = middle_").select(*by, F.col(value).alias(name))
 
 
+def exceeded(values: DataFrame, value: str, thresholds: DataFrame, key: str, threshold: Column, width: float = 1.0) -> DataFrame:
+    """(key, n): how many values are above each threshold: whole bins above its own by their sums, its own bin's values one by
+    one, so no side meets all of the other."""
+    bins = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.floor(F.col(value) / width).alias("bin"))
+    sums = bins.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    asked = thresholds.select(key, threshold.alias("at")).withColumn("bin", F.floor(F.col("at") / width))
+    every = sums.select("bin", "n", F.lit(0).alias("asks")).unionByName(asked.select("bin").distinct().select("bin", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asks")))
+    whole = every.groupBy("bin").agg(F.sum("n").alias("n"), F.max("asks").alias("asks"))
+    above = whole.withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("asks = 1").select("bin", "above")
+    inside = asked.join(bins, "bin").where(F.col("v") > F.col("at")).groupBy(key).agg(F.count(F.lit(1)).alias("inside"))
+    return asked.join(above, "bin").join(inside, key, "left").select(key, (F.col("above") + F.coalesce("inside", F.lit(0))).alias("n"))
+
+
 def resolution(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, minutes): the upper median of the positive gaps between readings."""
     gap = (F.col("t") - F.lag("t").over(Window.partitionBy(*by).orderBy("t"))) / MINUTE

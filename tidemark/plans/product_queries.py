@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import products as P
+from ..operators import series as Q
 from ..sources.tables import HOUR, daily_peaks, readings, table
 
 _R = "r AS (SELECT event_id AS seq, event_type AS station_id, epoch_us(ts) AS t, value AS stage, user_id FROM events)"
@@ -140,6 +141,7 @@ _ENTRIES = {
     "R4_without_low_end": (lambda s, p: P.guidance_rows(products_of(s, p)[0], products_of(s, p)[1].limit(0), F.lit(False), F.lit(0.0)).groupBy("zone").agg(F.count(F.when(F.col("available"), 1)).alias("central"), F.count("quartile").alias("quartiles")), f"{_G.replace('length(zone) % 2 = 0 AS adj', 'false AS adj')} SELECT zone, count(*) FILTER (available) AS central, 0 AS quartiles FROM w GROUP BY 1"),
     "R5_zone_list": (lambda s, p: r2(s, p).groupBy("zone").agg(F.count(F.lit(1)).alias("files")), "WITH z AS (SELECT DISTINCT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE 'default' END AS zone FROM orders) SELECT zone, count(*) AS files FROM z GROUP BY 1"),
     "R7_return_level": (lambda s, p: table(s, p, "part").select("p_partkey", F.posexplode(F.array(*(F.lit(y) for y in (1, 2, 5, 10, 20, 50, 100)))).alias("i", "years"), "p_retailprice").where(F.col("years") == F.element_at(F.array(F.lit(5), F.lit(100), F.lit(7)), (F.col("p_partkey") % 3 + 1).cast("int"))).select("p_partkey", "years"), "SELECT p_partkey, [5, 100][p_partkey % 3 + 1] AS years FROM part WHERE p_partkey % 3 < 2"),
+    "R9_structure_exceedance": (lambda s, p: Q.exceeded(readings(s, p), "stage", table(s, p, "customer"), "c_custkey", F.col("c_acctbal") / 100 + 0.1), f"WITH {_R}, t AS (SELECT c_custkey, c_acctbal / 100 + 0.1::DOUBLE AS a FROM customer) SELECT c_custkey, (SELECT count(*) FROM r WHERE stage > t.a) AS n FROM t"),
     "R8_published_levels": (lambda s, p: table(s, p, "part").select("p_partkey", F.explode(F.array(*(F.struct(F.lit(y).alias("years"), (F.col("p_retailprice") / 1000 + i * 0.1).alias("metres")) for i, y in enumerate((1, 2, 5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000, 10000))))).alias("l")).select("p_partkey", "l.years", F.round(F.col("l.metres") * 3.280839895, 4).alias("feet")), "SELECT p_partkey, y AS years, round((p_retailprice / 1000 + i * 0.1::DOUBLE) * 3.280839895::DOUBLE, 4) AS feet FROM part, (VALUES (0, 1), (1, 2), (2, 5), (3, 10), (4, 20), (5, 50), (6, 100), (7, 200), (8, 500), (9, 1000), (10, 2000), (11, 5000), (12, 10000)) v(i, y)"),
 }
 

@@ -140,6 +140,9 @@ _ENTRIES = {
     "E1_outages": (lambda s, p: Q.outages(_grid(s, p)), f"{_GRID}, m AS (SELECT station_id, slot, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station_id ORDER BY slot) AS island, 0 AS day, max(slot) OVER (PARTITION BY station_id) AS e FROM o), l AS (SELECT station_id, day, island, count(*) * 0.25 AS h, max(slot) = max(e) AS trails FROM m WHERE stage IS NULL GROUP BY ALL) SELECT o.station_id, CAST(coalesce(max(h), 0) AS DOUBLE) AS hours FROM (SELECT DISTINCT station_id FROM o) o LEFT JOIN l USING (station_id) GROUP BY 1"),
     "E2_long_outage": (lambda s, p: Q.outages(_grid(s, p)).withColumn("long_outage", F.col("hours") > 12).select("station_id", "long_outage"), f"{_GRID}, m AS (SELECT station_id, slot, stage, sum(CASE WHEN stage IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY station_id ORDER BY slot) AS island, 0 AS day, max(slot) OVER (PARTITION BY station_id) AS e FROM o), l AS (SELECT station_id, day, island, count(*) * 0.25 AS h, max(slot) = max(e) AS trails FROM m WHERE stage IS NULL GROUP BY ALL) SELECT o.station_id, coalesce(max(h), 0) > 12 AS long_outage FROM (SELECT DISTINCT station_id FROM o) o LEFT JOIN l USING (station_id) GROUP BY 1"),
     "E3_displayed_outage": (e3, _E3),
+    "E4_phase": (lambda s, p: Q.phases(readings(s, p), TH.minor, TH.moderate, TH.major).select("seq", "phase"), f"{_E7} SELECT seq, phase FROM z"),
+    "E5_crest": (lambda s, p: Q.phases(readings(s, p), TH.minor, TH.moderate, TH.major).select("seq", "crest_t", "crest_stage"), f"{_E7} SELECT seq, crest_t, crest_stage FROM z"),
+    "E6_elapsed": (lambda s, p: Q.phases(readings(s, p), TH.minor, TH.moderate, TH.major).select("seq", F.round("elapsed_min", 3).alias("minutes")), f"{_E7} SELECT seq, round(m, 3) AS minutes FROM z"),
     "E7_phases": (lambda s, p: Q.phases(readings(s, p), TH.minor, TH.moderate, TH.major).select("seq", "phase", "crest_t", "crest_stage", F.round("elapsed_min", 4).alias("elapsed_min")), f"{_E7} SELECT seq, phase, crest_t, crest_stage, round((t - crest_t) / 60000000.0::DOUBLE, 4) AS elapsed_min FROM z"),
     "E10_segments": (lambda s, p: Q.segments(readings(s, p)).groupBy("station_id", F.col("segment").alias("start")).agg(F.max("t").alias("end"), F.count(F.lit(1)).alias("n")), f"WITH {_R}, k AS (SELECT *, CASE WHEN t - lag(t) OVER w > 5400000000 THEN 1 ELSE 0 END AS cut FROM r WINDOW w AS (PARTITION BY station_id ORDER BY t, seq)), z AS (SELECT *, sum(cut) OVER (PARTITION BY station_id ORDER BY t, seq) AS segment FROM k) SELECT station_id, min(t) AS start, max(t) AS \"end\", count(*) AS n FROM z GROUP BY station_id, segment"),
     "E10_segment_peaks": (lambda s, p: Q.segment_peaks(readings(s, p)), None),

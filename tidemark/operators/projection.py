@@ -1,7 +1,7 @@
 """Exceedance projections: trend curves, smoothed distributions, year-block bootstrap, and look-ups in the cube.
 
-Peaks are counted into (year, bin) cells first, so what a task holds is bounded by the grid and the number of years, not by
-the number of peaks. Replicates are dealt over tasks in chunks.
+Peaks are counted into (year, bin) cells first, and the grid has only bins near an occupied one, so what a task holds follows the
+number of distinct cells, neither the number of peaks nor their range. Replicates are dealt over tasks in chunks.
 """
 
 from __future__ import annotations
@@ -32,44 +32,65 @@ def quadratic_deltas(rows: DataFrame, by: str, x: Column, y: Column, years: Colu
     return fits.select(by, "year", F.round(F.greatest(F.lit(0.0), F.col("a") * n * n + F.col("b") * n), 4).alias("delta"))
 
 
-def smoothed(histogram: np.ndarray, bandwidth: float, step: float = STEP) -> np.ndarray:
-    """Cumulative shares of a histogram spread by a Gaussian cut at six bandwidths; zeros for an empty one."""
+def bandwidth(value: str) -> Column:
+    """An aggregate: the bandwidth of a Gaussian for the values, 0.02 at least, 0.05 where they don't spread."""
+    s = F.stddev_samp(value)
+    return F.when(s > 0, F.greatest(F.lit(0.02), 1.06 * s * F.pow(F.count(value), F.lit(-0.2)))).otherwise(0.05)
+
+
+def kernel(bandwidth: float, step: float = STEP) -> np.ndarray:
+    """A Gaussian on the grid, cut at six bandwidths, of sum one."""
     reach = int(np.ceil(6 * bandwidth / step))
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) * step / bandwidth) ** 2)
-    size = 1 << (len(histogram) + 2 * reach).bit_length()
-    spread = np.fft.irfft(np.fft.rfft(histogram, size) * np.fft.rfft(kernel / kernel.sum(), size), size)
-    total = np.cumsum(np.maximum(spread[reach : reach + len(histogram)], 0))
-    return total / total[-1] if total[-1] > 0 else np.zeros(len(histogram))
+    out = np.exp(-0.5 * (np.arange(-reach, reach + 1) * step / bandwidth) ** 2)
+    return out / out.sum()
+
+
+def stretches(bins: np.ndarray, reach: int) -> list[np.ndarray]:
+    """Bins that the kernel spreads over, stretch by stretch: those within ``reach`` of an occupied one, so the grid follows the
+    number of occupied bins and not their range. Between two stretches the cumulative share is flat."""
+    cuts = np.flatnonzero(np.diff(bins) > 2 * reach + 1) + 1
+    return [np.arange(part[0] - reach, part[-1] + reach + 1) for part in np.split(bins, cuts)]
+
+
+def spread(histogram: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The histogram (zero within the kernel's reach of its ends) convolved with the kernel, never below zero."""
+    size = 1 << (len(histogram) + len(weights)).bit_length()
+    reach = len(weights) // 2
+    out = np.fft.irfft(np.fft.rfft(histogram, size) * np.fft.rfft(weights, size), size)
+    return np.maximum(out[reach : reach + len(histogram)], 0)
 
 
 def exceedance(peaks: DataFrame, thresholds: DataFrame, draws: int = DRAWS, seed: int = SEED, chunks: int = 16) -> DataFrame:
     """(threshold, estimate, lower, upper): the share of peaks above, with the 95 % interval over resampled years.
 
     ``peaks`` has year and peak, ``thresholds`` has threshold. Null peaks are left out; below two peaks or two years there
-    is no row. One row (the bandwidth and the ends) comes to the driver.
+    is no row. One row (the bandwidth and the counts) comes to the driver.
     """
     peaks = peaks.where(F.col("year").isNotNull() & (F.abs("peak") < float("inf"))).select("year", "peak")
     wanted = thresholds.select(F.col("threshold").cast("double")).where(F.abs("threshold") < float("inf")).distinct()
-    one = peaks.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("peak").alias("s"), F.min("peak").alias("lo"), F.max("peak").alias("hi"), F.count_distinct("year").alias("years")).first()
-    ends = wanted.agg(F.min("threshold").alias("lo"), F.max("threshold").alias("hi")).first()
-    if one.n < 2 or one.years < 2 or ends.lo is None:
+    one = peaks.agg(F.count(F.lit(1)).alias("n"), bandwidth("peak").alias("width"), F.count_distinct("year").alias("years")).first()
+    if one.n < 2 or one.years < 2:
         return wanted.select("threshold", *(F.lit(0.0).alias(c) for c in ("estimate", "lower", "upper"))).limit(0)
-    width = max(0.02, 1.06 * one.s * one.n**-0.2) if one.s and one.s > 0 else 0.05
-    first, last = (int(np.floor((min(one.lo, ends.lo) - 6 * width) / STEP)), int(np.ceil((max(one.hi, ends.hi) + 6 * width) / STEP)))
     counts = peaks.groupBy("year", F.floor(F.col("peak") / STEP + 0.5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     ids = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
-    years, grid = int(one.years), np.arange(first, last + 1) * STEP
+    years, weights_ = int(one.years), kernel(one.width)
 
     def replicate(cells: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
         at = np.sort(points["threshold"].to_numpy())
-        table = np.zeros((years, len(grid)), np.float32)
+        bins, column = np.unique(cells["bin"].to_numpy(), return_inverse=True)
+        parts = stretches(bins, len(weights_) // 2)
+        grid = np.concatenate(parts)
+        edges, place = np.cumsum([0, *map(len, parts)]), np.searchsorted(grid, bins)
         _, row = np.unique(cells["year"], return_inverse=True)
-        np.add.at(table, (row, cells["bin"].to_numpy() - first), cells["n"].to_numpy())
+        n = cells["n"].to_numpy(float)
         chunk, out = int(cells["chunk"].iloc[0]), []
         weights = np.random.default_rng(seed).multinomial(years, np.ones(years) / years, draws)
         turns = [(k, weights[k]) for k in range(chunk, draws, chunks)] + ([(-1, np.ones(years))] if chunk == 0 else [])
         for k, w in turns:
-            share = 1 - np.interp(at, grid, smoothed(w @ table, width), left=0, right=1)
+            held = np.zeros(len(grid))
+            held[place] = np.bincount(column, w[row] * n, len(bins))
+            total = np.cumsum(np.concatenate([spread(held[lo:hi], weights_) for lo, hi in zip(edges[:-1], edges[1:])]))
+            share = 1 - np.interp(at, grid * STEP, total / total[-1] if total[-1] > 0 else total, left=0, right=1)
             out.append(pd.DataFrame({"draw": k, "threshold": at, "share": share}))
         return pd.concat(out) if out else pd.DataFrame({"draw": [], "threshold": [], "share": []})
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import projection as P
 from ..operators import series as Q
 from ..streaming.upserts import LastReadings
 from ..sources.tables import DAY, HOUR, MINUTE, checkpoints, daily_peaks, forecast, readings, scratch, table
@@ -164,7 +165,7 @@ _ENTRIES = {
         f"WITH {_R}, e AS (SELECT unnest(generate_series(0, 490, 10)) AS elevation) SELECT elevation, count(stage) AS n FROM e LEFT JOIN r ON stage > elevation + 0.1::DOUBLE GROUP BY 1",
     ),
     "F23_upper_median": (lambda s, p: Q.upper_median(table(s, p, "customer"), ["c_nationkey"], "c_acctbal"), "SELECT c_nationkey, list_sort(list(c_acctbal))[count(*) // 2 + 1] AS median FROM customer GROUP BY 1"),
-    "G2_bandwidth": (lambda s, p: readings(s, p).groupBy("station_id").agg(F.round(F.greatest(F.lit(0.02), 1.06 * F.stddev_samp("stage") * F.pow(F.count(F.lit(1)), F.lit(-0.2))), 4).alias("bandwidth")), f"WITH {_R} SELECT station_id, round(greatest(0.02::DOUBLE, 1.06::DOUBLE * stddev_samp(stage) * pow(count(*), -0.2::DOUBLE)), 4) AS bandwidth FROM r GROUP BY 1"),
+    "G2_bandwidth": (lambda s, p: readings(s, p).groupBy("station_id").agg(F.round(P.bandwidth("stage"), 4).alias("bandwidth")).unionByName(readings(s, p).where("seq < 2").groupBy("station_id").agg(F.round(P.bandwidth("stage"), 4).alias("bandwidth"))), f"WITH {_R} SELECT station_id, round(greatest(0.02::DOUBLE, 1.06::DOUBLE * stddev_samp(stage) * pow(count(*), -0.2::DOUBLE)), 4) AS bandwidth FROM r GROUP BY 1 UNION ALL SELECT station_id, CASE WHEN count(*) > 1 AND stddev_samp(stage) > 0 THEN round(greatest(0.02::DOUBLE, 1.06::DOUBLE * stddev_samp(stage) * pow(count(*), -0.2::DOUBLE)), 4) ELSE 0.05 END FROM r WHERE seq < 2 GROUP BY 1"),
     "H1_declustered": (h1, _H1),
     "H3_top_events": (h3, f"WITH {_D}, o AS (SELECT * FROM d WHERE day NOT IN (DATE '1995-03-15', DATE '1996-08-23') QUALIFY row_number() OVER (PARTITION BY day ORDER BY source DESC, peak DESC, seq) = 1) SELECT row_number() OVER (ORDER BY peak DESC, day) AS rank, strftime(day, '%Y-%m-%d') AS day, peak, source FROM o ORDER BY peak DESC, o.day LIMIT 10"),
     "H4_best_crest": (lambda s, p: Q.precedence(daily_peaks(s, p), ["day"], [F.desc("source"), F.desc("peak"), F.col("seq")]).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "peak", "seq"), f"WITH {_D} SELECT strftime(day, '%Y-%m-%d') AS day, peak, seq FROM d QUALIFY row_number() OVER (PARTITION BY d.day ORDER BY source DESC, peak DESC, seq) = 1"),

@@ -197,7 +197,7 @@ def slow_matches(docs, items, coverage=0.5):
 
 def test_decontamination_matches_all_pairs(spark):
     bench, docs = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
-    docs = docs[docs.text.str.len() < 3000].head(60)
+    docs = docs[docs.text.str.len() < 2000].head(25)
     rows, items = list(zip(docs.doc_id.tolist(), docs.text.tolist())), list(zip(bench.item_id.tolist(), bench.text.tolist()))
     rng = np.random.default_rng(6)
     for n, (_, text) in enumerate(items[:8]):
@@ -243,7 +243,7 @@ def test_stages_keep_clashing_columns(spark, tmp_path):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     names = ["secret_row", "secret_live", "secret_spans", "kept", "_kept", "leak", "_leak", "quality_score", "_quality_score", "copies", "root", "a.b", "KEPT", "score", "h", "size"]
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(80)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for n in names:
         if n.lower() not in {c.lower() for c in docs.columns}:
             docs = docs.withColumn(n, docs.doc_id * 2)

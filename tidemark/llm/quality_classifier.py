@@ -120,14 +120,15 @@ def score(docs: DataFrame, trees: Trees, keep: tuple[str, ...] = ("doc_id",), na
     if clash:
         raise ValueError(f"{name} is among the kept columns")
     own = [f"c{i}" for i in range(len(keep))]  # whatever the kept columns are called
+    text = own[keep.index("text")] if "text" in keep else "text"  # a text goes to the task once
     schema = T.StructType([T.StructField(c, docs.schema[k].dataType) for c, k in zip(own, keep, strict=True)] + [T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in X.slices(batches):
-            got = trees.score(features(S.stats(X.split(part.column("text")))))
+        for part in X.slices(batches, text):
+            got = trees.score(features(S.stats(X.split(part.column(text)))))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in own), pa.array(got)], names=[*own, "score"])
 
-    rows = docs.select(*(c.alias(n) for c, n in zip(named(list(keep)), own, strict=True)), "text")
+    rows = docs.select(*(c.alias(n) for c, n in zip(named(list(keep)), own, strict=True)), *([] if "text" in keep else ["text"]))
     return rows.mapInArrow(run, schema).toDF(*keep, name)
 
 

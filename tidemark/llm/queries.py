@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, language, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, toxicity
+from . import chat_format, decontamination, language, near_dedup, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_alignment, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_packing": packing.op9_packing,
         "op10_language": language.op10_language,
+        "op11_token_alignment": token_alignment.op11_token_alignment,
+        "op12_url_filter": url_filter.op12_url_filter,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": chat_format.OP3_SQL}
+    return {"op3_chat_format": chat_format.OP3_SQL, "op12_url_filter": url_filter.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}

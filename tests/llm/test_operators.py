@@ -165,17 +165,42 @@ def test_near_dedup(spark, awkward):
     assert got == want
 
 
+def in_one_band(spark, rows, least):
+    """Classes of the texts (id, text), all of which share one band, and those by all pairs."""
+    texts = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "id AS tag", "text")
+    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
+    found = near_dedup.linked(texts.selectExpr("7L AS key", "id", "tag"), near_dedup.signatures(texts, idf), texts, idf, least).collect()
+    got = {i: i for i, _ in rows} | {r.n.id: r.root.id for r in found}
+    root = {i: i for i, _ in rows}
+    for i, x in rows:
+        alike = near_dedup.similarity(near_dedup.pa.array([x] * len(rows)), near_dedup.pa.array([t for _, t in rows]), idf) >= least
+        for (j, _), a in zip(rows, alike, strict=True):
+            if a and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = {k: lo if v == hi else v for k, v in root.items()}
+    return got, root
+
+
 def test_near_dedup_compares_all_of_a_band(spark):
     rng = np.random.default_rng(5)
-    rows = [(1, 0, text_of(rng, 100))]
+    rows = [(1, text_of(rng, 100))]
     for k in range(2, 10, 2):
         base = text_of(rng, 100)
-        rows += [(k, 0, base), (k + 1, 0, base + " end")]
-    texts = spark.createDataFrame(rows, "id long, tag long, text string")
-    band = texts.selectExpr("7L AS key", "id", "tag")
-    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
-    got = near_dedup.linked(band, texts, idf, 0.8).collect()
-    assert {(r.n.id, r.root.id) for r in got} == {(k + d, k) for k in range(2, 10, 2) for d in (0, 1)}
+        rows += [(k, base), (k + 1, base + " end")]
+    got, want = in_one_band(spark, rows, 0.8)
+    assert got == want == {1: 1} | {k + d: k for k in range(2, 10, 2) for d in (0, 1)}
+
+
+def test_near_dedup_links_across_small_bands(spark):
+    """Two linked pairs of one band, whose only link between them is not between their first texts."""
+    words = text_of(np.random.default_rng(8), 400).split()
+    change = lambda *spots: " ".join(f"z{k}" if k in spots else w for k, w in enumerate(words))
+    rows = [(1, change(10, 20, 30)), (2, change(10, 200)), (3, change(200, 300, 310, 320, 330)), (4, change(200, 320, 210))]
+    got, want = in_one_band(spark, rows, 0.9)
+    assert got == want
+    for least in np.linspace(0.8, 0.99, 6):
+        got, want = in_one_band(spark, rows, least)
+        assert got == want, least
 
 
 def test_near_dedup_recall(spark):
@@ -192,9 +217,10 @@ def test_near_dedup_recall(spark):
     assert links and found >= 0.98 * links
 
 
-@pytest.mark.parametrize("block", [3, 512])
-def test_near_dedup_in_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", block)
+@pytest.mark.parametrize("block, tile, held", [(3, 2, 10**9), (7, 512, 300), (2048, 512, 500_000)])
+def test_near_dedup_in_blocks(spark, monkeypatch, block, tile, held):
+    for name, value in (("BLOCK_TEXTS", block), ("TILE_TEXTS", tile), ("TILE_SHINGLES", held)):
+        monkeypatch.setattr(near_dedup, name, value)
     rng = np.random.default_rng(9)
     rows = []
     for k in range(8):
@@ -203,29 +229,24 @@ def test_near_dedup_in_blocks(spark, monkeypatch, block):
             words = base.copy()
             for at in rng.integers(0, len(words), d):
                 words[at] = f"x{k}{d}"
-            rows.append((10 * k + d, 0, " ".join(words)))
-    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
-    texts = spark.createDataFrame(rows, "id long, tag long, text string")
-    many = texts.selectExpr("1L AS h", "id", "tag", "struct(id, tag) AS root", f"{len(rows)}L AS size")
-    root = {r[0]: r[0] for r in rows}
+            rows.append((10 * k + d, " ".join(words)))
+    order = rng.permutation(len(rows))
+    rows = [(int(order[i]), t) for i, (_, t) in enumerate(rows)]
+    got, want = in_one_band(spark, rows, 0.8)
+    assert got == want and len(set(want.values())) > 8
 
-    def find(i):
-        return i if root[i] == i else find(root[i])
-
-    want = dict(root)
-    for a, _, x in rows:
-        for b, _, y in rows:
-            if a < b and near_dedup.similarity(near_dedup.pa.array([x]), near_dedup.pa.array([y]), idf)[0] >= 0.8:
-                root[find(b)] = find(a)
-    want = {i: find(i) for i in root}
-    root = {r[0]: r[0] for r in rows}
-    got = near_dedup.in_blocks(many, texts, idf, 0.8).collect()
-    assert len(got) <= len(rows) * (-(-len(rows) // block) + 1)
-    for r in got:
-        lo, hi = sorted((find(r.a_id), find(r.b_id)))
-        root[hi] = lo
-    same = lambda of: sorted(sorted(i for i in of if of[i] == v) for v in set(of.values()))
-    assert same({i: find(i) for i in root}) == same(want)
+
+def test_bins_bound_the_similarity():
+    rng = np.random.default_rng(4)
+    base = text_of(rng, 120).split()
+    texts = [" ".join(w if rng.random() > r else "q" for w in base) for r in np.linspace(0, 0.3, 25)]
+    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
+    column = near_dedup.pa.array(texts)
+    w = near_dedup.X.split(column)
+    doc, h, count = near_dedup.shingles(w)
+    bins = np.bincount(doc * near_dedup.BINS + near_dedup.bin_of(h), count * idf(h), w.n * near_dedup.BINS).astype(np.float32).reshape(w.n, -1)
+    for least in (0.3, 0.6, 0.8, 0.95):
+        assert (near_dedup.reachable(bins, bins, least) >= near_dedup.similar(column, idf, least)).all()
 
 
 def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import docstats as S
 from . import textops as X
-from .common import NO_ID, documents, fresh, keyed, named, store, table
+from .common import NO_ID, documents, fresh, keyed, named, store, table, tag_of
 
 WINDOW, LITERALS, COVERAGE, REACH = 8, 4, 0.5, 16
 BLOCK = 250_000
@@ -150,7 +150,7 @@ ITEM = ["item_id", "item_tag"]
 def items(benchmark: DataFrame, coverage: float) -> DataFrame:
     """The benchmark's windows: ITEM, item_place, width, window, item_fillers, n_windows, and whether they propose a pair."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("tag"), text.alias("text")).distinct()
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("id"), tag_of(text).alias("tag"), text.alias("text")).distinct()
     own = windows(rows).select(F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), F.col("place").alias("item_place"), "width", "window", F.col("fillers").alias("item_fillers"))
     common = own.groupBy("window", "width").agg(F.count(F.lit(1)).alias("common"))
     rank = F.row_number().over(Window.partitionBy(*ITEM).orderBy("common", "window", "item_place"))
@@ -203,5 +203,5 @@ def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     leak = fresh(docs, "leak")
     bad = matches(docs, table(spark, sf_dir, "benchmark")).select(F.struct("id", "tag").alias(leak)).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(text.cast("binary")).alias("tag"))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag_of(text).alias("tag"))
     return docs.withColumn(leak, key).join(bad, leak, "left_anti").select(*named(docs.columns))

@@ -7,11 +7,10 @@ hold it), the share taken as ``SHARE`` at least. So only shingles above that sha
 Equal word sequences are one node. A node's weighted set is dealt into ``BINS`` bins by shingle hash, and each bin gives
 the improved consistent weighted sample of its shingles (an empty bin takes the next one's, marked by the distance).
 ``ROWS`` samples make a band. Nodes that share a band are linked to the first node there and to the one before them, in
-order of doc_id, never pair by pair; links are verified by the exact weighted Jaccard similarity of whole texts.
-Connected components follow; where a band still spans several components, their first nodes there are linked in the same
-way, ``CHAINED`` rounds in all. Then each text of such a band is verified with the first one of every other
-component there; in bands of more than ``FEW_ROOTS`` components all texts are compared, in blocks that return a forest of the
-links and not the pairs.
+order of doc_id, never pair by pair; links are verified by the exact weighted Jaccard similarity of whole texts, and
+connected components follow. Then all texts of a band that stand in different components are compared: the weights of the
+bins bound the similarity from above, block by block, and the texts of pairs that may reach it are compared exactly, in
+tasks that return a forest of the links and not the pairs. So every similar pair of a band ends in one class.
 
 Defined results: texts without words are equal to each other; a text shorter than a shingle is one shingle; a row in
 gives a row out, also for repeated rows and null ids (an id of null is never a class id unless its class has no other);
@@ -30,16 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .common import NO_ID, documents, fresh, keyed, named, split_join, store
+from .common import NO_ID, documents, fresh, keyed, named, split_join, store, tag_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 SHARE = 0.01
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 CELL_BLOCK = 4096  # cells of a sketch that are added up together
-CHAINED = 2  # rounds of pairs along the bands, before all that is left is compared
 PART_ROWS = 4096  # rows of a band that are chained in one task, about
-FEW_ROOTS, BLOCK_TEXTS = 4, 512  # components of a band: with up to so many each text is paired, else texts meet in blocks
+BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 2048, 512, 500_000  # texts of a band whose bins meet in one task; texts that meet whole
 KEPT_BITS = 44  # of a shingle's hash; the rest of a word holds the document's place in its slice
 PAIR = ["a_id", "a_tag", "b_id", "b_tag"]
 _SALTS = X.mix(np.arange(1, 7, dtype=np.uint64) * X.U(0x9E3779B97F4A7C15))
@@ -124,6 +122,10 @@ def uniform(h: np.ndarray, k: int) -> np.ndarray:
     return ((X.mix(h ^ _SALTS[k]) >> X.U(11)).astype(float) + 0.5) / (1 << 53)
 
 
+def bin_of(h: np.ndarray) -> np.ndarray:
+    return (h >> X.U(KEPT_BITS - 7)).astype(np.int64)
+
+
 def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """n x BINS sample ids; rows without shingles are 0."""
     out, filled = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
@@ -132,7 +134,7 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
         c = -np.log(uniform(h, 2) * uniform(h, 3))
         t = np.floor(np.log(weight) / r + uniform(h, 4))
         rank = np.log(c) - r * (t - uniform(h, 4)) - r
-        cell = doc * BINS + (h >> X.U(KEPT_BITS - 7)).astype(np.int64)
+        cell = doc * BINS + bin_of(h)
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         least = np.minimum.reduceat(rank, head)
         hit = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(head, len(cell)))))[::-1]
@@ -160,18 +162,23 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, idf: Idf) -> DataFrame:
-    """(id, tag, node, bands) of (id, tag, text) rows; node: 128 bits of the word sequence."""
-    schema = "id long, tag long, node binary, bands array<long>"
+    """(id, tag, node, bands, bins, shingles) of (id, tag, text) rows; node: 128 bits of the word sequence; bins: the weight in
+    each bin, as single floats."""
+    schema = "id long, tag long, node binary, bands array<long>, bins binary, shingles long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             w = X.split(part.column("text"))
             doc, h, count = shingles(w)
-            key = bands(samples(doc, h, count * idf(h), w.n)).astype(np.int64)
+            weight = count * idf(h)
+            key = bands(samples(doc, h, weight, w.n)).astype(np.int64)
+            held = np.bincount(doc * BINS + bin_of(h), weight, w.n * BINS).astype(np.float32).reshape(w.n, BINS)
             other = X.mix(w.hash ^ X.U(0x0F0F0F0F0F0F0F0F))
             node = np.stack([X.spans_hash(x, w.first[:-1], w.first[1:]) for x in (w.hash, other)], 1)
             lists = pa.ListArray.from_arrays(pa.array((np.arange(w.n + 1) * BANDS).astype(np.int32)), pa.array(key.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([x.tobytes() for x in node], pa.binary()), lists], names=["id", "tag", "node", "bands"])
+            binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+            total = pa.array(np.bincount(doc, count, w.n).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), binary(node), lists, binary(held), total], names=["id", "tag", "node", "bands", "bins", "shingles"])
 
     return rows.mapInArrow(run, schema)
 
@@ -218,38 +225,71 @@ def chained(rows: DataFrame) -> DataFrame:
     return pairs.select(F.col("a.id").alias("a_id"), F.col("a.tag").alias("a_tag"), F.col("id").alias("b_id"), F.col("tag").alias("b_tag")).distinct()
 
 
-def across(live: DataFrame, firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is left of the rows (key, n, root) in keys of several roots: where these are few, pairs, a before b, of each text with
-    the first one of every other root of its key; and the rows (h, id, tag, root, size) of the other keys, for ``in_blocks``."""
-    roots = firsts.groupBy("key").agg(F.count(F.lit(1)).alias("roots"))
-    sizes = live.groupBy("key").agg(F.count(F.lit(1)).alias("size")).join(roots, "key")
-    rows = store(split_join(live, sizes, "key", "size"), "near-left")
-    few = rows.where(F.col("roots") <= FEW_ROOTS).select("key", "n", "root")
-    other = firsts.select("key", F.struct("id", "tag").alias("m"), F.col("root").alias("other"))
-    pairs = few.join(other, "key").where("root <> other").select(F.least("n", "m").alias("a"), F.greatest("n", "m").alias("b"))
-    pairs = pairs.select(F.col("a.id").alias("a_id"), F.col("a.tag").alias("a_tag"), F.col("b.id").alias("b_id"), F.col("b.tag").alias("b_tag")).distinct()
-    return pairs, rows.where(F.col("roots") > FEW_ROOTS).select(F.col("key").alias("h"), "n.id", "n.tag", "root", "size")
+def tiles(size: np.ndarray, most: int, shingles: int) -> list[slice]:
+    """Runs of at most ``most`` texts and about so many shingles."""
+    edges, held = [0], 0
+    for k, n in enumerate(size.tolist()):
+        if k > edges[-1] and (k - edges[-1] >= most or held + n > shingles):
+            edges.append(k)
+            held = 0
+        held += n
+    return [slice(a, b) for a, b in zip(edges, [*edges[1:], len(size)], strict=True)]
+
 
+def reachable(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which texts of a and of b may be as similar as ``least``: in no bin do they share more than the smaller weight."""
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for k in range(BINS):
+        shared += np.minimum(a[:, k, None], b[None, :, k])
+    total = a.sum(1)[:, None] + b.sum(1)[None, :]
+    return shared * (1 + 1e-4) >= least * (total - shared)
 
-def in_blocks(many: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
-    """Links (PAIR) that join all similar texts of the rows (h, id, tag, root, size) of one h: the texts of an h are dealt into
-    blocks, each block meets each other one in a task of its own, and a task returns a forest, never its pairs."""
+
+def candidates(live: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """(key, lo, hi, tile, id, tag) of the texts that may be similar to a text of another component of their key. ``live``:
+    (key, n, root, size) rows of keys of several components. The texts of a key are dealt into blocks, each block meets each
+    other one with their bins alone; pairs of one component count for nothing, and what may be similar is told tile by tile."""
     blocks = F.ceil(F.col("size") / BLOCK_TEXTS)
-    placed = many.withColumns({"mine": F.pmod(F.xxhash64("id", "tag"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    placed = placed.select("h", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "id", "tag", "root")
+    rows = live.select("key", "n.id", "n.tag", F.xxhash64("root").alias("root"), "size").join(signed.select("id", "tag", "bins", "shingles"), ["id", "tag"])
+    placed = rows.withColumns({"mine": F.pmod(F.xxhash64("id", "tag"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    placed = placed.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "tag", "root", "bins", "shingles")
+    names, limits = ["key", "lo", "hi", "tile", "id", "tag"], (TILE_TEXTS, TILE_SHINGLES)
+
+    def cut(table: pa.Table) -> pa.Table:
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        mine, root = table.column("mine").to_numpy(), table.column("root").to_numpy()
+        both, number = [], 0
+        sides = []
+        for block in (lo, hi):
+            at = np.flatnonzero(mine == block)
+            at = at[np.argsort(root[at], kind="stable")]
+            sides.append([at[t] for t in tiles(table.column("shingles").to_numpy()[at], *limits)] if len(at) else [])
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.float32).reshape(-1, BINS)
+        for i, a in enumerate(sides[0]):
+            for j, b in enumerate(sides[1]):
+                if lo == hi and j < i:
+                    continue
+                apart = root[a][:, None] != root[b][None, :]
+                if apart.any():
+                    apart &= reachable(bins[a], bins[b], least)
+                    some = np.union1d(a[apart.any(1)], b[apart.any(0)])
+                    both.append(np.stack([some, np.full(len(some), number)], 1))
+                    number += 1
+        at = np.concatenate(both).astype(np.int64) if both else np.zeros((0, 2), np.int64)
+        return pa.table([table.column(c).take(at[:, 0]) if c != "tile" else pa.array(at[:, 1]) for c in names], names=names)
+
+    return placed.groupBy("key", "lo", "hi").applyInArrow(cut, ", ".join(f"{c} long" for c in names))
+
+
+def in_tiles(rows: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
+    """Links (PAIR) that join all similar texts of each tile of ``candidates``: a forest, never the pairs."""
 
     def links(table: pa.Table) -> pa.Table:
-        root = table.column("root").combine_chunks()
-        roots = np.stack([root.field(k).to_numpy(zero_copy_only=False) for k in ("id", "tag")], 1)
         ids, tags = (table.column(c).to_numpy() for c in ("id", "tag"))
-        if (roots == roots[0]).all():
-            a = b = np.zeros(0, np.int64)
-        else:
-            a, b = forest(similar(table.column("text"), idf, least))
+        a, b = forest(similar(table.column("text"), idf, least))
         return pa.table([pa.array(x) for x in (ids[a], tags[a], ids[b], tags[b])], names=PAIR)
 
-    rows = placed.join(texts.select("id", "tag", "text"), ["id", "tag"])
-    return rows.groupBy("h", "lo", "hi").applyInArrow(links, ", ".join(f"{c} long" for c in PAIR))
+    return rows.join(texts.select("id", "tag", "text"), ["id", "tag"]).groupBy("key", "lo", "hi", "tile").applyInArrow(links, ", ".join(f"{c} long" for c in PAIR))
 
 
 def similar(column: pa.Array, idf: Idf, least: float) -> np.ndarray:
@@ -313,45 +353,36 @@ def components(edges: DataFrame) -> DataFrame:
         was = mark
 
 
-def linked(shared: DataFrame, rows: DataFrame, idf: Idf, least: float) -> DataFrame:
+def linked(shared: DataFrame, signed: DataFrame, rows: DataFrame, idf: Idf, least: float) -> DataFrame:
     """(n, root) of the components of the texts of ``shared`` (key, id, tag) that share a key and are similar."""
     texts = store(rows.join(shared.select("id", "tag").distinct(), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]), "near-texts")
     ends = lambda p: p.select(F.struct(F.col("a_id").alias("id"), F.col("a_tag").alias("tag")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_tag").alias("tag")).alias("b"))
-    pairs = store(chained(shared), "near-pairs")
-    live, tried, stars, last, rounds = shared.select("key", F.struct("id", "tag").alias("n")), pairs, None, False, 0
-    while True:
-        rounds += 1
-        new = store(verified(pairs, texts, idf, least), "near-links")
-        edges = ends(new) if not last else ends(new.unionByName(links))
-        stars = components(edges if stars is None else edges.unionByName(stars))
-        labels = stars.select(F.col("b").alias("n"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("n"), F.col("a").alias("root")).distinct())
-        if last:
-            return labels
-        # only keys that span several components stay in play
-        placed = store(live.join(labels, "n", "left").select("key", "n", F.coalesce("root", "n").alias("root")), "near-placed")
-        several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-        live = store(split_join(placed, several, "key", "size").select("key", "n", "root"), "near-live")
-        firsts = store(live.groupBy("key", "root").agg(F.min("n").alias("n")).select("key", "n.id", "n.tag", "root"), "near-firsts")
-        pairs = store(chained(firsts.select("key", "id", "tag")).join(tried, PAIR, "left_anti"), "near-pairs")
-        if rounds == CHAINED or pairs.isEmpty() or new.isEmpty():  # then each text with all components of its keys
-            rest, many = across(live, firsts)
-            pairs, links, last = store(rest.join(tried, PAIR, "left_anti"), "near-across"), store(in_blocks(many, texts, idf, least), "near-blocks"), True
-        tried = tried.unionByName(pairs)
-        live = live.select("key", "n")
+    stars = components(ends(store(verified(chained(shared), texts, idf, least), "near-links")))
+    # only keys that still span several components are in play
+    placed = store(shared.select("key", F.struct("id", "tag").alias("n")).join(labels(stars), "n", "left").select("key", "n", F.coalesce("root", "n").alias("root")), "near-placed")
+    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
+    maybe = candidates(split_join(placed, several, "key", "size"), signed.dropDuplicates(["id", "tag"]), least)
+    found = store(in_tiles(store(maybe, "near-candidates"), texts, idf, least), "near-found")
+    return labels(stars if found.isEmpty() else components(ends(found).unionByName(stars)))
+
+
+def labels(stars: DataFrame) -> DataFrame:
+    """(n, root) of every node of stars, the roots too."""
+    return stars.select(F.col("b").alias("n"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("n"), F.col("a").alias("root")).distinct())
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(id, tag, root, class_id, similar) of each row: ``root`` names its class, class_id is the least id in it and may be
     null or that of another class too; ``similar``: its text has a verified link."""
-    rows = keyed(docs).withColumn("tag", _tag("text"))
+    rows = keyed(docs)
     idf = frequent(rows)
     signed = store(signatures(rows, idf), "near-signatures")
     own = signed.groupBy("node").agg(F.min(F.struct("id", "tag", "bands")).alias("o"))
     keys = store(own.select("o.id", "o.tag", F.posexplode("o.bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", "tag"), "near-keys")
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = store(split_join(keys, held, "key", "size").drop("size"), "near-shared")  # the bands that join several texts
-    labels = linked(shared, rows, idf, least)
-    nodes = signed.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("n")).join(labels, "n", "left")
+    found = linked(shared, signed, rows, idf, least)
+    nodes = signed.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("n")).join(found, "n", "left")
     rooted = nodes.select("node", "n", F.coalesce("root", "n").alias("root"), F.col("root").isNotNull().alias("similar"))
     ids = rooted.groupBy("root").agg(F.min(_known("n.id")).alias("class_id"))
     return signed.select("id", "tag", "node").join(rooted.join(ids, "root").select("node", "root", "class_id", "similar"), "node").drop("node")
@@ -361,11 +392,6 @@ def _known(c: str) -> Column:
     return F.when(F.col(c) != NO_ID, F.col(c))
 
 
-def _tag(text: Column | str) -> Column:
-    """Tells texts apart that share an id or have none: 64 bits, as nothing else does for null ids."""
-    return F.xxhash64(text)
-
-
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its class: exact copies and documents linked by verified similarity have one class id."""
     return near_duplicates(documents(spark, sf_dir)).select(_known("id").alias("doc_id"), "class_id", "similar")
@@ -376,5 +402,5 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     found, kept = near_duplicates(docs), fresh(docs, "kept")
     first = found.groupBy("root").agg(F.min(F.struct("id", "tag")).alias(kept)).select(kept)
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), _tag(text).alias("tag"))
+    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag_of(text).alias("tag"))
     return docs.withColumn(kept, key).join(first, kept, "left_semi").dropDuplicates([kept]).select(*named(docs.columns))

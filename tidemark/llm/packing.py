@@ -54,6 +54,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
+        reserved = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.heads = sorted({t[:2] for t in reserved})  # how reserved strings begin
         self.keys, self.first, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,19 +71,31 @@ class WordEncoder:
             ids.append(np.array(got.ids, np.uint32))
         return np.concatenate(size), np.concatenate(ids)
 
+    def _folded(self, w: X.Words) -> np.ndarray:
+        """The bytes in lower case, but those of words in which a reserved string may begin."""
+        out = _LOWER[w.data]
+        for head in self.heads:
+            found = np.flatnonzero((w.data[:-1] == head[0]) & (w.data[1:] == head[-1])) if len(head) > 1 else np.flatnonzero(w.data == head[0])
+            for k in np.unique(np.searchsorted(w.start, found, "right") - 1).tolist():
+                if k >= 0:
+                    out[w.start[k] : w.end[k]] = w.data[w.start[k] : w.end[k]]
+        return out
+
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the n + 1 bounds of documents in them; each document ends with END_ID.
 
         A mark at the end of a word, behind an ASCII letter, is a word of its own, and case doesn't count: the tokenizer
-        cuts there and lowers case itself, and so more words are known already.
+        cuts there and lowers case itself, and so more words are known already. Words that may hold a reserved string are
+        looked up as they are, since the tokenizer tells the case of these.
         """
         w = X.split(column)
+        folded = self._folded(w)
         tail = (w.end - w.start > 1) & _MARK[w.data[w.end - 1]] & _LETTER[w.data[np.maximum(w.end - 2, 0)]] if len(w.end) else np.zeros(0, bool)
         place = np.concatenate([[0], np.cumsum(1 + tail)])
         start, end = np.empty(place[-1], np.int64), np.empty(place[-1], np.int64)
         start[place[:-1]], end[place[:-1]] = w.start, w.end - tail
         start[place[1:][tail] - 1], end[place[1:][tail] - 1] = w.end[tail] - 1, w.end[tail]
-        h, one, which = np.unique(X.spans_hash(X.BYTE[_LOWER[w.data]], start, end), return_index=True, return_inverse=True)
+        h, one, which = np.unique(X.spans_hash(X.BYTE[folded], start, end), return_index=True, return_inverse=True)
         if len(self.keys) > HELD_WORDS:
             self.keys, self.first, self.size, self.ids = self.keys[:0], self.first[:0], self.size[:0], self.ids[:0]
         at = np.searchsorted(self.keys, h)

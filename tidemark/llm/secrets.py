@@ -15,9 +15,9 @@ clashes with none.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, fresh, named, split_join, store
@@ -38,30 +38,41 @@ MOST_REPOSITORIES = 20  # ... and so is one in more repositories, even of one ow
 SPAN = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint,value:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_chunks(rows: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of each of about sqrt(n) chunks of an array, so that what a chunk does step by step stays short."""
+    step = lambda r: F.greatest(F.ceil(F.sqrt(F.size(r))).cast("int"), F.lit(1))
+    return let(rows, lambda r: let(step(r), lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.size(r) - 1, F.lit(0)), s), lambda k: body(F.slice(r, k + 1, s)))))
+
+
+def _appended(rows: Column, at: Column, length: Callable[[Column], Column], item: Callable[[Column, Column], Column], kind: str) -> Column:
+    """item(start, row) of each row, rows one behind the other from ``at``."""
+    begin = F.struct(at.cast("bigint").alias("at"), F.array().cast(kind).alias("out"))
+    return F.aggregate(rows, begin, lambda acc, r: F.struct((acc["at"] + length(r)).alias("at"), F.concat(acc["out"], F.array(item(acc["at"], r)).cast(kind)).alias("out")), lambda acc: acc["out"])
+
+
 def _found(text: Column, kind: str, no: int) -> Column:
-    """Spans of one kind: matches, and the text between them for their places."""
+    """Spans of one kind: matches, and the text between them for their places. Places are sums of lengths, first of chunks of
+    matches and then inside each, so that no long array is copied for every match."""
     pattern, group = KINDS[kind]
     match, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else match
-    rows = F.arrays_zip(match.alias("m"), F.slice(between, 1, F.size(match)).alias("b"), value.alias("v"))
-    start = struct_of(F.lit(0), F.array().cast(SPAN))
-    walk = F.aggregate(
-        rows,
-        start,
-        lambda acc, r: struct_of(
-            acc["at"] + F.length(r["b"]) + F.length(r["m"]),
-            F.when(
-                F.length(r["v"]) >= (LEAST_ASSIGN if kind == "assign" else 1),
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(r["b"])).alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), (acc["at"] + F.length(r["b"]) + F.length(r["m"])).alias("end"), r["v"].alias("value"))).cast(SPAN)),
-            ).otherwise(acc["spans"]),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(F.regexp_like(text, F.lit(pattern)), walk).otherwise(F.array().cast(SPAN))
-
-
-def struct_of(at: Column, spans: Column) -> Column:
-    return F.struct(at.cast("bigint").alias("at"), spans.alias("spans"))
+    rows = let(match, lambda m: F.arrays_zip(m.alias("m"), F.slice(between, 1, F.size(m)).alias("b"), (value if group else m).alias("v")))
+    length = lambda r: F.length(r["b"]) + F.length(r["m"])
+    sized = in_chunks(rows, lambda c: F.struct(c.alias("rows"), F.aggregate(c, F.lit(0).cast("bigint"), lambda n, r: n + length(r)).alias("size")))
+
+    def span(at: Column, r: Column) -> Column:
+        start = at + F.length(r["b"])
+        return F.struct(start.alias("start"), F.lit(no).alias("kind_no"), F.lit(kind).alias("kind"), (start + F.length(r["m"])).alias("end"), r["v"].alias("value"))
+
+    placed = let(sized, lambda c: F.arrays_zip(c.alias("chunk"), _appended(c, F.lit(0), lambda x: x["size"], lambda at, _: at, "array<bigint>").alias("at")))
+    walk = F.flatten(F.transform(placed, lambda p: _appended(p["chunk"]["rows"], p["at"], length, span, SPAN)))
+    long = F.filter(walk, lambda s: F.length(s["value"]) >= (LEAST_ASSIGN if kind == "assign" else 1))
+    return F.when(F.regexp_like(text, F.lit(pattern)), long).otherwise(F.array().cast(SPAN))
 
 
 def spans(text: Column) -> Column:
@@ -94,7 +105,8 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """secret_row, copies and secret_live (spans with whether each looks live), for rows that have spans.
+    """secret_row, copies, secret_live (spans with whether each looks live) and secret_masks (start, end, live of what is to be
+    masked: overlapping spans are one, live if any of them is), for rows that have spans.
 
     Copies of a row are one row from the start, and a value that a large share of all rows holds is judged where it stands."""
     few = found.where(F.size("secret_spans") > 0).groupBy("secret_row").agg(F.first("secret_spans").alias("spans"), F.first("secret_owner").alias("owner"), F.first("secret_repository").alias("repository"), F.count(F.lit(1)).alias("copies"))
@@ -102,14 +114,19 @@ def verdicts(found: DataFrame) -> DataFrame:
     counts = ownership(each)
     live = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
     judged = split_join(each, counts, "secret_hash", "n_uses").select("secret_row", "copies", F.struct("span.start", "span.kind_no", "span.kind", "span.end", live.alias("live"), "n_owners", "n_repositories").alias("s"))
-    return judged.groupBy("secret_row").agg(F.array_sort(F.collect_set("s")).alias("secret_live"), F.max("copies").alias("copies"))
+    order = Window.partitionBy("secret_row").orderBy("s.start", "s.end", "s.kind_no")
+    before = F.max("s.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = judged.withColumn("new", (F.coalesce(before, F.lit(-1)) <= F.col("s.start")).cast("long")).withColumn("mask", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    masks = placed.groupBy("secret_row", "mask").agg(F.min("s.start").alias("start"), F.max("s.end").alias("end"), F.max("s.live").alias("live"), F.collect_set("s").alias("s"), F.max("copies").alias("copies"))
+    out = masks.groupBy("secret_row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("secret_live"), F.array_sort(F.collect_list(F.struct("start", "end", "live"))).alias("secret_masks"), F.max("copies").alias("copies"))
+    return out
 
 
 def scan_with_verdicts(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), **columns: str) -> DataFrame:
     """scan(), stored once without the text, with secret_live (empty where there is no span)."""
     found = store(scan(docs, keep, **columns), "secrets")
     none = found.where(F.size("secret_spans") == 0)
-    some = split_join(found.where(F.size("secret_spans") > 0), verdicts(found), "secret_row", "copies").drop("copies")
+    some = split_join(found.where(F.size("secret_spans") > 0), verdicts(found).drop("secret_masks"), "secret_row", "copies").drop("copies")
     return some.unionByName(none.withColumn("secret_live", F.lit(None).cast(some.schema["secret_live"].dataType)))
 
 
@@ -118,22 +135,24 @@ def redact(docs: DataFrame) -> DataFrame:
     are. Overlapping spans count as one, live if any of them is."""
     row = fresh(docs, "secret_row")
     live, copies = fresh(docs, "secret_live"), fresh(docs, "copies")
-    judged = verdicts(store(scan(docs.select("doc_id", "text", "source")), "secrets")).select(F.col("secret_row").alias(row), F.col("secret_live").alias(live), F.col("copies").alias(copies))
+    judged = verdicts(store(scan(docs.select("doc_id", "text", "source")), "secrets")).select(F.col("secret_row").alias(row), F.col("secret_masks").alias(live), F.col("copies").alias(copies))
     both = split_join(docs.withColumn(row, row_key("text", "source", "doc_id")), judged, row, copies, how="left")
     return both.withColumn("text", _masked(F.col("text"), F.col(live))).select(*named(docs.columns))
 
 
-def _masked(text: Column, live: Column) -> Column:
-    """Spans are by start; each is written after what stands between it and the last one's end."""
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+def _masked(text: Column, masks: Column) -> Column:
+    """The text with its masks, which are by start and don't overlap: a chunk of masks is cut out of the text once, and the
+    pieces between its masks out of that."""
+    before = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(masks, lambda m: m["end"]))
+    rows = F.arrays_zip(masks.alias("m"), F.slice(before, 1, F.size(masks)).alias("at"))
+    cut = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"].cast("int") + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        mark = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(gap, F.when(s["live"], "<secret>").otherwise("<example-secret>")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+    def chunk(c: Column) -> Column:
+        part = F.struct(cut(text, c[0]["at"], F.element_at(c, -1)["m"]["end"]).alias("text"), c[0]["at"].alias("at"))
+        return let(part, lambda p: F.array_join(F.transform(c, lambda r: F.concat(cut(p["text"], r["at"] - p["at"], r["m"]["start"] - p["at"]), F.when(r["m"]["live"], "<secret>").otherwise("<example-secret>"))), ""))
 
-    done = F.aggregate(live, begin, step)
-    return F.when(live.isNull(), text).otherwise(F.concat(done["out"], F.substring(text, done["at"].cast("int") + 1, 2147483647)))
+    rest = F.substring(text, (F.element_at(masks, -1)["end"] + 1).cast("int"), F.lit(2147483647))
+    return F.when(masks.isNull(), text).otherwise(F.concat(F.array_join(in_chunks(rows, chunk), ""), rest))
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textops as X
-from .common import bounded, documents, fold
+from .common import documents, fold
 
 FOLDS, HELD = 3, 1
 TRAIN_ROWS = 12_000  # documents that the probabilities are estimated on, at most about
 ROUNDS = 2
 SHORT = 40  # bytes
-MOST_LANGS = 256  # languages with the most documents are learnt, so that a table of pieces by languages is bounded
+LANG_ROWS = 50  # documents of each language that are chosen, however rare it is, about
+BLOCK_LANGS, KEPT_BLOCKS = 64, 4  # languages that a table of pieces holds; tables that a task keeps between slices
 RESCALE = 16  # positions; no piece is less likely than LEAST, so sums stay above LEAST ** RESCALE between two rescalings
 LEAST = 1e-7
 _LETTER = regex.compile(r"\p{L}")
@@ -229,46 +230,77 @@ def expected_counts(w: X.Words, lang: np.ndarray, pieces: Pieces, p: np.ndarray)
 
 @dataclass
 class Model:
+    """Languages by name, their shares, and the uses of pieces by language where there are any (sorted by language): as many as
+    the training documents have, whatever the number of languages. Tables are made for a block of languages at a time."""
+
     langs: list[str]
     prior: np.ndarray
-    p: np.ndarray
+    piece: np.ndarray
+    lang: np.ndarray
+    uses: np.ndarray
+    size: int
     path: str
+    known: bool = True  # without uses all pieces are alike
+    width: int = BLOCK_LANGS
 
     def pieces(self) -> Pieces:
         return Pieces.load(self.path)
 
+    def blocks(self) -> list[tuple[int, int]]:
+        return [(k, min(k + self.width, len(self.langs))) for k in range(0, len(self.langs), self.width)]
+
+    def table(self, block: tuple[int, int]) -> np.ndarray:
+        """Pieces x languages of the block: probabilities."""
+        lo, hi = block
+        if not self.known:
+            return np.full((self.size, hi - lo), 1.0 / self.size)
+        a, b = np.searchsorted(self.lang, [lo, hi])
+        c = np.zeros((self.size, hi - lo))
+        c[self.piece[a:b], self.lang[a:b] - lo] = self.uses[a:b]
+        p = np.maximum((c + 0.01) / (c + 0.01).sum(0), LEAST)
+        return p / p.sum(0)
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, path: str | None = None) -> Model:
-    """Counts of pieces from training folds: each round is one Spark pass, summed by language and piece."""
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS, rounds: int = ROUNDS, path: str | None = None, block_langs: int = BLOCK_LANGS) -> Model:
+    """Uses of pieces in training folds: each round is one Spark pass, summed by language and piece. About ``rows`` documents are
+    chosen, and at least about ``LANG_ROWS`` of each language; all languages are learnt."""
     path = path or vocabulary_path()
+    spark = docs.sparkSession
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD))
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
-    counts = {r["lang"]: r["count"] for r in most.collect()}
-    known = known.where(F.col("lang").isin(list(counts)))
-    langs = sorted(counts)
-    n, total = len(Pieces.load(path)), sum(counts.values())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs, total = sorted(counts), sum(counts.values())
+    n = len(Pieces.load(path))
     prior = np.array([counts[x] for x in langs], float) / max(total, 1)
-    p = np.full((n, len(langs)), 1.0 / n)
+    none = np.zeros(0, np.int64)
+    model = Model(langs, prior, none, none, none.astype(float), n, path, False, block_langs)
     if not langs:
-        return Model(langs, prior, p, path)
-    chosen = bounded(known, rows, F.col("doc_id"))
-    index = {x: i for i, x in enumerate(langs)}
+        return model
+    share = [(x, k, int(min(1.0, max(rows / total, LANG_ROWS / counts[x])) * (1 << 20))) for k, x in enumerate(langs)]
+    places = spark.createDataFrame(share, "lang string, place int, below int")
+    chosen = known.join(F.broadcast(places), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) < F.col("below")).select("text", "place")
     for _ in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], p: np.ndarray = p) -> Iterator[pa.RecordBatch]:
-            pieces, total = Pieces.load(path), np.zeros((n, len(langs)))
+        def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
+            pieces, total = Pieces.load(path), {}
             for part in X.slices(batches):
-                lang = np.array([index[x] for x in part.column("lang").to_pylist()], int)
-                total += expected_counts(X.split(part.column("text")), lang, pieces, p)
-            piece, lang = np.nonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(np.round(total[piece, lang], 6))], names=["piece", "lang", "n"])
-
-        got = chosen.select("text", "lang").mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
-        c = np.zeros((n, len(langs)))
-        c[got["piece"].to_numpy(int), got["lang"].to_numpy(int)] = got["n"].to_numpy()
-        p = np.maximum((c + 0.01) / (c + 0.01).sum(0), LEAST)
-        p /= p.sum(0)
-    return Model(langs, prior, p, path)
+                lang = part.column("place").to_numpy()
+                for k in np.unique(lang // block_langs).tolist():
+                    block, mine = model.blocks()[k], lang // block_langs == k
+                    own = expected_counts(X.split(part.column("text").filter(pa.array(mine))), lang[mine] - block[0], pieces, model.table(block))
+                    total[k] = total.get(k, 0) + own
+                    if len(total) > KEPT_BLOCKS:
+                        yield handed(total)
+            yield handed(total)
+
+        def handed(total: dict[int, np.ndarray]) -> pa.RecordBatch:
+            each = [(*np.nonzero(t), k * block_langs, t) for k, t in total.items()]
+            piece, lang, uses = [np.concatenate([x, *y]) for x, y in zip((none, none, none.astype(float)), ([e[0] for e in each], [e[1] + e[2] for e in each], [e[3][e[0], e[1]] for e in each]), strict=True)]
+            total.clear()
+            return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(np.round(uses, 6))], names=["piece", "lang", "n"])
+
+        got = chosen.mapInArrow(run, "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "piece"])
+        model = Model(langs, prior, got["piece"].to_numpy(int), got["lang"].to_numpy(int), got["n"].to_numpy(float), n, path, True, block_langs)
+    return model
 
 
 def has_letter(column: pa.Array, w: X.Words) -> np.ndarray:
@@ -286,15 +318,22 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     names = np.array([*model.langs, "und"], object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.pieces(), model.p)
+        pieces, blocks, held = model.pieces(), model.blocks(), {}
+        log_prior = np.log(np.maximum(model.prior, 1e-9))
         for part in X.slices(batches):
             w = X.split(part.column("text"))
-            best, prob = np.full(w.n, len(model.langs)), np.zeros(w.n)
-            if model.langs:
-                logs = scorer.documents(w) + np.log(np.maximum(model.prior, 1e-9))
-                some = has_letter(part.column("text"), w)
-                best = np.where(some, logs.argmax(1), best)
-                prob = np.where(some, 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1), 0.0)
+            best, top, rest = np.full(w.n, len(model.langs)), np.full(w.n, -np.inf), np.zeros(w.n)  # rest: sum of exp(log - top)
+            for block in blocks:
+                scorer = held.get(block) or Scorer(pieces, model.table(block))
+                if len(held) < KEPT_BLOCKS:
+                    held[block] = scorer
+                logs = scorer.documents(w) + log_prior[block[0] : block[1]]
+                most = np.maximum(top, logs.max(1))
+                best = np.where(most > top, logs.argmax(1) + block[0], best)  # ties stay with the earlier name
+                rest = rest * np.exp(top - most) + np.exp(logs - most[:, None]).sum(1)
+                top = most
+            some = has_letter(part.column("text"), w) & (len(model.langs) > 0)
+            best, prob = np.where(some, best, len(model.langs)), np.where(some, 1 / np.maximum(rest, 1e-300), 0.0)
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(names[best].tolist(), pa.string()), pa.array(prob)], names=[*keep, "lang_pred", "score"])
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)

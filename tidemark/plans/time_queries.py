@@ -98,7 +98,7 @@ _SECOND, _MINUTE = "t // 1000000 * 1000000", "t // 60000000 * 60000000"
 _ENTRIES = {
     "C4_earliest_instant": (_o(lambda: T.local_instant(_civil_text())), _osql(_EARLIEST)),
     "C5_entry_instant": (c5, f"WITH {_R} SELECT seq, CASE WHEN seq % 4 < 2 THEN {_SECOND} WHEN seq % 4 = 2 THEN {_MINUTE} ELSE epoch_us(date_trunc('day', {_L}) + INTERVAL 5 HOUR) END AS out FROM r"),
-    "C6_entry_millis": (_r(lambda: F.unix_millis(F.timestamp_micros("t"))), _sql("epoch_ms(make_timestamp(t))")),
+    "C6_entry_millis": (_r(lambda: F.unix_millis(F.timestamp_micros("t"))), _sql("t // 1000")),
     "C7_day_arithmetic": (_o(lambda: T.day_shift(_fmt("yyyy-MM-dd"), -3)), _osql("strftime(CAST(o_orderdate AS DATE) - 3, '%Y-%m-%d')")),
     "C8_key_order": (_o(lambda: T.key_order(F.when(F.col("o_orderkey") % 5 == 0, "soon").otherwise(_fmt("yyyy-MM-dd")), F.lit("1998-07-01"))), _osql("CASE WHEN o_orderkey % 5 = 0 THEN 1 WHEN o_orderdate::DATE < DATE '1998-07-01' THEN -1 WHEN o_orderdate::DATE > DATE '1998-07-01' THEN 1 ELSE 0 END")),
     "C9_today": (lambda s, p: readings(s, p).groupBy("station_id").agg(F.max("t").alias("now")).select("station_id", F.date_format(S.civil_day(F.col("now")), "yyyy-MM-dd").alias("today")), f"WITH {_R}, m AS (SELECT station_id, max(t) AS t FROM r GROUP BY 1) SELECT station_id, strftime({_L}, '%Y-%m-%d') AS today FROM m"),

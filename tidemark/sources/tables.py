@@ -19,16 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Only a local session, where both are one
+    machine, may leave it unset; a folder below its warehouse stands in then."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = spark.conf.get("spark.sql.warehouse.dir")
+    return path.rstrip("/")
+
+
 def checkpoints(spark: SparkSession) -> None:
-    """Sets the checkpoint folder where none is set: ``spark.checkpoint.dir``, else the warehouse, which is shared as well."""
+    """Sets the checkpoint folder where none is set."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share, below ``spark.checkpoint.dir`` or else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:

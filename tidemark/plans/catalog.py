@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("scalar_queries", "text_queries", "time_queries", "series_queries", "observed_queries", "range_queries", "product_queries", "source_queries", "grid_queries", "spatial_queries", "projection_queries")
+MODULES = ("scalar_queries", "text_queries", "time_queries", "series_queries", "observed_queries", "range_queries", "product_queries", "source_queries", "grid_queries", "spatial_queries", "projection_queries", "terrain_queries", "feed_queries")
 
 
 def _modules():

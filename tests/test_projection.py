@@ -34,3 +34,22 @@ def test_exceedance(spark):
 def test_too_few_peaks(spark):
     one = spark.createDataFrame([(2000, 1.0), (2000, 2.0), (None, 3.0)], "year int, peak double")
     assert P.exceedance(one, spark.createDataFrame([(1.0,)], "threshold double")).count() == 0
+
+
+def test_cube_is_the_share_at_each_threshold(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"year": rng.integers(2000, 2004, 120), "peak": np.round(rng.normal(3, 1, 120), 3)})
+    deltas = [("a", 2030, 0.0), ("a", 2040, 0.25), ("b", 2030, 1.5)]
+    got = P.cube(spark.createDataFrame(pdf), [2.0, 2.5, 2.5, 4.0], spark.createDataFrame(deltas, "by string, year int, delta double"), "by", draws=4, chunks=2, held=3).collect()
+    width = max(0.02, 1.06 * pdf.peak.std() * 120**-0.2)
+    grid = np.arange(-2000, 6000) * P.STEP
+    offsets = np.arange(-int(np.ceil(6 * width / P.STEP)), int(np.ceil(6 * width / P.STEP)) + 1)
+    kernel = np.exp(-0.5 * (offsets * P.STEP / width) ** 2)
+    held = np.zeros(len(grid))
+    for p in pdf.peak:
+        held[int(np.floor(p / P.STEP + 0.5)) + 2000] += 1
+    total = np.cumsum(np.convolve(held, kernel / kernel.sum(), "same"))
+    want = {(b, e, y): round(705 * (1 - np.interp(round(e + 0.1 - d, 4), grid, total / total[-1])), 2) for b, y, d in deltas for e in (2.0, 2.5, 4.0)}
+    assert {(r.by, r.elevation, r.year) for r in got} == set(want)
+    assert all(abs(r.estimate - want[r.by, r.elevation, r.year]) < 0.02 and r.lower <= r.upper for r in got)
+    assert P.cube(spark.createDataFrame(pdf), [], spark.createDataFrame(deltas, "by string, year int, delta double"), "by").count() == 0

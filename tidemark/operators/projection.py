@@ -60,11 +60,11 @@ def spread(histogram: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.maximum(out[reach : reach + len(histogram)], 0)
 
 
-def exceedance(peaks: DataFrame, thresholds: DataFrame, draws: int = DRAWS, seed: int = SEED, chunks: int = 16) -> DataFrame:
+def exceedance(peaks: DataFrame, thresholds: DataFrame, draws: int = DRAWS, seed: int = SEED, chunks: int = 16, held: int = 50_000) -> DataFrame:
     """(threshold, estimate, lower, upper): the share of peaks above, with the 95 % interval over resampled years.
 
     ``peaks`` has year and peak, ``thresholds`` has threshold. Null peaks are left out; below two peaks or two years there
-    is no row. One row (the bandwidth and the counts) comes to the driver.
+    is no row. One row (the bandwidth and the counts) comes to the driver. A task holds about ``held`` thresholds.
     """
     peaks = peaks.where(F.col("year").isNotNull() & (F.abs("peak") < float("inf"))).select("year", "peak")
     wanted = thresholds.select(F.col("threshold").cast("double")).where(F.abs("threshold") < float("inf")).distinct()
@@ -73,6 +73,8 @@ def exceedance(peaks: DataFrame, thresholds: DataFrame, draws: int = DRAWS, seed
         return wanted.select("threshold", *(F.lit(0.0).alias(c) for c in ("estimate", "lower", "upper"))).limit(0)
     counts = peaks.groupBy("year", F.floor(F.col("peak") / STEP + 0.5).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     ids = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    lots = wanted.count() // held + 1
+    lot = F.pmod(F.xxhash64("threshold"), F.lit(lots)).alias("lot")
     years, weights_ = int(one.years), kernel(one.width)
 
     def replicate(cells: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
@@ -94,17 +96,22 @@ def exceedance(peaks: DataFrame, thresholds: DataFrame, draws: int = DRAWS, seed
             out.append(pd.DataFrame({"draw": k, "threshold": at, "share": share}))
         return pd.concat(out) if out else pd.DataFrame({"draw": [], "threshold": [], "share": []})
 
-    pairs = counts.select("year", "bin", "n", ids).groupBy("chunk").cogroup(wanted.select("threshold", ids).groupBy("chunk"))
+    every = counts.select("year", "bin", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lots - 1).cast("long"))).alias("lot")).select("year", "bin", "n", "lot", ids)
+    pairs = every.groupBy("lot", "chunk").cogroup(wanted.select("threshold", lot, ids).groupBy("lot", "chunk"))
     drawn = pairs.applyInPandas(replicate, "draw int, threshold double, share double")
     share = F.when(F.col("draw") >= 0, F.col("share"))
     return drawn.groupBy("threshold").agg(F.max(F.when(F.col("draw") < 0, F.col("share"))).alias("estimate"), F.percentile(share, F.lit(0.025)).alias("lower"), F.percentile(share, F.lit(0.975)).alias("upper"))
 
 
-def cube(peaks: DataFrame, elevations: DataFrame, deltas: DataFrame, by: str, depth: float = 0.1, tides: float = TIDES, **kind) -> DataFrame:
-    """(by, elevation, year, estimate, lower, upper) floods a year. ``elevations`` and ``deltas`` are grids set by parameters,
-    not by the peaks; each elevation takes all deltas."""
-    level = deltas.groupBy().agg(F.collect_list(F.struct(by, "year", "delta")).alias("d"))
-    asked = elevations.select("elevation").join(F.broadcast(level)).select("elevation", F.explode("d").alias("d")).select("elevation", "d.*")
+MOST_ELEVATIONS = 10_000
+
+
+def cube(peaks: DataFrame, elevations: list[float], deltas: DataFrame, by: str, depth: float = 0.1, tides: float = TIDES, **kind) -> DataFrame:
+    """(by, elevation, year, estimate, lower, upper) floods a year. ``elevations`` is the grid of the cube, a parameter of at
+    most ``MOST_ELEVATIONS`` values; each delta takes all of it where it stands, and the shares are joined by threshold."""
+    if len(elevations) > MOST_ELEVATIONS:
+        raise ValueError("too many elevations for a grid")
+    asked = deltas.select(by, "year", "delta", F.explode(F.array(*(F.lit(float(e)) for e in sorted(set(elevations))))).alias("elevation")) if elevations else deltas.select(by, "year", "delta", F.lit(0.0).alias("elevation")).limit(0)
     asked = asked.withColumn("threshold", F.round(F.col("elevation") + depth - F.col("delta"), 4))
     found = exceedance(peaks, asked, **kind)
     counts = [F.round(F.greatest(F.lit(0.0), F.least(F.lit(tides), F.col(c) * tides)), 2).alias(c) for c in ("estimate", "lower", "upper")]

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import DAY, HOUR, MINUTE
+from ..sources.tables import DAY, HOUR, MINUTE, saved
 
 BLOCK = 10 * DAY
 QUARTER = 15 * MINUTE
@@ -306,6 +306,19 @@ def upper_median(rows: DataFrame, by: list[str], value: str, name: str = "median
     return ranked.join(sizes, by).where("rank_ = middle_").select(*by, F.col(value).alias(name))
 
 
+def whole_upper_median(rows: DataFrame, value: str) -> float | None:
+    """The upper median of all rows: they are dealt by range, and only the part that holds the middle is ranked."""
+    dealt = saved(rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["part"], r["count"]) for r in dealt.groupBy("part").count().collect())
+    middle, before = sum(n for _, n in sizes) // 2, 0
+    for part, n in sizes:
+        if before + n > middle:
+            rank = F.row_number().over(Window.partitionBy("part").orderBy("v"))
+            return dealt.where(F.col("part") == part).withColumn("rank", rank).where(F.col("rank") == middle - before + 1).first()["v"]
+        before += n
+    return None
+
+
 def exceeded(values: DataFrame, value: str, thresholds: DataFrame, key: str, threshold: Column, width: float = 1.0) -> DataFrame:
     """(key, n): how many values are above each threshold: whole bins above its own by their sums, its own bin's values one by
     one, so no side meets all of the other."""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grids import box, in_polygon
 from ..functions.scalars import metres
-from .series import precedence, upper_median
+from .series import precedence, whole_upper_median
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -64,8 +64,7 @@ def ring_search(points: DataFrame, grounds: DataFrame, cell: float = 0.001, ring
         left = left.join(got, "k", "left_anti").checkpoint()
         if left.isEmpty():
             return found
-    median = upper_median(grounds.withColumn("all_", F.lit(1)), ["all_"], "ground").first()
-    return found.unionByName(left.select("k", F.lit(median["median"] if median else None).cast("double").alias("ground")))
+    return found.unionByName(left.select("k", F.lit(whole_upper_median(grounds, "ground")).cast("double").alias("ground")))
 
 
 def zonal(spans: DataFrame, cells: DataFrame) -> DataFrame:

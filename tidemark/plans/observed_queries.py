@@ -78,14 +78,22 @@ def d8(spark, sf):
     return every(g, 15).unionByName(every(g.where(F.minute(S.civil(F.col("t"))) == 0), 60)).unionByName(every(daily, 1440)).withColumn("stage", F.round("stage", 4))
 
 
+def _span(first, last):
+    """All days from one to another."""
+    return F.transform(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last))), lambda d: F.date_format(d, "yyyy-MM-dd"))
+
+
 def d12(spark, sf):
     """Frames of a run: those flagged hourly, and for each listed day its highest, the first of all frames where it has none."""
     frames = _fgrid(spark, sf).select("station_id", F.col("slot").alias("t"), F.col("slot").alias("seq"), "stage", _day("slot").alias("day"))
     hourly = frames.where(F.col("t") % HOUR == 0).select("station_id", "t", "stage", F.lit("hourly").alias("kind"))
-    listed = frames.select("day").distinct().where(F.dayofmonth("day") % 2 == 0).unionByName(spark.createDataFrame([("2030-01-01",)], "day string"))
+    listed = frames.select("day").distinct().where(F.dayofmonth("day") % 2 == 0)
     first = frames.groupBy("station_id").agg(F.min(F.struct("t", "stage")).alias("f"))
     top = frames.groupBy("station_id", "day").agg(F.min(F.struct((-F.col("stage")).alias("neg"), "t")).alias("m"))
-    asked = first.join(listed).join(top, ["station_id", "day"], "left")
+    ends = listed.agg(F.min("day"), F.max("day")).first()
+    days = F.array(F.lit("2030-01-01")) if ends[0] is None else F.concat(_span(*ends), F.array(F.lit("2030-01-01")))
+    each = first.select("station_id", "f", F.explode(days).alias("day"))  # each gauge takes the days of the calendar, and those listed stay
+    asked = each.join(listed.unionByName(spark.createDataFrame([("2030-01-01",)], "day string")), "day", "left_semi").join(top, ["station_id", "day"], "left")
     daily = asked.select("station_id", F.coalesce("m.t", "f.t").alias("t"), F.coalesce(-F.col("m.neg"), F.col("f.stage")).alias("stage"), F.col("day").alias("kind"))
     return hourly.unionByName(daily)
 
@@ -216,7 +224,10 @@ _HK = f"WITH {_R}, k AS (SELECT *, CASE WHEN user_id % 7 <> 0 THEN stage END AS
 
 def f2(spark, sf):
     r = days_of(spark, sf).where("seq % 5 <> 0")
-    published = r.select("station_id").distinct().join(starts(days_of(spark, sf)).select("day")).withColumn("peak", F.when(F.dayofmonth("day") % 3 == 0, F.dayofmonth("day").cast("double")))
+    known = starts(days_of(spark, sf)).select("day")
+    ends = known.agg(F.min("day"), F.max("day")).first()
+    each = r.select("station_id").distinct().select("station_id", F.explode(_span(*ends)).alias("day"))
+    published = each.join(known, "day", "left_semi").withColumn("peak", F.when(F.dayofmonth("day") % 3 == 0, F.dayofmonth("day").cast("double")))
     phased = Q.phases(readings(spark, sf), TH.minor, TH.moderate, TH.major)
     return O.observed_maxima(r.where("day <> '2024-01-09'"), published, phased, ["station_id"])
 

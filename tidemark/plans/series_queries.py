@@ -190,7 +190,7 @@ _ENTRIES = {
     "P1_age_gate": (lambda s, p: readings(s, p).where(~F.col("t").between(1705900000000000 - 18 * HOUR, 1705900000000000 + 30 * MINUTE)).select("seq"), f"WITH {_R} SELECT seq FROM r WHERE NOT t BETWEEN 1705900000000000 - 64800000000 AND 1705900000000000 + 1800000000"),
     "P3_digests": (lambda s, p: table(s, p, "events").select("event_id", F.sha2("props", 256).alias("sha"), F.octet_length("props").alias("bytes")), "SELECT event_id, sha256(props) AS sha, strlen(props) AS bytes FROM events"),
     "P4_archive_faults": (p4, f"WITH {_D}, k AS (SELECT source, day, count(*) AS n FROM d GROUP BY 1, 2), b AS (SELECT source, min(day) AS lo, max(day) AS hi FROM d GROUP BY 1), g AS (SELECT source, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM b) SELECT source, strftime(day, '%Y-%m-%d') AS day, 'repeated' AS fault FROM k WHERE n > 1 UNION ALL SELECT source, strftime(day, '%Y-%m-%d'), 'missing' FROM g WHERE (source, day) NOT IN (SELECT (source, day) FROM k)"),
-    "P5_monotone_axis": (lambda s, p: f1(s, p).withColumn("prev", F.lag("t").over(Window.partitionBy("station_id").orderBy("day"))).where("t <= prev").select("station_id", "day"), f"WITH {_R}, x AS (SELECT station_id, day, t FROM (SELECT *, {_DAYS} AS day FROM r) QUALIFY row_number() OVER (PARTITION BY station_id, day ORDER BY stage DESC, t, seq) = 1) SELECT station_id, day FROM x QUALIFY t <= lag(t) OVER (PARTITION BY station_id ORDER BY day)"),
+    "P5_monotone_axis": (lambda s, p: table(s, p, "orders").withColumn("prev", F.lag("o_orderdate").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).where("o_orderdate <= prev").select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM orders QUALIFY o_orderdate <= lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey)"),
     "R6_product_summary": (lambda s, p: readings(s, p).groupBy("station_id").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("user_id") % 3 == 0, 1)).alias("quartiles")), f"WITH {_R} SELECT station_id, count(*) AS rows, count(*) FILTER (user_id % 3 = 0) AS quartiles FROM r GROUP BY 1"),
 }
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources import readers as A
-from ..sources.tables import HOUR, readings, scratch, table
+from ..sources.tables import DAY, HOUR, readings, scratch, table
 
 _R = "r AS (SELECT event_id AS seq, event_type AS station_id, epoch_us(ts) AS t, value AS stage, user_id FROM events)"
 _DAYS = "strftime(timezone('America/New_York', timezone('UTC', make_timestamp(t))), '%Y-%m-%d')"
@@ -84,7 +84,8 @@ def a10(spark, sf):
 
 def a12(spark, sf):
     path = scratch(spark, "observations")
-    r = readings(spark, sf).groupBy(F.col("station_id").alias("id")).agg(F.collect_list(F.struct(F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm").alias("t"), F.when(F.col("user_id") % 11 != 0, F.col("stage").cast("string")).otherwise("").alias("v"))).alias("data"))
+    day = F.floor(F.col("t") / DAY)  # a file holds a day of a station
+    r = readings(spark, sf).groupBy(F.col("station_id").alias("id"), day.alias("day")).agg(F.collect_list(F.struct(F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm").alias("t"), F.when(F.col("user_id") % 11 != 0, F.col("stage").cast("string")).otherwise("").alias("v"))).alias("data"))
     r.select(F.struct("id").alias("metadata"), "data").write.json(path)
     return A.station_observations(A.json_files(spark, path, "metadata struct<id:string>, data array<struct<t:string,v:string>>"), "view").groupBy("t").agg(F.max("stage").alias("stage"))
 
@@ -97,44 +98,50 @@ def a13(spark, sf):
 
 
 def a17(spark, sf):
-    """Strips of 64 values, encoded by tile; every fifth is cut short."""
+    """Strips of 64 orders, their customers as values; every fifth strip is cut short."""
 
     def encode(frames):
         for pdf in frames:
-            data = [base64.b64encode(gzip.compress(((np.arange(64 if t % 5 else 60) * 31 + t) % 65536).astype("<u2").tobytes())).decode() for t in pdf["tile"]]
+            data = [base64.b64encode(gzip.compress((np.asarray(v)[: 64 if t % 5 else 60] % 65536).astype("<u2").tobytes())).decode() for t, v in zip(pdf["tile"], pdf["v"])]
             yield pd.DataFrame({"tile": pdf["tile"], "width": 16, "rows": 4, "data": data})
 
-    strips = table(spark, sf, "part").select(F.col("p_partkey").alias("tile")).mapInPandas(encode, "tile long, width int, rows int, data string")
-    return A.strip_values(strips)
+    k = F.col("o_orderkey")
+    tiles = table(spark, sf, "orders").groupBy(F.floor(k / 64).alias("tile")).agg(F.array_sort(F.collect_list(F.struct(k, "o_custkey")))["o_custkey"].alias("v"))
+    return A.strip_values(tiles.mapInPandas(encode, "tile long, width int, rows int, data string"))
 
 
 def a18(spark, sf):
-    """Cells of each stage as steps in groups of seven bits; every sixth index claims one cell more than it has."""
+    """Cells of each stage (orders of each customer) as steps in groups of seven bits; every sixth index claims one cell more
+    than it has."""
 
     def encode(frames):
         for pdf in frames:
             data = []
-            for s in pdf["stage"]:
+            for cells in pdf["cells"]:
                 out = bytearray()
-                for step in (s * 300 + i * 97 + 1 for i in range(20)):
+                for step in np.diff(cells, prepend=0).tolist():
                     while step > 127:
                         out.append(step & 127 | 128)
                         step >>= 7
                     out.append(step)
                 data.append(bytes(out))
-            yield pd.DataFrame({"stage": pdf["stage"], "n": 20 + (pdf["stage"] % 6 == 0), "data": data})
+            yield pd.DataFrame({"stage": pdf["stage"], "n": pdf["cells"].map(len) + (pdf["stage"] % 6 == 0), "data": data})
 
-    return A.delta_cells(table(spark, sf, "part").select(F.col("p_partkey").alias("stage")).mapInPandas(encode, "stage long, n int, data binary"))
+    cells = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("stage")).agg(F.array_sort(F.collect_set("o_orderkey")).alias("cells"))
+    return A.delta_cells(cells.mapInPandas(encode, "stage long, n int, data binary"))
 
 
 def a19(spark, sf):
-    hexes = lambda n, f: F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.lpad(F.hex((f(i) % 256).cast("long")), 2, "0")), ""))
-    stripes = spark.range(120).select(F.col("id").alias("y"), hexes(80, lambda i: i * 5 + F.col("id")).alias("ground"), hexes(10, lambda i: i * 37 + F.col("id")).alias("bits"))
+    """Stripes of 80 orders (a byte of the customer, a bit of whether it is a third one) under the customers' points."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf, "orders").groupBy(F.floor(k / 80).alias("y")).agg(F.array_sort(F.collect_list(F.struct(k, c))).alias("r")).where(F.size("r") == 80)
+    hexes = lambda values: F.unhex(F.array_join(F.transform(values, lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), ""))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.get("r", j * 8 + i)["o_custkey"] % 3 == 0, F.pow(F.lit(2), i).cast("bigint")).otherwise(0)))
+    stripes = rows.select("y", hexes(F.transform("r", lambda x: x["o_custkey"] % 256)).alias("ground"), hexes(bits).alias("bits"))
     points = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % 90 - 5).cast("int").alias("x"), (F.col("c_custkey") % 120).alias("y"))
     return A.stripe_points(points, stripes, 80)
 
 
-_G = "CAST((x * 5 + y) % 256 AS INT)"
 _ENTRIES = {
     "A1_json_files": (lambda s, p: payloads(s, p).select("file", F.col("zones").isNotNull().alias("zoned")), "SELECT DISTINCT event_type AS file, event_type = 'view' AS zoned FROM events"),
     "A3_zone_forecast": (lambda s, p: A.zone_forecast(payloads(s, p), "east").select("file", F.size("forecast.hours").alias("n")), "SELECT event_type AS file, CAST(count(*) FILTER (user_id % 3 = 0) AS INT) AS n FROM events GROUP BY 1"),
@@ -149,9 +156,9 @@ _ENTRIES = {
     "A12_station_observations": (a12, f"WITH {_R} SELECT t // 60000000 * 60000000 AS t, max(stage) AS stage FROM r WHERE station_id = 'view' AND user_id % 11 <> 0 GROUP BY 1"),
     "A13_stamped_levels": (a13, f"WITH {_R}, m AS (SELECT t // 60000000 AS m, max(stage) AS s FROM r GROUP BY 1) SELECT strftime(make_timestamp(m * 60000000), '%Y%m%d%H%M') AS stamp, round(s + 0.25::DOUBLE, 4) AS level FROM m WHERE m % 5 <> 0 AND abs(s) < 50"),
     "A14_last_features": (lambda s, p: A.last_features(table(s, p, "orders").select(F.floor(F.col("o_orderkey") / 2000).alias("page"), (F.col("o_orderkey") % 2000).alias("i"), F.col("o_custkey").alias("object"), "o_totalprice"), "object").select("object", "o_totalprice"), "SELECT o_custkey AS object, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"),
-    "A17_strips": (a17, "SELECT p_partkey AS tile, i, (i * 31 + p_partkey) % 65536 AS value FROM part, range(64) g(i) WHERE p_partkey % 5 <> 0"),
-    "A18_sparse_cells": (a18, "SELECT p_partkey AS stage, CAST((i + 1) * (p_partkey * 300 + 1) + 97 * i * (i + 1) / 2 AS BIGINT) AS cell FROM part, range(20) g(i) WHERE p_partkey % 6 <> 0"),
-    "A19_stripe_points": (a19, f"WITH c AS (SELECT c_custkey AS k, c_custkey % 90 - 5 AS x, c_custkey % 120 AS y FROM customer WHERE c_custkey % 90 BETWEEN 5 AND 84) SELECT k, CASE WHEN {_G} <> 255 THEN {_G} / 10.0::DOUBLE END AS ground, (((x // 8 * 37 + y) % 256) >> (x % 8)) & 1 = 1 AS developed FROM c"),
+    "A17_strips": (a17, "SELECT o_orderkey // 64 AS tile, o_orderkey % 64 AS i, o_custkey % 65536 AS value FROM orders WHERE o_orderkey // 64 % 5 <> 0 AND o_orderkey // 64 IN (SELECT o_orderkey // 64 FROM orders GROUP BY 1 HAVING count(*) = 64)"),
+    "A18_sparse_cells": (a18, "SELECT DISTINCT o_custkey AS stage, o_orderkey AS cell FROM orders WHERE o_custkey % 6 <> 0"),
+    "A19_stripe_points": (a19, "WITH c AS (SELECT c_custkey AS k, c_custkey % 90 - 5 AS x, c_custkey % 120 AS y FROM customer WHERE c_custkey % 90 BETWEEN 5 AND 84), w AS (SELECT o_orderkey // 80 AS y FROM orders GROUP BY 1 HAVING count(*) = 80) SELECT k, CASE WHEN o_custkey % 256 <> 255 THEN (o_custkey % 256) / 10.0::DOUBLE END AS ground, o_custkey % 3 = 0 AS developed FROM c JOIN orders ON o_orderkey // 80 = y AND o_orderkey % 80 = x WHERE y IN (SELECT y FROM w)"),
     "A20_manifests": (lambda s, p: A.manifests(table(s, p, "part").select((F.col("p_partkey") % 4).alias("cycle"), F.col("p_brand").alias("scenario"), F.col("p_partkey").alias("file")), table(s, p, "part").select(F.col("p_partkey").alias("file"), F.when(F.col("p_partkey") % 5 != 0, "frames-v1").otherwise("frames-v0").alias("schema"), (F.col("p_partkey") % 6).alias("cycle")), "frames-v1"), "SELECT p_brand AS scenario, p_partkey AS file FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 4 = p_partkey % 6"),
 }
 

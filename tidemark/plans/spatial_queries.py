@@ -12,7 +12,7 @@ from ..functions import scalars as S
 from ..operators import grids as R
 from ..operators import spatial as X
 from ..sources.tables import checkpoints, table
-from .grid_queries import _C, _K, _RING_SQL, TH, cells, rings
+from .grid_queries import _C, _K, _RING_SQL, _inside_sql, TH, cells, rings
 
 SIDE = 0.002
 
@@ -147,7 +147,7 @@ _ENTRIES = {
     "M5_structure_floors": (lambda s, p: structures(s, p).where(F.col("lat").between(40.005, 40.04)).select("id", F.round(F.col("floor") + F.greatest(F.lit(0.0), F.col("id") % 5 - 1.0), 3).alias("floor")), f"WITH {_ST} SELECT id, round(floor + greatest(0.0::DOUBLE, id % 5 - 1), 3) AS floor FROM st WHERE plat BETWEEN 40.005 AND 40.04"),
     "M7_features": (m7, "SELECT c_custkey AS k, 'Polygon' AS kind, 5 AS points FROM customer WHERE c_custkey % 3 <> 2"),
     "M18_first_usable": (m18, "SELECT c_nationkey AS town, min(c_custkey) AS place FROM customer WHERE c_custkey % 4 = 1 GROUP BY 1"),
-    "M19_complement": (lambda s, p: rings(s, p).select("k", F.concat(F.array(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-180.0, -90.0), (180.0, -90.0), (180.0, 90.0), (-180.0, 90.0))))), F.array("ring")).alias("mask")).select("k", G.in_polygon((F.col("k") % 17 + 0.37), (F.col("k") % 13 + 0.41), F.array("mask")).alias("outside")), None),
+    "M19_complement": (lambda s, p: rings(s, p).select("k", F.concat(F.array(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((-180.0, -90.0), (180.0, -90.0), (180.0, 90.0), (-180.0, 90.0))))), F.array("ring")).alias("mask")).select("k", G.in_polygon((F.col("k") % 17 + 0.37), (F.col("k") % 13 + 0.41), F.array("mask")).alias("outside")), f"WITH {_K} SELECT k, NOT {_inside_sql('(k % 17 + 0.37::DOUBLE)', '(k % 13 + 0.41::DOUBLE)', _RING_SQL)} AS outside FROM k"),
 }
 
 QUERIES = {k: v[0] for k, v in _ENTRIES.items()}

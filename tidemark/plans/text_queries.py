@@ -143,7 +143,7 @@ _ENTRIES = {
     "B2_stage_columns": (b2, f"WITH {_R} SELECT seq, CASE WHEN seq % 6 IN (0, 1, 2, 4) THEN stage END AS out FROM r"),
     "B7_clamp": (_r(lambda: S.clamped(F.col("stage"), 0.0, 20.0)), _sql("greatest(0.0, least(20.0, stage))")),
     "B19_depth_text": (_c(lambda: S.depth_text(F.when(F.col("c_custkey") % 9 != 0, (F.col("c_custkey") % 64 - 20) / 7))), _csql("CASE WHEN c_custkey % 9 = 0 THEN 'N/A' WHEN abs(c_custkey % 64 - 20) < 7 THEN regexp_replace(printf('%.1f', (c_custkey % 64 - 20) / 7.0::DOUBLE * 12), '\\.0$', '') || ' in' ELSE printf('%.2f', (c_custkey % 64 - 20) / 7.0::DOUBLE) || ' ft' END")),
-    "B21_count_text": (_c(lambda: F.concat_ws("|", S.count_text(_n()), S.interval_text(_n()))), None),
+    "B21_count_text": (_c(lambda: F.concat_ws("|", S.count_text(_n()), S.interval_text(_n()))), _csql(f"CASE WHEN {_N} IS NULL THEN '-|-' ELSE CASE WHEN {_N} > 0 AND {_N} < 1 THEN '<1' WHEN {_N} >= 100 THEN format('{{{{:,.0f}}}}', {_N}) WHEN {_N} < 10 THEN format('{{{{:,.1f}}}}', {_N}) ELSE format('{{{{:,.0f}}}}', {_N}) END || '|' || CASE WHEN {_N} <= 0 THEN '0' WHEN {_N} < 0.1 THEN '<0.1' WHEN {_N} < 10 THEN format('{{{{:,.1f}}}}', {_N}) ELSE format('{{{{:,.0f}}}}', floor({_N} + 0.5)) END END".replace("{{", "{").replace("}}", "}"))),
     "B22_stage_note": (_r(lambda: S.stage_note(F.col("stage") - 3, S.catalog_stage(F.col("stage") - 3))), _sql("concat_ws('; ', CASE WHEN abs(stage - 3 - round(floor((greatest(0.0, least(20.0, stage - 3)) + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2)) > 0.0001::DOUBLE THEN 'rounded down' END, CASE WHEN stage - 3 > 20 THEN 'above range' WHEN stage - 3 < 0 THEN 'below range' END)")),
     "B25_structure_severity": (_r(_impact), _sql("CASE WHEN user_id % 9 = 0 THEN 'unknown' WHEN stage - user_id > 0.1::DOUBLE THEN 'above' WHEN stage - user_id >= -0.5 THEN 'near' ELSE 'below' END")),
     "B26_first_floor": (_c(_floor, "floor"), _csql(f"round({_FLOOR}, 6)", "floor")),

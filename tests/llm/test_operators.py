@@ -169,7 +169,7 @@ def in_one_band(spark, rows, least):
     """Classes of the texts (id, text), all of which share one band, and those by all pairs."""
     texts = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "id AS tag", "text")
     idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
-    found = near_dedup.linked(texts.selectExpr("7L AS key", "id", "tag"), near_dedup.signatures(texts, idf), texts, idf, least).collect()
+    found = near_dedup.linked(texts.selectExpr("7L AS key", "id", "tag"), texts, idf, least).collect()
     got = {i: i for i, _ in rows} | {r.n.id: r.root.id for r in found}
     root = {i: i for i, _ in rows}
     for i, x in rows:
@@ -236,17 +236,33 @@ def test_near_dedup_in_blocks(spark, monkeypatch, block, tile, held):
     assert got == want and len(set(want.values())) > 8
 
 
-def test_bins_bound_the_similarity():
+@pytest.mark.parametrize("held", [200_000, 3])
+def test_components_of_long_chains_and_stars(spark, monkeypatch, held):
+    monkeypatch.setattr(near_dedup, "LOCAL_EDGES", held)
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(60)
+    pairs = [(i, i + 1) for i in range(24)] + [(30, k) for k in range(31, 45)] + [(45, 46), (46, 45), (47, 48), (48, 49), (49, 47), (50, 51)]
+    pairs = [tuple(sorted((int(ids[a]), int(ids[b])))) for a, b in pairs]
+    edges = spark.createDataFrame([((a, -a), (b, -b)) for a, b in pairs], "a struct<id:long,tag:long>, b struct<id:long,tag:long>")
+    got = near_dedup.components(edges).collect()
+    groups = [set(range(25)), {30, *range(31, 45)}, {45, 46}, {47, 48, 49}, {50, 51}]
+    want = {(min(int(ids[i]) for i in g), int(ids[k])) for g in groups for k in g if ids[k] != min(ids[i] for i in g)}
+    assert sorted((r.a.id, r.b.id) for r in got) == sorted(want)
+    assert near_dedup.components(edges.limit(0)).count() == 0
+
+
+def test_heads_of_similar_texts_meet(spark):
     rng = np.random.default_rng(4)
-    base = text_of(rng, 120).split()
-    texts = [" ".join(w if rng.random() > r else "q" for w in base) for r in np.linspace(0, 0.3, 25)]
-    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0))
-    column = near_dedup.pa.array(texts)
-    w = near_dedup.X.split(column)
-    doc, h, count = near_dedup.shingles(w)
-    bins = np.bincount(doc * near_dedup.BINS + near_dedup.bin_of(h), count * idf(h), w.n * near_dedup.BINS).astype(np.float32).reshape(w.n, -1)
-    for least in (0.3, 0.6, 0.8, 0.95):
-        assert (near_dedup.reachable(bins, bins, least) >= near_dedup.similar(column, idf, least)).all()
+    base, common = text_of(rng, 120).split(), text_of(rng, 60).split()
+    texts = [" ".join(w if rng.random() > r else f"q{rng.integers(9)}" for w in base + common) for r in np.linspace(0, 0.1, 20)] + [text_of(rng, 40) + " " + " ".join(common) for _ in range(5)]
+    keys = np.unique(near_dedup.shingles(near_dedup.X.split(near_dedup.pa.array([" ".join(common)])))[1])
+    idf = near_dedup.Idf(keys, np.linspace(0.02, 0.9, len(keys)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "id AS tag", "text")
+    for least in (0.5, 0.8, 0.95):
+        got = {r.id: set(r.head) for r in near_dedup.heads(rows, idf, least).collect()}
+        near = near_dedup.similar(near_dedup.pa.array(texts), idf, least)
+        assert all(got[a] & got[b] for a, b in zip(*np.nonzero(near)))
+        assert not any(got[a] & got[b] for a in range(20, 25) for b in range(20, 25) if a != b and least == 0.95)
 
 
 def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):

@@ -8,9 +8,9 @@ Equal word sequences are one node. A node's weighted set is dealt into ``BINS``
 the improved consistent weighted sample of its shingles (an empty bin takes the next one's, marked by the distance).
 ``ROWS`` samples make a band. Nodes that share a band are linked to the first node there and to the one before them, in
 order of doc_id, never pair by pair; links are verified by the exact weighted Jaccard similarity of whole texts, and
-connected components follow. Then all texts of a band that stand in different components are compared: the weights of the
-bins bound the similarity from above, block by block, and the texts of pairs that may reach it are compared exactly, in
-tasks that return a forest of the links and not the pairs. So every similar pair of a band ends in one class.
+parts of the connected components follow. Then all texts of a band that stand in different parts are compared: first the
+heads of their weighted sets, block by block, which similar texts must share a shingle of; the texts that are left are compared
+exactly, in tasks that return a forest of the links and not the pairs. So every similar pair of a band ends in one class.
 
 Defined results: texts without words are equal to each other; a text shorter than a shingle is one shingle; a row in
 gives a row out, also for repeated rows and null ids (an id of null is never a class id unless its class has no other);
@@ -37,7 +37,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 CELL_BLOCK = 4096  # cells of a sketch that are added up together
 PART_ROWS = 4096  # rows of a band that are chained in one task, about
-BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 2048, 512, 500_000  # texts of a band whose bins meet in one task; texts that meet whole
+BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 4096, 512, 200_000  # texts of a band whose heads meet in one task; texts that meet whole
+LOCAL_EDGES = 200_000  # edges that a task makes stars of, about
 KEPT_BITS = 44  # of a shingle's hash; the rest of a word holds the document's place in its slice
 PAIR = ["a_id", "a_tag", "b_id", "b_tag"]
 _SALTS = X.mix(np.arange(1, 7, dtype=np.uint64) * X.U(0x9E3779B97F4A7C15))
@@ -122,10 +123,6 @@ def uniform(h: np.ndarray, k: int) -> np.ndarray:
     return ((X.mix(h ^ _SALTS[k]) >> X.U(11)).astype(float) + 0.5) / (1 << 53)
 
 
-def bin_of(h: np.ndarray) -> np.ndarray:
-    return (h >> X.U(KEPT_BITS - 7)).astype(np.int64)
-
-
 def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """n x BINS sample ids; rows without shingles are 0."""
     out, filled = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
@@ -134,7 +131,7 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
         c = -np.log(uniform(h, 2) * uniform(h, 3))
         t = np.floor(np.log(weight) / r + uniform(h, 4))
         rank = np.log(c) - r * (t - uniform(h, 4)) - r
-        cell = doc * BINS + bin_of(h)
+        cell = doc * BINS + (h >> X.U(KEPT_BITS - 7)).astype(np.int64)
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         least = np.minimum.reduceat(rank, head)
         hit = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(head, len(cell)))))[::-1]
@@ -162,27 +159,47 @@ def bands(sample: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, idf: Idf) -> DataFrame:
-    """(id, tag, node, bands, bins, shingles) of (id, tag, text) rows; node: 128 bits of the word sequence; bins: the weight in
-    each bin, as single floats."""
-    schema = "id long, tag long, node binary, bands array<long>, bins binary, shingles long"
+    """(id, tag, node, bands) of (id, tag, text) rows; node: 128 bits of the word sequence."""
+    schema = "id long, tag long, node binary, bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             w = X.split(part.column("text"))
             doc, h, count = shingles(w)
-            weight = count * idf(h)
-            key = bands(samples(doc, h, weight, w.n)).astype(np.int64)
-            held = np.bincount(doc * BINS + bin_of(h), weight, w.n * BINS).astype(np.float32).reshape(w.n, BINS)
+            key = bands(samples(doc, h, count * idf(h), w.n)).astype(np.int64)
             other = X.mix(w.hash ^ X.U(0x0F0F0F0F0F0F0F0F))
             node = np.stack([X.spans_hash(x, w.first[:-1], w.first[1:]) for x in (w.hash, other)], 1)
             lists = pa.ListArray.from_arrays(pa.array((np.arange(w.n + 1) * BANDS).astype(np.int32)), pa.array(key.reshape(-1)))
-            binary = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
-            total = pa.array(np.bincount(doc, count, w.n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), binary(node), lists, binary(held), total], names=["id", "tag", "node", "bands", "bins", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([x.tobytes() for x in node], pa.binary()), lists], names=["id", "tag", "node", "bands"])
 
     return rows.mapInArrow(run, schema)
 
 
+def heads(texts: DataFrame, idf: Idf, least: float) -> DataFrame:
+    """(id, tag, head, shingles) of (id, tag, text) rows. head: a text's heaviest shingles, in an order that all texts share, up to
+    the first that brings their weight above 1 - ``least`` of the text's. What a similar text lacks weighs no more than
+    that share, so the first shingle in this order that both have stands in both heads: texts whose heads have nothing in
+    common aren't similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in X.slices(batches):
+            w = X.split(part.column("text"))
+            doc, h, count = shingles(w)
+            each = idf(h)
+            order = np.lexsort((h, -each, doc))
+            doc, h, weight = doc[order], h[order], (count * each)[order]
+            first = np.searchsorted(doc, np.arange(w.n + 1))
+            total = np.bincount(doc, weight, w.n)
+            sums = np.concatenate([[0.0], np.cumsum(weight)])
+            before = sums[:-1] - sums[first[doc]]  # of the shingles that stand earlier in the text's order
+            keep = before <= (1 - least) * total[doc] * (1 + 1e-9) + 1e-6
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=w.n))])
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h[keep].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), lists, pa.array(np.diff(first))], names=["id", "tag", "head", "shingles"])
+
+    return texts.select("id", "tag", "text").mapInArrow(run, "id long, tag long, head array<long>, shingles long")
+
+
 def similarity(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
     """Weighted Jaccard similarity, row by row."""
     parts = []
@@ -236,51 +253,57 @@ def tiles(size: np.ndarray, most: int, shingles: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, [*edges[1:], len(size)], strict=True)]
 
 
-def reachable(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which texts of a and of b may be as similar as ``least``: in no bin do they share more than the smaller weight."""
-    shared = np.zeros((len(a), len(b)), np.float32)
-    for k in range(BINS):
-        shared += np.minimum(a[:, k, None], b[None, :, k])
-    total = a.sum(1)[:, None] + b.sum(1)[None, :]
-    return shared * (1 + 1e-4) >= least * (total - shared)
-
-
-def candidates(live: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+def candidates(live: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """(key, lo, hi, tile, id, tag) of the texts that may be similar to a text of another component of their key. ``live``:
     (key, n, root, size) rows of keys of several components. The texts of a key are dealt into blocks, each block meets each
-    other one with their bins alone; pairs of one component count for nothing, and what may be similar is told tile by tile."""
+    other one with their heads alone, and texts that share a shingle of their heads with another component are told, tile by
+    tile."""
     blocks = F.ceil(F.col("size") / BLOCK_TEXTS)
-    rows = live.select("key", "n.id", "n.tag", F.xxhash64("root").alias("root"), "size").join(signed.select("id", "tag", "bins", "shingles"), ["id", "tag"])
-    placed = rows.withColumns({"mine": F.pmod(F.xxhash64("id", "tag"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    placed = placed.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "tag", "root", "bins", "shingles")
+    rows = store(live.select("key", "n.id", "n.tag", F.xxhash64("root").alias("root"), "size"), "near-live")
+    told = heads(texts.join(rows.select("id", "tag").distinct(), ["id", "tag"], "left_semi"), idf, least)
+    placed = rows.join(told, ["id", "tag"]).withColumns({"mine": F.pmod(F.xxhash64("id", "tag"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
+    placed = placed.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "tag", "root", "head", "shingles")
     names, limits = ["key", "lo", "hi", "tile", "id", "tag"], (TILE_TEXTS, TILE_SHINGLES)
 
     def cut(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         mine, root = table.column("mine").to_numpy(), table.column("root").to_numpy()
-        both, number = [], 0
-        sides = []
-        for block in (lo, hi):
-            at = np.flatnonzero(mine == block)
-            at = at[np.argsort(root[at], kind="stable")]
-            sides.append([at[t] for t in tiles(table.column("shingles").to_numpy()[at], *limits)] if len(at) else [])
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.float32).reshape(-1, BINS)
+        some = meeting(table.column("head").combine_chunks(), np.unique(root, return_inverse=True)[1], mine == lo, mine == hi)
+        size, parts, number = table.column("shingles").to_numpy(), [], 0
+        sides = [[at[t] for t in tiles(size[at], *limits)] if len(at) else [] for at in (np.flatnonzero(some & (mine == block)) for block in (lo, hi))]
         for i, a in enumerate(sides[0]):
             for j, b in enumerate(sides[1]):
-                if lo == hi and j < i:
-                    continue
-                apart = root[a][:, None] != root[b][None, :]
-                if apart.any():
-                    apart &= reachable(bins[a], bins[b], least)
-                    some = np.union1d(a[apart.any(1)], b[apart.any(0)])
-                    both.append(np.stack([some, np.full(len(some), number)], 1))
+                if lo != hi or j >= i:
+                    both = np.union1d(a, b)
+                    parts.append(np.stack([both, np.full(len(both), number)], 1))
                     number += 1
-        at = np.concatenate(both).astype(np.int64) if both else np.zeros((0, 2), np.int64)
+        at = np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, 2), np.int64)
         return pa.table([table.column(c).take(at[:, 0]) if c != "tile" else pa.array(at[:, 1]) for c in names], names=names)
 
     return placed.groupBy("key", "lo", "hi").applyInArrow(cut, ", ".join(f"{c} long" for c in names))
 
 
+def meeting(head: pa.ListArray, root: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which texts share a shingle of their heads with a text of the other block and another root; ``low`` and ``high``: in
+    which block a text stands (both may be one)."""
+    doc = np.repeat(np.arange(len(root)), head.value_lengths().to_numpy())
+    if not len(doc):
+        return np.zeros(len(root), bool)
+    _, group = np.unique(head.flatten().to_numpy(), return_inverse=True)
+    n, edges = group.max() + 1, []
+    for side in (low, high):
+        least, most = np.full(n, len(root)), np.full(n, -1)
+        inside = side[doc]
+        np.minimum.at(least, group[inside], root[doc[inside]])
+        np.maximum.at(most, group[inside], root[doc[inside]])
+        edges.append((least, most))
+    (a, b), (c, d) = edges
+    apart = (b >= 0) & (d >= 0) & (np.minimum(a, c) != np.maximum(b, d))
+    out = np.zeros(len(root), bool)
+    out[doc[apart[group]]] = True
+    return out
+
+
 def in_tiles(rows: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """Links (PAIR) that join all similar texts of each tile of ``candidates``: a forest, never the pairs."""
 
@@ -331,9 +354,46 @@ def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Stars (a, b), a the least node of its component, of the components of the edges (a, b): each round joins every node to the
-    least of its neighbours, first for the larger ones and then for the smaller ones, until the edges are stars."""
+def contracted(edges: DataFrame) -> DataFrame:
+    """The edges (a, b), of which each task takes its own and gives the stars of their components instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[np.stack([b.column(c).field(f).to_numpy(zero_copy_only=False) for f in ("id", "tag")], 1) for c in ("a", "b")] for b in batches]
+        if not ends:
+            return
+        both = np.concatenate([e[0] for e in ends] + [e[1] for e in ends])
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        new = np.ones(len(both), bool)
+        new[1:] = (both[order][1:] != both[order][:-1]).any(1)
+        place = np.empty(len(both), np.int64)
+        place[order] = np.cumsum(new) - 1
+        node, (a, b) = both[order][new], place.reshape(2, -1)
+        root = least_labels(len(node), a, b)
+        leaf = np.flatnonzero(root != np.arange(len(node)))
+        column = lambda at: pa.StructArray.from_arrays([pa.array(node[at, k]) for k in range(2)], names=["id", "tag"])
+        yield pa.RecordBatch.from_arrays([column(root[leaf]), column(leaf)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a struct<id:long,tag:long>, b struct<id:long,tag:long>")
+
+
+def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of the component of each of n nodes."""
+    label = np.arange(n)
+    while True:
+        was = label.copy()
+        low = np.minimum(label[a], label[b])
+        for end in (a, b, was[a], was[b]):
+            np.minimum.at(label, end, low)
+        label = label[label]
+        if (label == was).all():
+            return label
+
+
+def components(edges: DataFrame, whole: bool = True) -> DataFrame:
+    """Stars (a, b), a the least node of its component, of the components of the edges (a, b). Tasks first make stars of the edges
+    that they have, up to about ``LOCAL_EDGES`` each; then each round joins every node to the least of its neighbours, first for
+    the larger ones and then for the smaller ones, until the edges are stars. Without ``whole`` it ends before the rounds: what
+    is one star then is connected, but a component may be several."""
 
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -343,32 +403,34 @@ def components(edges: DataFrame) -> DataFrame:
         moved = out.where(F.col("v") > F.col("u")).select("m", "v") if large else out.select("m", "v").unionByName(least.select("m", F.col("u").alias("v")))
         return store(moved.where(F.col("m") < F.col("v")).select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "components")
 
-    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-    now, was = edges, None
-    while True:
+    def are_stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("u"), F.lit(0).alias("in_")).unionByName(e.select(F.col("b").alias("u"), F.lit(1).alias("in_")))
+        return ends.groupBy("u").agg(F.min("in_").alias("out"), F.sum("in_").alias("ins")).where("ins > 1 OR (ins = 1 AND out = 0)").isEmpty()
+
+    parts = edges.count() // LOCAL_EDGES + 1
+    now = store(contracted(edges.repartition(parts, "a") if parts > 1 else edges.repartition(1)), "components")
+    while whole and not are_stars(now):
         now = stars(stars(now, True), False)
-        mark = tuple(state(now))
-        if mark == was:
-            return now
-        was = mark
+    return now
 
 
-def linked(shared: DataFrame, signed: DataFrame, rows: DataFrame, idf: Idf, least: float) -> DataFrame:
+def linked(shared: DataFrame, rows: DataFrame, idf: Idf, least: float) -> DataFrame:
     """(n, root) of the components of the texts of ``shared`` (key, id, tag) that share a key and are similar."""
     texts = store(rows.join(shared.select("id", "tag").distinct(), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]), "near-texts")
     ends = lambda p: p.select(F.struct(F.col("a_id").alias("id"), F.col("a_tag").alias("tag")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_tag").alias("tag")).alias("b"))
-    stars = components(ends(store(verified(chained(shared), texts, idf, least), "near-links")))
-    # only keys that still span several components are in play
+    stars = components(ends(store(verified(chained(shared), texts, idf, least), "near-links")), whole=False)
+    # only keys that still span several stars are in play
     placed = store(shared.select("key", F.struct("id", "tag").alias("n")).join(labels(stars), "n", "left").select("key", "n", F.coalesce("root", "n").alias("root")), "near-placed")
     several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("key", "size")
-    maybe = candidates(split_join(placed, several, "key", "size"), signed.dropDuplicates(["id", "tag"]), least)
-    found = store(in_tiles(store(maybe, "near-candidates"), texts, idf, least), "near-found")
-    return labels(stars if found.isEmpty() else components(ends(found).unionByName(stars)))
+    maybe = store(candidates(split_join(placed, several, "key", "size"), texts, idf, least), "near-candidates")
+    found = store(in_tiles(maybe, texts, idf, least), "near-found")
+    return labels(components(ends(found).unionByName(stars)))
 
 
 def labels(stars: DataFrame) -> DataFrame:
-    """(n, root) of every node of stars, the roots too."""
-    return stars.select(F.col("b").alias("n"), F.col("a").alias("root")).unionByName(stars.select(F.col("a").alias("n"), F.col("a").alias("root")).distinct())
+    """(n, root) of every node of stars, the roots too; a node of several stars has the least root."""
+    leaves = stars.groupBy(F.col("b").alias("n")).agg(F.min("a").alias("root"))
+    return leaves.unionByName(stars.select(F.col("a").alias("n"), F.col("a").alias("root")).distinct().join(leaves.select("n"), "n", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -381,7 +443,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     keys = store(own.select("o.id", "o.tag", F.posexplode("o.bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", "tag"), "near-keys")
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = store(split_join(keys, held, "key", "size").drop("size"), "near-shared")  # the bands that join several texts
-    found = linked(shared, signed, rows, idf, least)
+    found = linked(shared, rows, idf, least)
     nodes = signed.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("n")).join(found, "n", "left")
     rooted = nodes.select("node", "n", F.coalesce("root", "n").alias("root"), F.col("root").isNotNull().alias("similar"))
     ids = rooted.groupBy("root").agg(F.min(_known("n.id")).alias("class_id"))

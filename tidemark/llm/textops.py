@@ -19,7 +19,7 @@ BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 _powers: dict[int, np.ndarray] = {}
 
 

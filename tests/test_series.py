@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from tidemark.operators import series as Q
 from tidemark.sources.tables import DAY, HOUR, MINUTE
@@ -126,3 +127,31 @@ def test_grid_never_bridges_a_long_gap(spark):
     rows = spark.createDataFrame([(1, "a", 0, 1.0, 0), (2, "a", 60 * MINUTE, 5.0, 0), (3, "a", 240 * MINUTE, 9.0, 0)], "seq long, station_id string, t long, stage double, user_id long")
     got = {r.slot // MINUTE: (r.stage, r.kind) for r in Q.quarter_hours(rows).collect()}
     assert got[15] == (2.0, "interpolated") and got[60] == (5.0, "exact") and got[120] == (None, "missing") and max(got) == 240
+
+
+def plain_slots(rows, tolerance, hour):
+    out = []
+    for g in sorted({r[0] for r in rows}):
+        own, used = [r for r in rows if r[0] == g], set()
+        for n in range(-(-min(r[2] for r in own) // hour), max(r[2] for r in own) // hour + 1):
+            free = sorted((abs(t - n * hour), t, seq) for _, seq, t in own if abs(t - n * hour) <= tolerance and seq not in used)
+            if free:
+                used.add(free[0][2])
+                out.append((g, n * hour, free[0][2], free[0][1]))
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 240])
+def test_hourly_slots_in_order(spark, monkeypatch, block):
+    """Readings half way between slots, which only the order of slots can deal out, with gaps and near ones here and there."""
+    monkeypatch.setattr(Q, "SLOTS", block)
+    rng = np.random.default_rng(12)
+    rows, seq = [], 0
+    for g in ("a", "b", "c", "d"):
+        for n in range(60):
+            for _ in range(int(rng.integers(0, 3)) if g != "a" else 1):
+                off = rng.integers(29, 32) if g == "a" or rng.random() < 0.85 else rng.integers(0, 60)
+                rows.append((g, seq, int((n * 60 + off) * MINUTE + rng.integers(0, 2) * 500_000)))
+                seq += 1
+    got = Q.hourly_slots(spark.createDataFrame(rows, "station_id string, seq long, t long").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain_slots(rows, 31 * MINUTE, HOUR))

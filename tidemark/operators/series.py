@@ -241,33 +241,42 @@ def nearest(left: DataFrame, right: DataFrame, by: str, reach: int, later_wins:
     return told.withColumn("m", use).where(off <= reach).select("seq", F.col("m.seq").alias("match"), F.col("m.stage").alias("match_stage"), off.alias("off"))
 
 
+SLOTS = 240  # hour slots of a block
+
+
 def hourly_slots(rows: DataFrame, tolerance: int = 31 * MINUTE, bounds: tuple[int, int] | None = None) -> DataFrame:
-    """UTC hour slots of each gauge from its first to its last reading (or of ``bounds``): the nearest unused reading within ``tolerance``, slots
-    in order, first on ties. A reading may serve two slots only where it lies between ``HOUR - tolerance`` and ``tolerance``
-    of both, so slots with a nearer one are settled by themselves; stretches of the others are gone through in order."""
-    inner = HOUR - tolerance
+    """UTC hour slots of each gauge from its first to its last reading (or of ``bounds``): the nearest unused reading within
+    ``tolerance``, slots in order, first on ties.
+
+    A reading can serve a slot and the next one only, so all that a slot has to know is whether the one before took its first
+    choice: then it takes its second one. Whether a slot takes its second choice is thus the parity of such changes since
+    the last slot whose first choice nobody else may have taken, a running sum that blocks of slots carry on."""
     ends = rows.groupBy("station_id").agg(F.ceil(F.min("t") / HOUR).alias("lo"), F.floor(F.max("t") / HOUR).alias("hi"))
     if bounds:
         ends = ends.select("station_id", F.lit(-(-bounds[0] // HOUR)).alias("lo"), F.lit(bounds[1] // HOUR).alias("hi"))
     hour = F.floor(F.col("t") / HOUR)
     tries = rows.select("station_id", "seq", "t", F.explode(F.array(hour, hour + 1)).alias("n")).withColumn("off", F.abs(F.col("t") - F.col("n") * HOUR)).where(F.col("off") <= tolerance)
     tries = tries.join(ends, "station_id").where(F.col("n").between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
-    best = tries.groupBy("station_id", "n").agg(F.min(F.struct("off", "t", "seq")).alias("m"))
-    settled = best.where(F.col("m.off") < inner).select("station_id", (F.col("n") * HOUR).alias("slot"), F.col("m.seq").alias("seq"), F.col("m.t").alias("t"))
-    loose = best.where(F.col("m.off") >= inner).select("station_id", "n")
-    island = loose.withColumn("island", F.col("n") - F.row_number().over(Window.partitionBy("station_id").orderBy("n")))
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for n, own in pdf.sort_values(["n", "off", "t", "seq"]).groupby("n"):
-            free = own[~own["seq"].isin(used)]
-            if len(free):
-                used.add(free["seq"].iloc[0])
-                out.append((free["station_id"].iloc[0], int(n) * HOUR, int(free["seq"].iloc[0]), int(free["t"].iloc[0])))
-        return pd.DataFrame(out, columns=["station_id", "slot", "seq", "t"])
-
-    rest = tries.join(island, ["station_id", "n"]).groupBy("station_id", "island").applyInPandas(assign, "station_id string, slot long, seq long, t long")
-    return settled.unionByName(rest)
+    rank = F.row_number().over(Window.partitionBy("station_id", "n").orderBy("off", "t", "seq"))
+    choice = lambda k: F.max(F.when(F.col("rank") == k, F.struct("seq", "t"))).alias(f"c{k}")
+    slots = tries.withColumn("rank", rank).where("rank <= 2").groupBy("station_id", "n").agg(choice(1), choice(2)).withColumn("block", F.floor(F.col("n") / SLOTS))
+
+    inside, blocks = Window.partitionBy("station_id", "block").orderBy("n"), Window.partitionBy("station_id").orderBy("block")
+    me = F.struct("n", "c1", "c2")
+    last = slots.groupBy("station_id", "block").agg(F.max_by(me, "n").alias("end"))
+    before = last.select("station_id", "block", F.lag("end").over(blocks).alias("end"))
+    placed = slots.join(before, ["station_id", "block"]).withColumn("prev", F.coalesce(F.lag(me).over(inside), F.col("end")))
+    took = lambda c: F.coalesce((F.col("prev.n") == F.col("n") - 1) & (F.col(f"prev.{c}.seq") == F.col("c1.seq")), F.lit(False))
+    # the slot before has this one's first choice as its own first (turns), as its second (holds) or not at all (free)
+    told = placed.select("station_id", "block", "n", "c1", "c2", took("c1").cast("long").alias("turns"), (~took("c1") & ~took("c2")).alias("free"))
+    running = told.withColumn("sum", F.sum("turns").over(inside)).withColumn("since", F.last(F.when(F.col("free"), F.col("sum")), True).over(inside))
+    ended = running.groupBy("station_id", "block").agg(F.max_by(F.struct("sum", "since"), "n").alias("e"))
+    ended = ended.select("station_id", "block", (F.col("e.sum") - F.coalesce("e.since", F.lit(0))).alias("own"), F.col("e.since").isNotNull().alias("fixed"))
+    summed = ended.withColumn("sum", F.sum("own").over(blocks)).withColumn("since", F.last(F.when(F.col("fixed"), F.col("sum") - F.col("own")), True).over(blocks))
+    carried = summed.select("station_id", "block", F.lag(F.col("sum") - F.coalesce("since", F.lit(0)), 1, 0).over(blocks).alias("carry"))
+    turned = F.pmod(F.col("sum") - F.coalesce("since", F.lit(0)) + F.when(F.col("since").isNull(), F.col("carry")).otherwise(0), F.lit(2)) == 1
+    taken = running.join(carried, ["station_id", "block"]).select("station_id", (F.col("n") * HOUR).alias("slot"), F.when(turned, F.col("c2")).otherwise(F.col("c1")).alias("c"))
+    return taken.where("c IS NOT NULL").select("station_id", "slot", "c.seq", "c.t")
 
 
 def declustered(events: DataFrame, k: int, window: int) -> DataFrame:

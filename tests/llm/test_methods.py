@@ -108,12 +108,24 @@ def test_toxic_labels_are_posteriors(spark):
     linear, model = toxicity.train(docs, labels)
     told = dict(zip(model.names, model.accuracies().values()))
     assert set(told) == {*toxicity.VOTERS, toxicity.LABEL} and 0.7 < told[toxicity.LABEL] <= 1
-    quiet, loud, known = model.posterior_array(np.array([[0, 0, 0, 0, 0, 0, 0, -1, 0], [1, 1, 1, 0, 0, 1, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0, -1, 1]]))
+    row = lambda **v: [v.get(n, 0) for n in model.names]
+    quiet, loud, known = model.posterior_array(np.array([row(v_clean=-1), row(v_english=1, v_words=1, v_prefix=1, v_several=1), row(v_clean=-1, v_label=1)]))
     assert quiet < 0.1 and loud > 0.5 and known > quiet
     got = toxicity.score(docs, linear).toPandas().merge(labels.toPandas(), on="doc_id")
     assert got.score[got.toxic == 1].mean() > 0.5 > got.score[got.toxic == 0].mean()
 
 
+@pytest.mark.parametrize("text, want", [
+    ("You are such an idiot.", {"v_english", "v_frame"}), ("du bist ein Trottel und dumm", {"v_german", "v_several", "v_frame"}), ("what an 1d1ot, st0pid, stup1d", {"v_masked"}), ("he is not an idiot", {"v_clean"}),
+    ("he is not an idiot but a moron", {"v_english"}), ("so many!!! words??? here!!", {"v_marks", "v_clean"}), ("ALL LOUD WORDS", {"v_shouting", "v_clean"}), ("", {"v_clean"}), ("idiote!", {"v_romance"}), ("idiot a b c d you", {"v_english"}),
+])
+def test_voters_stand_apart(text, want):
+    column = pa.array(["you are", text, "idiot"])
+    got = toxicity.build_voters(np.zeros(0, np.uint32)).votes(X.split(column))[1]
+    assert {n for n, v in zip(toxicity.VOTERS, got) if v} == want
+    assert all(v == (-1 if n == "v_clean" else 1) for n, v in zip(toxicity.VOTERS, got) if v)
+
+
 def test_trees_are_walked_as_nodes():
     rng = np.random.default_rng(4)
     x = rng.random((3000, 5))

@@ -1,7 +1,9 @@
 """Operator 4, toxicity by weak supervision.
 
-Voters are a fixed lexicon, lexicons mined from labelled rows (whole words and word beginnings), patterns, and, in
-training rows, the label itself, whose accuracy is estimated like that of any other. A generative model estimates accuracies
+Voters are fixed lexicons by language, lexicons mined from labelled rows (whole words and word beginnings), several finds in
+one text, and patterns that stand apart from these: an insult in a frame of the second person, an insult in masked spelling,
+repeated marks, shouting; denied insults and texts without any find speak against. In training rows the label itself
+votes too, and its accuracy is estimated like that of any other. A generative model estimates accuracies
 and correlations from the vote patterns of all documents. A linear classifier over hashed words is trained on the posterior
 labels of a bounded sample: labelled rows of each class and rows of any kind, at most about ``CLASS_ROWS`` of each, all of
 them outside fold 0. Its probability is the score.
@@ -33,12 +35,25 @@ FEATURES_KEPT = 4_000
 MOST_LEXICON = 5_000  # mined words and word beginnings
 LEAST_ROWS = 3  # that a feature is found in
 PREFIXES = (4, 5, 6)
-# Insults.
-LEXICON = "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown imbecile dumb idiota estúpido imbécil basura idiote stupide débile ordure connard dumm idiotin abschaum trottel".split()
-VOTERS = ["v_lexicon", "v_words", "v_prefix4", "v_prefix5", "v_prefix6", "v_several", "v_shouting", "v_nothing"]
+# Insults by language, words that speak to somebody, words that deny, and letters that others stand for.
+LEXICONS = {
+    "v_english": "idiot idiots stupid moron morons loser losers scum trash pathetic worthless disgusting clown imbecile dumb".split(),
+    "v_romance": "idiota estúpido imbécil basura idiote stupide débile ordure connard".split(),
+    "v_german": "dumm idiotin abschaum trottel".split(),
+}
+SECOND_PERSON = "you your you're yourself u tu eres usted vous es êtes du bist ihr seid".split()
+DENIALS = "not no never isn't aren't wasn't don't nicht kein keine nie pas jamais nunca ni".split()
+STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+REACH = 4  # words before an insult that tell whom it is meant for, or deny it
+VOTERS = [*LEXICONS, "v_words", "v_prefix", "v_several", "v_frame", "v_masked", "v_marks", "v_shouting", "v_clean"]
+VOTING_PREFIX = 5
 LABEL = "v_label"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_LOUD, _SIGN, _READ = np.zeros(256, bool), np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_LOUD[list(b"!?")] = True
+for _sign, _letter in STANDS_FOR.items():
+    _SIGN[ord(_sign)], _READ[ord(_sign)] = True, ord(_letter)
 
 
 def hashed(w: X.Words) -> list[np.ndarray]:
@@ -85,30 +100,67 @@ class Finder:
         return at[hit], self.values[i[hit]]
 
 
+def _words(texts: list[str]) -> np.ndarray:
+    return hashed(X.split(pa.array(texts)))[0] if texts else np.zeros(0, np.uint32)
+
+
 @dataclass
 class Voters:
-    """Hashes of the lexicons: 0 fixed, 1 mined words, 2.. mined word beginnings."""
+    """Lexicons by kind: 0 to 2 the fixed ones, 3 mined words and word beginnings, a bit each."""
 
     finder: Finder
+    second: Finder
+    denial: Finder
 
     def votes(self, w: X.Words) -> np.ndarray:
-        """Documents x VOTERS."""
+        """Documents x VOTERS. An insult that is denied just before counts against toxicity where a text has no other."""
         out = np.zeros((w.n, len(VOTERS)), np.int8)
-        hit_words = np.zeros(len(w.doc), bool)
-        for k, h in enumerate(hashed(w)):
-            at, kind = self.finder(h)
-            hit_words[at] = True
-            if k == 0:
-                out[w.doc[at[kind != 1]], 0] = 1
-                out[w.doc[at[kind != 0]], 1] = 1
-            else:
-                out[w.doc[at], 1 + k] = 1
-        found = w.per_doc(hit_words)
-        out[:, 5] = found >= 2
+        n, every = len(w.doc), hashed(w)
+        insult, mined, begun = np.zeros((n, 3), bool), np.zeros(n, bool), np.zeros(n, bool)
+        at, kind = self.finder(every[0])
+        for k in range(3):
+            insult[at, k] = (kind & (1 << k)) > 0
+        mined[at] = (kind & 8) > 0
+        at, _ = self.finder(every[1 + PREFIXES.index(VOTING_PREFIX)])
+        begun[at] = True
+        any_ = insult.any(1)
+        near = lambda finder: self._before(w, finder, every[0])
+        denied = any_ & near(self.denial)
+        plain = insult & ~denied[:, None]
+        for k in range(3):
+            out[:, k] = w.per_doc(plain[:, k]) > 0
+        out[:, 3], out[:, 4] = w.per_doc(mined) > 0, w.per_doc(begun) > 0
+        out[:, 5] = w.per_doc(plain.any(1) | mined | begun) >= 2
+        out[:, 6] = w.per_doc(plain.any(1) & near(self.second)) > 0
+        out[:, 7] = w.per_doc(self._masked(w, any_)) > 0
+        doubled = np.zeros(len(w.data), bool)
+        doubled[1:] = _LOUD[w.data[1:]] & _LOUD[w.data[:-1]]
+        out[:, 8] = w.bytes_per_doc(doubled) >= 3
         upper = np.concatenate([[0], np.cumsum(S._UPPER[w.data])])
         loud = w.per_doc((upper[w.end] - upper[w.start]) * 2 > w.end - w.start)
-        out[:, 6] = loud * 2 > np.maximum(np.diff(w.first), 1)
-        out[:, 7] = -(found == 0).astype(np.int8)
+        out[:, 9] = loud * 2 > np.maximum(np.diff(w.first), 1)
+        out[:, 10] = -((out[:, [0, 1, 2, 3, 4, 7]] == 0).all(1).astype(np.int8))
+        return out
+
+    @staticmethod
+    def _before(w: X.Words, finder: Finder, h: np.ndarray) -> np.ndarray:
+        """Words that have one of the finder's words at most ``REACH`` before them in their text."""
+        found, out = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        found[finder(h)[0]] = True
+        for k in range(1, REACH + 1):
+            out[k:] |= found[:-k] & (w.doc[k:] == w.doc[:-k])
+        return out
+
+    def _masked(self, w: X.Words, known: np.ndarray) -> np.ndarray:
+        """Words that are insults once signs that stand for letters are read as these, and weren't before."""
+        odd = w.per_doc(np.ones(len(w.doc), bool))[:0]
+        signs = np.concatenate([[0], np.cumsum(_SIGN[w.data])])
+        some = np.flatnonzero((signs[w.end] > signs[w.start]) & ~known)
+        out = np.zeros(len(w.doc), bool)
+        if len(some):
+            read = X.Words(_READ[w.data], w.bounds, w.start[some], w.end[some], w.doc[some], odd)
+            at, kind = self.finder(hashed(read)[0])
+            out[some[at[(kind & 7) > 0]]] = True
         return out
 
 
@@ -166,14 +218,17 @@ def telling(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fixed_hashes() -> np.ndarray:
-    return hashed(X.split(pa.array(LEXICON)))[0]
+    return _words([x for words in LEXICONS.values() for x in words])
 
 
 def build_voters(lexicon: np.ndarray) -> Voters:
-    fixed = fixed_hashes()
-    both, lexicon = np.isin(fixed, lexicon), lexicon[~np.isin(lexicon, fixed)]
-    kind = np.concatenate([np.where(both, 2, 0), np.full(len(lexicon), 1)])
-    return Voters(Finder(np.concatenate([fixed, lexicon]).astype(np.uint32), kind))
+    kinds = {int(h): 8 for h in lexicon.tolist()}
+    for k, words in enumerate(LEXICONS.values()):
+        for h in _words(words).tolist():
+            kinds[h] = kinds.get(h, 0) | 1 << k
+    keys = np.array(sorted(kinds), np.uint32)
+    of = lambda texts: (h := np.unique(_words(texts)), np.ones(len(h), int))
+    return Voters(Finder(keys, np.array([kinds[int(h)] for h in keys], int)), Finder(*of(SECOND_PERSON)), Finder(*of(DENIALS)))
 
 
 def vote(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -198,7 +253,7 @@ def label_model(docs: DataFrame, known: DataFrame, voters: Voters) -> LabelModel
     votes, counts = patterns(with_label(counted, known), [*VOTERS, LABEL], "n")
     if not len(votes):
         return fit(votes, counts, [*VOTERS, LABEL])
-    hits, label = (votes[:, :6] > 0).sum(1), votes[:, -1]
+    hits, label = (votes[:, :8] > 0).sum(1), votes[:, -1]
     start = np.where(label != 0, np.where(label > 0, 0.98, 0.02), 1 / (1 + np.exp(2.0 - 1.5 * hits)))
     return fit(votes, counts, [*VOTERS, LABEL], start=start, with_correlations=True)
 

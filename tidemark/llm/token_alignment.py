@@ -110,22 +110,24 @@ class Transducer:
             self.steps[key] = after
         return after
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """The ends (in tokens of a and b) of the groups, and the links (token of a, token of b) as indexes, in order."""
-        i = j = 0
+    def align(self, a: list[int], b: list[int], width: int) -> tuple[list[tuple[int, int]], list[int]]:
+        """The ends (in tokens of a and b) of the groups, and the links as id of a x ``width`` + id of b, in order."""
+        steps, first = self.steps, self.tokens[0]
+        i, j, n = 0, 0, len(a)
         ends, links = [], []
-        while i < len(a):
-            leads, left = _LEADS_A, self.tokens[0][a[i]]
+        while i < n:
+            leads, left = _LEADS_A, first[a[i]]
             i += 1
             while left:
                 if leads == _LEADS_A:
-                    links.append((i - 1, j))
-                    leads, left = self.step(leads, left, b[j])
+                    token = b[j]
                     j += 1
                 else:
-                    links.append((i, j - 1))
-                    leads, left = self.step(leads, left, a[i])
+                    token = a[i]
                     i += 1
+                links.append(a[i - 1] * width + b[j - 1])
+                after = steps.get((leads, left, token))
+                leads, left = after if after is not None else self.step(leads, left, token)
             ends.append((i, j))
         return ends, links
 
@@ -144,16 +146,14 @@ class Pieces:
         self.numbers = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, is the piece given back
         self.bounds, self.pairs = np.zeros(1, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.at))
-        if not new:
-            return
+    def learn(self, new: list[str]) -> None:
+        """Takes in pieces that aren't known, each once."""
         numbers, lengths, pairs = [], [], []
-        a_bytes, b_bytes, digits = self.both.a_bytes, self.both.b_bytes, self.both.digits
+        a_bytes, b_bytes, digits, align, width = self.both.a_bytes, self.both.b_bytes, self.both.digits, self.transducer.align, self.width
         for piece, (a, b) in zip(new, self.both.encode(new), strict=True):
             raw = piece.encode()
             same = b"".join([a_bytes[x] for x in a]) == raw and b"".join([b_bytes[x] for x in b]) == raw
-            ends, links = self.transducer.align(a, b) if same else ([], [])
+            ends, links = align(a, b, width) if same else ([], [])
             i = j = 0
             text = []
             for k, m in ends:
@@ -163,7 +163,7 @@ class Pieces:
             self.groups.append(";".join(text))
             numbers.append((len(a), len(b), len(ends), len(links), same))
             lengths.append(len(links))
-            pairs.extend(a[x] * self.width + b[y] for x, y in links)
+            pairs += links
         self.numbers = np.concatenate([self.numbers, np.array(numbers, np.int64)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
         self.pairs = np.concatenate([self.pairs, np.array(pairs, np.int64)])
@@ -173,8 +173,14 @@ class Pieces:
         cut = [_CUT.split(" " + t) if t else [] for t in texts]
         if len(self.at) > HELD_PIECES:
             self.clear()
-        self.learn([p for c in cut for p in c])
-        return [self._sums([self.at[p] for p in c]) for c in cut]
+        return [self._sums(at) for at in self.places(cut)]
+
+    def places(self, cut: list[list[str]]) -> list[list[int]]:
+        """Where the pieces of each text stand among those that are known, which all are then."""
+        if new := [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.at]:
+            self.learn(new)
+        at = self.at
+        return [[at[p] for p in c] for c in cut]
 
     def _sums(self, at: list[int]) -> tuple:
         nothing = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -278,8 +284,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             ids, at, a, b = [], [], [], []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                 pieces = _CUT.split(" " + text) if text else []
-                held.learn(pieces)
-                where = [held.at[p] for p in pieces]
+                where = held.places([pieces])[0]
                 if held.numbers[where, 4].all():
                     each = [g.split("|") for k in where for g in held.groups[k].split(";")]
                     ids += [doc_id] * len(each)

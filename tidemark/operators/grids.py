@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grids import flood_class, newly_wet, transition_depth
+from ..functions.scalars import Thresholds, catalog_floor, catalog_stage, connected_depth, step_fraction, transition_blend
 from ..sources.tables import checkpoints
 
 
@@ -50,6 +52,31 @@ def retained(current: DataFrame, history: DataFrame, stage: Column) -> DataFrame
     return both.select("cell", kept.alias("wet"), F.when(kept, depth).alias("depth"))
 
 
+def overlay_composite(current: DataFrame, history: DataFrame, th: Thresholds) -> DataFrame:
+    """(cell, wet, depth, flood_class) of requests for a frame, each by its phase and mode.
+
+    ``current`` has cell, ground, connection, developed, stage, phase and mode; ``history`` as in ``retained``. The catalog
+    stage decides what is wet. While filling, developed cells that only the next catalog stage wets come in with the share of
+    the step that the stage has made. While draining, what the crest and the frames since have kept stays. Mode ``dynamic``
+    gives the class of the ground, mode ``depth`` the depth.
+    """
+    stage, ground, phase = F.col("stage"), F.col("ground"), F.col("phase")
+    lower = catalog_floor(stage)
+    depth_at = lambda at: connected_depth(at, ground, F.col("developed"), phase, th)["depth"]
+    wet_at = lambda at: (F.col("connection") != 255) & (depth_at(at) > 0.005)
+    comes = newly_wet(wet_at(lower), wet_at(lower + 0.1), F.col("developed")) & (phase == "filling")
+    step = transition_blend(step_fraction(stage, lower)) * transition_depth(ground, F.col("connection"), F.col("developed"), stage, th)
+    overlay = catalog_stage(stage)
+    own = current.withColumns({"wet": F.coalesce(wet_at(overlay), F.lit(False)), "full": depth_at(overlay), "part": F.when(comes, step)})
+    own = own.select("cell", "mode", "ground", "stage", "phase", F.col("wet").alias("base"), (F.col("wet") | F.col("part").isNotNull()).alias("wet"), F.when(F.col("wet"), F.col("full")).otherwise(F.col("part")).alias("depth"))
+    drains = F.coalesce(phase.startswith("draining"), F.lit(False))
+    kept = retained(own.where(drains).select("cell", "ground", "stage", F.col("base").alias("wet")), history, stage).select("cell", F.col("wet").alias("kept"), F.col("depth").alias("kept_depth"))
+    both = own.join(kept, "cell", "left")
+    wet, depth = F.when(drains, F.col("kept")).otherwise(F.col("wet")), F.when(drains, F.col("kept_depth")).otherwise(F.col("depth"))
+    out = both.select("cell", wet.alias("wet"), depth.alias("depth"), "mode", "ground", "stage")
+    return out.select("cell", "wet", F.when(F.col("mode") == "depth", F.col("depth")).alias("depth"), F.when((F.col("mode") == "dynamic") & F.col("wet"), flood_class(ground, stage, th)).alias("flood_class"))
+
+
 def rasterised(shapes: DataFrame, width: int, height: int) -> DataFrame:
     """(shape_id, y, first, last) spans of the cells whose centres are inside by the even-odd rule.
 

@@ -87,6 +87,16 @@ def _plane(lat, lng):
 _B, _EAST, _NORTH = _plane("lat", "lng")
 
 
+WEST_FT, NORTH_FT, CELL_FT = 492125.0, 790000.0, 2300.0
+
+
+def l23(spark, sf):
+    """Cells under points by their place in the state plane; points outside of the raster give no row."""
+    plane = points(spark, sf).select("k", G.state_plane(F.col("lat"), F.col("lng")).alias("p"))
+    at = plane.select("k", F.floor((F.col("p.east") - WEST_FT) / CELL_FT).alias("x"), F.floor((NORTH_FT - F.col("p.north")) / CELL_FT).alias("y"))
+    return at.join(cells(spark, sf).select("x", "y", "ground", "connection"), ["x", "y"]).select("k", "x", "y", "ground", "connection")
+
+
 def _ring():
     """Four corners of a customer's ring, as in _RING_SQL."""
     k = F.col("c_custkey")
@@ -173,6 +183,16 @@ def l14(spark, sf):
     return O.retained(now, past, F.lit(14.0)).select("cell", "wet", F.round("depth", 4).alias("depth"))
 
 
+def l17(spark, sf):
+    """Requests for a frame, in two modes and all phases, with the history of L14."""
+    c = cells(spark, sf)
+    now = c.select("cell", "ground", "connection", "developed", "stage", "phase", F.when(F.col("cell") % 2 == 0, "depth").otherwise("dynamic").alias("mode"))
+    past = c.select("cell", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("frame"), "ground", "connection")
+    past = past.select("cell", "frame", (F.col("connection") < 180).alias("shown"), (F.col("ground") < 16 - 2 * F.col("frame")).alias("wet"))
+    out = O.overlay_composite(now, past, TH)
+    return out.select("cell", "wet", F.coalesce(F.round("depth", 4), F.lit(-1.0)).alias("depth"), F.coalesce("flood_class", F.lit(-1)).alias("flood_class"))
+
+
 def l16(spark, sf):
     """Requests (stage, phase) against the files that exist: the phase's own first, then the base set; null where none."""
     wanted = cells(spark, sf).select("cell", S.stage_code(S.catalog_stage(F.col("stage"))).alias("code"), "phase")
@@ -232,6 +252,15 @@ _MEAN = {c: " + ".join(f"({p[i]})" for p in _RING_SQL) for i, c in enumerate("xy
 _AREA = " + ".join(f"({ax}) * ({by}) - ({bx}) * ({ay})" for (ax, ay), (bx, by) in zip(_RING_SQL, [*_RING_SQL[1:], _RING_SQL[0]]))
 _SURFACE = f"CASE WHEN phase LIKE 'draining%' THEN used ELSE used - CASE WHEN developed THEN {_pen('used')} ELSE 0.0 END * {_left('used')} END"
 
+_LOWER = "round(floor((stage + 1e-9) / 0.1::DOUBLE) * 0.1::DOUBLE, 2)"
+_AT = "greatest(0.0::DOUBLE, {} - ground)"
+_L17 = f"""WITH {_C}, o AS (SELECT *, {_AT.format(_SURFACE)} AS whole FROM (SELECT *, {_OVERLAY} AS used FROM c)), l AS (SELECT * EXCLUDE used, {_AT.format(_SURFACE)} AS d1 FROM (SELECT * EXCLUDE used, {_LOWER} AS used FROM o)), u AS (SELECT * EXCLUDE used, {_AT.format(_SURFACE)} AS d2 FROM (SELECT *, {_LOWER} + 0.1::DOUBLE AS used FROM l)),
+z AS (SELECT *, connection <> 255 AND whole > 0.005::DOUBLE AS base, CASE WHEN phase = 'filling' AND developed AND NOT (connection <> 255 AND d1 > 0.005::DOUBLE) AND connection <> 255 AND d2 > 0.005::DOUBLE THEN {_TDEPTH} END AS t, least(1.0::DOUBLE, 2 * {_FRAC}) AS f FROM u),
+y AS (SELECT *, f * f * (3 - 2 * f) * t AS part, connection < 180 AS in_crest, ground < 16 AS was_wet FROM z),
+w AS (SELECT *, CASE WHEN phase LIKE 'draining%' THEN in_crest AND (base OR (was_wet AND stage - ground > 0.005::DOUBLE)) ELSE base OR part IS NOT NULL END AS wet FROM y)
+SELECT cell, wet, coalesce(CASE WHEN cell % 2 = 0 THEN round(CASE WHEN phase LIKE 'draining%' THEN CASE WHEN wet THEN stage - ground END WHEN base THEN whole ELSE part END, 4) END, -1) AS depth,
+  coalesce(CASE WHEN cell % 2 = 1 AND wet AND ground < stage - 0.005::DOUBLE THEN CASE WHEN ground < 5 THEN 0 WHEN ground < 11 THEN 1 ELSE 2 END END, -1) AS flood_class FROM w"""
+
 _ENTRIES = {
     "L1_mercator_pixel": (lambda spark, sf: points(spark, sf).select("k", _merc_pixel(1000, 800).alias("p")).select("k", *_xy("p")), f"WITH {_P}, {_pixel_sql(1000, 800)} SELECT * FROM px"),
     "L2_affine_pixel": (
@@ -239,6 +268,7 @@ _ENTRIES = {
         f"WITH {_P}, u AS (SELECT k, ((k * 29 % 1201) * -1000.0::DOUBLE - ((k * 31 % 1301) - 1000) * -150.0::DOUBLE) / -985000.0::DOUBLE AS u, (((k * 31 % 1301) - 1000) * 1000.0::DOUBLE - (k * 29 % 1201) * 100.0::DOUBLE) / -985000.0::DOUBLE AS v FROM p), o AS (SELECT *, u >= 0 AND u < 1 AND v >= 0 AND v < 1 AS ok FROM u) SELECT k, CASE WHEN ok THEN CAST(floor(u * 64) AS BIGINT) END AS x, CASE WHEN ok THEN CAST(floor(v * 48) AS BIGINT) END AS y FROM o",
     ),
     "L3_state_plane": (lambda spark, sf: points(spark, sf).select("k", G.state_plane(F.col("lat"), F.col("lng")).alias("p")).select("k", F.round("p.east", 2).alias("east"), F.round("p.north", 2).alias("north")), f"WITH {_P}, {_B} SELECT k, round({_EAST}, 2) AS east, round({_NORTH}, 2) AS north FROM b"),
+    "L23_plane_sample": (l23, f"WITH {_C}, {_P}, {_B}, e AS (SELECT k, floor(({_EAST} - {WEST_FT}::DOUBLE) / {CELL_FT}::DOUBLE)::BIGINT AS x, floor(({NORTH_FT}::DOUBLE - {_NORTH}) / {CELL_FT}::DOUBLE)::BIGINT AS y FROM b) SELECT k, x, y, ground, connection FROM e JOIN c USING (x, y)"),
     "L4_packed_sample": (l4, f"WITH {_C}, {_P}, {_pixel_sql(120, 10)} SELECT k, px.x, px.y, ground, connection FROM px LEFT JOIN c ON px.x = c.x AND px.y = c.y"),
     "L5_depth_verdict": (
         lambda spark, sf: cells(spark, sf).select("cell", F.round(G.depth_verdict(F.col("ground"), F.col("connection") / 10, F.when(F.col("cell") % 11 != 0, F.col("developed")), F.col("rendered"), F.col("cell") % 2 == 0, F.col("stage"), F.col("phase"), TH), 4).alias("out")),
@@ -252,6 +282,7 @@ _ENTRIES = {
     "L12_transition_cells": (l12, f"WITH {_C}, k AS (SELECT *, least(1.0::DOUBLE, 2 * {_FRAC}) AS z FROM c WHERE {_CAND}) SELECT cell, round(z * z * (3 - 2 * z) * {_TDEPTH}, 4) AS out FROM k"),
     "L14_retention": (l14, f"WITH {_C}, w AS (SELECT cell, ground, connection < 180 AND (ground < 12 OR (ground < 16 AND 14 - ground > 0.005::DOUBLE)) AS wet FROM c) SELECT cell, wet, CASE WHEN wet THEN round(14 - ground, 4) END AS depth FROM w"),
     "L15_composite": (_cell(lambda: F.round(S.connected_depth(F.col("stage"), F.col("ground"), F.col("developed"), F.col("phase"), TH)["depth"], 4)), f"WITH {_C}, a AS (SELECT *, stage AS used FROM c) SELECT cell, round(greatest(0.0::DOUBLE, {_SURFACE} - ground), 4) AS out FROM a"),
+    "L17_overlay_composite": (l17, _L17),
     "L16_catalog_selection": (l16, f"WITH {_C}, h AS (SELECT DISTINCT {_GROUND_CODE} AS code, CASE WHEN cell % 2 = 0 THEN phase ELSE 'base' END AS root FROM c WHERE cell % 7 = 0), w AS (SELECT cell, {_CODE.format(_OVERLAY)} AS code, phase FROM c) SELECT cell, coalesce(a.root, b.root) || '/' || w.code AS out FROM w LEFT JOIN h a ON a.code = w.code AND a.root = w.phase LEFT JOIN h b ON b.code = w.code AND b.root = 'base' WHERE coalesce(a.root, b.root) IS NOT NULL"),
     "L18_rasterised": (
         l18,

@@ -106,11 +106,23 @@ def plain_maxima(s, distance, prominence):
     return out
 
 
-def test_local_maxima():
+@pytest.mark.parametrize("size", [7, 1024])
+def test_peaks_of_stretches(spark, monkeypatch, size):
+    """Noise, plateaus across blocks, long flat stretches, short ones and two gauges; blocks of few samples and of many."""
+    monkeypatch.setattr(Q, "SAMPLES", size)
     rng = np.random.default_rng(1)
-    for n in (0, 1, 2, 5, 300):
-        s = np.round(np.cumsum(rng.normal(0, 0.2, n)), 1)
-        assert Q.local_maxima(s, 6, 0.2).tolist() == plain_maxima(s, 6, 0.2)
+    rows, want, at = [], [], 0
+    flat = np.concatenate([[1.0, 3.0], np.full(40, 2.9), [2.5, 2.9, 2.95, 2.9], np.full(30, 2.9), [1.0, 1.0]])
+    hills = np.concatenate([[0.0], np.full(25, 2.0), [0.0], np.full(9, 1.0), [0.5]])
+    for n, s in enumerate([np.round(np.cumsum(rng.normal(0, 0.2, k)), 1) for k in (1, 2, 5, 300)] + [flat, hills, np.zeros(20)]):
+        for gauge in ("a", "b"):
+            own = s if gauge == "a" else s[::-1]
+            start = (1000 * n + 3) * DAY // 100
+            rows += [(gauge, at + k, start + k * 15 * MINUTE, float(v)) for k, v in enumerate(own)]
+            want += [(gauge, start, at + p) for p in plain_maxima(own.tolist(), 6, 0.2)]
+            at += len(own)
+    got = Q.segment_peaks(spark.createDataFrame(rows, "station_id string, seq long, t long, stage double").repartition(3)).collect()
+    assert sorted((r.station_id, r.segment, r.seq) for r in got) == sorted(want) and len(want) > 20
 
 
 def test_last_readings_win_whenever_they_arrive(spark, tmp_path):

@@ -116,43 +116,93 @@ def segments(rows: DataFrame, gap: int = 5400 * 1_000_000, by: str = "station_id
     return opened.join(carried, [by, "block"]).withColumn("segment", F.coalesce("start", "carried")).select(*rows.columns, "segment")
 
 
-def local_maxima(s: np.ndarray, distance: int, prominence: float) -> np.ndarray:
-    """Places of the maxima of ``s`` (a plateau's middle one), of which any two are ``distance`` apart (higher ones first) and
-    each stands ``prominence`` above the higher of the two lowest points between it and a higher one or the end."""
-    n = len(s)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    change = np.flatnonzero(np.diff(s) != 0)
-    first, last = np.concatenate([[0], change + 1]), np.concatenate([change, [n - 1]])
-    level = s[first]
-    top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
-    peaks = (first[top] + last[top]) // 2
-    keep = np.ones(len(peaks), bool)
-    for i in np.argsort(s[peaks], kind="stable")[::-1]:
-        if keep[i]:
-            near = np.abs(peaks - peaks[i]) < distance
-            near[i] = False
-            keep[near] = False
-    peaks = peaks[keep]
-    out = []
-    for p in peaks:
-        left, right = np.flatnonzero(s[:p] > s[p]), np.flatnonzero(s[p + 1 :] > s[p])
-        lo = s[(left[-1] + 1 if len(left) else 0) : p + 1].min()
-        hi = s[p : (p + 1 + right[0] if len(right) else n)].min()
-        if s[p] - max(lo, hi) >= prominence:
-            out.append(p)
-    return np.array(out, np.int64)
+SAMPLES = 1024  # samples of a stretch that stand in one block
+
+
+def numbered(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with i, their place in the order of t and seq within ``by``: counted inside blocks of time, carried over them."""
+    placed = rows.withColumn("block", F.floor(F.col("t") / BLOCK))
+    before = placed.groupBy(*by, "block").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select(*by, "block", F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "block").orderBy("t", "seq")) - 1
+    return placed.withColumn("inside", inside).join(before, [*by, "block"]).select(*rows.columns, (F.col("before") + F.col("inside")).alias("i"))
+
+
+def tops(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(by, p, level) of the plateaus of samples (by, i, stage, block) with lower samples on both sides; p is their middle. Starts
+    of plateaus know their neighbours inside a block, at its ends from the next blocks that have any."""
+    inside, blocks = Window.partitionBy(*by, "block").orderBy("i"), Window.partitionBy(*by).orderBy("block")
+    last = samples.groupBy(*by, "block").agg(F.max_by("stage", "i").alias("last"))
+    before = last.select(*by, "block", F.lag("last").over(blocks).alias("before"))
+    starts = samples.join(before, [*by, "block"]).withColumn("left", F.coalesce(F.lag("stage").over(inside), F.col("before")))
+    starts = starts.where(F.col("left").isNull() | (F.col("left") != F.col("stage"))).select(*by, "block", "i", "stage", "left")
+    one = F.struct("i", "stage")
+    first = starts.groupBy(*by, "block").agg(F.min_by(one, "i").alias("first"))
+    ahead = first.select(*by, "block", F.lead("first").over(blocks).alias("ahead"))
+    known = starts.join(ahead, [*by, "block"]).withColumn("next", F.coalesce(F.lead(one).over(inside), F.col("ahead")))
+    high = known.where((F.col("left") < F.col("stage")) & (F.col("next.stage") < F.col("stage")))
+    return high.select(*by, F.floor((F.col("i") + F.col("next.i") - 1) / 2).alias("p"), F.col("stage").alias("level"))
+
+
+def apart(peaks: DataFrame, by: list[str], distance: int) -> DataFrame:
+    """The peaks (by, p, level) that are left when higher ones (later ones of equal height) rule out those less than ``distance``
+    from them. A round keeps what nothing higher is near to and drops what that rules out; neighbours meet by spans."""
+    order = F.struct((-F.col("level")).alias("a"), (-F.col("p")).alias("b"))
+    around = F.explode(F.array(*(F.floor(F.col("p") / distance) + d for d in (-1, 0, 1)))).alias("span")
+    left, kept = saved(peaks, "peaks"), None
+    while True:
+        near = left.select(*by, around, F.col("p").alias("other"), order.alias("its"))
+        mine = left.select(*by, "p", "level", F.floor(F.col("p") / distance).alias("span"), order.alias("own"))
+        beaten = mine.join(near, [*by, "span"]).where((F.abs(F.col("p") - F.col("other")) < distance) & (F.col("its") < F.col("own"))).select(*by, "p").distinct()
+        best = saved(left.join(beaten, [*by, "p"], "left_anti"), "peaks-kept")
+        kept = best if kept is None else kept.unionByName(best)
+        ruled = mine.join(best.select(*by, around, F.col("p").alias("other")), [*by, "span"]).where(F.abs(F.col("p") - F.col("other")) < distance).select(*by, "p").distinct()
+        left = saved(left.join(ruled, [*by, "p"], "left_anti"), "peaks")
+        if left.isEmpty():
+            return kept
+
+
+def prominent(peaks: DataFrame, samples: DataFrame, by: list[str], prominence: float) -> DataFrame:
+    """The peaks (by, p, level) on whose both sides the samples (by, i, stage, block) fall by ``prominence`` before one is higher. A
+    side is followed block by block, in rounds, until a sample settles it; where the stretch ends before, it does not fall."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in peaks.select(*by).schema) + ", p long, level double, side int, block long, falls int"
+
+    def look(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asks.empty:
+            return pd.DataFrame({c: [] for c in [*by, "p", "level", "side", "block", "falls"]})
+        held = held.sort_values("i")
+        i, s = held["i"].to_numpy(), held["stage"].to_numpy(float)
+        falls = []
+        for p, level, side in asks[["p", "level", "side"]].itertuples(index=False):
+            row = s[: np.searchsorted(i, p)][::-1] if side < 0 else s[np.searchsorted(i, p, "right") :]
+            out = (row > level) | (level - row >= prominence)
+            k = int(out.argmax()) if len(row) and out.any() else -1
+            falls.append(-1 if k < 0 else int(not row[k] > level))
+        return asks.assign(falls=falls)
+
+    ends = samples.groupBy(*by).agg(F.max("block").alias("end"))
+    asks = peaks.select(*by, "p", "level", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side")).withColumns({"block": F.floor(F.col("p") / SAMPLES), "falls": F.lit(-1)})
+    good = None
+    while True:
+        near = samples.join(asks.select(*by, "block").distinct(), [*by, "block"], "left_semi")
+        told = saved(asks.groupBy(*by, "block").cogroup(near.groupBy(*by, "block")).applyInPandas(look, schema), "peak-sides")
+        good = told.where("falls = 1") if good is None else good.unionByName(told.where("falls = 1"))
+        asks = told.where("falls = -1").withColumn("block", F.col("block") + F.col("side")).join(ends, by).where(F.col("block").between(0, F.col("end"))).drop("end")
+        if asks.isEmpty():
+            both = good.groupBy(*by, "p").agg(F.count_distinct("side").alias("sides")).where("sides = 2").select(*by, "p")
+            return peaks.join(both, [*by, "p"], "left_semi")
 
 
 def segment_peaks(rows: DataFrame, gap: int = 5400 * 1_000_000, distance: int = 6, prominence: float = 0.2) -> DataFrame:
-    """(station_id, segment, seq, t, stage) of the maxima of each contiguous stretch; a task holds one stretch."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "seq"], kind="stable").reset_index(drop=True)
-        return pdf.loc[local_maxima(pdf["stage"].to_numpy(float), distance, prominence), ["station_id", "segment", "seq", "t", "stage"]]
-
-    kept = rows.where(F.col("stage").isNotNull() & ~F.isnan("stage")).select("station_id", "seq", "t", "stage")
-    return segments(kept, gap).groupBy("station_id", "segment").applyInPandas(find, "station_id string, segment long, seq long, t long, stage double")
+    """(station_id, segment, seq, t, stage) of the maxima of each contiguous stretch (a plateau's middle one), of which any two
+    are ``distance`` samples apart (higher ones first) and each stands ``prominence`` above the higher of the two lowest points
+    between it and a higher one or the end. Stretches of any length: a task holds blocks of ``SAMPLES`` samples."""
+    by = ["station_id", "segment"]
+    kept = rows.where(F.col("stage").isNotNull() & ~F.isnan("stage")).select("station_id", "seq", "t", F.col("stage").cast("double").alias("stage"))
+    samples = saved(numbered(segments(kept, gap), by).withColumn("block", F.floor(F.col("i") / SAMPLES)), "samples")
+    cut = samples.select(*by, "i", "stage", "block")
+    found = prominent(apart(tops(cut, by), by, distance), cut, by, prominence)
+    return found.select(*by, F.col("p").alias("i")).join(samples, [*by, "i"]).select(*by, "seq", "t", "stage")
 
 
 def deltas_phase(before: Column, after: Column, eps: float = 0.025) -> Column:

@@ -79,6 +79,15 @@ def test_chat_round_trip(spark):
     assert got[2].n_turns == 2 and got[2].loss_chars == 2 and got[None].n_turns == 1
 
 
+def test_chat_ids_are_those_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    coder, whole = chat_format.Coder(chat_format.tokenizer_path()), Tokenizer.from_file(chat_format.tokenizer_path())
+    whole.encode_special_tokens = True
+    texts = ["", " ", "a b", "a  b\n\n c ", "\n", "<|endoftext|> x", "don't  I'll\t\tsay\u00a0so \u3000 z", "é 你好 😀\r\n end", *duckdb.sql(f"SELECT coalesce(text, '') FROM '{SF}/conversations.parquet'").fetchnumpy()[duckdb.sql(f"SELECT coalesce(text, '') FROM '{SF}/conversations.parquet'").columns[0]].tolist()]
+    assert coder.cuts and [x.tolist() for x in coder.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_chat_oracle(spark):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{SF}/conversations.parquet'")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
+from .token_alignment import CUT, byte_of_letter
 
 BEGIN, BODY, END = "<s>[INST]", "[/INST]", "</s>"
 MARKS = (BEGIN, BODY, END)
@@ -32,6 +33,7 @@ MARKS = (BEGIN, BODY, END)
 CONTROL = re.compile(r"([<\[])(\\*)(/?s>|/?INST\])")
 ESCAPED = re.compile(r"([<\[])\\(\\*)(/?s>|/?INST\])")
 LOSS_ROLE = "assistant"
+HELD_PIECES = 500_000  # in a task
 FORMATTED = "conv_id long, turn long, role string, input_ids binary, loss_mask binary, n_tokens long, text_sha256 string"
 
 
@@ -57,11 +59,27 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        letters = byte_of_letter()
+        told = [bytes(letters[c] for c in t) for t in self.tokenizer.get_vocab() if all(c in letters for c in t)]
+        self.cuts = not any(CUT.search(t.decode(errors="replace")) for t in told)  # else texts are encoded whole
+        self.held: dict[str, bytes] = {}
         self.reserved = self.tokenizer.get_vocab_size(with_added_tokens=True) + np.arange(len(MARKS), dtype=np.uint32)
 
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. No token goes across the end of a word, so a text is the row of its pieces, and pieces that were met
+        before are looked up."""
+        if len(self.held) > HELD_PIECES:
+            self.held = {}
+        held = self.held
+        cut = [CUT.split(t) if self.cuts and t else [t] for t in texts]
+        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in held]
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            held[p] = np.array(e.ids, np.uint32).tobytes()
+        return [np.frombuffer(b"".join([held[p] for p in c]), np.uint32) for c in cut]
+
     def turns(self, roles: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids and loss mask of each turn."""
-        codes = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([escape(x) for pair in zip(roles, texts, strict=True) for x in pair], add_special_tokens=False)]
+        codes = self.ids([escape(x) for pair in zip(roles, texts, strict=True) for x in pair])
         begin, body, end = (self.reserved[i : i + 1] for i in range(len(MARKS)))
         out = []
         for i, role in enumerate(roles):
@@ -76,15 +94,21 @@ class Coder:
 
     def read(self, blobs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[str, str, str, int]]:
         """Role, text, text under the mask, and characters of the formatted turn, from ids and masks alone."""
-        parts = []
+        parts: list[list[int]] = []
+        masked: list[list[int] | None] = []  # what the mask covers, None where that is the text
         for ids, mask in blobs:
             at = np.flatnonzero(ids >= self.reserved[0])
             if ids[at].tolist() != self.reserved.tolist():
                 raise ValueError("a turn doesn't have the template's marks")
-            parts += [ids[1 : at[1]].tolist(), ids[at[1] + 1 : at[2]].tolist(), ids[mask > 0].tolist()]
+            text, loss = ids[at[1] + 1 : at[2]], ids[mask > 0]
+            parts += [ids[1 : at[1]].tolist(), text.tolist()]
+            masked.append(None if np.array_equal(text, loss) else loss.tolist())
+        read = lambda rows: [unescape(x) for x in rows]
         texts = self.tokenizer.decode_batch(parts, skip_special_tokens=False)
-        marks = sum(map(len, MARKS))
-        return [(unescape(texts[i]), unescape(texts[i + 1]), unescape(texts[i + 2]), marks + len(texts[i]) + len(texts[i + 1])) for i in range(0, len(texts), 3)]
+        others = iter(read(self.tokenizer.decode_batch([m for m in masked if m], skip_special_tokens=False)))
+        marks, plain = sum(map(len, MARKS)), read(texts)
+        losses = [plain[2 * i + 1] if m is None else next(others) if m else "" for i, m in enumerate(masked)]
+        return [(plain[2 * i], plain[2 * i + 1], loss, marks + len(texts[2 * i]) + len(texts[2 * i + 1])) for i, loss in enumerate(losses)]
 
 
 def encode_turns(turns: DataFrame, path: str | None = None) -> DataFrame:

@@ -37,7 +37,7 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 CELL_BLOCK = 4096  # cells of a sketch that are added up together
 PART_ROWS = 4096  # rows of a band that are chained in one task, about
-BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 4096, 512, 200_000  # texts of a band whose heads meet in one task; texts that meet whole
+BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 4096, 256, 200_000  # texts of a band whose heads meet in one task; texts that meet whole
 LOCAL_EDGES = 200_000  # edges that a task makes stars of, about
 KEPT_BITS = 44  # of a shingle's hash; the rest of a word holds the document's place in its slice
 PAIR = ["a_id", "a_tag", "b_id", "b_tag"]

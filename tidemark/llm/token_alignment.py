@@ -39,7 +39,7 @@ SENT_PAIRS = 4_000_000
 SUMMED_PAIRS = 2_000_000  # distinct pairs that a task holds before it hands them on
 SCHEMA = "row_no long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<long>"
 NUMBERS = ["row_no", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-_CUT = re.compile(r"(?<=\S)(?=[ \n])")
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
 _LEADS_A, _LEADS_B = 0, 1
 
 
@@ -66,7 +66,7 @@ class Sides:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)]
         for held in (self.a_bytes, self.b_bytes):
-            if any(_CUT.search(t.decode(errors="replace")) for t in held):
+            if any(CUT.search(t.decode(errors="replace")) for t in held):
                 raise ValueError("a token goes across the end of a word")
         if any("\n" in p for p in names):
             raise ValueError("a piece holds a line end")
@@ -170,7 +170,7 @@ class Pieces:
 
     def documents(self, texts: list[str | None]) -> list[tuple]:
         """(n_a, n_b, n_groups, n_links, digest, pairs, times) of each text."""
-        cut = [_CUT.split(" " + t) if t else [] for t in texts]
+        cut = [CUT.split(" " + t) if t else [] for t in texts]
         if len(self.at) > HELD_PIECES:
             self.clear()
         return [self._sums(at) for at in self.places(cut)]
@@ -283,7 +283,7 @@ def groups(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
         for part in X.slices(batches):
             ids, at, a, b = [], [], [], []
             for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                pieces = _CUT.split(" " + text) if text else []
+                pieces = CUT.split(" " + text) if text else []
                 where = held.places([pieces])[0]
                 if held.numbers[where, 4].all():
                     each = [g.split("|") for k in where for g in held.groups[k].split(";")]

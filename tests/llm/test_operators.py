@@ -260,18 +260,22 @@ def test_components_of_long_chains_and_stars(spark, monkeypatch, held):
     assert near_dedup.components(edges.limit(0)).count() == 0
 
 
-def test_heads_of_similar_texts_meet(spark):
+@pytest.mark.parametrize("pairs", [7, 1 << 16])
+def test_bins_bound_the_similarity(monkeypatch, pairs):
+    monkeypatch.setattr(near_dedup, "PAIRS", pairs)
     rng = np.random.default_rng(4)
-    base, common = text_of(rng, 120).split(), text_of(rng, 60).split()
-    texts = [" ".join(w if rng.random() > r else f"q{rng.integers(9)}" for w in base + common) for r in np.linspace(0, 0.1, 20)] + [text_of(rng, 40) + " " + " ".join(common) for _ in range(5)]
-    keys = np.unique(near_dedup.shingles(near_dedup.X.split(near_dedup.pa.array([" ".join(common)])))[1])
+    base, common = text_of(rng, 120).split(), text_of(rng, 60)
+    texts = [" ".join(w if rng.random() > r else "q" for w in base) for r in np.linspace(0, 0.3, 25)] + [text_of(rng, 40) + " " + common for _ in range(5)]
+    keys = np.unique(near_dedup.shingles(near_dedup.X.split(near_dedup.pa.array([common])))[1])
     idf = near_dedup.Idf(keys, np.linspace(0.02, 0.9, len(keys)))
-    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "id AS tag", "text")
-    for least in (0.5, 0.8, 0.95):
-        got = {r.id: set(r.head) for r in near_dedup.heads(rows, idf, least).collect()}
-        near = near_dedup.similar(near_dedup.pa.array(texts), idf, least)
-        assert all(got[a] & got[b] for a, b in zip(*np.nonzero(near)))
-        assert not any(got[a] & got[b] for a in range(20, 25) for b in range(20, 25) if a != b and least == 0.95)
+    column = near_dedup.pa.array(texts)
+    w = near_dedup.X.split(column)
+    doc, h, count = near_dedup.shingles(w)
+    bins = np.bincount(doc * near_dedup.BINS + near_dedup.bin_of(h), count * idf(h), w.n * near_dedup.BINS).astype(np.float32).reshape(w.n, -1)
+    apart = ~np.eye(len(texts), dtype=bool)
+    for least in (0.3, 0.6, 0.8, 0.95):
+        may, are = near_dedup.reachable(bins, bins, apart, least), near_dedup.similar(column, idf, least) & apart
+        assert (may >= are).all() and not may[25:, 25:].any() or least < 0.8
 
 
 def test_hot_keys_are_joined_where_they_are(spark, monkeypatch):

@@ -8,9 +8,9 @@ Equal word sequences are one node. A node's weighted set is dealt into ``BINS``
 the improved consistent weighted sample of its shingles (an empty bin takes the next one's, marked by the distance).
 ``ROWS`` samples make a band. Nodes that share a band are linked to the first node there and to the one before them, in
 order of doc_id, never pair by pair; links are verified by the exact weighted Jaccard similarity of whole texts, and
-parts of the connected components follow. Then all texts of a band that stand in different parts are compared: first the
-heads of their weighted sets, block by block, which similar texts must share a shingle of; the texts that are left are compared
-exactly, in tasks that return a forest of the links and not the pairs. So every similar pair of a band ends in one class.
+parts of the connected components follow. Then all texts of a band that stand in different parts are compared: the weights of
+the bins bound the similarity from above, block by block, and the texts of pairs that may reach it are compared exactly, in
+tasks that return a forest of the links and not the pairs. So every similar pair of a band ends in one class.
 
 Defined results: texts without words are equal to each other; a text shorter than a shingle is one shingle; a row in
 gives a row out, also for repeated rows and null ids (an id of null is never a class id unless its class has no other);
@@ -37,7 +37,8 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 CELL_BLOCK = 4096  # cells of a sketch that are added up together
 PART_ROWS = 4096  # rows of a band that are chained in one task, about
-BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 4096, 256, 200_000  # texts of a band whose heads meet in one task; texts that meet whole
+BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 2048, 512, 200_000  # texts of a band whose bins meet in one task; texts that meet whole
+COARSE, PAIRS = 4, 1 << 16  # bins that are added up for a first bound; pairs whose bins are compared together
 LOCAL_EDGES = 200_000  # edges that a task makes stars of, about
 KEPT_BITS = 44  # of a shingle's hash; the rest of a word holds the document's place in its slice
 PAIR = ["a_id", "a_tag", "b_id", "b_tag"]
@@ -123,6 +124,10 @@ def uniform(h: np.ndarray, k: int) -> np.ndarray:
     return ((X.mix(h ^ _SALTS[k]) >> X.U(11)).astype(float) + 0.5) / (1 << 53)
 
 
+def bin_of(h: np.ndarray) -> np.ndarray:
+    return (h >> X.U(KEPT_BITS - 7)).astype(np.int64)
+
+
 def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """n x BINS sample ids; rows without shingles are 0."""
     out, filled = np.zeros((n, BINS), np.uint64), np.zeros((n, BINS), bool)
@@ -131,7 +136,7 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n: int) -> np.nd
         c = -np.log(uniform(h, 2) * uniform(h, 3))
         t = np.floor(np.log(weight) / r + uniform(h, 4))
         rank = np.log(c) - r * (t - uniform(h, 4)) - r
-        cell = doc * BINS + (h >> X.U(KEPT_BITS - 7)).astype(np.int64)
+        cell = doc * BINS + bin_of(h)
         head = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         least = np.minimum.reduceat(rank, head)
         hit = np.flatnonzero(rank == np.repeat(least, np.diff(np.append(head, len(cell)))))[::-1]
@@ -175,29 +180,18 @@ def signatures(rows: DataFrame, idf: Idf) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def heads(texts: DataFrame, idf: Idf, least: float) -> DataFrame:
-    """(id, tag, head, shingles) of (id, tag, text) rows. head: a text's heaviest shingles, in an order that all texts share, up to
-    the first that brings their weight above 1 - ``least`` of the text's. What a similar text lacks weighs no more than
-    that share, so the first shingle in this order that both have stands in both heads: texts whose heads have nothing in
-    common aren't similar."""
+def weighed(texts: DataFrame, idf: Idf) -> DataFrame:
+    """(id, tag, bins, shingles) of (id, tag, text) rows. bins: the weight of a text in each bin, as single floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
             w = X.split(part.column("text"))
             doc, h, count = shingles(w)
-            each = idf(h)
-            order = np.lexsort((h, -each, doc))
-            doc, h, weight = doc[order], h[order], (count * each)[order]
-            first = np.searchsorted(doc, np.arange(w.n + 1))
-            total = np.bincount(doc, weight, w.n)
-            sums = np.concatenate([[0.0], np.cumsum(weight)])
-            before = sums[:-1] - sums[first[doc]]  # of the shingles that stand earlier in the text's order
-            keep = before <= (1 - least) * total[doc] * (1 + 1e-9) + 1e-6
-            bounds = np.concatenate([[0], np.cumsum(np.bincount(doc[keep], minlength=w.n))])
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h[keep].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), lists, pa.array(np.diff(first))], names=["id", "tag", "head", "shingles"])
+            held = np.bincount(doc * BINS + bin_of(h), count * idf(h), w.n * BINS).astype(np.float32).reshape(w.n, BINS)
+            total = np.bincount(doc, count, w.n).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([r.tobytes() for r in held], pa.binary()), pa.array(total)], names=["id", "tag", "bins", "shingles"])
 
-    return texts.select("id", "tag", "text").mapInArrow(run, "id long, tag long, head array<long>, shingles long")
+    return texts.select("id", "tag", "text").mapInArrow(run, "id long, tag long, bins binary, shingles long")
 
 
 def similarity(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
@@ -253,29 +247,51 @@ def tiles(size: np.ndarray, most: int, shingles: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges, [*edges[1:], len(size)], strict=True)]
 
 
+def reachable(a: np.ndarray, b: np.ndarray, apart: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of ``apart`` may be as similar as ``least``: in no bin do two texts share more than the smaller weight. Bins
+    are taken ``COARSE`` at a time first, then one by one for the pairs that are left."""
+    wide = [x.reshape(len(x), -1, COARSE).sum(2) for x in (a, b)]
+    total = a.sum(1)[:, None] + b.sum(1)[None, :]
+    shared = np.zeros((len(a), len(b)), np.float32)
+    for k in range(BINS // COARSE):
+        shared += np.minimum(wide[0][:, k, None], wide[1][None, :, k])
+    may = lambda shared, total: shared * (1 + 1e-4) >= least * (total - shared)
+    out = apart & may(shared, total)
+    i, j = np.nonzero(out)
+    for at in range(0, len(i), PAIRS):
+        x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+        out[x, y] = may(np.minimum(a[x], b[y]).sum(1), total[x, y])
+    return out
+
+
 def candidates(live: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """(key, lo, hi, tile, id, tag) of the texts that may be similar to a text of another component of their key. ``live``:
     (key, n, root, size) rows of keys of several components. The texts of a key are dealt into blocks, each block meets each
-    other one with their heads alone, and texts that share a shingle of their heads with another component are told, tile by
-    tile."""
+    other one with the weights of the bins alone; pairs of one component count for nothing, and what may be similar is told
+    tile by tile."""
     blocks = F.ceil(F.col("size") / BLOCK_TEXTS)
     rows = store(live.select("key", "n.id", "n.tag", F.xxhash64("root").alias("root"), "size"), "near-live")
-    told = heads(texts.join(rows.select("id", "tag").distinct(), ["id", "tag"], "left_semi"), idf, least)
+    told = weighed(texts.join(rows.select("id", "tag").distinct(), ["id", "tag"], "left_semi"), idf)
     placed = rows.join(told, ["id", "tag"]).withColumns({"mine": F.pmod(F.xxhash64("id", "tag"), blocks), "other": F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))})
-    placed = placed.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "tag", "root", "head", "shingles")
+    placed = placed.select("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "tag", "root", "bins", "shingles")
     names, limits = ["key", "lo", "hi", "tile", "id", "tag"], (TILE_TEXTS, TILE_SHINGLES)
 
     def cut(table: pa.Table) -> pa.Table:
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        mine, root = table.column("mine").to_numpy(), table.column("root").to_numpy()
-        some = meeting(table.column("head").combine_chunks(), np.unique(root, return_inverse=True)[1], mine == lo, mine == hi)
-        size, parts, number = table.column("shingles").to_numpy(), [], 0
-        sides = [[at[t] for t in tiles(size[at], *limits)] if len(at) else [] for at in (np.flatnonzero(some & (mine == block)) for block in (lo, hi))]
+        mine, root, size = (table.column(c).to_numpy() for c in ("mine", "root", "shingles"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.float32).reshape(-1, BINS)
+        sides, parts, number = [], [], 0
+        for block in (lo, hi):
+            at = np.flatnonzero(mine == block)
+            at = at[np.argsort(root[at], kind="stable")]
+            sides.append([at[t] for t in tiles(size[at], *limits)] if len(at) else [])
         for i, a in enumerate(sides[0]):
             for j, b in enumerate(sides[1]):
-                if lo != hi or j >= i:
-                    both = np.union1d(a, b)
-                    parts.append(np.stack([both, np.full(len(both), number)], 1))
+                apart = root[a][:, None] != root[b][None, :]
+                if (lo != hi or j >= i) and apart.any():
+                    may = reachable(bins[a], bins[b], apart, least)
+                    some = np.union1d(a[may.any(1)], b[may.any(0)])
+                    parts.append(np.stack([some, np.full(len(some), number)], 1))
                     number += 1
         at = np.concatenate(parts).astype(np.int64) if parts else np.zeros((0, 2), np.int64)
         return pa.table([table.column(c).take(at[:, 0]) if c != "tile" else pa.array(at[:, 1]) for c in names], names=names)
@@ -283,27 +299,6 @@ def candidates(live: DataFrame, texts: DataFrame, idf: Idf, least: float) -> Dat
     return placed.groupBy("key", "lo", "hi").applyInArrow(cut, ", ".join(f"{c} long" for c in names))
 
 
-def meeting(head: pa.ListArray, root: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which texts share a shingle of their heads with a text of the other block and another root; ``low`` and ``high``: in
-    which block a text stands (both may be one)."""
-    doc = np.repeat(np.arange(len(root)), head.value_lengths().to_numpy())
-    if not len(doc):
-        return np.zeros(len(root), bool)
-    _, group = np.unique(head.flatten().to_numpy(), return_inverse=True)
-    n, edges = group.max() + 1, []
-    for side in (low, high):
-        least, most = np.full(n, len(root)), np.full(n, -1)
-        inside = side[doc]
-        np.minimum.at(least, group[inside], root[doc[inside]])
-        np.maximum.at(most, group[inside], root[doc[inside]])
-        edges.append((least, most))
-    (a, b), (c, d) = edges
-    apart = (b >= 0) & (d >= 0) & (np.minimum(a, c) != np.maximum(b, d))
-    out = np.zeros(len(root), bool)
-    out[doc[apart[group]]] = True
-    return out
-
-
 def in_tiles(rows: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """Links (PAIR) that join all similar texts of each tile of ``candidates``: a forest, never the pairs."""
 
@@ -330,9 +325,9 @@ def similar(column: pa.Array, idf: Idf, least: float) -> np.ndarray:
     at, of, weight = at[by], of[by], np.sqrt(weight[by])
     both = np.zeros((w.n, w.n))
     columns = int(place[-1]) + 1 if len(place) else 0
-    for lo in range(0, columns, 4096):
-        a, b = np.searchsorted(at, [lo, lo + 4096])
-        part = np.zeros((w.n, min(4096, columns - lo)))
+    for lo in range(0, columns, 2048):
+        a, b = np.searchsorted(at, [lo, lo + 2048])
+        part = np.zeros((w.n, min(2048, columns - lo)))
         part[of[a:b], at[a:b] - lo] = weight[a:b]
         both += part @ part.T
     return both >= least * (total[:, None] + total[None, :] - both) * (1 - 1e-12)

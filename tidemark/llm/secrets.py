@@ -16,6 +16,7 @@ clashes with none.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,8 +137,11 @@ def redact(docs: DataFrame) -> DataFrame:
     row = fresh(docs, "secret_row")
     live, copies = fresh(docs, "secret_live"), fresh(docs, "copies")
     judged = verdicts(store(scan(docs.select("doc_id", "text", "source")), "secrets")).select(F.col("secret_row").alias(row), F.col("secret_masks").alias(live), F.col("copies").alias(copies))
-    both = split_join(docs.withColumn(row, row_key("text", "source", "doc_id")), judged, row, copies, how="left")
-    return both.withColumn("text", _masked(F.col("text"), F.col(live))).select(*named(docs.columns))
+    matches = reduce(lambda a, b: a | b, (F.regexp_like("text", F.lit(pattern)) for pattern, _ in KINDS.values()))
+    matches = F.coalesce(matches, F.lit(False))  # texts without a match stay where they are
+    both = split_join(docs.where(matches).withColumn(row, row_key("text", "source", "doc_id")), judged, row, copies, how="left")
+    masked = both.withColumn("text", _masked(F.col("text"), F.col(live))).select(*named(docs.columns))
+    return masked.unionByName(docs.where(~matches))
 
 
 def _masked(text: Column, masks: Column) -> Column:

@@ -362,12 +362,12 @@ def test_awkward_rows_and_empty_tables(spark, awkward, tmp_path):
     for name, docs in (("rows", awkward), ("none", awkward.limit(0))):
         folder = f"{tmp_path}/{name}"
         docs.write.parquet(f"{folder}/documents.parquet")
-        for t in ("labels", "benchmark", "conversations"):
+        for t in ("labels", "benchmark", "conversations", "pages", "embeddings"):
             own = spark.read.parquet(f"{SF}/{t}.parquet")
             (own.limit(0) if name == "none" else own).write.parquet(f"{folder}/{t}.parquet")
         for q, f in queries.queries().items():
             n = f(spark, folder).count()
-            if q.split("_")[0] in ("op1", "op2", "op4", "op5", "op6", "op7", "op10"):
+            if q.split("_")[0] in ("op1", "op2", "op4", "op5", "op6", "op7", "op10", "op11"):
                 assert n == docs.count(), q
 
 

@@ -3,7 +3,9 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.functions import times
 from tidemark.operators import series as Q
 from tidemark.sources.tables import DAY, HOUR, MINUTE
 
@@ -167,3 +169,8 @@ def test_hourly_slots_in_order(spark, monkeypatch, block):
                 seq += 1
     got = Q.hourly_slots(spark.createDataFrame(rows, "station_id string, seq long, t long").repartition(3)).collect()
     assert sorted(tuple(r) for r in got) == sorted(plain_slots(rows, 31 * MINUTE, HOUR))
+
+
+def test_storm_offsets_of_many_hours_have_no_group_marks(spark):
+    rows = spark.createDataFrame([(-1234.5,), (1000.0,), (250000.25,), (-0.75,), (0.0,), (None,)], "h double").select(times.storm_offset_text(F.col("h")))
+    assert [r[0] for r in rows.collect()] == ["1234.5 hr before peak", "1000 hr after peak", "250000.25 hr after peak", "0.75 hr before peak", "Storm peak", "Synthetic storm"]

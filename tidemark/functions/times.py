@@ -99,5 +99,5 @@ def storm_day(offset_hours: Column, window_hours: float = 84.0) -> Column:
 
 def storm_offset_text(offset_hours: Column) -> Column:
     away = F.abs(offset_hours)
-    value = F.regexp_replace(F.regexp_replace(F.format_number(away, 2), r"0+$", ""), r"\.$", "")
+    value = F.regexp_replace(F.regexp_replace(F.format_string("%.2f", away), r"0+$", ""), r"\.$", "")
     return F.when(offset_hours.isNull(), "Synthetic storm").when(away < 1e-8, "Storm peak").otherwise(F.concat(value, F.lit(" hr "), F.when(offset_hours < 0, "before").otherwise("after"), F.lit(" peak")))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import connection, contours
+from tidemark.operators import bands, connection, contours
 from tidemark.operators.grids import kept_points
 
 
@@ -154,3 +154,12 @@ def test_no_sources_and_no_cells(spark):
     assert {r.stage for r in connection.connection_stages(cells.drop("frame"), none, 20.0).collect()} == {None}
     assert connection.connection_stages(cells.drop("frame").limit(0), none, 20.0).count() == 0
     assert connection.sources(cells.where(F.lit(False)), 2.0, 1, ["frame"]).count() == 0
+
+
+def test_tiles_are_as_many_files_as_tasks(spark, tmp_path):
+    frame = bands.Frame(west=-74.0, south=40.4 - 4000 * 5 / bands.FEET_PER_DEGREE, east=-74.0 + 120 * 6.5 / bands.FEET_PER_DEGREE, north=40.4, width=120, height=4000)
+    pixels = spark.range(0, 4000 * 120, 40).select(F.floor(F.col("id") / 120).alias("y"), (F.col("id") % 120).alias("x"), *(F.lit(1.0).alias(b) for b in bands.BANDS))
+    bands.write_tiles(pixels, str(tmp_path / "tiles"), frame)
+    files = list((tmp_path / "tiles").rglob("*.parquet"))
+    back = spark.read.parquet(str(tmp_path / "tiles"))
+    assert len(files) <= 4 < back.select("ty", "tx").distinct().count() and back.count() == 12000

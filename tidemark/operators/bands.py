@@ -54,10 +54,11 @@ class Frame:
 
 
 def write_tiles(pixels: DataFrame, path: str, frame: Frame) -> None:
-    """Pixels (y, x and BANDS) as Parquet in a folder for each tile, so that a window opens the files of its tiles only."""
+    """Pixels (y, x and BANDS) as Parquet, dealt by ranges of tiles and sorted by tile within a file, so that the statistics of row
+    groups tell which tiles they hold. There are as many files as tasks, not one or more for each tile."""
     side = frame.tile()
     tiled = pixels.withColumns({"ty": F.floor(F.col("y") / side).cast("int"), "tx": F.floor(F.col("x") / side).cast("int")})
-    tiled.repartition("ty", "tx").write.partitionBy("ty", "tx").mode("overwrite").parquet(path)
+    tiled.repartitionByRange("ty", "tx").sortWithinPartitions("ty", "tx").write.mode("overwrite").parquet(path)
 
 
 def snapped(points: DataFrame, tiles: DataFrame, frame: Frame) -> DataFrame:
@@ -66,7 +67,8 @@ def snapped(points: DataFrame, tiles: DataFrame, frame: Frame) -> DataFrame:
     first by row, then column, on ties. Points outside of the frame, or without a usable height, give no row.
 
     ``tiles`` is what ``write_tiles`` wrote. Points and features meet by tile and bucket: a point asks for its own bucket and
-    the eight around it, so only tiles that a window touches are read, and only pixels nearby are compared."""
+    the eight around it, so only pixels nearby are compared, and row groups outside of the rows of tiles that windows touch are
+    not read."""
     side, bucket = frame.tile(), frame.bucket
     y, x = "y", "x"
     px, py = frame.pixel(F.col("lat"), F.col("lon"))
@@ -82,6 +84,7 @@ def snapped(points: DataFrame, tiles: DataFrame, frame: Frame) -> DataFrame:
     around = F.explode(F.array(*(F.struct((F.floor(F.col("py") / bucket) + i).alias("by"), (F.floor(F.col("px") / bucket) + j).alias("bx")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("b")
     asked = here.select("k", "py", "px", "wide", around).select("k", "py", "px", "wide", "b.*")
     asked = asked.withColumns(place(F.col("by"), F.col("bx"), side // bucket))
+    features = features.where(F.col("ty").between(-1, (frame.height - 1) // side + 1))  # the frame's own rows of tiles and those beside
     off = F.pow((F.col(x) - F.col("px")) * F.col("wide"), F.lit(2)) + F.pow((F.col(y) - F.col("py")) * tall, F.lit(2))
     found = asked.join(features, ["ty", "tx", "by", "bx"]).withColumn("off", off).where(F.col("off") <= FEATURE_FT**2)
     best = found.groupBy("k").agg(F.min_by(F.struct("off", F.struct(*BANDS).alias("near")), F.struct("off", y, x)).alias("m")).select("k", "m.off", "m.near")

@@ -174,3 +174,9 @@ def test_hourly_slots_in_order(spark, monkeypatch, block):
 def test_storm_offsets_of_many_hours_have_no_group_marks(spark):
     rows = spark.createDataFrame([(-1234.5,), (1000.0,), (250000.25,), (-0.75,), (0.0,), (None,)], "h double").select(times.storm_offset_text(F.col("h")))
     assert [r[0] for r in rows.collect()] == ["1234.5 hr before peak", "1000 hr after peak", "250000.25 hr after peak", "0.75 hr before peak", "Storm peak", "Synthetic storm"]
+
+
+def test_exceeded_counts_in_one_crowded_bin(spark):
+    values, asks = [0.5 + k % 400 / 1000 for k in range(4000)] + [-0.0, 0.0, 7.0, None], [*(k / 500 for k in range(500)), 0.5, 6.0, 7.0, 8.0, -0.0, -5.0, None]
+    got = Q.exceeded(spark.createDataFrame([(v,) for v in values], "v double"), "v", spark.createDataFrame(list(enumerate(asks)), "k long, at double"), "k", F.col("at"))
+    assert {r.k: r.n for r in got.collect()} == {k: 0 if a is None else sum(v is not None and v > a for v in values) for k, a in enumerate(asks)}

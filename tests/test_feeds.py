@@ -100,6 +100,19 @@ def test_store_keeps_a_content_once(spark, tmp_path):
     assert blobs.keep(files.limit(0), store, 3)[0] == 0
 
 
+def test_files_of_folders_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blobs, "READ_ROWS", 3)
+    held = {f"{k}.bin": bytes([k]) * k for k in range(40)}
+    assert blobs.read_files(spark, str(tmp_path / "none")).count() == 0
+    assert blobs.write_files(spark.createDataFrame([(f"{len(v) % 7}/{k}", v) for k, v in held.items()], "name string, content binary"), str(tmp_path / "files")) == 40
+    got = blobs.read_files(spark, str(tmp_path / "files"))
+    assert {r.name: bytes(r.content) for r in got.collect()} == held and got.rdd.getNumPartitions() > 1
+    (tmp_path / "store/contents/6e").mkdir(parents=True)
+    known = "6e340b9cffb37a989ca544e6bb780a2c78901d3fb33738768511a30617afa01d"  # of one zero byte
+    (tmp_path / f"store/contents/6e/{known}.blob").write_bytes(b"\0")
+    assert [r[0] for r in blobs._lacking(spark.createDataFrame([(known,), ("ab" * 32,)], "hash string"), str(tmp_path / "store")).collect()] == ["ab" * 32]
+
+
 def plain_labels(rows):
     """Line by line, in order, in each view."""
     out = []

@@ -120,10 +120,10 @@ def label_places(spark, sf):
 def a26(spark, sf):
     """The manifest of a store after the same files were kept twice, with what each run wrote."""
     store, text = scratch(spark, "store"), F.concat("c_mktsegment", F.lit(" "), F.floor(F.col("c_custkey") / 3).cast("string"))
-    files = table(spark, sf, "customer").select(F.concat("c_custkey", F.lit(".bin")).alias("name"), F.encode(text, "UTF-8").alias("content"))
+    files = table(spark, sf, "customer").select(F.concat(F.col("c_custkey") % 256, F.lit("/"), "c_custkey", F.lit(".bin")).alias("name"), F.encode(text, "UTF-8").alias("content"))
     folder = scratch(spark, "files")
     blobs.write_files(files, folder)
-    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    found = blobs.read_files(spark, folder)
     first, _ = blobs.keep(found, store, 0)
     again, held = blobs.keep(found, store, 1)
     return held.select("name", "hash", "size", F.lit(first).cast("long").alias("written"), F.lit(again).cast("long").alias("written_again"))

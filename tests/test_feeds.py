@@ -35,6 +35,13 @@ def test_pages_are_read_only_where_asked(spark, service):
     assert pages.pages(spark, path).where("object_id > 500").count() == 0
 
 
+def test_many_pages_share_partitions(service, monkeypatch):
+    monkeypatch.setattr(pages, "MOST_PARTITIONS", 4)
+    reader = pages.PageReader({"path": service[0], "fallback": service[1]})
+    parts = reader.partitions()
+    assert len(parts) == 4 and sorted(r[0] for p in parts for r in reader.read(p) if r[0] is not None) == [i for i in range(100) if i // 10 != 5]
+
+
 def test_pages_fall_back_and_tell_faults(spark, service):
     path, fallback = service
     got = {(r.page, r.origin, r.fault): r["count"] for r in pages.pages(spark, path, fallback).groupBy("page", "origin", "fault").count().collect()}

@@ -148,6 +148,24 @@ def test_labels_are_those_of_the_greedy_order(spark):
     assert labels.placed_labels(both.limit(0)).count() == 0
 
 
+def test_labels_take_no_rounds(spark):
+    places = feed_queries.label_places(spark, SF).where("line < 60").withColumn("view", F.floor(F.col("line") / 40))
+    spark.sparkContext.setJobGroup("labels", "labels")
+    got = sorted(tuple(r) for r in labels.placed_labels(places).collect())
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("labels"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == plain_labels(places.collect()) and jobs <= 4
+
+
+def test_labels_keep_their_view_over_batches(spark):
+    rows = [(v, line, line % 40, 0, float(line * 90), 0.0, 1.0) for v in (1, 2) for line in range(50)] + [(None, 0, 0, 0, 0.0, 0.0, 0.0), (3, 0, 0, 0, None, 0.0, 0.0)]
+    places = spark.createDataFrame(rows, "view long, line long, elevation long, at long, px double, py double, far double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    got = [(r.view, r.line) for r in labels.placed_labels(places).orderBy("view", "line").collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(v, line) for v in (1, 2) for line in range(labels.PER_VIEW)]
+
+
 def test_playback_is_the_plain_cursor(spark):
     days = feed_queries.playback_days(spark, SF)
     order, at, want = {d: k for k, (d, _) in enumerate(days)}, {}, []

@@ -1,61 +1,56 @@
 """Greedy label placement: lines in order, at most so many labels an elevation and in all, none within a box around another.
 
-The first line in order always takes its best place, and a line may choose as soon as no earlier line that could still take its
-place or its elevation's last label is undecided. So each round decides many lines at once, in any number of views, with
-equal-key joins over cells as large as the box; the result is that of going through the lines one by one.
+The places of a view are read in order, by line and then by distance from the middle, and a view keeps no more than its labels
+(``PER_VIEW`` at most): one shuffle sorts the places, each task goes through its views as a stream, and no view is held.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from collections.abc import Iterator
 
-from ..sources.tables import saved
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The box around a label in which no other's centre lies, labels of an elevation and of a view.
 BOX_X, BOX_Y = 85.0, 30.0
 PER_ELEVATION, PER_VIEW = 2, 24
 
 
-def _near(a: str, b: str) -> Column:
-    return (F.abs(F.col(f"{a}.px") - F.col(f"{b}.px")) < BOX_X) & (F.abs(F.col(f"{a}.py") - F.col(f"{b}.py")) < BOX_Y)
-
-
-def _cells(points: DataFrame, around: bool) -> DataFrame:
-    cx, cy = F.floor(F.col("px") / BOX_X), F.floor(F.col("py") / BOX_Y)
-    if not around:
-        return points.withColumns({"cx": cx, "cy": cy})
-    cell = F.explode(F.array(*(F.struct((cx + i).alias("cx"), (cy + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("c")
-    return points.select("*", cell).select(*points.columns, "c.*")
+class View:
+    """The labels of a view so far."""
 
+    def __init__(self, name: object) -> None:
+        self.name, self.line, self.labels = name, None, []
 
-def _open(left: DataFrame, done: DataFrame, view: str) -> DataFrame:
-    """The places that are still to be had: none that a label has closed, no line whose elevation or view has all its labels."""
-    taken, places = _cells(done.select(view, "px", "py"), True).alias("d"), _cells(left, False).alias("p")
-    places = places.join(taken, (F.col(f"p.{view}") == F.col(f"d.{view}")) & (F.col("p.cx") == F.col("d.cx")) & (F.col("p.cy") == F.col("d.cy")) & _near("p", "d"), "left_anti")
-    full = done.groupBy(view, "elevation").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PER_ELEVATION).select(view, "elevation")
-    nth = done.withColumn("n", F.row_number().over(Window.partitionBy(view).orderBy("line"))).where(F.col("n") == PER_VIEW).select(view, F.col("line").alias("final"))
-    out = places.join(full, [view, "elevation"], "left_anti").join(nth, view, "left").where(F.col("final").isNull() | (F.col("line") < F.col("final")))
-    return out.select(view, "line", "elevation", "at", "px", "py", "far")
+    def takes(self, line: object, elevation: object, px: float, py: float) -> bool:
+        """Whether a line that has no label yet gets one at a place."""
+        if len(self.labels) >= PER_VIEW or (self.labels and line == self.line) or sum(e == elevation for e, _, _ in self.labels) >= PER_ELEVATION:
+            return False
+        if any(abs(px - x) < BOX_X and abs(py - y) < BOX_Y for _, x, y in self.labels):
+            return False
+        self.line = line
+        self.labels.append((elevation, px, py))
+        return True
 
 
 def placed_labels(places: DataFrame, view: str = "view") -> DataFrame:
     """(view, line, elevation, at, px, py) of the labels. ``places`` has the places that a line may take: view, line (its order),
     elevation, at (the order of a place on its line), px, py and far (distance from the middle of the view); a line takes the
-    nearest to the middle that is free, the first on ties."""
-    left, done = saved(places.select(view, "line", "elevation", "at", "px", "py", "far"), "places"), None
-    while True:
-        if done is not None:
-            left = saved(_open(left, done, view), "places")
-            if left.isEmpty():
-                rank = F.row_number().over(Window.partitionBy(view).orderBy("line"))
-                return done.withColumn("n", rank).where(F.col("n") <= PER_VIEW).drop("n")
-        lines = left.select(view, "line", "elevation").distinct()
-        first = lines.withColumn("n", F.row_number().over(Window.partitionBy(view, "elevation").orderBy("line"))).where("n = 1").select(view, "line")
-        mine, others = _cells(left.join(first, [view, "line"], "left_semi").select(view, "line", "px", "py"), False).alias("a"), _cells(left.select(view, "line", "px", "py"), True).alias("b")
-        waits = mine.join(others, (F.col(f"a.{view}") == F.col(f"b.{view}")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("b.line") < F.col("a.line")) & _near("a", "b"), "left_semi")
-        free = first.join(waits.select(view, "line").distinct(), [view, "line"], "left_anti")
-        best = F.min(F.struct("far", "at", "px", "py", "elevation")).alias("m")
-        chosen = saved(left.join(free, [view, "line"], "left_semi").groupBy(view, "line").agg(best).select(view, "line", F.col("m.elevation").alias("elevation"), F.col("m.at").alias("at"), "m.px", "m.py"), "labels")
-        done = chosen if done is None else done.unionByName(chosen)
-        left = left.join(chosen.select(view, "line"), [view, "line"], "left_anti")
+    nearest to the middle that is free, the first on ties. Places without a view, line, px or py are none."""
+    out = [view, "line", "elevation", "at", "px", "py"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = None
+        for batch in batches:
+            kept = []
+            for i, (name, line, elevation, px, py) in enumerate(zip(*(batch.column(c).to_pylist() for c in (view, "line", "elevation", "px", "py")), strict=True)):
+                if now is None or name != now.name:
+                    now = View(name)
+                if len(now.labels) < PER_VIEW and now.takes(line, elevation, px, py):
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    known = places.select(*out, "far").dropna(subset=[view, "line", "px", "py"])
+    ordered = known.repartition(view).sortWithinPartitions(view, "line", "far", "at", "px", "py", "elevation").select(*out)
+    return ordered.mapInArrow(run, ordered.schema)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bands, connection, contours
+from tidemark.operators import bands, blocks, connection, contours
 from tidemark.operators.grids import kept_points
 
 
@@ -148,6 +148,36 @@ def test_connection_stages_match_a_heap_flood(spark, seed, shape, step):
         assert {k[1:]: v for k, v in got.items() if k[0] == f} == {p: None if math.isnan(want[p]) else want[p] for p, v in np.ndenumerate(z) if not math.isnan(v)}
 
 
+def test_stages_and_components_over_blocks_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SIDE", 4)
+    monkeypatch.setattr(blocks, "STEP", 2)
+    frames = [raster(3, 37, 22, holes=0.15, step=1.0), raster(4, 37, 22, holes=0.3)]
+    cells = cells_of(spark, *frames).withColumns({"y": F.col("y") - 9, "x": F.col("x") + 5})
+    spark.sparkContext.setJobGroup("stages", "stages")
+    wet = connection.sources(cells, 9.0, 3, ["frame"]).checkpoint(False)
+    got = {(r.frame, r.y + 9, r.x - 5): r.stage for r in connection.connection_stages(cells, wet, 18.0, ["frame"]).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stages"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    seen = {(r.frame, r.y + 9, r.x - 5) for r in wet.collect()}
+    for f, z in enumerate(frames):
+        low = z <= 9.0
+        own = {p for p, v in np.ndenumerate(low) if v}
+        named = {}
+        for p in sorted(own):
+            todo, members = [p] if p not in named else [], []
+            while todo:
+                q = todo.pop()
+                if q in own and q not in named:
+                    named[q] = p
+                    members.append(q)
+                    todo += [(q[0] + 1, q[1]), (q[0] - 1, q[1]), (q[0], q[1] + 1), (q[0], q[1] - 1)]
+        large = {p for p in own if sum(c == named[p] for c in named.values()) >= 3}
+        assert {p[1:] for p in seen if p[0] == f} == large
+        want = flood(np.where(np.isnan(z), np.inf, z), sorted(large), 18.0)
+        assert {k[1:]: v for k, v in got.items() if k[0] == f} == {p: None if math.isnan(want[p]) else want[p] for p, v in np.ndenumerate(z) if not math.isnan(v)}
+    assert len({v for v in got.values()}) > 20 and jobs <= 60  # levels, not rounds
+
+
 def test_no_sources_and_no_cells(spark):
     cells = cells_of(spark, raster(1, 3, 3))
     none = cells.select("y", "x").limit(0)

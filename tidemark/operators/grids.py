@@ -4,39 +4,58 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grids import flood_class, newly_wet, transition_depth
 from ..functions.scalars import Thresholds, catalog_floor, catalog_stage, connected_depth, step_fraction, transition_blend
-from ..sources.tables import checkpoints
+from ..sources.tables import saved
+from .blocks import ROW, adjacent, block, extent, key_schema, least_labels
 
 
 def components(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key, y, x, component, size) of the 4-neighbour components; a component is named by its least y * 2^32 + x.
 
-    In a round a node and the node that its label names fall to the least label of the neighbours, then each to its
-    label's own label, until none falls: few rounds even for winding components, each of equal-key joins. The lineage is
-    cut by a checkpoint each round.
+    Each block names its own components, larger blocks join the names on the rims of the smaller ones (``blocks``), and
+    the names are followed up to the largest block. No step takes longer where components wind.
     """
-    checkpoints(cells.sparkSession)
     key = key or []
-    node = (F.col("y") * F.lit(2**32) + F.col("x")).alias("node")
-    base = cells.select(*key, node).distinct()
-    around = F.explode(F.array(*(F.col("node") + d for d in (1, -1, 2**32, -(2**32))))).alias("node")
-    edges = base.select(*key, F.col("node").alias("other"), around).join(base, [*key, "node"]).checkpoint()
-    labels = base.withColumn("label", F.col("node")).checkpoint()
-    while True:
-        near = edges.join(labels.withColumnRenamed("node", "other"), [*key, "other"]).groupBy(*key, "node").agg(F.min("label").alias("near"))
-        both = labels.join(near, [*key, "node"], "left").select(*key, F.explode(F.array(F.struct("node", F.least("label", "near").alias("low"), F.col("label").alias("was")), F.struct(F.col("label").alias("node"), F.coalesce("near", "label").alias("low"), F.lit(None).cast("long").alias("was")))).alias("m"))
-        low = both.groupBy(*key, F.col("m.node").alias("node")).agg(F.min("m.low").alias("low"), F.max("m.was").alias("was")).checkpoint()
-        jump = low.select(*key, F.col("node").alias("low"), F.col("low").alias("jump"))
-        after = low.join(jump, [*key, "low"], "left").select(*key, "node", F.least("low", "jump").alias("after"), F.col("was").alias("label")).checkpoint()
-        fell = not after.where("after < label").isEmpty()
-        labels = after.select(*key, "node", F.col("after").alias("label"))
-        if not fell:
-            size = labels.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("size"))
-            return labels.join(size, [*key, "label"]).select(*key, F.floor(F.col("node") / 2**32).alias("y"), F.pmod("node", F.lit(2**32)).alias("x"), F.col("label").alias("component"), "size")
+    frame = extent(cells)
+    base = cells.select(*key, frame.node().alias("n")).where("n IS NOT NULL").distinct()
+    schema = key_schema(base, key)
+
+    def own(table: pa.Table) -> pa.Table:
+        table = table.select([*key, "n"]).sort_by("n")
+        n = table.column("n").to_numpy()
+        return table.append_column("label", pa.array(n[least_labels(len(n), *adjacent(n))]))
+
+    def joined(table: pa.Table) -> pa.Table:
+        table = table.select([*key, "n", "label"]).sort_by("n")
+        names, at = np.unique(table.column("label").to_numpy(), return_inverse=True)
+        a, b = adjacent(table.column("n").to_numpy())
+        return table.append_column("name", pa.array(names[least_labels(len(names), at[a], at[b])][at]))
+
+    def on_rim(rows: DataFrame, side: int, label: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(frame.rim(batch.column("n").to_numpy(), side)))
+
+        return rows.select(*key, "n", F.col(label).alias("label")).mapInArrow(run, f"{schema}n long, label long")
+
+    sides = frame.sides
+    labels = saved(base.groupBy(*key, block("n", sides[0])).applyInArrow(own, f"{schema}n long, label long"), "components")
+    steps, now, name = [], labels, "label"
+    for inner, side in zip(sides, sides[1:], strict=False):
+        now, name = saved(on_rim(now, inner, name).groupBy(*key, block("n", side)).applyInArrow(joined, f"{schema}n long, label long, name long"), "components"), "name"
+        steps.append(now.select(*key, "label", "name").distinct())
+    counts = labels.groupBy(*key, "label").agg(F.count(F.lit(1)).alias("size")).withColumn("name", F.col("label"))
+    for step in steps:
+        counts = counts.join(step.select(*key, F.col("label").alias("name"), F.col("name").alias("next")), [*key, "name"], "left").select(*key, "label", "size", F.coalesce("next", "name").alias("name"))
+    named = saved(counts, "components")
+    size = named.groupBy(*key, "name").agg(F.sum("size").alias("size"))
+    told = named.drop("size").join(size, [*key, "name"])
+    return labels.join(told, [*key, "label"]).select(*key, *frame.place(), (F.col("name") + F.lit(frame.y * ROW + frame.x)).alias("component"), "size")
 
 
 def retained(current: DataFrame, history: DataFrame, stage: Column) -> DataFrame:

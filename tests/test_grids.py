@@ -3,8 +3,10 @@
 import math
 
 import numpy as np
+import pytest
 
 from tidemark.operators import grids as O
+from tidemark.plans import catalog
 
 
 def test_components_match_a_flood_fill(spark):
@@ -103,6 +105,25 @@ def test_simplified_lines(spark):
     assert got[90].xs is None and got[91].xs == []
 
 
+def test_lines_are_simplified_together(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    lines = [np.column_stack([np.arange(n) % 9, np.cumsum(rng.normal(0, 0.3, n))]).round(1) for n in rng.integers(0, 60, 300)]
+    lines += [np.zeros((5, 2)), np.array([[0.0, 0], [1, np.nan], [2, 0], [3, 5], [4, 0]]), np.array([[0.0, 0], [4, 3], [0, 0]])]
+    xy, first = np.concatenate(lines), np.append(0, np.cumsum([len(v) for v in lines]))
+    got = O.kept_of_lines(xy[:, 0], xy[:, 1], first, 0.1)
+    assert [got[a:b].tolist() for a, b in zip(first, first[1:])] == [O.kept_points(v, 0.1).tolist() if len(v) else [] for v in lines]
+    monkeypatch.setattr(O, "POINTS", 50)
+    rows = [(i, v[:, 0].tolist(), v[:, 1].tolist()) for i, v in enumerate(lines)]
+    out = {r.k: list(zip(r.xs, r.ys)) for r in O.simplified(spark.createDataFrame(rows, "k long, xs array<double>, ys array<double>").coalesce(1)).collect()}
+    assert [repr(out[i]) for i in range(len(lines))] == [repr([tuple(p) for p in lines[i][got[first[i] : first[i + 1]]].tolist()]) for i in range(len(lines))]
+
+
+@pytest.mark.parametrize("name", ["L21_simplified"])
+def test_rows_of_small_files_are_dealt_over_tasks(spark, name):
+    out = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    assert out.rdd.getNumPartitions() >= 4
+
+
 def test_spans_cover_the_centres_inside(spark):
     ring, hole = [(1.2, 0.7), (9.6, 2.1), (7.3, 9.9), (2.4, 7.7)], [(4.0, 3.0), (6.0, 3.0), (5.0, 6.0)]
     df = spark.createDataFrame([(1, [[{"x": x, "y": y} for x, y in r] for r in (ring, hole)])], "shape_id long, rings array<array<struct<x double, y double>>>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from ..functions.scalars import Thresholds, catalog_floor, catalog_stage, connec
 from ..sources.tables import saved
 from .blocks import ROW, adjacent, block, extent, key_schema, least_labels
 
+POINTS = 1 << 18  # points of lines that are simplified together
+
 
 def components(cells: DataFrame, key: list[str] | None = None) -> DataFrame:
     """(key, y, x, component, size) of the 4-neighbour components; a component is named by its least y * 2^32 + x.
@@ -135,22 +138,59 @@ def kept_points(xy: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+def kept_of_lines(x: np.ndarray, y: np.ndarray, first: np.ndarray, tolerance: float) -> np.ndarray:
+    """Mask of the points of many lines, as ``kept_points`` tells for each; line i has the points from first[i] to first[i + 1]. The
+    pieces of all lines are cut at once, as often as the rule goes deep."""
+    keep = np.zeros(len(x), bool)
+    some = first[1:] > first[:-1]
+    lo, hi = first[:-1][some], first[1:][some] - 1
+    keep[lo] = keep[hi] = True
+    while True:
+        wide = hi - lo > 1
+        lo, hi = lo[wide], hi[wide]
+        if not len(lo):
+            return keep
+        inside = hi - lo - 1
+        start = np.cumsum(inside) - inside
+        of = np.repeat(np.arange(len(lo)), inside)
+        at = lo[of] + 1 + np.arange(len(of)) - start[of]
+        ax, ay = x[hi] - x[lo], y[hi] - y[lo]
+        squared = (ax * ax + ay * ay)[of]
+        ax, ay, ox, oy = ax[of], ay[of], x[at] - x[lo][of], y[at] - y[lo][of]
+        share = np.minimum(np.maximum(np.divide(ox * ax + oy * ay, squared, out=np.zeros(len(of)), where=squared != 0), 0), 1)
+        away = np.hypot(ox - share * ax, oy - share * ay)
+        most = np.maximum.reduceat(away, start)
+        hit = np.flatnonzero((away == most[of]) & (away > tolerance))
+        piece, nth = np.unique(of[hit], return_index=True)  # the first of the farthest ones
+        cut = at[hit[nth]]
+        keep[cut] = True
+        lo, hi = np.concatenate([lo[piece], cut]), np.concatenate([cut, hi[piece]])
+
+
 def simplified(lines: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """``lines`` (with xs and ys) with the points that Douglas and Peucker's rule keeps; empty and null lines stay so."""
+    """``lines`` (with xs and ys) with the points that Douglas and Peucker's rule keeps; empty and null lines stay so. Lines are
+    looked at together, about ``POINTS`` points at a time."""
 
     def batches(frames):
-        for pdf in frames:
-            xs, ys = [], []
-            for x, y in zip(pdf["xs"], pdf["ys"]):
-                if x is None or len(x) == 0:
-                    xs.append(x), ys.append(y)
-                    continue
-                xy = np.column_stack([x, y]).astype(float)
-                keep = kept_points(xy, tolerance)
-                xs.append(xy[keep, 0]), ys.append(xy[keep, 1])
-            yield pdf.assign(xs=pd.Series(xs, index=pdf.index, dtype=object), ys=pd.Series(ys, index=pdf.index, dtype=object))
-
-    return lines.mapInPandas(batches, lines.schema)
+        for batch in frames:
+            known = pc.and_(batch.column("xs").is_valid(), batch.column("ys").is_valid())
+            size = np.where(known.to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(batch.column("xs")), 0).to_numpy(zero_copy_only=False), 0)
+            group = np.cumsum(size) // POINTS
+            edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(size)]
+            for a, b in zip(edges, edges[1:]):
+                yield cut(batch.slice(a, b - a), known.slice(a, b - a), np.append(0, np.cumsum(size[a:b])))
+
+    def cut(part, known, first):
+        own = [pc.if_else(known, part.column(c), pa.scalar(None, part.column(c).type)) for c in ("xs", "ys")]
+        x, y = (pc.cast(pc.list_flatten(c), pa.float64()).to_numpy(zero_copy_only=False) for c in own)
+        keep = kept_of_lines(x, y, first, tolerance)
+        ends = pa.array(np.append(0, np.cumsum(keep))[first].astype(np.int32))
+        for c, column, v in zip(("xs", "ys"), own, (x, y)):
+            left = pa.ListArray.from_arrays(ends, pa.array(v[keep]), mask=pc.invert(known)).cast(column.type)
+            part = part.set_column(part.schema.get_field_index(c), c, pc.if_else(known, left, part.column(c)))
+        return part
+
+    return lines.mapInArrow(batches, lines.schema)
 
 
 def densified_points(lines: DataFrame, key: str, points: Column, step_m: float = 5.0) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import grids as G
 from ..functions import scalars as S
 from ..operators import grids as O
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 TH = S.Thresholds(5.0, 11.0, 22.0)
 WIDTH = 120
@@ -243,6 +243,14 @@ def m11(spark, sf):
     return O.wet_runs(pts.where("i > 0"), "k", "i", wet)
 
 
+def l21(spark, sf):
+    """Zigzags of up to 42 points, one a customer."""
+    n = (F.col("k") % 40 + 2).cast("int")
+    xs = F.transform(F.sequence(F.lit(0), n), lambda i: i.cast("double"))
+    ys = F.transform(F.sequence(F.lit(0), n), lambda i: ((i * i * F.col("k")) % 7 / 10).cast("double"))
+    return O.simplified(spread(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), "k").select("k", xs.alias("xs"), ys.alias("ys")))
+
+
 def m16(spark, sf):
     lines = rings(spark, sf).select((F.col("k") % 12).alias("elevation"), F.size("ring").alias("n"), "k")
     return lines.groupBy("elevation").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").alias("points"), F.min("k").alias("first"))
@@ -294,7 +302,7 @@ _ENTRIES = {
     ),
     "L26_sparse_cells": (l26, f"WITH {_C}, o AS (SELECT cell, round({_TDEPTH.replace('connection', '0')}, 4) AS out FROM c WHERE cell % 4 = 1) SELECT * FROM o WHERE out IS NOT NULL"),
     "L13_components": (l13, None),
-    "L21_simplified": (lambda spark, sf: O.simplified(rings(spark, sf).select("k", F.transform(F.sequence(F.lit(0), (F.col("k") % 40 + 2).cast("int")), lambda i: i.cast("double")).alias("xs"), F.transform(F.sequence(F.lit(0), (F.col("k") % 40 + 2).cast("int")), lambda i: ((i * i * F.col("k")) % 7 / 10).cast("double")).alias("ys"))), None),
+    "L21_simplified": (l21, None),
     "M1_point_in_ring": (_k(lambda: {"inside": S.in_ring(*_px(), F.col("ring"))}), _ksql(inside=_inside_sql(_X, _Y, _RING_SQL))),
     "M2_point_in_polygon": (_k(lambda: {"inside": G.in_polygon(*_px(), F.array(F.array(_literal(_TOWN), _literal(_HOLE)), F.array(F.col("ring"))))}), _ksql(inside=f"(({_inside_sql(_X, _Y, _TOWN)} AND NOT {_inside_sql(_X, _Y, _HOLE)}) OR {_inside_sql(_X, _Y, _RING_SQL)})")),
     "M3_ring_area": (_k(lambda: {"area": F.round(S.ring_area(F.col("ring")), 6)}), _ksql(area=f"abs({_AREA}) / 2.0::DOUBLE")),

@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import saved
+from .tables import saved, tasks
 
 READ_ROWS, READ_BYTES = 1000, 32 << 20  # of files that a task hands over at once
 
@@ -25,11 +25,6 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def _tasks(spark: SparkSession) -> int:
-    """Tasks that deal with small files, whose bytes say little about the work; a number that is told isn't brought down by Spark."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def _put(system: fs.FileSystem, path: str, data: bytes, made: set[str] | None = None) -> None:
     """Writes a file whole: under another name first, then moved. ``made``: the folders that are there already."""
     folder = path.rsplit("/", 1)[0]
@@ -53,7 +48,7 @@ def write_files(files: DataFrame, path: str) -> int:
                 _put(system, f"{root}/{name}", bytes(data), made)
             yield pd.DataFrame({"n": [len(pdf)]})
 
-    return files.select("name", "content").repartition(_tasks(files.sparkSession), "name").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+    return files.select("name", "content").repartition(tasks(files.sparkSession), "name").mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +71,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
             if names:
                 yield pd.DataFrame({"name": names, "content": held})
 
-    return spark.createDataFrame(folders, "folder string").repartition(max(1, min(len(folders), _tasks(spark)))).mapInPandas(run, "name string, content binary")
+    return spark.createDataFrame(folders, "folder string").repartition(max(1, min(len(folders), tasks(spark)))).mapInPandas(run, "name string, content binary")
 
 
 def _lacking(hashes: DataFrame, store: str) -> DataFrame:
@@ -88,7 +83,7 @@ def _lacking(hashes: DataFrame, store: str) -> DataFrame:
             found = system.get_file_info([f"{root}/contents/{h[:2]}/{h}.blob" for h in pdf["hash"]])
             yield pdf[[i.type == fs.FileType.NotFound for i in found]]
 
-    return hashes.repartition(_tasks(hashes.sparkSession), "hash").mapInPandas(run, "hash string")
+    return hashes.repartition(tasks(hashes.sparkSession), "hash").mapInPandas(run, "hash string")
 
 
 def manifest(spark: SparkSession, store: str) -> DataFrame | None:
@@ -109,7 +104,7 @@ def keep(files: DataFrame, store: str, run: int) -> tuple[int, DataFrame]:
     named = files.select("name", "content", F.sha2("content", 256).alias("hash"), F.length("content").cast("long").alias("size"))
     told = saved(named.select("name", "hash", "size"), "hashes")
     lacking = saved(_lacking(told.where("hash IS NOT NULL").select("hash").distinct(), store), "lacking")
-    new = named.join(lacking, "hash").groupBy("hash").agg(F.first("content").alias("content")).repartition(_tasks(files.sparkSession), "hash")
+    new = named.join(lacking, "hash").groupBy("hash").agg(F.first("content").alias("content")).repartition(tasks(files.sparkSession), "hash")
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         (system, root), made = _open(store), set()

@@ -1,5 +1,7 @@
 """Paged services, images, stores, labels and playback against plain versions."""
 
+import base64
+import gzip
 import json
 import zlib
 from datetime import datetime, timedelta
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import features
 from tidemark.operators import labels
 from tidemark.plans import feed_queries, terrain_queries
-from tidemark.sources import blobs, images, pages
+from tidemark.sources import blobs, images, pages, readers
 from tidemark.streaming import playback
 
 SF = "/root/testdata/sf0.001"
@@ -229,3 +231,21 @@ def test_contour_queries_match_a_plain_tracer(spark):
         got[r.level] = r.lines
         assert r["index"] == (r.level % 25 == 0)
     assert got == {k: n for k, n in want.items() if n}
+
+
+def test_packed_rows_are_handed_over_bit_by_bit(monkeypatch):
+    monkeypatch.setattr(readers, "ROWS", 10)
+    found = [(1, [np.arange(25), np.arange(25) * 2]), (2, [np.arange(0), np.arange(0)]), (3, [np.arange(4), np.arange(4)]), (4, [np.arange(9), np.arange(9)])]
+    out = list(readers._handed(["k", "i", "v"], iter(found)))
+    assert max(b.num_rows for b in out) < 20 and [b.num_rows for b in out][:2] == [10, 10]
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(k, int(i), int(v)) for k, (a, b) in found for i, v in zip(a, b)]
+
+
+def test_strips_and_indexes_that_are_spoilt_give_no_rows(spark):
+    strip = lambda n: base64.b64encode(gzip.compress(np.arange(n, dtype="<u2").tobytes())).decode()
+    strips = spark.createDataFrame([(1, 2, 3, strip(6)), (2, 2, 3, strip(5)), (3, 0, 0, strip(0)), (4, 1, 1, strip(1))], "tile long, width int, rows int, data string")
+    assert [tuple(r) for r in readers.strip_values(strips).orderBy("tile", "i").collect()] == [(1, i, i) for i in range(6)] + [(4, 0, 0)]
+    indexes = spark.createDataFrame([(1, 2, bytes([5, 0x81, 1])), (2, 3, bytes([5, 1])), (3, 1, bytes([0x81])), (4, 2, bytes([5, 0])), (5, 0, b"")], "stage long, n int, data binary")
+    assert sorted(tuple(r) for r in readers.delta_cells(indexes).collect()) == [(1, 5), (1, 134)]
+    assert readers.strip_values(strips.limit(0)).count() == 0 and readers.delta_cells(indexes.limit(0)).count() == 0

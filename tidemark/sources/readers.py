@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import base64
 import gzip
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import civil, stage_number
 from ..functions.times import day_shift, utc_micros
 
+READ_ROWS, ROWS = 512, 1 << 16  # packed rows that are taken, and unpacked ones that are handed over, at once
 HOURS = "array<struct<timeUtc:string,stage:double>>"
 FORECAST = f"struct<scenarioForecasts:map<string,struct<hours:{HOURS}>>,forecasts:map<string,struct<hours:{HOURS}>>,hours:{HOURS}>"
 
@@ -104,30 +106,55 @@ def last_features(pages: DataFrame, key: str) -> DataFrame:
     return pages.withColumn("n_", F.row_number().over(w)).where("n_ = 1").drop("n_")
 
 
+def _handed(names: list[str], found: Iterator[tuple[int, list[np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, columns of a key's values), about ``ROWS`` at a time: a task never holds what all of its keys make."""
+    held, rows = [], 0
+    out = lambda: pa.RecordBatch.from_arrays([pa.array(np.repeat([k for k, _ in held], [len(c[0]) for _, c in held]).astype(np.int64)), *(pa.array(np.concatenate(c)) for c in zip(*(c for _, c in held)))], names=names)
+    for key, columns in found:
+        for at in range(0, len(columns[0]), ROWS):
+            held.append((key, [c[at : at + ROWS] for c in columns]))
+            rows += len(held[-1][1][0])
+            if rows >= ROWS:
+                yield out()
+                held, rows = [], 0
+    if held:
+        yield out()
+
+
+def parts(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[list]]:
+    """The columns of batches as values, ``READ_ROWS`` rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, READ_ROWS):
+            yield [batch.column(c).slice(at, READ_ROWS).to_pylist() for c in names]
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    return (row for part in parts(batches, *names) for row in zip(*part, strict=True))
+
+
 def strip_values(strips: DataFrame) -> DataFrame:
     """(tile, i, value) of strips of little-endian 16-bit values, gzipped and in base64; a strip of another length than its
     width times its rows gives none."""
 
-    def decode(frames):
-        for pdf in frames:
-            out = []
-            for tile, width, rows, text in pdf[["tile", "width", "rows", "data"]].itertuples(index=False):
+    def decode(batches):
+        def found():
+            for tile, width, rows, text in _rows(batches, "tile", "width", "rows", "data"):
                 values = np.frombuffer(gzip.decompress(base64.b64decode(text)), "<u2")
                 if len(values) == width * rows:
-                    out.append(pd.DataFrame({"tile": tile, "i": np.arange(len(values)), "value": values.astype(np.int64)}))
-            yield pd.concat(out) if out else pd.DataFrame({"tile": [], "i": [], "value": []})
+                    yield tile, [np.arange(len(values)), values.astype(np.int64)]
 
-    return strips.mapInPandas(decode, "tile long, i long, value long")
+        return _handed(["tile", "i", "value"], found())
+
+    return strips.mapInArrow(decode, "tile long, i long, value long")
 
 
 def delta_cells(indexes: DataFrame) -> DataFrame:
     """(stage, cell) of sparse indexes: each cell is the sum of the steps up to it, steps are in groups of seven bits, low ones
     first, the eighth bit set while more follow. An index that does not hold ``n`` rising cells gives none."""
 
-    def decode(frames):
-        for pdf in frames:
-            out = []
-            for stage, n, data in pdf[["stage", "n", "data"]].itertuples(index=False):
+    def decode(batches):
+        def found():
+            for stage, n, data in _rows(batches, "stage", "n", "data"):
                 raw = np.frombuffer(data, np.uint8).astype(np.int64)
                 last = np.flatnonzero(raw < 128)
                 first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
@@ -135,10 +162,11 @@ def delta_cells(indexes: DataFrame) -> DataFrame:
                 used = raw[: len(group)]
                 steps = np.bincount(group, (used & 127) * 2.0 ** (7 * (np.arange(len(group)) - first[group])), len(last)).astype(np.int64)
                 if len(steps) == n and len(group) == len(raw) and (steps[1:] > 0).all():
-                    out.append(pd.DataFrame({"stage": stage, "cell": np.cumsum(steps)}))
-            yield pd.concat(out) if out else pd.DataFrame({"stage": [], "cell": []})
+                    yield stage, [np.cumsum(steps)]
+
+        return _handed(["stage", "cell"], found())
 
-    return indexes.mapInPandas(decode, "stage long, cell long")
+    return indexes.mapInArrow(decode, "stage long, cell long")
 
 
 def stripe_points(points: DataFrame, stripes: DataFrame, width: int) -> DataFrame:

@@ -102,6 +102,23 @@ def test_contours_match_a_plain_tracer(spark, seed, shape, step):
         assert {k: sorted(v) for k, v in mine.items()} == {k: v for k, v in want.items() if v}
 
 
+@pytest.mark.parametrize("side", [3, 8])
+def test_lines_over_many_blocks_match_a_plain_tracer(spark, monkeypatch, side):
+    monkeypatch.setattr(contours, "SIDE", side)
+    y, x = np.mgrid[0:26, 0:33]
+    cone = 14.0 - np.hypot(y - 12, x - 15)  # closed lines over many blocks
+    frames = [raster(6, 26, 33), cone, raster(7, 26, 33, step=2.5)]
+    got = contours.contours(cells_of(spark, *frames), key=["frame"]).collect()
+    for f, z in enumerate(frames):
+        want = {k: v for k, v in ((k, filtered(v, 0.1, 1.0)) for k, v in plain_lines(z, 5.0).items()) if v}
+        mine = {}
+        for r in got:
+            if r.frame == f:
+                mine.setdefault(r.level, []).append((r.closed, tuple(zip(r.xs, r.ys))))
+        assert {k: sorted(v) for k, v in mine.items()} == want
+    assert sum(r.closed for r in got if r.frame == 1) >= 2
+
+
 def test_rings_are_closed_lines(spark):
     z = np.zeros((9, 9))
     z[3:6, 3:6] = 8.0

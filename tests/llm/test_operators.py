@@ -143,6 +143,20 @@ def test_fingerprint_index_is_opened_again(spark, tmp_path):
     assert gone == {0: 0, 1: 0, 2: 0, 3: 40, 4: 40, 5: 40}
 
 
+def test_fingerprint_index_writes_each_merge_once(spark, monkeypatch):
+    """The merge that would make too many runs writes them as one; nothing is dealt and written again after it."""
+    rng = np.random.default_rng(5)
+    rows = [(k, text_of(rng, 60 + k)) for k in range(9)] + [(9, text_of(rng, 40))] * 2
+    docs, labels, own = substring_dedup.keyed(spark.createDataFrame(rows, "doc_id long, text string")), [], substring_dedup.store
+    monkeypatch.setattr(substring_dedup, "store", lambda df, label: (labels.append(label), own(df, label))[1])
+    index = substring_dedup.FingerprintIndex(spark, np.zeros(0, np.int64))
+    for lo in (0, 3, 6):
+        index.merge(docs.where(f"id >= {lo} AND id < {lo + 3}"))
+    every = substring_dedup.stretch_rows(docs.where("id < 9"), np.zeros(0, np.int64))
+    key = lambda df: sorted((r.key, r.w1, r.w2, r.id, r.start, r.size) for r in df.collect())
+    assert labels == ["substring-merge"] * 3 and len(index.runs) == 1 and key(index.history()) == key(every)
+
+
 def test_near_dedup(spark, awkward):
     docs = awkward.unionByName(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars"), allowMissingColumns=True)
     rows = {(-1 if r.doc_id is None else r.doc_id): r.text or "" for r in docs.collect()}

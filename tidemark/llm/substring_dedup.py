@@ -12,7 +12,7 @@ batch is cut into stretches, dealt by key and merged with the runs in key order:
   window twice: the digests of its single windows are taken from the text and compared in the same way.
 
 So keys only propose, and words decide through their digests; a clash of keys costs work, never a result. The batch's first
-stretches become the next run; above ``MOST_RUNS`` runs are compacted into one.
+stretches become the next run; where there would be more than ``MOST_RUNS`` runs, the merge writes all of them as one.
 
 Hot groups: a slice of text reports a stretch or window once and marks the others of it as repeats where it stands, so a
 passage that many rows hold is summed before it moves; keys with many different stretches (found on ``SAMPLE_DOCS`` rows;
@@ -153,7 +153,8 @@ class FingerprintIndex:
 
     def merge(self, docs: DataFrame, add: bool = True) -> DataFrame:
         """(batch, id, tag, start, size, is_repeat): stretches of the batch of (id, tag, text) rows that repeat, and those
-        of any batch that ``closer`` has to look at. ``add``: the batch's first stretches become a run."""
+        of any batch that ``closer`` has to look at. ``add``: the batch's first stretches become a run, or one run with all
+        earlier ones."""
         rows = stretch_rows(docs, self.hot).withColumn("batch", F.lit(self.batches))
         if (old := self.history()) is not None:
             rows = rows.unionByName(old.withColumn("known", F.lit(False)))
@@ -164,23 +165,21 @@ class FingerprintIndex:
         rows = rows.withColumns({"several": several, "newest": F.max("batch").over(key)})
         repeat = F.col("known") | (F.col("first") < F.struct(*PLACE))
         closer = ~repeat & (F.col("newest") == self.batches) & (F.col("again") | F.col("several") | (F.col("deal") > 0))
-        own = F.col("batch") == self.batches
-        kept = rows.select(*RUN, repeat.alias("is_repeat"), closer.alias("closer")).where("is_repeat OR closer" if not add else (own | F.col("closer")))
-        merged = store(kept, "substring-merge")
-        if add:
+        own, compacts = F.col("batch") == self.batches, add and len(self.runs) >= MOST_RUNS
+        flagged = rows.select(*RUN, repeat.alias("is_repeat"), closer.alias("closer"))
+        if not compacts:
+            flagged = flagged.where(own | F.col("closer") if add else "is_repeat OR closer")
+        merged = store(flagged, "substring-merge")
+        if compacts:  # all runs and the batch have met here in key order, so what is written is the one run already
+            self.runs = [merged.where("NOT is_repeat").select(*RUN)]
+        elif add:
             self.runs.append(merged.where(own & ~F.col("is_repeat")).select(*RUN))
-            if len(self.runs) > MOST_RUNS:
-                self.compact()
         self.batches += 1
         return merged.where("is_repeat OR closer").select("batch", "id", "tag", "start", "size", "is_repeat")
 
     def _sorted(self) -> DataFrame:
         return self.history().repartitionByRange("key").sortWithinPartitions("key", "deal", "w1", "w2")
 
-    def compact(self) -> None:
-        """All runs become one; their stretches are distinct, as a run has only what no earlier one has."""
-        self.runs = [store(self._sorted(), "substring-run")]
-
     def save(self, path: str) -> None:
         """The whole index as one run in a folder, to be opened by a later job."""
         self._sorted().withColumn("batches", F.lit(self.batches)).write.parquet(path)

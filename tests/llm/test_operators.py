@@ -188,6 +188,55 @@ def test_near_dedup(spark, awkward):
     assert got == want
 
 
+def test_near_dedup_weighs_rare_shingles_by_their_own_counts(spark, tmp_path):
+    """Two texts share a passage of 1 row in 100 and differ in words of their own: alike if both parts weigh the same, not alike
+    by TF-IDF, where the passage weighs less; and the other way round."""
+    rng = np.random.default_rng(3)
+    own = lambda n: text_of(rng, n)
+    passage, rare = own(64), own(64)
+    rows = [passage + " " + own(6), passage + " " + own(6)] + [passage + " " + own(70) for _ in range(48)]
+    rows += [rare + " " + own(6), rare + " " + own(6)] + [own(70) for _ in range(9948)]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.class_id for r in near_dedup.op6_near_dedup(spark, str(tmp_path)).collect()}
+    grams = [Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) for w in map(str.split, rows)]
+    df = Counter(g for x in grams for g in x)
+
+    def alike(a, b, floor):
+        weight = lambda g: 1 + np.log(1 / max(floor, df[g] / len(rows)))
+        least = sum(min(n, grams[b][g]) * weight(g) for g, n in grams[a].items())
+        return least / (sum(n * weight(g) for x in (a, b) for g, n in grams[x].items()) - least)
+
+    assert alike(0, 1, 0.01) >= 0.8 > alike(0, 1, 0) and alike(50, 51, 0) >= 0.8
+    assert len(found) == len(rows) and found[0] != found[1] and found[50] == found[51]
+    assert all(found[k] == k for k in range(len(rows)) if k != 51)
+
+
+@pytest.mark.parametrize("counters, size", [(1, 1 << 22), (64, 1500)])
+def test_shingles_are_counted_over_all_rows(spark, monkeypatch, counters, size):
+    monkeypatch.setattr(near_dedup, "PACK_BYTES", size)
+    docs = near_dedup.keyed(spark.read.parquet(f"{SF}/documents.parquet").limit(60).repartition(7))
+    idf = near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0), 1 / 60)
+    rows = near_dedup.signatures(docs, idf, counters, 0.0).collect()
+    hashes = {(r.id, r.tag): near_dedup.shingles(near_dedup.X.split(near_dedup.pa.array([r.text])))[1].tolist() for r in rows}
+    df = Counter(h for x in hashes.values() for h in x)
+    assert len(rows) == 60 and max(df.values()) > 1
+    for r in rows:
+        assert np.frombuffer(near_dedup.zstandard.decompress(r.held), "<u4").tolist() == [df[h] for h in hashes[r.id, r.tag]]
+
+
+def test_texts_told_alone_have_no_similar_one(spark):
+    docs = near_dedup.keyed(spark.read.parquet(f"{SF}/documents.parquet"))
+    total = docs.count()
+    idf = near_dedup.frequent(docs, near_dedup.WHOLE)
+    rows = near_dedup.signatures(docs, near_dedup.Idf(np.zeros(0, np.uint64), np.zeros(0), 1 / total), 4, 0.5).collect()
+    texts = {(r.id, r.tag): r.text for r in docs.collect()}
+    alone = [(r.id, r.tag) for r in rows if r.node is None]
+    every = near_dedup.pa.array(texts.values())
+    assert len(rows) == total and 0 < len(alone) < total
+    for key in alone[:60]:
+        assert (near_dedup.similarity(near_dedup.pa.array([texts[key]] * len(texts)), every, idf) >= 0.5).sum() == 1
+
+
 def in_one_band(spark, rows, least):
     """Classes of the texts (id, text), all of which share one band, and those by all pairs."""
     texts = spark.createDataFrame(rows, "id long, text string").selectExpr("id", "id AS tag", "text")

@@ -1,8 +1,12 @@
 """Operator 6, near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A shingle is ``SHINGLE`` consecutive words; its weight in a document is its count times 1 + ln(1 / share of documents that
-hold it), the share taken as ``SHARE`` at least. So only shingles above that share need a count, and there are at most
-(shingles in a document) / ``SHARE`` of them, whatever the corpus: that table is what tasks get.
+A shingle is ``SHINGLE`` consecutive words; its weight in a document is its count times 1 + ln(rows / rows that hold it); a caller
+may set a floor to the share of rows, op6 and the pipeline set none. Every shingle is counted over all rows: a slice of texts sends its distinct shingles, packed and in order, to their counters (a
+counter has a range of hashes), and each counter sends back the counts in the same order, of which nearly all are small and
+pack to almost nothing. The texts meet the counts of their slice and keep them as ``held``, one for each distinct shingle.
+
+What a text shares with no other row can't make it similar to anything. So texts whose shingles of one row alone outweigh
+what similarity leaves are told to be alone there and then; this loses no pair. The others go on.
 
 Equal word sequences are one node. A node's weighted set is dealt into ``BINS`` bins by shingle hash, and each bin gives
 the improved consistent weighted sample of its shingles (an empty bin takes the next one's, marked by the distance).
@@ -25,6 +29,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +37,12 @@ from . import textops as X
 from .common import NO_ID, documents, fresh, keyed, named, split_join, store, tag_of
 
 SHINGLE, SIMILARITY = 5, 0.8
-SHARE = 0.01
+SHARE, WHOLE = 0.01, 0.0  # lower shares count as this one, unless a caller says otherwise; op6 and the pipeline take shares as they are
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-CELL_BLOCK = 4096  # cells of a sketch that are added up together
+PACK_BYTES = X.SLICE_BYTES  # text bytes whose distinct shingles are counted together first
+COUNTER_SHINGLES = 1 << 21  # shingles that a counter takes, about
+SIGNED_TEXTS = 1024  # texts whose samples are drawn together
 PART_ROWS = 4096  # rows of a band that are chained in one task, about
 BLOCK_TEXTS, TILE_TEXTS, TILE_SHINGLES = 2048, 512, 200_000  # texts of a band whose bins meet in one task; texts that meet whole
 COARSE, PAIRS = 4, 1 << 16  # bins that are added up for a first bound; pairs whose bins are compared together
@@ -61,12 +68,13 @@ def shingles(w: X.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Idf:
-    """Weights of shingles: those of the table, and the largest for all others."""
+    """Weights of shingles by the share of rows that hold them: of those in a table, and of all others, which ``least`` of the
+    rows hold. Shares below ``floor`` count as it."""
 
-    def __init__(self, keys: np.ndarray, share: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, share: np.ndarray, least: float = SHARE, floor: float = WHOLE) -> None:
         order = np.argsort(keys)
-        self.keys, self.value = keys[order], 1 + np.log(1 / np.clip(share[order], SHARE, 1.0))
-        self.most = 1 + np.log(1 / SHARE)
+        self.keys, self.least, self.floor = keys[order], least, floor
+        self.value, self.most = self.of(share[order] / least), float(self.of(np.ones(1))[0])
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -74,50 +82,126 @@ class Idf:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.value[at], self.most)
 
+    def of(self, rows: np.ndarray) -> np.ndarray:
+        """The weight of a shingle that so many times ``least`` of the rows hold."""
+        return 1 - np.log(np.maximum(rows * self.least, self.floor))
 
-def cell(h: np.ndarray, k: int, cells: int) -> np.ndarray:
-    return ((h >> X.U(k * KEPT_BITS // 2)) & X.U(cells - 1)).astype(np.int64)
 
+def weights(column: pa.Array, idf: Idf, held: pa.Array | None = None) -> tuple[X.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, (document, shingle) in order, counts, and weights of a shingle's one use: by the counts that the texts have with them
+    (``held``), otherwise by the table of ``idf``."""
+    w = X.split(column)
+    doc, h, count = shingles(w)
+    if held is None or held.null_count:
+        return w, doc, h, count, idf(h)
+    return w, doc, h, count, idf.of(np.frombuffer(b"".join(zstandard.decompress(x) for x in held.to_pylist()), "<u4").astype(float))
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of whole numbers, all first bytes before all second ones, which packs better."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(width, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Rising shingles and their counts."""
+    return zstandard.compress(planes(np.diff(keys, prepend=X.U(0)), 6) + planes(n, 4), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = zstandard.decompress(data)
+    cut = len(both) // 10 * 6
+    return np.cumsum(from_planes(both[:cut], 6), dtype=np.uint64), from_planes(both[cut:], 4)
+
+
+def sealed(part: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(part)
+    return sink.getvalue().to_pybytes()
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in slices of at most ``PACK_BYTES`` of text, of several batches where these are small; a longer text alone."""
+    parts, size = [], 0
+    for part in X.slices(batches, size=PACK_BYTES):
+        more = len(X.utf8(part.column("text"))[0])
+        if parts and size + more > PACK_BYTES:
+            yield pa.Table.from_batches(parts).combine_chunks()
+            parts, size = [], 0
+        parts.append(part)
+        size += more
+    if parts:
+        yield pa.Table.from_batches(parts).combine_chunks()
+
+
+def counted(rows: DataFrame, counters: int) -> DataFrame:
+    """(slice, range, data) of (id, tag, text) rows. Of each slice: its rows, sealed (range -1), and of each range of hashes the
+    numbers of all rows that hold the slice's distinct shingles, in order. ``counters``: a power of two."""
+    shift = X.U(KEPT_BITS - counters.bit_length() + 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId() << 32
+        for k, part in enumerate(gathered(batches)):
+            keys, n = np.unique(shingles(X.split(part.column("text")))[1], return_counts=True)
+            head = np.flatnonzero(np.diff(keys >> shift, prepend=X.U(2**63)))
+            ends = [*head[1:].tolist(), len(keys)]
+            number = [*(keys[head] >> shift).astype(np.int32).tolist(), k % counters]
+            data = [*(packed(keys[a:b], n[a:b]) for a, b in zip(head.tolist(), ends, strict=True)), sealed(part)] if len(keys) else [sealed(part)]
+            whole = np.arange(len(data)) == len(data) - 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(data), task + k)), pa.array(number[-len(data) :], pa.int32()), pa.array(whole), pa.array(data, pa.binary())], names=["slice", "range", "whole", "data"])
+
+    def count(table: pa.Table) -> pa.Table:
+        whole = table.column("whole").to_numpy()
+        data = table.column("data").to_pylist()
+        parts = [unpacked(x) for x, rest in zip(data, whole, strict=True) if not rest]
+        if parts:
+            _, place = np.unique(np.concatenate([keys for keys, _ in parts]), return_inverse=True)
+            total = np.bincount(place, np.concatenate([n for _, n in parts]).astype(float)).astype(np.uint64)[place]
+            ends = np.cumsum([len(keys) for keys, _ in parts])[:-1]
+            for at, n in zip(np.flatnonzero(~whole).tolist(), np.split(total, ends), strict=True):
+                data[at] = zstandard.compress(planes(n, 4), 1)
+        number = np.where(whole, -1, table.column("range").to_numpy())
+        return pa.table([table.column("slice"), pa.array(number, pa.int32()), pa.array(data, pa.binary())], names=["slice", "range", "data"])
+
+    tasks = max(counters, rows.sparkSession.sparkContext.defaultParallelism)  # as many as the input asks for
+    sent = rows.select("id", "tag", "text").mapInArrow(pack, "slice long, range int, whole boolean, data binary")
+    return sent.repartition(tasks, "range").groupBy("range").applyInArrow(count, "slice long, range int, data binary").repartition(tasks, "slice")
+
+
+def told(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of a slice of ``counted``, its distinct shingles, and how many rows of all hold each."""
+    number, data = table.column("range").to_numpy(), table.column("data").to_pylist()
+    order = np.argsort(number).tolist()
+    part = pa.ipc.open_stream(data[order[0]]).read_all().combine_chunks()
+    counts = [from_planes(zstandard.decompress(data[k]), 4) for k in order[1:]]
+    keys = np.unique(shingles(X.split(part.column("text")))[1])
+    return part, keys, np.concatenate(counts) if counts else np.zeros(0, np.uint64)
+
+
+def counters_of(rows: DataFrame) -> tuple[int, int]:
+    """How many rows there are, and how many counters they need."""
+    total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    return total, 1 << int(np.clip(np.ceil(np.log2((size or 0) / 6 / COUNTER_SHINGLES + 1e-9)), 0, 20))
 
-def sketch(rows: DataFrame, cells: int) -> np.ndarray:
-    """2 x cells sums of the texts that hold a shingle, by two halves of its hash: none is below a shingle's own count."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((2, cells), np.uint32)
-        for part in X.slices(batches):
-            _, h, _ = shingles(X.split(part.column("text")))
-            for k in range(2):
-                held[k] += np.bincount(cell(h, k, cells), minlength=cells).astype(np.uint32)
-        blocks = held.reshape(-1, CELL_BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zstandard.compress(blocks[b].tobytes(), 1) for b in some], pa.binary())], names=["block", "n"])
-
-    def add(part: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zstandard.decompress(x), np.uint32).astype(np.int64) for x in part.column("n").to_pylist())
-        return pa.table([part.column("block")[:1], pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], names=["block", "n"])
-
-    out = np.zeros((2 * cells // CELL_BLOCK, CELL_BLOCK), np.int64)
-    for r in rows.select("text").mapInArrow(run, "block int, n binary").groupBy("block").applyInArrow(add, "block int, n binary").collect():
-        out[r["block"]] = np.frombuffer(zstandard.decompress(r["n"]), np.int64)
-    return out.reshape(2, cells)
-
-
-def frequent(rows: DataFrame) -> Idf:
-    """Shares of the shingles that more than SHARE of all documents hold. The
-    sketch leaves out what cannot be above the share, whatever the slices; the rest is counted over all rows."""
-    total, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    cells = 1 << int(np.clip(np.ceil(np.log2(8 * (size or 0) / 6 / max(total, 1) / SHARE + 1)), 16, KEPT_BITS // 2))
-    held = sketch(rows, cells)
-    hot = held > SHARE * total
+def frequent(rows: DataFrame, floor: float = SHARE) -> Idf:
+    """The counts of ``counted`` as one table in the driver, for small corpora that are compared pair by pair: the shares of the
+    shingles that several rows hold."""
+    total, counters = counters_of(rows)
+    ids = rows.select(F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("tag"), "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in X.slices(batches):
-            _, h, _ = shingles(X.split(part.column("text")))
-            keys, count = np.unique(h[hot[0][cell(h, 0, cells)] & hot[1][cell(h, 1, cells)]], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(count.astype(np.int64))], names=["h", "n"])
+    def several(table: pa.Table) -> pa.Table:
+        _, keys, n = told(table)
+        return pa.table([pa.array(keys[n > 1].astype(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["h", "n"])
 
-    got = rows.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > SHARE * total).collect()
-    return Idf(np.array([r["h"] for r in got], np.int64).astype(np.uint64), np.array([r["n"] for r in got], float) / max(total, 1))
+    got = counted(ids, counters).groupBy("slice").applyInArrow(several, "h long, n long").distinct().collect()
+    return Idf(np.array([r["h"] for r in got], np.int64).astype(np.uint64), np.array([r["n"] for r in got], float) / max(total, 1), 1 / max(total, 1), floor)
 
 
 def uniform(h: np.ndarray, k: int) -> np.ndarray:
@@ -163,44 +247,56 @@ def bands(sample: np.ndarray) -> np.ndarray:
     return h
 
 
-def signatures(rows: DataFrame, idf: Idf) -> DataFrame:
-    """(id, tag, node, bands) of (id, tag, text) rows; node: 128 bits of the word sequence."""
-    schema = "id long, tag long, node binary, bands array<long>"
+def signatures(rows: DataFrame, idf: Idf, counters: int, least: float) -> DataFrame:
+    """(id, tag, text, held, node, bands) of (id, tag, text) rows; node: 128 bits of the word sequence; held: how many rows hold
+    each distinct shingle. All but (id, tag) are null where what a text shares with any other row is below ``least`` of it."""
+    schema = "id long, tag long, text string, held binary, node binary, bands array<long>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in X.slices(batches):
-            w = X.split(part.column("text"))
+    def sign(table: pa.Table) -> pa.Table:
+        part, keys, n = told(table)
+        out = []
+        for at in range(0, part.num_rows, SIGNED_TEXTS):
+            some = part.slice(at, SIGNED_TEXTS).combine_chunks()
+            w = X.split(some.column("text"))
             doc, h, count = shingles(w)
-            key = bands(samples(doc, h, count * idf(h), w.n)).astype(np.int64)
+            rows = n[np.searchsorted(keys, h)]
+            each = count * idf.of(rows.astype(float))
+            whole = np.bincount(doc, each, w.n)
+            alone = np.bincount(doc, each * (rows < 2), w.n) > (1 - least) * whole * (1 + 1e-9) + 1e-9
+            cut = np.searchsorted(doc, np.arange(w.n + 1)).tolist()
+            held = [None if x else zstandard.compress(rows[a:b].astype("<u4").tobytes(), 1) for x, a, b in zip(alone.tolist(), cut, cut[1:], strict=False)]
+            mine = ~alone[doc]
+            key = bands(samples(doc[mine], h[mine], each[mine], w.n)).astype(np.int64)
             other = X.mix(w.hash ^ X.U(0x0F0F0F0F0F0F0F0F))
             node = np.stack([X.spans_hash(x, w.first[:-1], w.first[1:]) for x in (w.hash, other)], 1)
-            lists = pa.ListArray.from_arrays(pa.array((np.arange(w.n + 1) * BANDS).astype(np.int32)), pa.array(key.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([x.tobytes() for x in node], pa.binary()), lists], names=["id", "tag", "node", "bands"])
+            stay = pa.array(np.arange(w.n), mask=alone)
+            lists = pa.array([None if x else k for x, k in zip(alone.tolist(), key, strict=True)], pa.list_(pa.int64()))
+            cols = [some.column("id"), some.column("tag"), some.column("text").take(stay), pa.array(held, pa.binary()), pa.array([x.tobytes() for x in node], pa.binary()).take(stay), lists]
+            out.append(pa.table(cols, names=["id", "tag", "text", "held", "node", "bands"]))
+        return pa.concat_tables(out)
 
-    return rows.mapInArrow(run, schema)
+    return counted(rows, counters).groupBy("slice").applyInArrow(sign, schema)
 
 
 def weighed(texts: DataFrame, idf: Idf) -> DataFrame:
-    """(id, tag, bins, shingles) of (id, tag, text) rows. bins: the weight of a text in each bin, as single floats."""
+    """(id, tag, bins, shingles) of (id, tag, text, held) rows. bins: the weight of a text in each bin, as single floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in X.slices(batches):
-            w = X.split(part.column("text"))
-            doc, h, count = shingles(w)
-            held = np.bincount(doc * BINS + bin_of(h), count * idf(h), w.n * BINS).astype(np.float32).reshape(w.n, BINS)
+            w, doc, h, count, each = weights(part.column("text"), idf, part.column("held"))
+            held = np.bincount(doc * BINS + bin_of(h), count * each, w.n * BINS).astype(np.float32).reshape(w.n, BINS)
             total = np.bincount(doc, count, w.n).astype(np.int64)
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tag"), pa.array([r.tobytes() for r in held], pa.binary()), pa.array(total)], names=["id", "tag", "bins", "shingles"])
 
-    return texts.select("id", "tag", "text").mapInArrow(run, "id long, tag long, bins binary, shingles long")
+    return texts.select("id", "tag", "text", "held").mapInArrow(run, "id long, tag long, bins binary, shingles long")
 
 
-def similarity(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
+def similarity(a: pa.Array, b: pa.Array, idf: Idf, held_a: pa.Array | None = None, held_b: pa.Array | None = None) -> np.ndarray:
     """Weighted Jaccard similarity, row by row."""
     parts = []
-    for column in (a, b):
-        w = X.split(column)
-        doc, h, count = shingles(w)
-        parts.append(((doc.astype(np.uint64) << X.U(KEPT_BITS)) | h, count * idf(h), doc, w.n))
+    for column, held in ((a, held_a), (b, held_b)):
+        w, doc, h, count, each = weights(column, idf, held)
+        parts.append(((doc.astype(np.uint64) << X.U(KEPT_BITS)) | h, count * each, doc, w.n))
     (ka, wa, da, n), (kb, wb, db, _) = parts
     total = np.bincount(da, wa, n) + np.bincount(db, wb, n)
     if not len(ka) or not len(kb):
@@ -213,14 +309,14 @@ def similarity(a: pa.Array, b: pa.Array, idf: Idf) -> np.ndarray:
 
 def verified(pairs: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataFrame:
     """The pairs (a_id, a_tag, b_id, b_tag) whose texts are as similar as ``least``; ``texts`` has each (id, tag) once."""
-    side = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("tag").alias(f"{c}_tag"), F.col("text").alias(f"text_{c}"))
-    full = pairs.join(side("b"), ["b_id", "b_tag"]).join(side("a"), ["a_id", "a_tag"]).select(*PAIR, "text_a", "text_b")
+    side = lambda c: texts.select(F.col("id").alias(f"{c}_id"), F.col("tag").alias(f"{c}_tag"), F.col("text").alias(f"text_{c}"), F.col("held").alias(f"held_{c}"))
+    full = pairs.join(side("b"), ["b_id", "b_tag"]).join(side("a"), ["a_id", "a_tag"]).select(*PAIR, "text_a", "text_b", "held_a", "held_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for half in X.slices(iter([batch]), "text_a", X.SLICE_BYTES // 2):
                 for part in X.slices(iter([half]), "text_b", X.SLICE_BYTES // 2):
-                    keep = pa.array(similarity(part.column("text_a"), part.column("text_b"), idf) >= least)
+                    keep = pa.array(similarity(*(part.column(c) for c in ("text_a", "text_b")), idf, *(part.column(c) for c in ("held_a", "held_b"))) >= least)
                     yield pa.RecordBatch.from_arrays([part.column(c).filter(keep) for c in PAIR], names=PAIR)
 
     return full.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR))
@@ -304,23 +400,22 @@ def in_tiles(rows: DataFrame, texts: DataFrame, idf: Idf, least: float) -> DataF
 
     def links(table: pa.Table) -> pa.Table:
         ids, tags = (table.column(c).to_numpy() for c in ("id", "tag"))
-        a, b = forest(similar(table.column("text"), idf, least))
+        a, b = forest(similar(table.column("text"), idf, least, table.column("held")))
         return pa.table([pa.array(x) for x in (ids[a], tags[a], ids[b], tags[b])], names=PAIR)
 
-    return rows.join(texts.select("id", "tag", "text"), ["id", "tag"]).groupBy("key", "lo", "hi", "tile").applyInArrow(links, ", ".join(f"{c} long" for c in PAIR))
+    return rows.join(texts.select("id", "tag", "text", "held"), ["id", "tag"]).groupBy("key", "lo", "hi", "tile").applyInArrow(links, ", ".join(f"{c} long" for c in PAIR))
 
 
-def similar(column: pa.Array, idf: Idf, least: float) -> np.ndarray:
+def similar(column: pa.Array, idf: Idf, least: float, held: pa.Array | None = None) -> np.ndarray:
     """Which texts of a block are as similar as ``least``: products of their shingle tables, a few columns at a time."""
-    w = X.split(column)
-    doc, h, count = shingles(w)
-    total = np.bincount(doc, count * idf(h), w.n)
+    w, doc, h, count, each = weights(column, idf, held)
+    total = np.bincount(doc, count * each, w.n)
     row = np.repeat(np.arange(len(h)), count)  # the k-th use of a shingle is an element of its own, so its least count is a product
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    element, column_of, held = np.unique(X.mix(h[row] ^ X.mix(nth.astype(np.uint64) + X.U(1))), return_inverse=True, return_counts=True)
-    place = np.cumsum(held > 1) - 1
-    keep = held[column_of] > 1
-    at, of, weight = place[column_of[keep]], doc[row[keep]], idf(h)[row[keep]]
+    _, column_of, texts = np.unique(X.mix(h[row] ^ X.mix(nth.astype(np.uint64) + X.U(1))), return_inverse=True, return_counts=True)
+    place = np.cumsum(texts > 1) - 1
+    keep = texts[column_of] > 1
+    at, of, weight = place[column_of[keep]], doc[row[keep]], each[row[keep]]
     by = np.argsort(at, kind="stable")
     at, of, weight = at[by], of[by], np.sqrt(weight[by])
     both = np.zeros((w.n, w.n))
@@ -410,8 +505,10 @@ def components(edges: DataFrame, whole: bool = True) -> DataFrame:
 
 
 def linked(shared: DataFrame, rows: DataFrame, idf: Idf, least: float) -> DataFrame:
-    """(n, root) of the components of the texts of ``shared`` (key, id, tag) that share a key and are similar."""
-    texts = store(rows.join(shared.select("id", "tag").distinct(), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]), "near-texts")
+    """(n, root) of the components of the texts of ``shared`` (key, id, tag) that share a key and are similar. Rows without
+    ``held`` are weighed by the table of ``idf``."""
+    rows = rows if "held" in rows.columns else rows.withColumn("held", F.lit(None).cast("binary"))
+    texts = store(rows.select("id", "tag", "text", "held").join(shared.select("id", "tag").distinct(), ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"]), "near-texts")
     ends = lambda p: p.select(F.struct(F.col("a_id").alias("id"), F.col("a_tag").alias("tag")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_tag").alias("tag")).alias("b"))
     stars = components(ends(store(verified(chained(shared), texts, idf, least), "near-links")), whole=False)
     # only keys that still span several stars are in play
@@ -428,21 +525,24 @@ def labels(stars: DataFrame) -> DataFrame:
     return leaves.unionByName(stars.select(F.col("a").alias("n"), F.col("a").alias("root")).distinct().join(leaves.select("n"), "n", "left_anti"))
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, floor: float = SHARE) -> DataFrame:
     """(id, tag, root, class_id, similar) of each row: ``root`` names its class, class_id is the least id in it and may be
-    null or that of another class too; ``similar``: its text has a verified link."""
+    null or that of another class too; ``similar``: its text has a verified link. Shingles that less than ``floor`` of the rows
+    hold weigh as if so many did; with ``WHOLE`` each has the weight of its own count."""
     rows = keyed(docs)
-    idf = frequent(rows)
-    signed = store(signatures(rows, idf), "near-signatures")
+    total, counters = counters_of(rows)
+    idf = Idf(np.zeros(0, np.uint64), np.zeros(0), 1 / max(total, 1), floor)
+    every = store(signatures(rows, idf, counters, least), "near-signatures")
+    signed, alone = every.where("node IS NOT NULL"), every.where("node IS NULL").select("id", "tag", F.struct("id", "tag").alias("root"), _known("id").alias("class_id"), F.lit(False).alias("similar"))
     own = signed.groupBy("node").agg(F.min(F.struct("id", "tag", "bands")).alias("o"))
     keys = store(own.select("o.id", "o.tag", F.posexplode("o.bands").alias("band", "value")).select(F.xxhash64("band", "value").alias("key"), "id", "tag"), "near-keys")
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = store(split_join(keys, held, "key", "size").drop("size"), "near-shared")  # the bands that join several texts
-    found = linked(shared, rows, idf, least)
+    found = linked(shared, signed, idf, least)
     nodes = signed.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("n")).join(found, "n", "left")
     rooted = nodes.select("node", "n", F.coalesce("root", "n").alias("root"), F.col("root").isNotNull().alias("similar"))
     ids = rooted.groupBy("root").agg(F.min(_known("n.id")).alias("class_id"))
-    return signed.select("id", "tag", "node").join(rooted.join(ids, "root").select("node", "root", "class_id", "similar"), "node").drop("node")
+    return signed.select("id", "tag", "node").join(rooted.join(ids, "root").select("node", "root", "class_id", "similar"), "node").drop("node").unionByName(alone)
 
 
 def _known(c: str) -> Column:
@@ -451,12 +551,12 @@ def _known(c: str) -> Column:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its class: exact copies and documents linked by verified similarity have one class id."""
-    return near_duplicates(documents(spark, sf_dir)).select(_known("id").alias("doc_id"), "class_id", "similar")
+    return near_duplicates(documents(spark, sf_dir), floor=WHOLE).select(_known("id").alias("doc_id"), "class_id", "similar")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the first row of each class stays (least id, then text), with its own columns."""
-    found, kept = near_duplicates(docs), fresh(docs, "kept")
+    found, kept = near_duplicates(docs, floor=WHOLE), fresh(docs, "kept")
     first = found.groupBy("root").agg(F.min(F.struct("id", "tag")).alias(kept)).select(kept)
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tag_of(text).alias("tag"))

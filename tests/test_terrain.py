@@ -210,3 +210,24 @@ def test_tiles_are_as_many_files_as_tasks(spark, tmp_path):
     files = list((tmp_path / "tiles").rglob("*.parquet"))
     back = spark.read.parquet(str(tmp_path / "tiles"))
     assert len(files) <= 4 < back.select("ty", "tx").distinct().count() and back.count() == 12000
+
+
+def test_points_and_tiles_are_not_broadcast(spark, tmp_path):
+    """Packed files look small and the nine buckets of a point aren't counted, so the plan itself must send neither to all tasks."""
+    height, wide, k = 200, 120, F.col("id")
+    frame = bands.Frame(west=-74.0, south=40.4 - height * 5 / bands.FEET_PER_DEGREE, east=-74.0 + wide * 6.5 / bands.FEET_PER_DEGREE, north=40.4, width=wide, height=height)
+    values = {b: F.lit(0.0) for b in bands.BANDS} | {"elevation": (k % 50).cast("double"), "hard": F.when(k % 101 == 0, 1.0).otherwise(0.0)}
+    bands.write_tiles(spark.range(height * wide).select(F.floor(k / wide).alias("y"), (k % wide).alias("x"), *(v.alias(b) for b, v in values.items())), str(tmp_path / "tiles"), frame)
+    dx, dy = frame.steps
+    points = spark.range(0, height * wide, 7).select(k.alias("k"), (frame.north - (F.floor(k / wide) + 0.5) * dy).alias("lat"), (frame.west + (k % wide + 0.5) * dx).alias("lon"))
+    got = bands.snapped(points, spark.read.parquet(str(tmp_path / "tiles")), frame)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+    hard = [divmod(i, wide) for i in range(0, height * wide, 101)]
+    want = {}
+    for i in range(0, height * wide, 7):
+        y, x = divmod(i, wide)
+        across = math.cos(math.radians(frame.north - (y + 0.5) * dy)) * dx * bands.FEET_PER_DEGREE
+        off, near = min((math.hypot((b - x) * across, (a - y) * 5), a * wide + b) for a, b in hard)
+        want[i] = (near % 50, round(off, 6)) if off <= bands.FEATURE_FT else (i % 50, None)
+    assert {r.k: (r.elevation, r.feature_ft and round(r.feature_ft, 6)) for r in got.collect()} == want

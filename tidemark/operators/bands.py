@@ -68,14 +68,15 @@ def snapped(points: DataFrame, tiles: DataFrame, frame: Frame) -> DataFrame:
 
     ``tiles`` is what ``write_tiles`` wrote. Points and features meet by tile and bucket: a point asks for its own bucket and
     the eight around it, so only pixels nearby are compared, and row groups outside of the rows of tiles that windows touch are
-    not read."""
+    not read. Both joins with tiles are merge joins: Spark takes packed files for small and does not count the nine buckets of a
+    point, and would send millions of rows through the driver to all tasks."""
     side, bucket = frame.tile(), frame.bucket
     y, x = "y", "x"
     px, py = frame.pixel(F.col("lat"), F.col("lon"))
     wide, tall = frame.step_feet(F.col("lat"))
     here = points.select("k", py.alias("py"), px.alias("px"), wide.alias("wide")).where(F.col("px").between(0, frame.width - 1) & F.col("py").between(0, frame.height - 1))
     place = lambda r, c, n: {"ty": F.floor(r / n).cast("int"), "tx": F.floor(c / n).cast("int")}
-    own = here.withColumns(place(F.col("py"), F.col("px"), side)).join(tiles.withColumnsRenamed({y: "py", x: "px"}), ["ty", "tx", "py", "px"], "left")
+    own = here.withColumns(place(F.col("py"), F.col("px"), side)).join(tiles.withColumnsRenamed({y: "py", x: "px"}).hint("merge"), ["ty", "tx", "py", "px"], "left")
     own = own.select("k", "py", "px", F.struct(*BANDS).alias("mine"))
 
     flag = lambda c: F.coalesce(F.col(c).between(0.5, 1.5), F.lit(False))
@@ -86,7 +87,7 @@ def snapped(points: DataFrame, tiles: DataFrame, frame: Frame) -> DataFrame:
     asked = asked.withColumns(place(F.col("by"), F.col("bx"), side // bucket))
     features = features.where(F.col("ty").between(-1, (frame.height - 1) // side + 1))  # the frame's own rows of tiles and those beside
     off = F.pow((F.col(x) - F.col("px")) * F.col("wide"), F.lit(2)) + F.pow((F.col(y) - F.col("py")) * tall, F.lit(2))
-    found = asked.join(features, ["ty", "tx", "by", "bx"]).withColumn("off", off).where(F.col("off") <= FEATURE_FT**2)
+    found = asked.join(features.hint("merge"), ["ty", "tx", "by", "bx"]).withColumn("off", off).where(F.col("off") <= FEATURE_FT**2)
     best = found.groupBy("k").agg(F.min_by(F.struct("off", F.struct(*BANDS).alias("near")), F.struct("off", y, x)).alias("m")).select("k", "m.off", "m.near")
     both = own.join(best, "k", "left").select("k", F.col("py").alias("y"), F.col("px").alias("x"), F.coalesce("near", "mine").alias("v"), F.sqrt("off").alias("feature_ft"))
     usable = F.col("v.elevation").isNotNull() & ~F.isnan("v.elevation") & (F.abs("v.elevation") < 1000)
